@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+from harborline.llm.bpe import op10_bpe
 from harborline.llm.ngram_join import op3_ngram_jaccard_join
+from harborline.llm.packing import op5_best_fit_packing
 from harborline.llm.quality_classifier import op7_quality_classifier
 from harborline.llm.quality_rules import op1_quality_rules
 
@@ -10,7 +12,7 @@ from harborline.llm.quality_rules import op1_quality_rules
 def queries():
     import corpus_pipeline
 
-    return {f.__name__: f for f in (op1_quality_rules, op3_ngram_jaccard_join, op7_quality_classifier)} | {"pipeline": corpus_pipeline.run}
+    return {f.__name__: f for f in (op1_quality_rules, op3_ngram_jaccard_join, op5_best_fit_packing, op7_quality_classifier, op10_bpe)} | {"pipeline": corpus_pipeline.run}
 
 
 def oracle_sql() -> dict[str, str]:
