@@ -10,16 +10,9 @@ from __future__ import annotations
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
-from harborline.llm import ngram_join, quality_classifier, quality_rules
-from harborline.llm.common import shared_dir, small_or_not, table
-
-
-def _without(docs: DataFrame, verdicts: DataFrame, bad: str) -> DataFrame:
-    """docs less the rows whose id has the verdict `bad`; rows without an id stay."""
-    gone = verdicts.where(F.expr(bad) & F.col("doc_id").isNotNull()).select("doc_id").distinct()
-    return docs.join(small_or_not(gone), "doc_id", "left_anti").select(docs.columns)
+from harborline.llm import ngram_join, packing, quality_classifier, quality_rules
+from harborline.llm.common import shared_dir, table
 
 
 def classify(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -40,10 +33,16 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     return ngram_join.one_of_each(docs)
 
 
+def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The pieces of all rows and their places in sequences."""
+    return packing.packed(docs)
+
+
 STAGES = [
     ("quality_classifier", classify),
     ("quality_rules", rules),
     ("ngram_jaccard_join", near_duplicates),
+    ("best_fit_packing", pack),
 ]
 #: The stages fit models and find components, which SQL can't express; tests use brute force instead.
 ORACLE_SQL = None

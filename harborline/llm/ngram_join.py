@@ -8,9 +8,9 @@
    For the others these prefixes are posted by shingle.
 4. Overlaps are counted vertically: the global order is cut into fragments, each fragment of a pair
    counts its own overlap, and the partial overlaps are summed per pair.
-5. Large groups are never expanded into all pairs.  Star rounds verify one pair per node and merge
-   nodes into components; the last, exact round then verifies every candidate pair that still
-   lies in two components, so no link between different components is lost.
+5. Large groups are never expanded into all pairs.  A star round verifies one pair per node (with the
+   hub that most of its prefix names) and merges nodes into components; the exact round then verifies
+   every candidate pair that still lies in two components, so no link between components is lost.
 
 Edge cases: null and wordless texts have an empty set and link with nothing (component_id is their own
 id); texts of 1 to 4 words are one shingle; equal texts share a component; a null id is reported
@@ -40,7 +40,6 @@ class Settings:
     block: int = 1 << 20  # shingles that a task gathers before it deals them out
     range_size: int = 2_000_000  # shingles in a hash range, about
     fragments: int = 8  # vertical cuts of the global order
-    rounds: int = 4  # star rounds at most, before the exact one
 
 
 def sets_of(o: np.ndarray, body: np.ndarray, size: int) -> Iterator[np.ndarray]:
@@ -195,57 +194,46 @@ def overlaps(near: DataFrame, pairs: DataFrame, cuts: list[int], s: Settings) ->
 def components(edges: DataFrame) -> DataFrame:
     """id, root (the smallest id reachable) for every id in edges (a, b)."""
     both = kept(edges.select("a", "b").union(edges.select("b", "a")).distinct())
-    roots = kept(both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("root")).withColumnRenamed("a", "id"))
-    while True:
+    roots, moved = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("root")).withColumnRenamed("a", "id"), 1
+    while moved:
         seen = both.join(roots.withColumnRenamed("id", "b"), "b").groupBy("a").agg(F.min("root").alias("least"))
         low = roots.join(seen.withColumnRenamed("a", "id"), "id").select("id", F.least("root", "least").alias("root"), F.col("root").alias("was"))
         jump = low.select(F.col("id").alias("root"), F.col("root").alias("next"))
         new = kept(low.join(jump, "root").select("id", F.col("next").alias("root"), "was"))
-        if not new.where("root <> was").limit(1).count():
-            return new.select("id", "root")
-        roots = new.select("id", "root")
+        moved, roots = new.where("root <> was").count(), new.select("id", "root")
+    return roots
 
 
-def merged(comps: DataFrame, links: DataFrame) -> DataFrame:
-    """comps (node, comp) after the links (a, b) between nodes."""
-    of = lambda side: comps.select(F.col("node").alias(side), F.col("comp").alias(f"comp_{side}"))
-    edges = links.join(of("a"), "a").join(of("b"), "b").where("comp_a <> comp_b").select(F.col("comp_a").alias("a"), F.col("comp_b").alias("b"))
-    roots = components(edges).withColumnRenamed("id", "comp")
-    return kept(comps.join(roots, "comp", "left").select("node", F.coalesce("root", "comp").alias("comp")))
+def trees(parents: DataFrame) -> DataFrame:
+    """a, b (the root of its tree) for a forest given as a, b (its parent)."""
+    moved = 1
+    while moved:
+        up = parents.select(F.col("a").alias("b"), F.col("b").alias("next"))
+        new = kept(parents.join(up, "b", "left").select("a", F.coalesce("next", "b").alias("b"), F.col("next").isNotNull().alias("moved")))
+        moved, parents = new.where("moved").count(), new.select("a", "b")
+    return parents
 
 
 def linked(near: DataFrame, s: Settings) -> DataFrame:
-    """node, comp of the nodes in near, by star rounds and an exact round."""
-    shared = F.size("toks").alias("shared")
-    postings = near.select("node", "n", shared, F.posexplode(F.slice("toks", F.lit(1), F.col("k").cast("int"))).alias("at", "tok"))
-    alone = postings.groupBy("tok").agg(F.count("*").alias("of")).where("of > 1").select("tok")
-    postings = kept(postings.join(alone, "tok"))
-    comps = kept(postings.select("node").distinct().select("node", F.col("node").alias("comp")))
+    """node, comp of the nodes in near that link with another, by a star round and an exact round."""
+    postings = near.select("node", "n", F.size("toks").alias("shared"), F.posexplode(F.slice("toks", F.lit(1), F.col("k").cast("int"))).alias("at", "tok"))
     cuts = near.select(F.explode("toks").alias("t")).agg(F.percentile_approx("t", F.lit([i / s.fragments for i in range(1, s.fragments)]), F.lit(1000))).first()[0]
     cuts = sorted(set(cuts or []))
 
-    def mixed() -> DataFrame:
-        """Postings of the shingles that still lie in several components."""
-        own = postings.join(comps, "node")
-        many = own.groupBy("tok").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi").select("tok")
-        return own.join(many, "tok")
-
-    long_enough = (F.col("n") * 100 >= s.percent * F.col("n_hub")) & (F.col("n_hub") * 100 >= s.percent * F.col("n"))
-    for r in range(s.rounds):
-        own = kept(mixed())
-        rank = F.xxhash64("node", F.lit(r))
-        hubs = own.groupBy("tok").agg(F.min(F.struct(rank.alias("rank"), "node", "comp", "n")).alias("hub")).select("tok", F.col("hub.node").alias("hub"), F.col("hub.comp").alias("comp_hub"), F.col("hub.n").alias("n_hub"))
-        votes = own.join(hubs, "tok").where((F.col("comp") != F.col("comp_hub")) & long_enough).groupBy("node", "hub").agg(F.count("*").alias("votes"))
-        best = votes.groupBy("node").agg(F.max_by("hub", F.struct("votes", "hub")).alias("hub"))
-        links = kept(overlaps(near, best.select(F.col("node").alias("a"), F.col("hub").alias("b")), cuts, s))
-        if not links.limit(1).count():
-            break
-        comps = merged(comps, links)
-
-    own = kept(mixed())
+    hubs = postings.groupBy("tok").agg(F.count("*").alias("of"), F.min(F.struct(F.xxhash64("node").alias("rank"), "node", "n")).alias("hub")).where("of > 1")
+    hubs = hubs.select("tok", F.col("hub.node").alias("hub"), F.col("hub.n").alias("n_hub"))
+    fits = (F.col("n") * 100 >= s.percent * F.col("n_hub")) & (F.col("n_hub") * 100 >= s.percent * F.col("n"))
+    votes = postings.join(hubs, "tok").where((F.col("node") != F.col("hub")) & fits).groupBy("node", "hub").agg(F.count("*").alias("votes"))
+    best = votes.groupBy("node").agg(F.max_by("hub", F.struct("votes", "hub")).alias("hub"))
+    parents = kept(overlaps(near, best.select(F.col("node").alias("a"), F.col("hub").alias("b")), cuts, s))  # a hub ranks lower: a forest
+    comps = near.select("node").join(trees(parents).withColumnRenamed("a", "node"), "node", "left").select("node", F.coalesce("b", "node").alias("comp"))
+    comps = kept(comps)
+
+    # candidates that still lie in two components: all but those between members of a shingle's main component
+    own = postings.join(comps, "node")
     sizes = own.groupBy("tok", "comp").agg(F.count("*").alias("rows"))
-    most = sizes.groupBy("tok").agg(F.max_by("comp", F.struct("rows", "comp")).alias("most"))
-    own = own.join(most, "tok")
+    most = sizes.groupBy("tok").agg(F.count("*").alias("comps"), F.max_by("comp", F.struct("rows", "comp")).alias("most")).where("comps > 1").select("tok", "most")
+    own = kept(own.join(most, "tok"))
     few = own.where("comp <> most").select("tok", F.col("node").alias("a"), F.col("n").alias("n_a"), F.col("comp").alias("comp_a"), F.col("at").alias("at_a"), F.col("shared").alias("shared_a"))
     rest = own.select("tok", F.col("node").alias("b"), F.col("n").alias("n_b"), F.col("comp").alias("comp_b"), F.col("at").alias("at_b"), F.col("shared").alias("shared_b"), "most")
     room = F.lit(1) + F.least("at_a", "at_b") + F.least(F.col("shared_a") - F.col("at_a") - 1, F.col("shared_b") - F.col("at_b") - 1)
@@ -254,7 +242,10 @@ def linked(near: DataFrame, s: Settings) -> DataFrame:
         & (room * (100 + s.percent) >= s.percent * (F.col("n_a") + F.col("n_b")))
     )
     pairs = few.join(rest, "tok").where(able).select("a", "b").distinct()
-    return merged(comps, kept(overlaps(near, pairs, cuts, s)))
+    links = overlaps(near, pairs, cuts, s)
+    of = lambda side: comps.select(F.col("node").alias(side), F.col("comp").alias(f"comp_{side}"))
+    roots = components(links.join(of("a"), "a").join(of("b"), "b").select(F.col("comp_a").alias("a"), F.col("comp_b").alias("b")))
+    return comps.join(roots.withColumnRenamed("id", "comp"), "comp", "left").select("node", F.coalesce("root", "comp").alias("comp"))
 
 
 def near_duplicates(docs: DataFrame, s: Settings = Settings()) -> DataFrame:
@@ -271,3 +262,14 @@ def near_duplicates(docs: DataFrame, s: Settings = Settings()) -> DataFrame:
 
 def op3_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"))
+
+
+def one_of_each(docs: DataFrame, s: Settings = Settings()) -> DataFrame:
+    """docs less all but one row of each component: its smallest id stays; rows without an id stay."""
+    found = kept(near_duplicates(docs, s))
+    gone = found.where("doc_id <> component_id").select("doc_id").distinct()
+    out = docs.join(small_or_not(gone), "doc_id", "left_anti").select(docs.columns)
+    twice = found.where("doc_id is not null and doc_id = component_id").groupBy("doc_id").count().where("count > 1").select("doc_id")
+    if not twice.isEmpty():  # rows of one id: one of them stays
+        out = out.where("doc_id is null").unionByName(out.where("doc_id is not null").dropDuplicates(["doc_id"]))
+    return out

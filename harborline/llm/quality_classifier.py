@@ -161,6 +161,23 @@ def score_texts(df: DataFrame, model: Model, s: Settings = Settings()) -> DataFr
     return df.select(*(f.name for f in keep), "text").mapInArrow(run, T.StructType([*keep, T.StructField("score", T.DoubleType())]))
 
 
+def filter_texts(df: DataFrame, model: Model, s: Settings = Settings()) -> DataFrame:
+    """The rows of df whose text scores at least the threshold; with a neutral model all rows."""
+    shared = df.sparkSession.sparkContext.broadcast(model)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        m = shared.value
+        neutral = not m.weights.any()
+        for b in batches:
+            out = np.full(b.num_rows, m.bias)
+            for row, o, body in pieces(b.column("text")):
+                for i, x in indicators(o, body, s):
+                    out[row + i] = m.weights[x].sum(dtype=np.float64) + m.bias
+            yield b.filter(pa.array((m.scores(out) >= s.threshold) | neutral))
+
+    return df.mapInArrow(run, df.schema)
+
+
 def training_labels(labels: DataFrame) -> DataFrame:
     """Labels that may be learned from: crc32 of the id modulo 4 is not 2."""
     return labels.where(F.pmod(crc_of_id(F.col("doc_id")), F.lit(4)) != 2)

@@ -145,6 +145,26 @@ def judge(df: DataFrame, ratios: np.ndarray, s: Settings = Settings()) -> DataFr
     return df.select(*(f.name for f in keep), "text").mapInArrow(run, schema)
 
 
+def filter_texts(df: DataFrame, ratios: np.ndarray, s: Settings = Settings()) -> DataFrame:
+    """The rows of df that are kept, with all their columns."""
+    shared = df.sparkSession.sparkContext.broadcast(ratios)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            good = np.zeros(b.num_rows, bool)
+            for row, o, body in pieces(b.column("text")):
+                w = words(o, body)
+                n = np.diff(w.first)
+                h, first = byte_grams(o, body, s.size, s.bits)
+                total = np.zeros(len(h) + 1)
+                np.cumsum(shared.value[h], out=total[1:])
+                ratio = np.round(np.diff(total[first]) / np.maximum(1, np.diff(first)), 9)
+                good[row : row + len(o) - 1] = (n >= LEAST_WORDS) & (100 * repeated_words(w.hashes, w.first) <= MOST_REPEATED * n) & (ratio >= s.threshold)
+            yield b.filter(pa.array(good))
+
+    return df.mapInArrow(run, df.schema)
+
+
 def ratios_of(docs: DataFrame, labels: DataFrame, s: Settings = Settings()) -> np.ndarray:
     """Log ratios of the trusted documents (labels.quality = 1) against all docs."""
     good = small_or_not(labels.where((F.col("quality") == 1) & F.col("doc_id").isNotNull()).select("doc_id").distinct().withColumn("good", F.lit(True)))
