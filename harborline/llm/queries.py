@@ -3,16 +3,26 @@
 from __future__ import annotations
 
 from harborline.llm.bpe import op10_bpe
+from harborline.llm.chat_format import op6_chat_format
+from harborline.llm.hilbert_sharding import op8_hilbert_sharding
+from harborline.llm.lm_scoring import op2_lm_scoring
+from harborline.llm.media_tiff import op4_media_tiff
 from harborline.llm.ngram_join import op3_ngram_jaccard_join
 from harborline.llm.packing import op5_best_fit_packing
 from harborline.llm.quality_classifier import op7_quality_classifier
 from harborline.llm.quality_rules import op1_quality_rules
+from harborline.llm.url_filters import op9_url_filters
+
+OPERATORS = (
+    op1_quality_rules, op2_lm_scoring, op3_ngram_jaccard_join, op4_media_tiff, op5_best_fit_packing,
+    op6_chat_format, op7_quality_classifier, op8_hilbert_sharding, op9_url_filters, op10_bpe,
+)
 
 
 def queries():
     import corpus_pipeline
 
-    return {f.__name__: f for f in (op1_quality_rules, op3_ngram_jaccard_join, op5_best_fit_packing, op7_quality_classifier, op10_bpe)} | {"pipeline": corpus_pipeline.run}
+    return {f.__name__: f for f in OPERATORS} | {"pipeline": corpus_pipeline.run}
 
 
 def oracle_sql() -> dict[str, str]:
