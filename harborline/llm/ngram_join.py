@@ -8,9 +8,10 @@
    For the others these prefixes are posted by shingle.
 4. Overlaps are counted vertically: the global order is cut into fragments, each fragment of a pair
    counts its own overlap, and the partial overlaps are summed per pair.
-5. Large groups are never expanded into all pairs.  A star round verifies one pair per node (with the
-   hub that most of its prefix names) and merges nodes into components; the exact round then verifies
-   every candidate pair that still lies in two components, so no link between components is lost.
+5. Large groups are never expanded into all pairs.  Star rounds verify one pair per node (with the hub
+   that most of its prefix names) and merge nodes into components, until nothing new links; the exact
+   round then verifies every candidate pair that still lies in two components, so no link between
+   components is lost.
 
 Edge cases: null and wordless texts have an empty set and link with nothing (component_id is their own
 id); texts of 1 to 4 words are one shingle; equal texts share a component; a null id is reported
@@ -32,6 +33,9 @@ from pyspark.sql import functions as F
 from harborline.llm.common import kept, small_or_not, table
 from harborline.llm.textblocks import lowered, mix, pieces, windows, words
 
+#: 64-bit words of a node's parity map of shared shingles.
+MAP_WORDS = 16
+
 
 @dataclass(frozen=True)
 class Settings:
@@ -40,6 +44,7 @@ class Settings:
     block: int = 1 << 20  # shingles that a task gathers before it deals them out
     range_size: int = 2_000_000  # shingles in a hash range, about
     fragments: int = 8  # vertical cuts of the global order
+    rounds: int = 2  # star rounds at most, before the exact one
 
 
 def sets_of(o: np.ndarray, body: np.ndarray, size: int) -> Iterator[np.ndarray]:
@@ -159,14 +164,19 @@ def _prefixes(percent: int):
         k = shared - ((n * percent + 99) // 100) + 1  # n - ceil(0.8 n) + 1, less the unshared ones
         good = k > 0
         at = np.append(0, np.cumsum(shared[good])).astype(np.int32)
-        toks = pa.ListArray.from_arrays(pa.array(at), pa.array(keys[good[docs]]))
-        return pa.table({"node": pa.array(node[good]), "n": pa.array(n[good]), "k": pa.array(k[good]), "toks": toks})
+        chosen = keys[good[docs]]
+        toks = pa.ListArray.from_arrays(pa.array(at), pa.array(chosen))
+        bits = np.zeros((int(good.sum()), MAP_WORDS), np.uint64)
+        np.bitwise_xor.at(bits, (np.repeat(np.arange(len(bits)), shared[good]), (chosen >> 6) % MAP_WORDS), np.uint64(1) << (chosen & 63).astype(np.uint64))
+        bits = pa.FixedSizeListArray.from_arrays(pa.array(bits.view(np.int64).reshape(-1)), MAP_WORDS).cast(pa.list_(pa.int64()))
+        return pa.table({"node": pa.array(node[good]), "n": pa.array(n[good]), "k": pa.array(k[good]), "toks": toks, "bits": bits})
 
     return run
 
 
 def prefixed(docs: DataFrame, all_nodes: DataFrame, s: Settings) -> DataFrame:
-    """node, n (set size), k (shared shingles in the prefix), toks (its shared shingles in the global order)."""
+    """node, n (set size), k (shared shingles in the prefix), toks (its shared shingles in the global order),
+    bits (the parity of its shared shingles in each of 64 * MAP_WORDS cells)."""
     total = all_nodes.agg(F.coalesce(F.sum("n_shingles"), F.lit(0))).first()[0]
     bits = min(24, max(6, int(np.ceil(np.log2(max(1, total / s.range_size))))))
     first = all_nodes.where("node is not null").groupBy("node").agg(F.min("doc_id").alias("doc_id"))
@@ -174,7 +184,7 @@ def prefixed(docs: DataFrame, all_nodes: DataFrame, s: Settings) -> DataFrame:
     texts = docs.select("doc_id", "text").join(small_or_not(copies), "doc_id", "left_anti")
     dealt = texts.mapInArrow(_deal(s, bits), "part int, block long, meta boolean, docs binary, toks binary")
     back = dealt.groupBy("part").applyInArrow(_shared, "block long, meta boolean, docs binary, toks binary")
-    near = back.groupBy("block").applyInArrow(_prefixes(s.percent), "node long, n long, k long, toks array<long>")
+    near = back.groupBy("block").applyInArrow(_prefixes(s.percent), "node long, n long, k long, toks array<long>, bits array<long>")
     return near.dropDuplicates(["node"])
 
 
@@ -204,48 +214,60 @@ def components(edges: DataFrame) -> DataFrame:
     return roots
 
 
-def trees(parents: DataFrame) -> DataFrame:
-    """a, b (the root of its tree) for a forest given as a, b (its parent)."""
-    moved = 1
-    while moved:
-        up = parents.select(F.col("a").alias("b"), F.col("b").alias("next"))
-        new = kept(parents.join(up, "b", "left").select("a", F.coalesce("next", "b").alias("b"), F.col("next").isNotNull().alias("moved")))
-        moved, parents = new.where("moved").count(), new.select("a", "b")
-    return parents
+def merged(comps: DataFrame, links: DataFrame) -> DataFrame:
+    """comps (node, comp) after the links (a, b) between nodes."""
+    of = lambda side: comps.select(F.col("node").alias(side), F.col("comp").alias(f"comp_{side}"))
+    edges = links.join(of("a"), "a").join(of("b"), "b").where("comp_a <> comp_b").select(F.col("comp_a").alias("a"), F.col("comp_b").alias("b"))
+    roots = components(edges).withColumnRenamed("id", "comp")
+    return kept(comps.join(roots, "comp", "left").select("node", F.coalesce("root", "comp").alias("comp")))
 
 
 def linked(near: DataFrame, s: Settings) -> DataFrame:
-    """node, comp of the nodes in near that link with another, by a star round and an exact round."""
+    """node, comp of the nodes in near, by star rounds and an exact round."""
     postings = near.select("node", "n", F.size("toks").alias("shared"), F.posexplode(F.slice("toks", F.lit(1), F.col("k").cast("int"))).alias("at", "tok"))
     cuts = near.select(F.explode("toks").alias("t")).agg(F.percentile_approx("t", F.lit([i / s.fragments for i in range(1, s.fragments)]), F.lit(1000))).first()[0]
     cuts = sorted(set(cuts or []))
-
-    hubs = postings.groupBy("tok").agg(F.count("*").alias("of"), F.min(F.struct(F.xxhash64("node").alias("rank"), "node", "n")).alias("hub")).where("of > 1")
-    hubs = hubs.select("tok", F.col("hub.node").alias("hub"), F.col("hub.n").alias("n_hub"))
-    fits = (F.col("n") * 100 >= s.percent * F.col("n_hub")) & (F.col("n_hub") * 100 >= s.percent * F.col("n"))
-    votes = postings.join(hubs, "tok").where((F.col("node") != F.col("hub")) & fits).groupBy("node", "hub").agg(F.count("*").alias("votes"))
-    best = votes.groupBy("node").agg(F.max_by("hub", F.struct("votes", "hub")).alias("hub"))
-    parents = kept(overlaps(near, best.select(F.col("node").alias("a"), F.col("hub").alias("b")), cuts, s))  # a hub ranks lower: a forest
-    comps = near.select("node").join(trees(parents).withColumnRenamed("a", "node"), "node", "left").select("node", F.coalesce("b", "node").alias("comp"))
-    comps = kept(comps)
+    comps = near.select("node", F.col("node").alias("comp"))
+
+    def mixed() -> DataFrame:
+        """Postings of the shingles that still lie in several components, with the main one."""
+        own = postings.join(comps, "node")
+        sizes = own.groupBy("tok", "comp").agg(F.count("*").alias("rows"))
+        most = sizes.groupBy("tok").agg(F.count("*").alias("comps"), F.max_by("comp", F.struct("rows", "comp")).alias("most")).where("comps > 1")
+        return kept(own.join(most.select("tok", "most"), "tok"))
+
+    for r in range(s.rounds):
+        own = mixed()
+        # nodes with few shingles of their own are central in their group
+        rank = F.struct(F.ceil(F.log2(1 + F.col("n") - F.col("shared"))).alias("own"), F.xxhash64("node", F.lit(r)).alias("hash"))
+        best_of = lambda c: F.min(F.when(c, F.struct(rank.alias("rank"), "node", "comp", "n")))
+        main, other = best_of(F.col("comp") == F.col("most")), best_of(F.col("comp") != F.col("most"))
+        hubs = own.groupBy("tok").agg(main.alias("main"), other.alias("other"))
+        # members of the main component ask the best other node, all others ask the best node of the main component
+        asked = own.join(hubs, "tok").withColumn("hub", F.when(F.col("comp") == F.col("most"), F.col("other")).otherwise(F.col("main")))
+        fits = (F.col("n") * 100 >= s.percent * F.col("hub.n")) & (F.col("hub.n") * 100 >= s.percent * F.col("n"))
+        votes = asked.where(fits).groupBy("comp", F.col("node").alias("a"), F.col("hub.node").alias("b")).agg(F.count("*").alias("votes"))
+        best = votes.groupBy("a").agg(F.max_by("b", F.struct("votes", "b")).alias("b"), F.max("votes").alias("votes"))
+        links = kept(overlaps(near, best.select("a", "b"), cuts, s))
+        if links.isEmpty():
+            break
+        comps = merged(comps, links)
 
     # candidates that still lie in two components: all but those between members of a shingle's main component
-    own = postings.join(comps, "node")
-    sizes = own.groupBy("tok", "comp").agg(F.count("*").alias("rows"))
-    most = sizes.groupBy("tok").agg(F.count("*").alias("comps"), F.max_by("comp", F.struct("rows", "comp")).alias("most")).where("comps > 1").select("tok", "most")
-    own = kept(own.join(most, "tok"))
-    few = own.where("comp <> most").select("tok", F.col("node").alias("a"), F.col("n").alias("n_a"), F.col("comp").alias("comp_a"), F.col("at").alias("at_a"), F.col("shared").alias("shared_a"))
-    rest = own.select("tok", F.col("node").alias("b"), F.col("n").alias("n_b"), F.col("comp").alias("comp_b"), F.col("at").alias("at_b"), F.col("shared").alias("shared_b"), "most")
-    room = F.lit(1) + F.least("at_a", "at_b") + F.least(F.col("shared_a") - F.col("at_a") - 1, F.col("shared_b") - F.col("at_b") - 1)
+    own = mixed().join(near.select("node", "bits"), "node")
+    side = lambda x: [F.col("node").alias(x), *(F.col(c).alias(f"{c}_{x}") for c in ("n", "comp", "at", "shared", "bits"))]
+    few, rest = own.where("comp <> most").select("tok", *side("a")), own.select("tok", "most", *side("b"))
+    # at the first shingle that a pair shares, both still have room for the overlap that the pair needs
+    room = F.least(F.col("shared_a") - F.col("at_a"), F.col("shared_b") - F.col("at_b"))
+    # shingles in cells of unlike parity are not shared: an upper bound of the overlap
+    unlike = sum(F.bit_count(F.get("bits_a", F.lit(i)).bitwiseXOR(F.get("bits_b", F.lit(i)))) for i in range(MAP_WORDS))
     able = (
         (F.col("comp_a") != F.col("comp_b")) & ((F.col("comp_b") == F.col("most")) | (F.col("a") < F.col("b")))
         & (room * (100 + s.percent) >= s.percent * (F.col("n_a") + F.col("n_b")))
+        & ((F.col("shared_a") + F.col("shared_b") - unlike) * (100 + s.percent) >= 2 * s.percent * (F.col("n_a") + F.col("n_b")))
     )
     pairs = few.join(rest, "tok").where(able).select("a", "b").distinct()
-    links = overlaps(near, pairs, cuts, s)
-    of = lambda side: comps.select(F.col("node").alias(side), F.col("comp").alias(f"comp_{side}"))
-    roots = components(links.join(of("a"), "a").join(of("b"), "b").select(F.col("comp_a").alias("a"), F.col("comp_b").alias("b")))
-    return comps.join(roots.withColumnRenamed("id", "comp"), "comp", "left").select("node", F.coalesce("root", "comp").alias("comp"))
+    return merged(comps, kept(overlaps(near, pairs, cuts, s)))
 
 
 def near_duplicates(docs: DataFrame, s: Settings = Settings()) -> DataFrame:
