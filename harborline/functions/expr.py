@@ -119,8 +119,8 @@ def number_rejected(text: Column | str) -> Column:
 def partner_label(text: Column | str) -> Column:
     """struct(label, indent, is_subset) of a partner cell: indent counts leading no-break spaces."""
     t = F.regexp_replace(col(text), r"^[ \t\r\n\f\x0B]+|[ \t\r\n\f\x0B]+$", "")
-    indent = F.length(F.regexp_extract(t, "^( *)", 1))
-    inner = F.trim(F.regexp_replace(F.regexp_replace(t, " ", " "), r"\s+", " "))
+    indent = F.length(F.regexp_extract(t, "^(\u00a0*)", 1))
+    inner = F.trim(F.regexp_replace(F.regexp_replace(t, "\u00a0", " "), r"\s+", " "))
     subset = F.lower(inner).startswith("of which:")
     return F.struct(F.when(subset, F.trim(F.substring(inner, 10, 1000))).otherwise(inner).alias("label"), indent.alias("indent"), subset.alias("is_subset"))
 

@@ -71,7 +71,7 @@ def source_status(log: DataFrame) -> DataFrame:
     """Last check, its result, last new data and counts of each source."""
     return log.groupBy("source").agg(
         F.max("checked_at").alias("last_checked"), F.max_by("result", F.struct("checked_at", "event_id")).alias("last_result"),
-        F.max(F.when(F.col("result") == "new_data", F.col("checked_at"))).alias("last_new_data"), F.count("*").alias("n_checks"), F.count_if("result = 'error'").alias("n_errors"),
+        F.max(F.when(F.col("result") == "new_data", F.col("checked_at"))).alias("last_new_data"), F.count("*").alias("n_checks"), F.count_if(F.col("result") == "error").alias("n_errors"),
     )
 
 

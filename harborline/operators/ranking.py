@@ -30,7 +30,7 @@ def stability_badge(pairs: DataFrame, by: str = "group_name", green: float = 0.6
 def backtest(pairs: DataFrame) -> DataFrame:
     return pairs.agg(
         F.count("*").alias("n_pairs"), F.count_if("persistent").alias("n_persistent"), F.count_if("flip").alias("n_flips"), F.count_if("shifted").alias("n_shifts"),
-        F.count_if("low_now = 1 and low_then = 0").alias("n_into_low_base"), F.count_if("low_now = 0 and low_then = 1").alias("n_out_of_low_base"),
+        F.count_if(F.expr("low_now = 1 and low_then = 0")).alias("n_into_low_base"), F.count_if(F.expr("low_now = 0 and low_then = 1")).alias("n_out_of_low_base"),
     )
 
 
