@@ -107,12 +107,12 @@ def unit_scale(unit: Column | str) -> Column:
 
 def parse_number(text: Column | str) -> Column:
     """No-break spaces and commas removed; empty or `-` is null, other text too (see number_rejected)."""
-    t = F.trim(F.regexp_replace(col(text), "[ ,]", ""))
+    t = F.trim(F.regexp_replace(col(text), "[\u00a0,]", ""))
     return F.when(t.rlike(r"^[+-]?([0-9]+\.?[0-9]*|\.[0-9]+)([eE][+-]?[0-9]+)?$"), t.cast("double"))
 
 
 def number_rejected(text: Column | str) -> Column:
-    t = F.trim(F.regexp_replace(col(text), "[ ,]", ""))
+    t = F.trim(F.regexp_replace(col(text), "[\u00a0,]", ""))
     return F.coalesce((t != "") & (t != "-") & parse_number(text).isNull(), F.lit(False))
 
 

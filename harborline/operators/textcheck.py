@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 #: What is blanked before numbers are read, and words that turn a percentage negative.
-BLANKED = [r"\b(?:19|20)\d{2}\b", r"\b\d+\s*(?:-|–)?\s*(?:months?|years?|quarters?|weeks?|days?)\b", r"\b\d{4,8}(?:%|\b(?=\s*(?:code|heading)))", r"\bEU-?\d{2}\b", r"\bchapters?\s+\d+\b"]
+BLANKED = [r"\b(?:19|20)\d{2}\b", r"\b\d+\s*(?:-|–)?\s*(?:months?|years?|quarters?|weeks?|days?)\b", r"\b(?:codes?|headings?|HS|CN8?)\s*\d{4,8}\b", r"\b\d{8}\b", r"\bEU-?\d{2}\b", r"\bchapters?\s+\d+\b"]
 DECREASES = r"\b(?:fell|fall|falls|down|drop|dropped|declin\w*|decreas\w*|lower|shrank|contract\w*)\b"
 NUMBER = re.compile(r"(?P<sign>[-+−])?(?P<cur>[€£$])?(?P<num>\d[\d,]*(?:\.\d+)?)\s*(?P<scale>bn|billion|B|mn|million|M|k|thousand)?\s*(?P<pct>%|per ?cent|pp)?")
 SCALES = {"bn": 1e9, "billion": 1e9, "B": 1e9, "mn": 1e6, "million": 1e6, "M": 1e6, "k": 1e3, "thousand": 1e3}
