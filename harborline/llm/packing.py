@@ -18,6 +18,7 @@ from __future__ import annotations
 
 import os
 import zlib
+from array import array
 from collections import defaultdict
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -36,7 +37,7 @@ class Settings:
     tokenizer: str = "word_bpe_49k.json"  # of the public vocabularies; a path with a slash is taken as it is
     length: int = 2048
     separator: int = 0
-    cached: int = 1 << 18  # words whose ids a worker keeps
+    cached: int = 1 << 20  # words whose ids a worker keeps
     sweeps: int = 4  # of coordinate descent
     least: tuple[float, ...] = (0.5, 1.0, 2.0, 4.0)  # least repeats of a pattern to be used: each is tried
 
@@ -63,6 +64,7 @@ class WordIds:
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
+        self.encode_batch = getattr(self.tokenizer, "encode_batch_fast", self.tokenizer.encode_batch)  # no offsets
         self.cached, self.known = cached, {"": b""}
 
     def __call__(self, texts: list[str]) -> list[bytes]:
@@ -74,15 +76,16 @@ class WordIds:
                     t = t.replace(c, " ")
             cut.append(t.split(" "))
         known = self.known
-        new = {w for ws in cut for w in ws if w not in known}
+        words = set().union(*cut)
+        new = words - known.keys()
         if len(known) + len(new) > self.cached:
             known = self.known = {"": b""}
-            new = {w for ws in cut for w in ws if w}
+            new = words - {""}
         # letters and the marks after them are pre-tokens of their own, and the vocabulary is lower case
         cores = {w: (c.lower() if c.isascii() else c, w[len(c) :]) for w in new if (c := w.rstrip(MARKS)).isalpha()}
         parts = list({x for w in new for x in cores.get(w, (w,)) if x not in known})
-        for w, e in zip(parts, self.tokenizer.encode_batch(parts, add_special_tokens=False), strict=True):
-            known[w] = np.array(e.ids, "<u4").tobytes()
+        for w, e in zip(parts, self.encode_batch(parts, add_special_tokens=False), strict=True):
+            known[w] = array("I", e.ids).tobytes()
         for w, (core, marks) in cores.items():
             known[w] = known[core] + known[marks]
         return [b"".join(map(known.__getitem__, ws)) for ws in cut]
