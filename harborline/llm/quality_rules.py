@@ -34,10 +34,10 @@ WINDOW, LEAST_WORDS, MOST_REPEATED = 8, 20, 30
 
 @dataclass(frozen=True)
 class Settings:
-    size: int = 4  # bytes in an n-gram
+    size: int = 3  # bytes in an n-gram
     bits: int = 16
-    alpha: float = 1.0  # added to every bucket of both multinomials
-    threshold: float = -0.15  # least mean log ratio per n-gram
+    alpha: float = 10.0  # added to every bucket of both multinomials
+    threshold: float = -0.3  # least mean log ratio per n-gram
 
 
 _SYMBOL = np.zeros(256, bool)
@@ -69,10 +69,10 @@ def count_grams(df: DataFrame, s: Settings) -> tuple[np.ndarray, np.ndarray]:
 
 
 def log_ratios(target: np.ndarray, raw_counts: np.ndarray, alpha: float) -> np.ndarray:
+    """Raw counts are scaled to the target's total before both are smoothed, so rare n-grams speak softly at any size."""
     if not target.sum():
         return np.zeros(len(target))
-    a, b = target + alpha, raw_counts + alpha
-    return np.log(a / a.sum()) - np.log(b / b.sum())
+    return np.log(target + alpha) - np.log(raw_counts * (target.sum() / raw_counts.sum()) + alpha)
 
 
 def repeated_words(hashes: np.ndarray, first: np.ndarray) -> np.ndarray:
