@@ -20,7 +20,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
-from harborline.llm.common import table
+from harborline.llm.common import held, table
 from harborline.llm.packing import vocabulary
 
 #: Fixed value: the published pattern that cuts text before byte-level merges.
@@ -147,13 +147,9 @@ class Bpe:
         return b"".join(map(self.bytes_of.__getitem__, np.frombuffer(ids, "<u4").tolist())).decode("utf-8", "replace")
 
 
-_coders: dict[tuple, Bpe] = {}
-
-
 def coder(path: str, s: Settings) -> Bpe:
-    if (path, s) not in _coders:
-        _coders[path, s] = Bpe(path, s)
-    return _coders[path, s]
+    """One for a worker process; its cache outlives the task."""
+    return held(f"bpe {path} {s}", lambda: Bpe(path, s))
 
 
 def encoded(docs: DataFrame, s: Settings = Settings()) -> DataFrame:

@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 import uuid
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -40,6 +43,25 @@ def small_or_not(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
     return F.broadcast(df) if df.count() <= rows else df
 
 
+_held: dict[str, object] = {}
+
+
+def held(name: str, make):
+    """A worker's one object that outlives a task (a vocabulary, a mapped model); another name replaces it."""
+    if name not in _held:
+        let_go()
+        _held[name] = make()
+    return _held[name]
+
+
+def let_go() -> None:
+    """Drops what a worker holds and gives free memory back to the system, as idle workers stay alive."""
+    _held.clear()
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):
+        ctypes.CDLL(None).malloc_trim(0)
+
+
 def byte_grams(offsets: np.ndarray, body: np.ndarray, size: int, bits: int) -> tuple[np.ndarray, np.ndarray]:
     """(bucket, first): buckets of all byte n-grams of each text; first[i] is where text i begins in them."""
     n = len(body)

@@ -33,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from harborline.llm.common import crc_of_id, kept, shared_dir, table
+from harborline.llm.common import crc_of_id, held, kept, shared_dir, table
 from harborline.llm.ngram_join import _planes, _unplanes
 from harborline.llm.succinct import Monotone, map_arrays, write_arrays
 from harborline.llm.textblocks import lowered, mix, pieces, words
@@ -82,16 +82,16 @@ def sequences(texts: pa.Array, at_most: int) -> Iterator[tuple[int, np.ndarray,
 
 def _word_counts(block: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, n = [], 0
-        done = lambda: (lambda u, c: pa.record_batch([pa.array(u.view(np.int64)), pa.array(c)], names=["hash", "n"]))(*np.unique(np.concatenate(held), return_counts=True))
+        texts, n = [], 0
+        done = lambda: (lambda u, c: pa.record_batch([pa.array(u.view(np.int64)), pa.array(c)], names=["hash", "n"]))(*np.unique(np.concatenate(texts), return_counts=True))
         for b in batches:
             for _, t, _ in sequences(b.column("text"), 1 << 21):
-                held.append(t)
+                texts.append(t)
                 n += len(t)
                 if n >= block:
                     yield done()
-                    held, n = [], 0
-        if held:
+                    texts, n = [], 0
+        if texts:
             yield done()
 
     return run
@@ -136,15 +136,9 @@ class Vocabulary:
         return out
 
 
-_open: dict[str, tuple] = {}
-
-
 def opened(m: Model) -> tuple[Vocabulary, list[Shard | None]]:
     """The model's files, mapped once in a worker; another model's are let go."""
-    if m.base not in _open:
-        _open.clear()
-        _open[m.base] = (Vocabulary(m), [None] * m.shards)
-    return _open[m.base]
+    return held(f"lm {m.base}", lambda: (Vocabulary(m), [None] * m.shards))
 
 
 def _trigrams(m: Model, ranges: int, s: Settings):
@@ -179,16 +173,16 @@ def _trigrams(m: Model, ranges: int, s: Settings):
         return pa.record_batch([pa.array(rows[0], pa.int32()), *(pa.array(x, pa.binary()) for x in rows[1:])], names=["part", "pair", "w", "n"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, n = [], 0
+        texts, n = [], 0
         for b in batches:
             for _, t, first in sequences(b.column("text"), 1 << 21):
-                held.append((t, first))
+                texts.append((t, first))
                 n += len(t)
                 if n >= s.block:
-                    yield flush(held)
-                    held, n = [], 0
-        if held:
-            yield flush(held)
+                    yield flush(texts)
+                    texts, n = [], 0
+        if texts:
+            yield flush(texts)
 
     return run
 

@@ -30,7 +30,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from harborline.llm.common import kept, small_or_not, table
+from harborline.llm.common import kept, let_go, small_or_not, table
 from harborline.llm.textblocks import lowered, mix, pieces, windows, words
 
 #: 64-bit words of a node's parity map of shared shingles.
@@ -41,8 +41,8 @@ MAP_WORDS = 16
 class Settings:
     size: int = 5  # words in a shingle
     percent: int = 80  # least similarity
-    block: int = 1 << 20  # shingles that a task gathers before it deals them out
-    range_size: int = 2_000_000  # shingles in a hash range, about
+    block: int = 1 << 19  # shingles that a task gathers before it deals them out
+    range_size: int = 1_000_000  # shingles in a hash range, about
     fragments: int = 8  # vertical cuts of the global order
     rounds: int = 2  # star rounds at most, before the exact one
 
@@ -66,6 +66,7 @@ def nodes(docs: DataFrame, s: Settings) -> DataFrame:
     """doc_id, n_shingles, node (null for an empty set)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        let_go()
         for b in batches:
             sets = [(len(x), node_of(x) if len(x) else None) for _, o, body in pieces(b.column("text")) for x in sets_of(o, body, s.size)]
             yield pa.record_batch([b.column("doc_id"), pa.array([x[0] for x in sets], pa.int64()), pa.array([x[1] for x in sets], pa.int64())], names=["doc_id", "n_shingles", "node"])
@@ -116,6 +117,8 @@ def _deal(s: Settings, bits: int):
                         block, held, n = block + 1, [], 0
         if held:
             yield flush(block, held)
+        held.clear()
+        let_go()
 
     return run
 
@@ -145,6 +148,8 @@ def _shared(t: pa.Table) -> pa.Table:
             if a < b:
                 for k, v in (("block", r["block"]), ("meta", False), ("docs", docs[chosen[a:b]].tobytes()), ("toks", key[a:b].tobytes())):
                     out[k].append(v)
+        del toks, docs, all_toks, order, ranked, chosen, key
+    let_go()
     return pa.table({"block": pa.array(out["block"], pa.int64()), "meta": pa.array(out["meta"], pa.bool_()), "docs": pa.array(out["docs"], pa.binary()), "toks": pa.array(out["toks"], pa.binary())})
 
 

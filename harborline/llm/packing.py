@@ -29,7 +29,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from harborline.llm.common import kept, table
+from harborline.llm.common import held, kept, table
 
 
 @dataclass(frozen=True)
@@ -37,7 +37,7 @@ class Settings:
     tokenizer: str = "word_bpe_49k.json"  # of the public vocabularies; a path with a slash is taken as it is
     length: int = 2048
     separator: int = 0
-    cached: int = 1 << 20  # words whose ids a worker keeps
+    cached: int = 1 << 19  # words whose ids a worker keeps, in two generations
     sweeps: int = 4  # of coordinate descent
     least: tuple[float, ...] = (0.5, 1.0, 2.0, 4.0)  # least repeats of a pattern to be used: each is tried
 
@@ -65,7 +65,7 @@ class WordIds:
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
         self.encode_batch = getattr(self.tokenizer, "encode_batch_fast", self.tokenizer.encode_batch)  # no offsets
-        self.cached, self.known = cached, {"": b""}
+        self.half, self.known, self.old = cached // 2, {"": b""}, {}
 
     def __call__(self, texts: list[str]) -> list[bytes]:
         """The ids of each text as little-endian unsigned 32-bit integers."""
@@ -78,9 +78,13 @@ class WordIds:
         known = self.known
         words = set().union(*cut)
         new = words - known.keys()
-        if len(known) + len(new) > self.cached:
-            known = self.known = {"": b""}
+        if len(known) + len(new) > self.half:  # words that are met again move to the new generation
+            self.old, known = known, {"": b""}
+            self.known = known
             new = words - {""}
+        for w in new & self.old.keys():
+            known[w] = self.old[w]
+        new -= known.keys()
         # letters and the marks after them are pre-tokens of their own, and the vocabulary is lower case
         cores = {w: (c.lower() if c.isascii() else c, w[len(c) :]) for w in new if (c := w.rstrip(MARKS)).isalpha()}
         parts = list({x for w in new for x in cores.get(w, (w,)) if x not in known})
@@ -91,15 +95,9 @@ class WordIds:
         return [b"".join(map(known.__getitem__, ws)) for ws in cut]
 
 
-_encoders: dict[tuple, WordIds] = {}
-
-
 def encoder(path: str, cached: int) -> WordIds:
     """One for a worker process; its cache outlives the task."""
-    key = (path, cached)
-    if key not in _encoders:
-        _encoders[key] = WordIds(path, cached)
-    return _encoders[key]
+    return held(f"words {path} {cached}", lambda: WordIds(path, cached))
 
 
 def _batches(texts: list[str | None], chars: int = 1 << 20) -> Iterator[tuple[int, list[str]]]:

@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from harborline.llm.common import byte_grams, crc_of_id, table
+from harborline.llm.common import byte_grams, crc_of_id, let_go, table
 from harborline.llm.textblocks import pieces
 
 
@@ -62,6 +62,7 @@ def indicators(offsets: np.ndarray, body: np.ndarray, s: Settings) -> Iterator[t
 
 def _features(s: Settings):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        let_go()
         for b in batches:
             found = [x.astype(np.int32).tobytes() for _, o, body in pieces(b.column("text")) for _, x in indicators(o, body, s)]
             yield pa.record_batch([b.column("label"), b.column("order"), pa.array(found, pa.binary())], names=["label", "order", "buckets"])
@@ -150,6 +151,7 @@ def score_texts(df: DataFrame, model: Model, s: Settings = Settings()) -> DataFr
     shared = spark.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        let_go()
         m = shared.value
         for b in batches:
             out = np.empty(b.num_rows)
@@ -166,6 +168,7 @@ def filter_texts(df: DataFrame, model: Model, s: Settings = Settings()) -> DataF
     shared = df.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        let_go()
         m = shared.value
         neutral = not m.weights.any()
         for b in batches:

@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from harborline.llm.common import byte_grams, small_or_not, table
+from harborline.llm.common import byte_grams, let_go, small_or_not, table
 from harborline.llm.textblocks import doc_of, pieces, windows, words
 
 #: Fixed values of the base rules.
@@ -49,6 +49,7 @@ def count_grams(df: DataFrame, s: Settings) -> tuple[np.ndarray, np.ndarray]:
     """(target, raw) counts of each bucket over all whole texts; df: text, trusted."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        let_go()
         both = np.zeros((2, 1 << s.bits), np.int64)
         for b in batches:
             trusted = b.column("trusted").to_numpy(zero_copy_only=False).astype(bool)
@@ -112,6 +113,7 @@ def judge(df: DataFrame, ratios: np.ndarray, s: Settings = Settings()) -> DataFr
         schema = schema.add(n, t)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        let_go()
         log_ratio = shared.value
         for b in batches:
             n = b.num_rows
@@ -150,6 +152,7 @@ def filter_texts(df: DataFrame, ratios: np.ndarray, s: Settings = Settings()) ->
     shared = df.sparkSession.sparkContext.broadcast(ratios)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        let_go()
         for b in batches:
             good = np.zeros(b.num_rows, bool)
             for row, o, body in pieces(b.column("text")):

@@ -18,7 +18,7 @@ import pyarrow as pa
 
 U64 = np.uint64
 #: Bytes of text that are hashed in one numpy pass; bounds the memory of a pass.
-PIECE_BYTES = 1 << 21
+PIECE_BYTES = 1 << 19
 #: Longer words are hashed by blake2b instead of the polynomial.
 LONG_WORD = 256
 
