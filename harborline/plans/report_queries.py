@@ -145,11 +145,15 @@ def b12(spark, sf):
 
 @query("w24_annual_from_ytd", duck("SELECT label, flow, CAST(month_idx // 12 AS INT) AS year, round(SUM(value), 2) AS annual, MAX(month_idx) % 12 <> 11 AS partial FROM monthly WHERE value IS NOT NULL GROUP BY 1, 2, 3", "exports", "fx_rates", monthly=MONTHLY))
 def w24(spark, sf):
+    return annual(spark, sf).select("label", "flow", "year", F.round("annual", 2).alias("annual"), "partial")
+
+
+def annual(spark, sf):
+    """The year's value of each label and flow, read from its cumulative series."""
     e = R.latest_by(frame(spark, sf, "exports").where("currency = 'CNY'"), ["label", "flow", "month_idx"], F.desc("version_seen"))
     v = A.to_eur(e, frame(spark, sf, "fx_rates")).where("eur is not null")
     w = Window.partitionBy("label", "flow", F.floor(F.col("month_idx") / 12)).orderBy("month_idx")
-    ytd = v.withColumn("ytd", F.sum("eur").over(w))
-    return S.annual_from_ytd(ytd, ["label", "flow"], "ytd").select("label", "flow", "year", F.round("annual", 2).alias("annual"), "partial")
+    return S.annual_from_ytd(v.withColumn("ytd", F.sum("eur").over(w)), ["label", "flow"], "ytd")
 
 
 # ---- ledger -----------------------------------------------------------------------------------
