@@ -256,4 +256,4 @@ def packed(docs: DataFrame, s: Settings = Settings()) -> DataFrame:
 
 
 def op5_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return packed(table(spark, sf_dir, "documents"))
+    return packed(table(spark, sf_dir, "documents"), Settings(cached=1 << 21))  # a map-only job has memory to spare
