@@ -47,11 +47,11 @@ NONE = np.uint32(0xFFFFFFFF)  # no such word
 class Settings:
     discount: float = 0.75
     least: int = 2  # count of a bigram or trigram that has a node of its own
-    block: int = 2_000_000  # tokens that a task gathers before it deals n-grams out
-    range_size: int = 2_000_000  # tokens for each range that merges counts
+    block: int = 1_000_000  # tokens that a task gathers before it deals n-grams out
+    range_size: int = 1_000_000  # tokens for each range that merges counts
     shard_words: int = 4_000_000  # words in a file of level 1
     shard_tokens: int = 1 << 24  # training tokens for each file of levels 2 and 3
-    piece: int = 1 << 22  # bytes of text scored at once
+    piece: int = 1 << 21  # bytes of text scored at once
 
 
 @dataclass(frozen=True)
