@@ -6,7 +6,7 @@ training texts.  Probabilities are interpolated absolute discounting:
     P(w | u v) = a(u v w) + g(u v) * (a(v w) + g(v) * P(w)),   P(w) = (c(w) + 1) / (N + V + 1)
 
 with a = (count - D) / count of the context for n-grams seen at least `least` times, and g the mass
-that is left.  a and g are quantised to 8 bits.
+that is left.  The query gives every n-gram a node (`least` 1).  a and g are quantised to 8 bits.
 
 The trie: level 1 is the sorted word hashes (a word's id is its place); levels 2 and 3 hold, for each
 context, its successors' ids, all as Elias-Fano sequences with monotone pointers to the ranges of the contexts.
@@ -15,7 +15,7 @@ range's base.  Levels are cut by word id into files in the shared folder, which
 
 Scale: counts are merged by hash range, each task seeing one range; a level file holds the n-grams of a range
 of first words.  Memory of a task does not grow with the input, the files do (a few bytes for
-each n-gram that was seen twice).  Ids are 32-bit: at most 4.29e9 distinct words.
+each n-gram that has a node).  Ids are 32-bit: at most 4.29e9 distinct words.
 
 Edge cases: null and empty texts are their end alone; without training rows V = N = 0 and every token has
 probability 1; a null id counts as the empty id (crc32 0: training); repeated rows count and score
@@ -388,5 +388,6 @@ def score_texts(docs: DataFrame, m: Model, s: Settings = Settings()) -> DataFram
 def op2_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     held = F.pmod(crc_of_id(F.col("doc_id")), F.lit(7)) == 2
-    m = fit(docs.where(~held))
-    return score_texts(docs, m).select("doc_id", held.alias("held_out"), "n_tokens", "n_known", F.lit(m.tokens).cast("long").alias("train_tokens"), "base_score", "score")
+    s = Settings(least=1)
+    m = fit(docs.where(~held), s)
+    return score_texts(docs, m, s).select("doc_id", held.alias("held_out"), "n_tokens", "n_known", F.lit(m.tokens).cast("long").alias("train_tokens"), "base_score", "score")
