@@ -58,8 +58,8 @@ def r11(spark, sf):
 
 @query("r12_biggest_product_mover")
 def r12(spark, sf):
-    heads = frame(spark, sf, "facts").where("flow = 1 and month_idx < 23986").withColumn("product_nc", F.concat(F.substring("product_nc", 1, 4), F.lit("0000")))
-    movers = A.product_mover(heads.groupBy("product_nc", "month_idx").agg(F.sum("value_eur").cast("double").alias("value")), LIMITS)
+    imports = frame(spark, sf, "facts").where("flow = 1")
+    movers = A.product_mover(imports.groupBy("product_nc", "month_idx").agg(F.sum("value_eur").cast("double").alias("value")), LIMITS)
     parents = R.group_codes(movers, frame(spark, sf, "group_patterns"))
     return C.biggest_product_mover(movers, parents, ["beta", "epsilon"], ["alpha"]).select("product_nc", r6("yoy0", "yoy"), "surfaced", r6("score"))
 

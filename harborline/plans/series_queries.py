@@ -217,8 +217,7 @@ def w1(spark, sf):
         FROM (SELECT *, (SELECT MAX(month_idx) FROM codes) - month_idx AS back FROM codes) a WHERE back < 26 GROUP BY product_nc) b) c) d""", "facts",
     codes="SELECT substr(product_nc, 1, 4) AS product_nc, month_idx, CAST(SUM(value_eur) AS DOUBLE) AS value FROM facts WHERE flow = 1 AND month_idx < 23986 GROUP BY 1, 2"))
 def b4(spark, sf):
-    heads = frame(spark, sf, "facts").where("flow = 1 and month_idx < 23986").withColumn("product_nc", F.substring("product_nc", 1, 4))
-    codes = heads.groupBy("product_nc", "month_idx").agg(F.sum("value_eur").cast("double").alias("value"))
+    codes = frame(spark, sf, "facts").where("flow = 1").groupBy("product_nc", "month_idx").agg(F.sum("value_eur").cast("double").alias("value"))
     return A.product_mover(codes, LIMITS).select("product_nc", r6("c0", "current"), r6("p0", "prior"), r6("yoy0", "yoy"), "verdict")
 
 
