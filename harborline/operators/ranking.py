@@ -82,15 +82,41 @@ def section_order(rows: DataFrame, section: str, value: str, last: str = "9") ->
 
 
 def interest_shortlist(branches: dict[str, tuple[DataFrame, Column, int]], headline: DataFrame, cap: int = 8) -> DataFrame:
-    """The best of each branch (subject, strength) by an order, less headline subjects; more kinds first, then strength."""
+    """The best of each branch (subject, strength) by an order, less headline subjects; more kinds first, then strength.
+
+    strength belongs to the subject: it is the same in each branch that has the subject, and counts once.
+    """
     parts = [df.orderBy(order, "subject").limit(k).select("subject", "strength", F.lit(name).alias("kind")) for name, (df, order, k) in branches.items()]
     every = parts[0]
     for p in parts[1:]:
         every = every.unionByName(p)
-    s = every.groupBy("subject").agg(F.count_distinct("kind").alias("n_kinds"), F.sum("strength").alias("strength"), F.array_join(F.array_sort(F.collect_set("kind")), ",").alias("kinds"))
+    s = every.groupBy("subject").agg(F.count_distinct("kind").alias("n_kinds"), F.max("strength").alias("strength"), F.array_join(F.array_sort(F.collect_set("kind")), ",").alias("kinds"))
     return s.join(R.lookup(headline), "subject", "left_anti").orderBy(F.desc("n_kinds"), F.desc("strength"), "subject").limit(cap)
 
 
+FLIPS = ("inverse_u_peak", "failed_recovery")
+
+
+def shortlist_branches(yoy_rows: DataFrame, shares: DataFrame, shapes: DataFrame, zs: DataFrame, dependency: float = 0.85) -> dict[str, tuple[DataFrame, Column, int]]:
+    """Branches of the shortlist: movers, dependency, shape flips (by group) and mirror gaps (by partner, without blocs).
+
+    yoy_rows: the latest of each group; shares: latest value_share of each group; shapes: any scope and flow.
+    """
+    yoy = yoy_rows.groupBy("group_name").agg(F.max(F.abs("value_yoy")).alias("size"))
+    flips = shapes.where(F.col("shape").isin(*FLIPS)).select("group_name", F.lit(True).alias("flips")).distinct()
+    groups = yoy.join(shares.select("group_name", "value_share"), "group_name", "full").join(flips, "group_name", "full")
+    part = lambda c: F.coalesce(c, F.lit(0.0))
+    groups = groups.withColumn("strength", part("size") + part("value_share")).withColumnRenamed("group_name", "subject")
+    gaps = zs.where(~F.col("partner").startswith("BLOC:")).select(F.col("partner").alias("subject"), (F.abs("z") / 2).alias("strength"))
+    by_size = F.desc(part("size"))
+    return {
+        "mover": (groups.where("size is not null"), by_size, 3),
+        "dependency": (groups.where(F.col("value_share") >= dependency), F.desc("value_share"), 3),
+        "flip": (groups.where("flips"), by_size, 2),
+        "mirror": (R.latest_by(gaps, ["subject"], F.desc("strength")), F.desc("strength"), 2),
+    }
+
+
 def carry_forward(current: DataFrame, previous: DataFrame, note: str = "note") -> DataFrame:
     """Annotations of the same finding and period fill empty ones and never replace others."""
     p = previous.select("finding_id", F.col("month_idx"), F.col(note).alias("_note"))

@@ -14,7 +14,7 @@ from harborline.operators import ranking as K
 from harborline.operators import relational as R
 from harborline.operators import series as S
 from harborline.operators import textcheck as T
-from harborline.plans.series_queries import IN_ENV, KEYS, LIMITS, r6, series_of, with_series, yoy_of
+from harborline.plans.series_queries import IN_ENV, KEYS, LIMITS, r6, series_of, shares_of, with_series, yoy_of
 from harborline.registry import query
 from harborline.sources import readers, sinks
 
@@ -287,10 +287,11 @@ def r20(spark, sf):
 
 @query("r23_interest_shortlist")
 def r23(spark, sf):
-    y = R.at_latest_anchor(yoy_of(spark, sf).where("scope = 'eu_27'"), []).withColumnRenamed("group_name", "subject")
-    z = A.mirror_zscore(gaps_of(spark, sf)).select(F.col("partner").alias("subject"), (F.abs("z") / 2).alias("strength"))
-    movers = y.groupBy("subject").agg(F.max(F.abs("value_yoy")).alias("strength"))
-    out = K.interest_shortlist({"mover": (movers, F.desc("strength"), 3), "mirror": (R.latest_by(z, ["subject"], F.desc("strength")), F.desc("strength"), 2)}, movers.where("subject = 'alpha'").select("subject"))
+    every = yoy_of(spark, sf)
+    y = R.at_latest_anchor(every.where("scope = 'eu_27'"), [])
+    shares = R.latest_by(shares_of(spark, sf), ["group_name"], F.desc("month_idx"))
+    branches = K.shortlist_branches(y, shares, A.trajectory(every, limits=LIMITS), A.mirror_zscore(gaps_of(spark, sf)))
+    out = K.interest_shortlist(branches, y.where("group_name = 'alpha'").select(F.col("group_name").alias("subject")).distinct())
     return out.select("subject", "n_kinds", r6("strength"), "kinds")
 
 

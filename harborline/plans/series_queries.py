@@ -260,13 +260,17 @@ def b8(spark, sf):
     return A.share_of(num, external(spark, sf, ["month_idx"]), ["one"], []).select("month_idx", *(r6(c) for c in ("value_share", "kg_share", "difference_pp", "score")))
 
 
-@query("b9_group_share", duck(SHARE.format(k="group_name,", p="PARTITION BY group_name"), "facts", "group_patterns", code_groups=CODE_GROUPS, den=DEN,
-    num=f"SELECT group_name, month_idx, CAST(SUM(value_eur) AS DOUBLE) AS value, CAST(COALESCE(SUM(quantity_kg), 0) AS DOUBLE) AS kg FROM facts JOIN code_groups USING (product_nc) WHERE flow = 1 AND {IN_ENV} GROUP BY group_name, month_idx"))
-def b9(spark, sf):
+def shares_of(spark, sf):
     facts = frame(spark, sf, "facts").where((F.col("flow") == 1) & X.in_envelope("partner", ENVELOPE))
     codes = facts.groupBy("product_nc", "month_idx").agg(F.sum("value_eur").alias("value_eur"), F.sum("quantity_kg").alias("quantity_kg"))
     num = S.monthly_totals(R.assign_groups(codes, frame(spark, sf, "group_patterns")), ["group_name"])
-    return A.share_of(num, external(spark, sf, ["month_idx"]), ["group_name"], []).select("group_name", "month_idx", *(r6(c) for c in ("value_share", "kg_share", "difference_pp", "score")))
+    return A.share_of(num, external(spark, sf, ["month_idx"]), ["group_name"], [])
+
+
+@query("b9_group_share", duck(SHARE.format(k="group_name,", p="PARTITION BY group_name"), "facts", "group_patterns", code_groups=CODE_GROUPS, den=DEN,
+    num=f"SELECT group_name, month_idx, CAST(SUM(value_eur) AS DOUBLE) AS value, CAST(COALESCE(SUM(quantity_kg), 0) AS DOUBLE) AS kg FROM facts JOIN code_groups USING (product_nc) WHERE flow = 1 AND {IN_ENV} GROUP BY group_name, month_idx"))
+def b9(spark, sf):
+    return shares_of(spark, sf).select("group_name", "month_idx", *(r6(c) for c in ("value_share", "kg_share", "difference_pp", "score")))
 
 
 @query("b14_trade_map", duck("""SELECT COALESCE(d.division, 'unclassified') AS division, round(CAST(SUM(c.v) AS DOUBLE), 6) AS value, round(CAST(SUM(c.v) AS DOUBLE) / (SELECT CAST(SUM(value_eur) AS DOUBLE) FROM facts WHERE flow = 1), 6) AS share,
