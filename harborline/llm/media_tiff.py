@@ -194,12 +194,12 @@ def write_tiff(images: list[np.ndarray], compression: int, predictor: int = 1, s
     return bytes(out)
 
 
-def read_tiff(data: bytes) -> Iterator[Page]:
-    """The pages in the order of the directory chain; ValueError for what can't be read."""
+def directories(data: bytes) -> Iterator[dict[int, list[int]]]:
+    """The fields of each page along the directory chain; ValueError for what can't be read."""
     order = {b"II": "<", b"MM": ">"}.get(data[:2])
     if order is None or len(data) < 8 or struct.unpack(order + "H", data[2:4])[0] != 42:
         raise ValueError("not a TIFF")
-    at, number, seen = struct.unpack(order + "I", data[4:8])[0], 0, set()
+    at, seen = struct.unpack(order + "I", data[4:8])[0], set()
     while at:
         if at in seen or at + 2 > len(data):
             raise ValueError("broken chain of directories")
@@ -216,6 +216,12 @@ def read_tiff(data: bytes) -> Iterator[Page]:
                 place = struct.unpack_from(order + "I", data, place)[0]
             fields[tag] = list(struct.unpack_from(f"{order}{count}{ {1: 'B', 3: 'H', 4: 'I'}[kind] }", data, place))
         at = struct.unpack_from(order + "I", data, at + 2 + 12 * n)[0]
+        yield fields
+
+
+def read_tiff(data: bytes) -> Iterator[Page]:
+    """The pages in the order of the directory chain; ValueError for what can't be read."""
+    for number, fields in enumerate(directories(data)):
         one = lambda tag, default=None: fields.get(tag, [default])[0]  # noqa: E731, B023
         w, h, samples, compression, predictor = one(WIDTH), one(HEIGHT), one(SAMPLES, 1), one(COMPRESSION, NONE), one(PREDICTOR, 1)
         if not w or not h or set(fields.get(BITS, [1])) != {8} or compression not in _UNPACK or predictor not in (1, 2):
@@ -234,7 +240,6 @@ def read_tiff(data: bytes) -> Iterator[Page]:
                 part = np.cumsum(part, axis=1, dtype=np.uint8)
             pixels[y : y + rows, x : x + pw * samples] = part.reshape(rows, -1)
         yield Page(number, compression, predictor, pixels[:h, : w * samples])
-        number += 1
 
 
 def pages(df: DataFrame, key: str = "doc_id", media: str = "media") -> DataFrame:
@@ -282,14 +287,29 @@ def stored(docs: DataFrame, s: Settings = Settings()) -> DataFrame:
     return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n_bytes long, media binary")
 
 
-def feature_of(images: list[np.ndarray]) -> str:
-    """Pages, rows, mean sample, and a 64-bit hash of block means against their mean (of the first page)."""
-    first = images[0]
-    rows = np.array_split(np.arange(len(first)), min(8, len(first)))
-    means = np.array([first[r[0] : r[-1] + 1].reshape(len(r), 8, -1).mean(axis=(0, 2)) for r in rows])
+def described(data: bytes) -> tuple[int, str, int, str, int]:
+    """Payload bytes, SHA-256, CRC-32 of the last 64 bytes, feature and pages of a TIFF, a page at a time.
+
+    The feature: pages, rows, mean sample, and a 64-bit hash of block means against their mean, over the rows of all pages.
+    """
+    rows = sum(fields[HEIGHT][0] for fields in directories(data))
+    blocks = np.array_split(np.arange(rows), min(8, rows))
+    edges = [int(b[0]) for b in blocks] + [rows]
+    sums, samples = np.zeros((len(blocks), 8), np.int64), np.zeros((len(blocks), 1), np.int64)
+    sha, size, tail, at, n = hashlib.sha256(), 0, b"", 0, 0
+    for page in read_tiff(data):
+        x, body = page.pixels, page.pixels.tobytes()
+        sha.update(body)
+        size, tail, n = size + len(body), (tail + body[-64:])[-64:], n + 1
+        for k, (a, b) in enumerate(zip(edges[:-1], edges[1:], strict=True)):
+            part = x[max(a - at, 0) : max(b - at, 0)]
+            if len(part):
+                sums[k] += part.reshape(len(part), 8, -1).sum(axis=(0, 2), dtype=np.int64)
+                samples[k] += part.size // 8
+        at += len(x)
+    means = sums / samples
     bits = np.resize(means > means.mean(), 64)
-    total = sum(int(x.sum()) for x in images)
-    return f"{len(images)}:{sum(map(len, images))}:{total / sum(x.size for x in images):.4f}:{np.packbits(bits).tobytes().hex()}"
+    return size, sha.hexdigest(), zlib.crc32(tail), f"{n}:{rows}:{int(sums.sum()) / size:.4f}:{np.packbits(bits).tobytes().hex()}", n
 
 
 def digests(media: DataFrame) -> DataFrame:
@@ -301,9 +321,8 @@ def digests(media: DataFrame) -> DataFrame:
         for b in batches:
             rows = []
             for k, n, data in zip(*(b.column(c).to_pylist() for c in ("doc_id", "n_bytes", "media")), strict=True):
-                images = [p.pixels for p in read_tiff(data)]
-                body = b"".join(x.tobytes() for x in images)
-                rows.append((k, n, len(body), hashlib.sha256(body).hexdigest(), zlib.crc32(body[-64:]), len(data), hashlib.sha256(data).hexdigest(), feature_of(images), len(images)))
+                size, sha, tail, feature, n_pages = described(data)
+                rows.append((k, n, size, sha, tail, len(data), hashlib.sha256(data).hexdigest(), feature, n_pages))
             cols = list(zip(*rows, strict=True)) or [()] * len(names)
             yield pa.record_batch([pa.array(c, t) for c, t in zip(cols, types, strict=True)], names=names)
 
