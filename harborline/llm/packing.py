@@ -1,7 +1,7 @@
 """Best-fit packing of tokenised documents by patterns fitted with non-negative least squares.
 
 1. Every whole text becomes ids (plus one separator) and pieces of at most `length` tokens; only
-   longer documents are cut.
+   longer documents are cut.  A task gives each distinct unit of its texts to the tokenizer once (word_ids).
 2. The histogram of piece lengths (at most `length` rows, whatever the input) goes to the driver.  Patterns
    of two or three lengths that fill a sequence exactly are enumerated, repeat counts are fitted to
    the histogram by non-negative least squares (coordinate descent), rounded to whole repeats, and
@@ -16,9 +16,7 @@ an empty result.
 
 from __future__ import annotations
 
-import os
 import zlib
-from array import array
 from collections import defaultdict
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -29,7 +27,8 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from harborline.llm.common import held, kept, table
+from harborline.llm.common import kept, table
+from harborline.llm.word_ids import encoder, vocabulary
 
 
 @dataclass(frozen=True)
@@ -37,106 +36,41 @@ class Settings:
     tokenizer: str = "word_bpe_49k.json"  # of the public vocabularies; a path with a slash is taken as it is
     length: int = 2048
     separator: int = 0
-    cached: int = 1 << 19  # words whose ids a worker keeps, in two generations
+    cached: int = 1 << 19  # units of text whose ids a worker keeps
     sweeps: int = 4  # of coordinate descent
     least: tuple[float, ...] = (0.5, 1.0, 2.0, 4.0)  # least repeats of a pattern to be used: each is tried
 
 
-#: ASCII marks that may follow a word.
-MARKS = "!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"
-
-
-def vocabulary(name: str) -> str:
-    if "/" in name:
-        return name
-    import public_tokenizers
-
-    return public_tokenizers.path(name)
-
-
-class WordIds:
-    """Ids of whole texts, a white-space word at a time: the tokenizer never looks across white space."""
-
-    def __init__(self, path: str, cached: int):
-        os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        from tokenizers import Tokenizer
-
-        self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.no_truncation()
-        self.tokenizer.no_padding()
-        self.encode_batch = getattr(self.tokenizer, "encode_batch_fast", self.tokenizer.encode_batch)  # no offsets
-        self.half, self.known, self.old = cached // 2, {"": b""}, {}
-
-    def __call__(self, texts: list[str]) -> list[bytes]:
-        """The ids of each text as little-endian unsigned 32-bit integers."""
-        cut = []
-        for t in texts:
-            for c in "\t\n\x0b\x0c\r":
-                if c in t:
-                    t = t.replace(c, " ")
-            cut.append(t.split(" "))
-        known = self.known
-        words = set().union(*cut)
-        new = words - known.keys()
-        if len(known) + len(new) > self.half:  # words that are met again move to the new generation
-            self.old, known = known, {"": b""}
-            self.known = known
-            new = words - {""}
-        for w in new & self.old.keys():
-            known[w] = self.old[w]
-        new -= known.keys()
-        # letters and the marks after them are pre-tokens of their own, and the vocabulary is lower case
-        cores = {w: (c.lower() if c.isascii() else c, w[len(c) :]) for w in new if (c := w.rstrip(MARKS)).isalpha()}
-        parts = list({x for w in new for x in cores.get(w, (w,)) if x not in known})
-        for w, e in zip(parts, self.encode_batch(parts, add_special_tokens=False), strict=True):
-            known[w] = array("I", e.ids).tobytes()
-        for w, (core, marks) in cores.items():
-            known[w] = known[core] + known[marks]
-        return [b"".join(map(known.__getitem__, ws)) for ws in cut]
-
-
-def encoder(path: str, cached: int) -> WordIds:
-    """One for a worker process; its cache outlives the task."""
-    return held(f"words {path} {cached}", lambda: WordIds(path, cached))
-
-
-def _batches(texts: list[str | None], chars: int = 1 << 20) -> Iterator[tuple[int, list[str]]]:
-    at, held, n = 0, [], 0
-    for i, t in enumerate(texts):
-        held.append(t or "")
-        n += len(held[-1])
-        if n >= chars:
-            yield at, held
-            at, held, n = i + 1, [], 0
-    if held:
-        yield at, held
-
-
 def pieces_of(docs: DataFrame, s: Settings) -> DataFrame:
     """doc_id, piece, start, length, ids_crc32, part (task), rank (among its lengths in the task)."""
-    path = vocabulary(s.tokenizer)
+    path, kind = vocabulary(s.tokenizer), docs.schema["doc_id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        part, seen, encode = TaskContext.get().partitionId(), [0] * (s.length + 1), encoder(path, s.cached)
-        end, size = int(s.separator).to_bytes(4, "little"), 4 * s.length
+        part, seen, encode = TaskContext.get().partitionId(), np.zeros(s.length + 1, np.int64), encoder(path, s.cached)
         for b in batches:
-            ids, texts = b.column("doc_id").to_pylist(), b.column("text").to_pylist()
-            out: list[list] = [[], [], [], [], [], []]
-            for at, some in _batches(texts):
-                for doc, tokens in zip(ids[at : at + len(some)], encode(some), strict=True):
-                    tokens += end
-                    for k, a in enumerate(range(0, len(tokens), size)):
-                        own = tokens[a : a + size]
-                        n = len(own) // 4
-                        for col, v in zip(out, (doc, k, a // 4, n, zlib.crc32(own), seen[n]), strict=True):
-                            col.append(v)
-                        seen[n] += 1
-            yield pa.record_batch(
-                [pa.array(out[0], pa.int64()), pa.array(out[1], pa.int32()), *(pa.array(x, pa.int64()) for x in out[2:]), pa.array([part] * len(out[0]), pa.int32())],
-                names=["doc_id", "piece", "start", "length", "ids_crc32", "rank", "part"],
-            )
-
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, piece int, start long, length long, ids_crc32 long, rank long, part int")
+            for row, ids, begin in encode(b.column("text"), s.separator):
+                sizes = np.diff(begin)
+                n = -(-sizes // s.length)
+                doc = np.repeat(np.arange(len(n)), n)
+                piece = np.arange(len(doc)) - np.repeat(np.cumsum(n) - n, n)
+                start = piece * s.length
+                length = np.minimum(sizes[doc] - start, s.length)
+                flat, at = memoryview(ids.astype("<u4", copy=False)).cast("B"), 4 * (begin[doc] + start)
+                crc = [zlib.crc32(flat[x:y]) for x, y in zip(at.tolist(), (at + 4 * length).tolist(), strict=True)]
+                order = np.argsort(length, kind="stable")
+                ranked = length[order]
+                new = np.flatnonzero(np.append(True, ranked[1:] != ranked[:-1]))
+                count = np.diff(np.append(new, len(ranked)))
+                rank = np.empty(len(ranked), np.int64)
+                rank[order] = np.arange(len(ranked)) - np.repeat(new - seen[ranked[new]], count)
+                seen[ranked[new]] += count
+                yield pa.record_batch(
+                    [b.column("doc_id").take(pa.array(row + doc)), pa.array(piece.astype(np.int32)), pa.array(start), pa.array(length), pa.array(crc, pa.int64()), pa.array(rank),
+                     pa.array(np.full(len(doc), part, np.int32))],
+                    names=["doc_id", "piece", "start", "length", "ids_crc32", "rank", "part"],
+                )
+
+    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, piece int, start long, length long, ids_crc32 long, rank long, part int")
 
 
 def patterns(lengths: list[int], full: int) -> list[tuple[int, ...]]:
@@ -252,8 +186,9 @@ def packed(docs: DataFrame, s: Settings = Settings()) -> DataFrame:
             cols = [b.column(n) for n in ("doc_id", "piece", "start", "length", "ids_crc32")]
             yield pa.record_batch([*cols, pa.array(p[i, 2] + rank - p[i, 1]), pa.array(p[i, 3])], names=["doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset"])
 
-    return rows.join(before, ["part", "length"]).mapInArrow(place, "doc_id long, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long")
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    return rows.join(before, ["part", "length"]).mapInArrow(place, f"doc_id {kind}, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long")
 
 
 def op5_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return packed(table(spark, sf_dir, "documents"), Settings(cached=1 << 21))  # a map-only job has memory to spare
+    return packed(table(spark, sf_dir, "documents"))

@@ -80,16 +80,13 @@ def lowered(body: np.ndarray) -> np.ndarray:
     return _LOWER[body]
 
 
-def words(offsets: np.ndarray, body: np.ndarray) -> Words:
-    n = len(body)
-    solid = ~_SPACE[body] if n else np.zeros(0, bool)
-    cut = np.zeros(n + 1, bool)
-    cut[offsets] = True
-    begins = solid.copy()
-    begins[1:] &= ~solid[:-1] | cut[1:n]
-    stops = solid.copy()
-    stops[:-1] &= ~solid[1:] | cut[1:n]
-    starts, ends = np.flatnonzero(begins), np.flatnonzero(stops) + 1
+def solid(body: np.ndarray) -> np.ndarray:
+    """Which bytes are no white space."""
+    return ~_SPACE[body] if len(body) else np.zeros(0, bool)
+
+
+def hashes_of(body: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """64-bit hashes of the ascending stretches [starts[i], ends[i]) of body."""
     out = np.empty(len(starts), U64)
     at = 0
     while at < len(starts):
@@ -106,7 +103,20 @@ def words(offsets: np.ndarray, body: np.ndarray) -> Words:
         at = upto
     for i in np.flatnonzero(ends - starts > LONG_WORD):
         out[i] = int.from_bytes(hashlib.blake2b(body[starts[i] : ends[i]].tobytes(), digest_size=8).digest(), "little")
-    return Words(out, np.searchsorted(starts, offsets).astype(np.int64), starts, ends)
+    return out
+
+
+def words(offsets: np.ndarray, body: np.ndarray) -> Words:
+    n = len(body)
+    full = solid(body)
+    cut = np.zeros(n + 1, bool)
+    cut[offsets] = True
+    begins = full.copy()
+    begins[1:] &= ~full[:-1] | cut[1:n]
+    stops = full.copy()
+    stops[:-1] &= ~full[1:] | cut[1:n]
+    starts, ends = np.flatnonzero(begins), np.flatnonzero(stops) + 1
+    return Words(hashes_of(body, starts, ends), np.searchsorted(starts, offsets).astype(np.int64), starts, ends)
 
 
 def doc_of(first: np.ndarray) -> np.ndarray:
