@@ -2,8 +2,10 @@
 
 1. Every text becomes its set of 5-word shingles (64-bit hashes).  Texts with equal sets form one node;
    one text of each node goes on.
-2. Shingles are dealt by hash range.  Each range counts in how many nodes a shingle occurs and sends
-   back only the shared ones; the global order is (frequency, hash), rarest first.
+2. Shingles are dealt by hash range.  Each range counts in how many texts a shingle occurs and sends
+   back only the shared ones; the global order is (class of frequency, hash), rarest first.  A block of texts
+   names a shingle that several of its texts have once, with a count, and keeps its own list of these texts, so
+   that a range sees at most `often` entries of one shingle for each block.
 3. A node whose rarest `n - ceil(0.8 n) + 1` shingles are all unshared can't link (prefix filter).
    For the others these prefixes are posted by shingle.
 4. Overlaps are counted vertically: the global order is cut into fragments, each fragment of a pair
@@ -13,10 +15,13 @@
    round then verifies every candidate pair that still lies in two components, so no link between
    components is lost.
 
+Sets are named by 64-bit hashes without comparison; shingles by 64 bits while they are counted and by 57 bits and
+their class of frequency afterwards.
+
 Edge cases: null and wordless texts have an empty set and link with nothing (component_id is their own
 id); texts of 1 to 4 words are one shingle; equal texts share a component; a null id is reported
-with the component of its text, or null; several rows of one id are separate rows; other columns of
-the input are ignored; an empty table gives an empty result.
+with the component of its text, or null; several rows of one id are separate rows, each with the component
+of its own text; other columns of the input are ignored; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -29,12 +34,15 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
 from harborline.llm.common import kept, let_go, small_or_not, table
 from harborline.llm.textblocks import lowered, mix, pieces, windows, words
 
 #: 64-bit words of a node's parity map of shared shingles.
 MAP_WORDS = 16
+#: Stands for the texts that a block keeps its own list of.
+ALL = np.uint32(0xFFFFFFFF)
 
 
 @dataclass(frozen=True)
@@ -42,6 +50,7 @@ class Settings:
     size: int = 5  # words in a shingle
     percent: int = 80  # least similarity
     block: int = 1 << 19  # shingles that a task gathers before it deals them out
+    often: int = 4  # texts of a block that share a shingle and are named by the block itself
     range_size: int = 1_000_000  # shingles in a hash range, about
     fragments: int = 8  # vertical cuts of the global order
     rounds: int = 2  # star rounds at most, before the exact one
@@ -71,7 +80,8 @@ def nodes(docs: DataFrame, s: Settings) -> DataFrame:
             sets = [(len(x), node_of(x) if len(x) else None) for _, o, body in pieces(b.column("text")) for x in sets_of(o, body, s.size)]
             yield pa.record_batch([b.column("doc_id"), pa.array([x[0] for x in sets], pa.int64()), pa.array([x[1] for x in sets], pa.int64())], names=["doc_id", "n_shingles", "node"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n_shingles long, node long")
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, n_shingles long, node long")
 
 
 def _planes(x: np.ndarray) -> bytes:
@@ -84,9 +94,18 @@ def _unplanes(x: bytes, dtype: type) -> np.ndarray:
     return np.ascontiguousarray(np.frombuffer(x, np.uint8).reshape(size, -1).T).view(dtype).reshape(-1)
 
 
+#: A row of a block and a hash range, or (meta) of the block itself.
+DEALT = "part int, block long, meta boolean, docs binary, toks binary, counts binary"
+ASKED = "block long, meta boolean, docs binary, toks binary, counts binary"
+
+
 def _deal(s: Settings, bits: int):
-    """Texts to rows of (hash range, block): the block's shingles of that range and whose they are."""
-    names = ["part", "block", "meta", "docs", "toks"]
+    """Texts to rows of (hash range, block): the block's shingles of that range and whose they are.
+
+    The meta row of a block has its nodes and set sizes, and the texts of the shingles that `often` texts of it share;
+    its range gets such a shingle with a count and no text.
+    """
+    names = ["part", "block", "meta", "docs", "toks", "counts"]
 
     def flush(block: int, sets: list[np.ndarray]) -> pa.RecordBatch:
         sizes = np.array([len(x) for x in sets], np.int64)
@@ -94,13 +113,25 @@ def _deal(s: Settings, bits: int):
         docs = np.repeat(np.arange(len(sets), dtype=np.uint32), sizes)
         order = np.argsort(toks, kind="stable")
         toks, docs = toks[order], docs[order]
+        at = np.flatnonzero(np.append(True, toks[1:] != toks[:-1]))
+        df = np.diff(np.append(at, len(toks)))
+        own = np.repeat(df >= s.often, df)
+        kept_here = np.concatenate([toks[own], docs[own].astype(np.uint64)])
+        single = ~own
+        single[at[df >= s.often]] = True
+        counts = np.ones(len(toks), np.uint32)
+        counts[at[df >= s.often]] = df[df >= s.often]
+        docs[own] = ALL
+        toks, docs, counts = toks[single], docs[single], counts[single]
         ranges = (toks >> np.uint64(64 - bits)).astype(np.int64)
         cuts = np.append(np.flatnonzero(np.append(True, ranges[1:] != ranges[:-1])), len(toks))
-        rows: list[list] = [[block % (1 << bits)], [block], [True], [np.array([node_of(x) for x in sets], np.int64).tobytes()], [sizes.tobytes()]]
+        meta = (np.array([node_of(x) for x in sets], np.int64).tobytes(), sizes.tobytes(), kept_here.tobytes())
+        rows: list[list] = [[block % (1 << bits)], [block], [True], *([x] for x in meta)]
         for a, b in zip(cuts[:-1], cuts[1:], strict=True):
-            for col, v in zip(rows, (int(ranges[a]), block, False, _planes(docs[a:b]), _planes(np.diff(toks[a:b], prepend=np.uint64(0)))), strict=True):
+            some = counts[a:b] if (counts[a:b] > 1).any() else counts[:0]
+            for col, v in zip(rows, (int(ranges[a]), block, False, _planes(docs[a:b]), _planes(np.diff(toks[a:b], prepend=np.uint64(0))), some.tobytes()), strict=True):
                 col.append(v)
-        return pa.record_batch([pa.array(rows[0], pa.int32()), pa.array(rows[1], pa.int64()), pa.array(rows[2]), pa.array(rows[3], pa.binary()), pa.array(rows[4], pa.binary())], names=names)
+        return pa.record_batch([pa.array(rows[0], pa.int32()), pa.array(rows[1], pa.int64()), pa.array(rows[2]), *(pa.array(x, pa.binary()) for x in rows[3:])], names=names)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         block = TaskContext.get().partitionId() << 32
@@ -123,34 +154,45 @@ def _deal(s: Settings, bits: int):
     return run
 
 
+def order_key(toks: np.ndarray, df: np.ndarray) -> np.ndarray:
+    """Places in the global order: half-octaves of the frequency, then 57 bits of the hash."""
+    return (np.minimum((2 * np.log2(df)).astype(np.int64), 63) << 57) | (toks >> np.uint64(7)).astype(np.int64)
+
+
 def _shared(t: pa.Table) -> pa.Table:
-    """One hash range: sends each block its shingles that other texts have too, as keys of the global order."""
-    rows = t.to_pylist()
-    out = {k: [r[k] for r in rows if r["meta"]] for k in ("block", "meta", "docs", "toks")}
-    rows = [r for r in rows if not r["meta"]]
-    if rows:
-        toks = [np.cumsum(_unplanes(r["toks"], np.uint64), dtype=np.uint64) for r in rows]
-        docs = np.concatenate([_unplanes(r["docs"], np.uint32) for r in rows])
-        row = np.repeat(np.arange(len(rows)), [len(x) for x in toks])
+    """One hash range: sends each block its shingles that other texts have too, as keys of the global order.
+
+    A shingle that the block keeps a list for comes back as the pair of its hash and its key.
+    """
+    cols = {k: t.column(k).to_pylist() for k in ("block", "meta", "docs", "toks", "counts")}
+    of = [i for i, m in enumerate(cols["meta"]) if not m]
+    out = {k: [x for x, m in zip(v, cols["meta"], strict=True) if m] for k, v in cols.items()}
+    if of:
+        toks = [np.cumsum(_unplanes(cols["toks"][i], np.uint64), dtype=np.uint64) for i in of]
+        docs = np.concatenate([_unplanes(cols["docs"][i], np.uint32) for i in of])
+        n = np.concatenate([np.frombuffer(c, np.uint32) if (c := cols["counts"][i]) else np.ones(len(x), np.uint32) for i, x in zip(of, toks, strict=True)]).astype(np.int64)
+        row = np.repeat(np.arange(len(of)), [len(x) for x in toks])
         all_toks = np.concatenate(toks)
         order = np.argsort(all_toks, kind="stable")
         ranked = all_toks[order]
         at = np.flatnonzero(np.append(True, ranked[1:] != ranked[:-1]))
-        df = np.diff(np.append(at, len(ranked)))
-        keep = np.repeat(df >= 2, df)
-        key = (np.repeat(np.minimum(df, 32767), df)[keep] << 48) | (ranked[keep] >> np.uint64(16)).astype(np.int64)
+        df, entries = np.add.reduceat(n[order], at), np.diff(np.append(at, len(ranked)))
+        keep = np.repeat(df >= 2, entries)
+        key = order_key(ranked[keep], np.repeat(df, entries)[keep])
         chosen = order[keep]
         by_row = np.argsort(row[chosen], kind="stable")
         chosen, key = chosen[by_row], key[by_row]
-        cuts = np.searchsorted(row[chosen], np.arange(len(rows) + 1))
-        for i, r in enumerate(rows):
-            a, b = cuts[i], cuts[i + 1]
-            if a < b:
-                for k, v in (("block", r["block"]), ("meta", False), ("docs", docs[chosen[a:b]].tobytes()), ("toks", key[a:b].tobytes())):
+        cuts = np.searchsorted(row[chosen], np.arange(len(of) + 1))
+        for i, r in enumerate(of):
+            mine, keys = chosen[cuts[i] : cuts[i + 1]], key[cuts[i] : cuts[i + 1]]
+            if len(mine):
+                whole = docs[mine] == ALL
+                pairs = np.concatenate([all_toks[mine[whole]], keys[whole].view(np.uint64)])
+                for k, v in (("block", cols["block"][r]), ("meta", False), ("docs", docs[mine[~whole]].tobytes()), ("toks", keys[~whole].tobytes()), ("counts", pairs.tobytes())):
                     out[k].append(v)
         del toks, docs, all_toks, order, ranked, chosen, key
     let_go()
-    return pa.table({"block": pa.array(out["block"], pa.int64()), "meta": pa.array(out["meta"], pa.bool_()), "docs": pa.array(out["docs"], pa.binary()), "toks": pa.array(out["toks"], pa.binary())})
+    return pa.table({"block": pa.array(out["block"], pa.int64()), "meta": pa.array(out["meta"], pa.bool_()), **{k: pa.array(out[k], pa.binary()) for k in ("docs", "toks", "counts")}})
 
 
 def _prefixes(percent: int):
@@ -161,8 +203,17 @@ def _prefixes(percent: int):
         head = next(r for r in rows if r["meta"])
         node, n = np.frombuffer(head["docs"], np.int64), np.frombuffer(head["toks"], np.int64)
         rows = [r for r in rows if not r["meta"]]
-        docs = np.concatenate([np.frombuffer(r["docs"], np.uint32) for r in rows] or [np.zeros(0, np.uint32)])
-        keys = np.concatenate([np.frombuffer(r["toks"], np.int64) for r in rows] or [np.zeros(0, np.int64)])
+        docs = [np.frombuffer(r["docs"], np.uint32) for r in rows]
+        keys = [np.frombuffer(r["toks"], np.int64) for r in rows]
+        # the texts of the shingles that the block has a list for
+        own = np.frombuffer(head["counts"], np.uint64).reshape(2, -1)
+        named = [np.frombuffer(r["counts"], np.uint64).reshape(2, -1) for r in rows]
+        if own.shape[1]:
+            toks, their = np.concatenate([x[0] for x in named]), np.concatenate([x[1] for x in named]).view(np.int64)
+            order = np.argsort(toks)
+            docs.append(own[1].astype(np.uint32))
+            keys.append(their[order[np.searchsorted(toks, own[0], sorter=order)]])
+        docs, keys = np.concatenate(docs or [np.zeros(0, np.uint32)]), np.concatenate(keys or [np.zeros(0, np.int64)])
         order = np.lexsort((keys, docs))
         docs, keys = docs[order], keys[order]
         shared = np.bincount(docs, minlength=len(n))
@@ -184,11 +235,13 @@ def prefixed(docs: DataFrame, all_nodes: DataFrame, s: Settings) -> DataFrame:
     bits (the parity of its shared shingles in each of 64 * MAP_WORDS cells)."""
     total = all_nodes.agg(F.coalesce(F.sum("n_shingles"), F.lit(0))).first()[0]
     bits = min(24, max(6, int(np.ceil(np.log2(max(1, total / s.range_size))))))
-    first = all_nodes.where("node is not null").groupBy("node").agg(F.min("doc_id").alias("doc_id"))
-    copies = all_nodes.where("node is not null and doc_id is not null").join(first, ["node", "doc_id"], "left_anti").select("doc_id").distinct()
+    known = all_nodes.where("node is not null and doc_id is not null")
+    first = known.groupBy("node").agg(F.min("doc_id").alias("doc_id"))
+    # ids that stand first for no text; an id with several texts stays if one of them needs it
+    copies = known.select("doc_id").distinct().join(first.select("doc_id").distinct(), "doc_id", "left_anti")
     texts = docs.select("doc_id", "text").join(small_or_not(copies), "doc_id", "left_anti")
-    dealt = texts.mapInArrow(_deal(s, bits), "part int, block long, meta boolean, docs binary, toks binary")
-    back = dealt.groupBy("part").applyInArrow(_shared, "block long, meta boolean, docs binary, toks binary")
+    dealt = texts.mapInArrow(_deal(s, bits), DEALT)
+    back = dealt.groupBy("part").applyInArrow(_shared, ASKED)
     near = back.groupBy("block").applyInArrow(_prefixes(s.percent), "node long, n long, k long, toks array<long>, bits array<long>")
     return near.dropDuplicates(["node"])
 
@@ -275,28 +328,58 @@ def linked(near: DataFrame, s: Settings) -> DataFrame:
     return merged(comps, kept(overlaps(near, pairs, cuts, s)))
 
 
-def near_duplicates(docs: DataFrame, s: Settings = Settings()) -> DataFrame:
-    """doc_id, n_shingles, component_id for every row of docs (doc_id, text)."""
+def placed(docs: DataFrame, s: Settings) -> DataFrame:
+    """doc_id, n_shingles, node, comp (a node's name for its group), component_id for every row of docs."""
     all_nodes = kept(nodes(docs, s))
     near = kept(prefixed(docs, all_nodes, s))
     comps = linked(near, s)
     least = all_nodes.where("node is not null").groupBy("node").agg(F.min("doc_id").alias("least"))
     of = least.join(comps, "node", "left")
     roots = of.where("comp is not null").groupBy("comp").agg(F.min("least").alias("root"))
-    named = of.join(roots, "comp", "left").select("node", F.coalesce("root", "least").alias("component_id"))
-    return all_nodes.join(named, "node", "left").select("doc_id", "n_shingles", F.when(F.col("node").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"))
+    named = of.join(roots, "comp", "left").select("node", F.coalesce("comp", "node").alias("comp"), F.coalesce("root", "least").alias("component_id"))
+    return all_nodes.join(named, "node", "left").select(
+        "doc_id", "n_shingles", "node", "comp", F.when(F.col("node").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id")
+    )
+
+
+def near_duplicates(docs: DataFrame, s: Settings = Settings()) -> DataFrame:
+    """doc_id, n_shingles, component_id for every row of docs (doc_id, text)."""
+    return placed(docs, s).select("doc_id", "n_shingles", "component_id")
 
 
 def op3_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def with_nodes(docs: DataFrame, s: Settings) -> DataFrame:
+    """docs with the column `_node_of_text` after its own."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            sets = [node_of(x) if len(x) else None for _, o, body in pieces(b.column("text")) for x in sets_of(o, body, s.size)]
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(sets, pa.int64())], names=[*b.schema.names, "_node_of_text"])
+
+    return docs.mapInArrow(run, StructType([*docs.schema.fields, StructField("_node_of_text", LongType())]))
+
+
 def one_of_each(docs: DataFrame, s: Settings = Settings()) -> DataFrame:
-    """docs less all but one row of each component: its smallest id stays; rows without an id stay."""
-    found = kept(near_duplicates(docs, s))
-    gone = found.where("doc_id <> component_id").select("doc_id").distinct()
-    out = docs.join(small_or_not(gone), "doc_id", "left_anti").select(docs.columns)
-    twice = found.where("doc_id is not null and doc_id = component_id").groupBy("doc_id").count().where("count > 1").select("doc_id")
-    if not twice.isEmpty():  # rows of one id: one of them stays
-        out = out.where("doc_id is null").unionByName(out.where("doc_id is not null").dropDuplicates(["doc_id"]))
-    return out
+    """docs less all but one row of each component: one row of its smallest id stays (rows without an id: only
+    where the component has no other); rows without words all stay."""
+    found = kept(placed(docs, s))
+    rank = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "node")
+    best = found.where("comp is not null").groupBy("comp").agg(F.min(rank).alias("best"), F.count("*").alias("rows")).where("rows > 1")
+    groups = found.join(best, "comp")
+    repeated = found.groupBy("doc_id").agg(F.count("*").alias("rows")).where("doc_id is null or rows > 1")
+    if repeated.isEmpty():
+        gone = groups.where(F.col("doc_id") != F.col("best.doc_id")).select("doc_id")
+        return docs.join(small_or_not(gone), "doc_id", "left_anti").select(docs.columns)
+    # rows whose id does not name one text are told apart by their sets
+    odd = kept(repeated.select(F.col("doc_id").alias("_id")))
+    is_odd = docs["doc_id"].eqNullSafe(odd["_id"])
+    gone = groups.where(F.col("doc_id") != F.col("best.doc_id")).join(odd, F.col("doc_id") == F.col("_id"), "left_anti").select("doc_id")
+    plain = docs.join(odd, is_odd, "left_anti").join(small_or_not(gone), "doc_id", "left_anti").select(docs.columns)
+    lost = groups.where(~rank.eqNullSafe(F.col("best"))).select(F.col("doc_id").alias("_id"), F.col("node").alias("_of")).distinct()
+    rest = with_nodes(docs.join(odd, is_odd, "left_semi").select(docs.columns), s)
+    rest = rest.join(lost, rest["doc_id"].eqNullSafe(lost["_id"]) & (rest["_node_of_text"] == lost["_of"]), "left_anti")
+    once = rest.where("_node_of_text is not null").dropDuplicates(["doc_id", "_node_of_text"])
+    return plain.unionByName(once.unionByName(rest.where("_node_of_text is null")).select(docs.columns))

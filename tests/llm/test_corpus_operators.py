@@ -74,10 +74,38 @@ def test_one_of_each_component_stays(spark):
     docs = spark.createDataFrame(rows, "doc_id long, text string").withColumn("lang", F.lit("en"))
     got = ngram_join.one_of_each(docs)
     assert got.columns == docs.columns
-    assert sorted(str(r.doc_id) for r in got.collect()) == ["1", "2", "5", "6", "None"]
+    assert sorted(str(r.doc_id) for r in got.collect()) == ["1", "2", "5", "6"]  # the row without an id is a copy too
     assert ngram_join.one_of_each(docs.where("false")).count() == 0
 
 
+TEXT = " ".join(f"t{i}" for i in range(60))
+#: Ids on several texts, whose texts link with those of other ids; copies without an id.
+SHARED_IDS = [
+    (1, "first text of one id with some words more"), (5, "first text of one id with some words more"), (5, TEXT), (9, TEXT + " tail"), (9, "last text of an id that has two of them"),
+    (7, "last text of an id that has two of them"), (None, "copies without any id at all here"), (None, "copies without any id at all here"), (None, TEXT), (5, "one of a kind under this id"),
+    (8, None), (8, ""), (8, None), (4, "same row twice with words"), (4, "same row twice with words"),
+]
+
+
+def test_ids_on_several_texts_lose_no_link(spark):
+    docs = spark.createDataFrame(SHARED_IDS, "doc_id long, text string").repartition(3)
+    got = collections.Counter((r.doc_id, r.n_shingles, r.component_id) for r in ngram_join.near_duplicates(docs).collect())
+    assert got == brute_components(SHARED_IDS)
+    kept = [(r.doc_id, r.text) for r in ngram_join.one_of_each(docs).collect()]
+    want = [SHARED_IDS[i] for i in (0, 2, 5, 6, 9, 10, 11, 12, 13)]
+    assert collections.Counter(kept) == collections.Counter(want)
+
+
+def test_frequent_shingles_are_listed_by_their_block(spark):
+    rng = random.Random(5)
+    rows = near_copies(80, rng) + [(1000 + i, "the same opening words for all texts " + " ".join(f"o{rng.randrange(60)}" for _ in range(12))) for i in range(200)]
+    rows += [(5000 + i, rows[3][1]) for i in range(50)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    for s in (ngram_join.Settings(block=600, often=2), ngram_join.Settings(often=10**6)):
+        got = collections.Counter((r.doc_id, r.n_shingles, r.component_id) for r in ngram_join.near_duplicates(docs, s).collect())
+        assert got == brute_components(rows)
+
+
 def test_join_on_real_rows(spark, small):
     docs = spark.read.parquet(f"{small}/documents.parquet")
     got = collections.Counter((r.doc_id, r.n_shingles, r.component_id) for r in ngram_join.near_duplicates(docs).collect())
