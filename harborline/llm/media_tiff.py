@@ -2,8 +2,13 @@
 
 `pages` walks the chain of image directories of every media value, decodes PackBits, LZW or deflate strips
 and tiles, undoes horizontal prediction and emits one row per page; a value that is no readable
-TIFF gives one row with an error.  `stored` writes payloads as TIFF: 64 samples a row, 8 bits each,
-pages of bounded height, so a value of any length is decoded a page at a time.
+TIFF gives a row with an error after the rows of the pages before the fault.  `stored` writes payloads as TIFF: 64
+samples a row, 8 bits each, pages of bounded height, so a value of any length is decoded a page at a time.
+The compression is chosen by the payload's CRC-32: a third of all different payloads, of whatever size, are LZW
+tiles, a third PackBits strips, a third deflate strips with prediction.
+
+What a file declares is checked against its length before memory is taken: no decoder makes more than `GAIN`
+bytes of one.  Samples in planes of their own and other bit depths than 8 are errors.
 
 Edge cases: null and empty texts are a payload of 64 zero bytes; null media gives one row with an
 error; equal texts give equal values; other columns are ignored; repeated rows are kept.
@@ -25,8 +30,10 @@ from harborline.llm.common import table
 
 #: Fixed values of the format: tags, compressions, sizes of field types.
 WIDTH, HEIGHT, BITS, COMPRESSION, PHOTOMETRIC, STRIPS, SAMPLES, ROWS, STRIP_SIZES = 256, 257, 258, 259, 262, 273, 277, 278, 279
-PREDICTOR, TILE_WIDTH, TILE_HEIGHT, TILES, TILE_SIZES = 317, 322, 323, 324, 325
+PREDICTOR, TILE_WIDTH, TILE_HEIGHT, TILES, TILE_SIZES, PLANAR = 317, 322, 323, 324, 325, 284
 NONE, LZW, DEFLATE, OLD_DEFLATE, PACKBITS = 1, 5, 8, 32946, 32773
+#: Most bytes that a byte of compressed data can stand for (LZW: 12 bits for an entry of under 4096 bytes).
+GAIN = 4096
 TYPE_SIZE = {1: 1, 2: 1, 3: 2, 4: 4, 5: 8, 6: 1, 7: 1, 8: 2, 9: 4, 10: 8, 11: 4, 12: 8}
 
 
@@ -35,8 +42,7 @@ class Settings:
     row: int = 64  # samples of a row
     page_rows: int = 4096
     strip_rows: int = 256
-    lzw_bytes: int = 1024  # payloads up to this size are LZW tiles
-    packbits_bytes: int = 4096  # up to this size PackBits strips; longer ones deflate strips with prediction
+    tile_rows: int = 16
 
 
 @dataclass
@@ -144,6 +150,8 @@ def unlzw(data: bytes) -> bytes:
         if not old:
             entry = known[code]
         else:
+            if code > len(known) or len(known) >= 4096:
+                raise ValueError("LZW code beyond the table")
             entry = known[code] if code < len(known) else old + old[:1]
             known.append(old + entry[:1])
             if len(known) >= (1 << width) - 1 and width < 12:
@@ -154,7 +162,16 @@ def unlzw(data: bytes) -> bytes:
 
 
 _PACK = {NONE: lambda x: x, LZW: lzw, DEFLATE: lambda x: zlib.compress(x, 1), PACKBITS: packbits}
-_UNPACK = {NONE: lambda x: x, LZW: unlzw, DEFLATE: zlib.decompress, OLD_DEFLATE: zlib.decompress, PACKBITS: unpackbits}
+
+
+def inflate(data: bytes, size: int) -> bytes:
+    return zlib.decompressobj().decompress(data, max(1, size))
+
+
+#: (bytes, samples expected) -> samples.
+_UNPACK = {
+    NONE: lambda x, _: x, LZW: lambda x, _: unlzw(x), DEFLATE: inflate, OLD_DEFLATE: inflate, PACKBITS: lambda x, _: unpackbits(x),
+}
 
 
 def write_tiff(images: list[np.ndarray], compression: int, predictor: int = 1, strip_rows: int = 256, tile: tuple[int, int] | None = None) -> bytes:
@@ -220,22 +237,31 @@ def directories(data: bytes) -> Iterator[dict[int, list[int]]]:
 
 
 def read_tiff(data: bytes) -> Iterator[Page]:
-    """The pages in the order of the directory chain; ValueError for what can't be read."""
+    """The pages in the order of the directory chain; ValueError for what can't be read, after the pages before it."""
     for number, fields in enumerate(directories(data)):
         one = lambda tag, default=None: fields.get(tag, [default])[0]  # noqa: E731, B023
         w, h, samples, compression, predictor = one(WIDTH), one(HEIGHT), one(SAMPLES, 1), one(COMPRESSION, NONE), one(PREDICTOR, 1)
-        if not w or not h or set(fields.get(BITS, [1])) != {8} or compression not in _UNPACK or predictor not in (1, 2):
+        if not w or not h or not samples or set(fields.get(BITS, [1])) != {8} or compression not in _UNPACK or predictor not in (1, 2):
             raise ValueError("unsupported page")
+        if samples > 1 and one(PLANAR, 1) != 1:
+            raise ValueError("samples in planes of their own")
         if TILES in fields:
             pw, ph, places, sizes = one(TILE_WIDTH), one(TILE_HEIGHT), fields[TILES], fields[TILE_SIZES]
         else:
             pw, ph, places, sizes = w, min(h, one(ROWS, h)), fields[STRIPS], fields[STRIP_SIZES]
-        across = -(-w // pw)
-        pixels = np.zeros((-(-h // ph) * ph, across * pw * samples), np.uint8)
+        if not pw or not ph:
+            raise ValueError("strips or tiles without rows or columns")
+        down, across = -(-h // ph), -(-w // pw)
+        if len(places) != down * across or len(sizes) != len(places):
+            raise ValueError("too few or too many strips or tiles")
+        if down * ph * across * pw * samples > GAIN * len(data):
+            raise ValueError("a page larger than the data can hold")
+        pixels = np.zeros((down * ph, across * pw * samples), np.uint8)
         for k, (a, size) in enumerate(zip(places, sizes, strict=True)):
             y, x = k // across * ph, k % across * pw * samples
             rows = ph if TILES in fields else min(ph, h - y)
-            part = np.frombuffer(_UNPACK[compression](data[a : a + size]), np.uint8, rows * pw * samples).reshape(rows, pw, samples)
+            n = rows * pw * samples
+            part = np.frombuffer(_UNPACK[compression](data[a : a + size], n), np.uint8, n).reshape(rows, pw, samples)
             if predictor == 2:
                 part = np.cumsum(part, axis=1, dtype=np.uint8)
             pixels[y : y + rows, x : x + pw * samples] = part.reshape(rows, -1)
@@ -252,7 +278,8 @@ def pages(df: DataFrame, key: str = "doc_id", media: str = "media") -> DataFrame
                 try:
                     if data is None:
                         raise ValueError("no media")
-                    rows += [(k, p.number, p.pixels.shape[1], p.pixels.shape[0], p.compression, p.predictor, p.pixels.tobytes(), None) for p in read_tiff(data)]
+                    for p in read_tiff(data):
+                        rows.append((k, p.number, p.pixels.shape[1], p.pixels.shape[0], p.compression, p.predictor, p.pixels.tobytes(), None))
                 except (ValueError, KeyError, TypeError, struct.error, zlib.error, IndexError) as e:
                     rows.append((k, None, None, None, None, None, None, str(e)))
             cols = list(zip(*rows, strict=True)) or [()] * 8
@@ -266,9 +293,10 @@ def pages(df: DataFrame, key: str = "doc_id", media: str = "media") -> DataFrame
 def as_tiff(payload: bytes, s: Settings) -> bytes:
     image = np.frombuffer(payload, np.uint8).reshape(-1, s.row)
     images = [image[i : i + s.page_rows] for i in range(0, len(image), s.page_rows)]
-    if len(payload) <= s.lzw_bytes:
-        return write_tiff(images, LZW, tile=(16, s.row))
-    if len(payload) <= s.packbits_bytes:
+    kind = zlib.crc32(payload) % 3
+    if kind == 0:
+        return write_tiff(images, LZW, tile=(s.tile_rows, s.row))
+    if kind == 1:
         return write_tiff(images, PACKBITS, strip_rows=s.strip_rows)
     return write_tiff(images, DEFLATE, predictor=2, strip_rows=s.strip_rows)
 
@@ -284,7 +312,8 @@ def stored(docs: DataFrame, s: Settings = Settings()) -> DataFrame:
                 media = [as_tiff(t + b"\0" * (s.row - len(t) if not t else -len(t) % s.row), s) for t in texts]
                 yield pa.record_batch([some.column("doc_id"), pa.array([len(t) for t in texts], pa.int64()), pa.array(media, pa.binary())], names=["doc_id", "n_bytes", "media"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n_bytes long, media binary")
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, n_bytes long, media binary")
 
 
 def described(data: bytes) -> tuple[int, str, int, str, int]:
@@ -317,16 +346,17 @@ def digests(media: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = ["doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature", "pages"]
-        types = [pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.int32()]
+        types = [pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.int32()]
         for b in batches:
             rows = []
             for k, n, data in zip(*(b.column(c).to_pylist() for c in ("doc_id", "n_bytes", "media")), strict=True):
                 size, sha, tail, feature, n_pages = described(data)
                 rows.append((k, n, size, sha, tail, len(data), hashlib.sha256(data).hexdigest(), feature, n_pages))
             cols = list(zip(*rows, strict=True)) or [()] * len(names)
-            yield pa.record_batch([pa.array(c, t) for c, t in zip(cols, types, strict=True)], names=names)
+            yield pa.record_batch([pa.array(c, t) for c, t in zip(cols, [b.column("doc_id").type, *types], strict=True)], names=names)
 
-    return media.mapInArrow(run, "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string, pages int")
+    kind = media.schema["doc_id"].dataType.simpleString()
+    return media.mapInArrow(run, f"doc_id {kind}, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string, pages int")
 
 
 def op4_media_tiff(spark: SparkSession, sf_dir: str) -> DataFrame:
