@@ -1,12 +1,16 @@
 """Hilbert-curve ordering of documents, cut into shards; DataFrame functions only.
 
-Each metadata dimension is quantised to 2**bits cells of about equal row counts (cut points from approximate
-percentiles: at most 2**bits - 1 numbers for each dimension reach the driver).  The cells' Hilbert index
-orders the rows; ties go by text hash and id, so equal texts lie together.  Ranks come from a range
-partitioned sort (a partition's offset plus the place in it), and runs of equal row counts are the
-shards: a file of one run spans a small box of every dimension, which min/max statistics can prune.
-
-Law: `rows`, so counts of shards differ by one at most.  Only narrow rows are shuffled, never texts.
+Each metadata dimension is quantised to 2**bits cells of about equal row counts: numbers by approximate percentiles,
+strings by the whole values at which the running total of rows, in the order of the values, passes each 2**bits-th
+of all rows (at most 2**bits - 1 values for each dimension reach the driver).  The cells' Hilbert index
+orders the rows.  Equal texts are one group: all of its rows take the group's lowest index, and ties go by
+text and id, so that a group is one stretch of the order.  Ranks come from a range partitioned sort (a partition's
+offset plus the place in it), and runs of equal row counts are the shards: a file of one run
+spans a small box of every dimension, which min/max statistics can prune.
+
+Law: `rows`, so counts of shards differ by one at most.  The borders between shards follow from that
+law alone, so each of them may cut one group (and must, where a group is larger than a shard); no other group
+is spread over shards.  Only narrow rows are shuffled, never texts; they are written once, before the sort reads them.
 
 Edge cases: null texts count as empty; null metadata is the smallest value; ties and repeated rows
 share a cell and are ordered by id; an empty table gives an empty result; with fewer rows than
@@ -20,7 +24,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from harborline.llm.common import kept, table
+from harborline.llm.common import kept, small_or_not, table
 
 
 @dataclass(frozen=True)
@@ -31,12 +35,17 @@ class Settings:
     accuracy: int = 2000  # of the percentiles
 
 
-def as_number(df: DataFrame, name: str) -> Column:
-    """An order-preserving number: of strings, the first seven bytes."""
-    c = F.col(name)
-    if dict(df.dtypes)[name] == "string":
-        c = F.conv(F.rpad(F.substring(F.hex(F.coalesce(c, F.lit(""))), 1, 14), 14, "0"), 16, 10)
-    return F.coalesce(c.cast("double"), F.lit(float("-inf")))
+def string_cuts(df: DataFrame, name: str, cells: int) -> list[str]:
+    """The values at which the running total of rows passes each 1 / cells of all rows; cells - 1 at most."""
+    counts = df.groupBy(F.coalesce(F.col(name), F.lit("")).alias("v")).agg(F.count("*").alias("n"))
+    placed = kept(counts.repartitionByRange("v").withColumn("_part", F.spark_partition_id()))
+    sizes = placed.groupBy("_part").agg(F.sum("n").alias("of_part"))  # a row for each partition
+    before = sizes.select("_part", (F.sum("of_part").over(Window.orderBy("_part")) - F.col("of_part")).alias("before"), F.sum("of_part").over(Window.partitionBy(F.lit(0))).alias("total"))
+    upto = F.col("before") + F.sum("n").over(Window.partitionBy("_part").orderBy("v"))
+    steps = lambda c: F.floor(c * cells / F.col("total"))
+    totals = placed.join(F.broadcast(before), "_part").withColumn("upto", upto)
+    found = totals.where((F.col("upto") < F.col("total")) & (steps(F.col("upto")) > steps(F.col("upto") - F.col("n")))).select("v").collect()
+    return sorted((r.v for r in found), key=str.encode)
 
 
 def hilbert_index(cells: Column, n: int, bits: int) -> Column:
@@ -72,21 +81,30 @@ def hilbert_index(cells: Column, n: int, bits: int) -> Column:
 
 
 def cells_of(df: DataFrame, s: Settings) -> Column:
-    """The array of each row's cells, by cut points that are percentiles of each dimension."""
-    share = [i / (1 << s.bits) for i in range(1, 1 << s.bits)]
-    cuts = df.agg(*(F.percentile_approx(as_number(df, d), F.array(*map(F.lit, share)), F.lit(s.accuracy)).alias(d) for d in s.dimensions)).first()
-    cell = lambda d: sum((F.when(as_number(df, d) > F.lit(c), 1).otherwise(0) for c in sorted(set(cuts[d] or []))), F.lit(0))
-    return F.array(*(cell(d).cast("int") for d in s.dimensions))
+    """The array of each row's cells."""
+    kinds, cells = dict(df.dtypes), 1 << s.bits
+    share = F.array(*(F.lit(i / cells) for i in range(1, cells)))
+    number = lambda d: F.coalesce(F.col(d).cast("double"), F.lit(float("-inf")))
+    numbers = [d for d in s.dimensions if kinds[d] != "string"]
+    found = df.agg(F.count("*").alias("_rows"), *(F.percentile_approx(number(d), share, F.lit(s.accuracy)).alias(d) for d in numbers)).first()
+    cuts = {d: (number(d), sorted(set(found[d] or []))) for d in numbers}
+    cuts |= {d: (F.coalesce(F.col(d), F.lit("")), string_cuts(df, d, cells)) for d in s.dimensions if kinds[d] == "string"}
+    cell = lambda v, at: sum((F.when(v > F.lit(c), 1).otherwise(0) for c in at), F.lit(0))
+    return F.array(*(cell(*cuts[d]).cast("int") for d in s.dimensions))
 
 
 def assignments(df: DataFrame, s: Settings = Settings()) -> DataFrame:
     """doc_id, size, text_crc32, hilbert, shard, slot for every row of df (doc_id, text, dimensions)."""
-    body = F.encode(F.coalesce("text", F.lit("")), "UTF-8")
-    rows = df.select(
+    text = F.coalesce("text", F.lit(""))
+    body = F.encode(text, "UTF-8")
+    rows = kept(df.select(
         "doc_id", (F.octet_length(body) + 1).cast("long").alias("size"), F.crc32(body).alias("text_crc32"),
-        hilbert_index(cells_of(df, s), len(s.dimensions), s.bits).alias("hilbert"), F.xxhash64("text").alias("_text"),
-    )
-    order = ["hilbert", "_text", "text_crc32", "doc_id"]
+        hilbert_index(cells_of(df, s), len(s.dimensions), s.bits).alias("hilbert"), F.xxhash64(text).alias("_text"),
+    ))
+    group = ["_text", "text_crc32", "size"]
+    lowest = rows.groupBy(*group).agg(F.min("hilbert").alias("_lowest"), F.max("hilbert").alias("_highest")).where("_lowest < _highest").drop("_highest")
+    rows = rows.join(small_or_not(kept(lowest)), group, "left").withColumn("hilbert", F.coalesce("_lowest", "hilbert")).drop("_lowest")
+    order = ["hilbert", *group, "doc_id"]
     placed = kept(rows.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_at", F.monotonically_increasing_id()).drop("_text"))
     part = F.shiftright("_at", 33)
     sizes = placed.groupBy(part.alias("_part")).agg(F.count("*").alias("_n"))  # a row for each partition
