@@ -22,12 +22,14 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import cache
 
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from harborline.llm.common import kept, table
 
@@ -61,6 +63,7 @@ class Step:
     merged: bool
 
 
+@cache
 def steps(s: Settings) -> dict[tuple[int, int], list[tuple[int, Step]]]:
     """(state, role of the source turn; START: unknown) -> [(new state, step)], cheapest first."""
     out = {}
@@ -107,8 +110,8 @@ def reduced(roles: list[int], s: Settings) -> np.ndarray:
     return m
 
 
-def repaired(roles: list[int], start: int, end: int, s: Settings) -> list[Step]:
-    """The cheapest steps from state start to state end."""
+def repaired(roles: list[int], start: int, end: int | None, s: Settings) -> tuple[list[Step], int]:
+    """The cheapest steps from state start to state end (None: the one that is cheapest to end in), and that state."""
     table_ = steps(s)
     cost, back = {start: 0}, []
     for r in roles:
@@ -120,12 +123,15 @@ def repaired(roles: list[int], start: int, end: int, s: Settings) -> list[Step]:
                     new[to] = (c, state, w)
         back.append(new)
         cost = {k: v[0] for k, v in new.items()}
+    if end is None:
+        last = end_cost(s)
+        end = min(sorted(cost), key=lambda x: cost[x] + last[x])
     out, state = [], end
     for new in reversed(back):
         _, before, w = new[state]
         out.append(w)
         state = before
-    return out[::-1]
+    return out[::-1], end
 
 
 def code_of(role: str | None) -> int:
@@ -148,13 +154,10 @@ def _segments(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[bool, object,
 
 def _borders(s: Settings):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        out, last = [], None
-        for first, key, rows in _segments(batches):
-            last = (int(not first), key, reduced([code_of(r["role"]) for r in rows], s))
-            if first:
-                out.append(last)
-        if last is not None and last[0]:
-            out.append(last)
+        borders = []  # the task's first conversation and its last one; those between lie whole in it
+        for segment in _segments(batches):
+            borders[1:] = [segment]
+        out = [(int(not first), key, reduced([code_of(r["role"]) for r in rows], s)) for first, key, rows in borders]
         part = TaskContext.get().partitionId()
         yield pa.record_batch(
             [pa.array([part] * len(out), pa.int32()), pa.array([x[0] for x in out], pa.int32()), pa.array([None if x[1] is None else str(x[1]) for x in out], pa.string()), pa.array([x[2].reshape(-1).tolist() for x in out], pa.list_(pa.int64()))],
@@ -186,14 +189,14 @@ def chained(borders: list[tuple[int, int, str | None, np.ndarray]], s: Settings)
     return out
 
 
-def _render(known: dict, s: Settings):
+def _render(known: dict, conv_type: pa.DataType, turn_type: pa.DataType, s: Settings):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part, n, rows_out = TaskContext.get().partitionId(), 0, []
         names = ["conv_id", "ord", "out_turn", "role", "action", "source_turn", "source_role", "rendered"]
 
         def batch() -> pa.RecordBatch:
             cols = list(zip(*rows_out, strict=True)) or [()] * 8
-            types = [pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.int64(), pa.string(), pa.string()]
+            types = [conv_type, pa.int64(), pa.int64(), pa.string(), pa.string(), turn_type, pa.string(), pa.string()]
             return pa.record_batch([pa.array(c, t) for c, t in zip(cols, types, strict=True)], names=names)
 
         segments = _segments(batches)
@@ -203,12 +206,12 @@ def _render(known: dict, s: Settings):
             roles = [code_of(r["role"]) for r in rows]
             where = (part, 0) if first else (part, 1) if ahead is None else None
             if where is None:
-                cost = reduced(roles, s)[START] + np.array(end_cost(s))
-                state, end, turns, ends = START, int(np.argmin(cost)), 0, True
+                state, end, turns, ends = START, None, 0, True
             else:
                 state, end, turns, ends = known[where]
             open_ = turns > 0
-            for r, w in zip(rows, repaired(roles, state, end, s), strict=True):
+            taken, end = repaired(roles, state, end, s)
+            for r, w in zip(rows, taken, strict=True):
                 for y in w.inserted:
                     rows_out.append((key, part << 40 | n, turns, NAMES[y], "insert", None, None, (s.close if open_ else "") + s.open.format(role=NAMES[y])))
                     turns, n, open_ = turns + 1, n + 1, True
@@ -241,7 +244,11 @@ def repair(turns: DataFrame, s: Settings = Settings()) -> DataFrame:
     placed = kept(rows.withColumn("_row", F.monotonically_increasing_id()).repartitionByRange(*by).sortWithinPartitions(*by).drop("_row"))
     found = placed.select("conv_id", "role").mapInArrow(_borders(s), "part int, second int, conv string, matrix array<long>").collect()  # two rows a task at most
     known = chained([(r.part, r.second, r.conv, np.array(r.matrix, np.int64).reshape(4, 4)) for r in found], s)
-    return placed.mapInArrow(_render(known, s), "conv_id long, ord long, out_turn long, role string, action string, source_turn long, source_role string, rendered string")
+    conv, turn = (turns.schema[c].dataType for c in ("conv_id", "turn"))
+    return placed.mapInArrow(
+        _render(known, to_arrow_type(conv), to_arrow_type(turn), s),
+        f"conv_id {conv.simpleString()}, ord long, out_turn long, role string, action string, source_turn {turn.simpleString()}, source_role string, rendered string",
+    )
 
 
 def op6_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
