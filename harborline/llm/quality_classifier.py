@@ -4,7 +4,8 @@ A text is the set of its hashed byte n-grams (indicators, so length and repetiti
 Class log-count ratios scale the indicators; a linear hinge-loss model is fitted to them by dual
 coordinate descent; a sigmoid fitted on a held part of the sample turns margins into scores.
 
-Fitting uses a bounded sample: the `sample` labelled rows with the smallest xxhash64 of the id.
+Fitting uses a bounded sample: the `sample` labelled ids with the smallest xxhash64 (of several rows of one id, one), as far
+as their n-gram sets take no more than `sample_bytes`.  Ids with both labels are not learned from.
 Scoring reads every whole text once, with a model of 2**bits floats, whatever the input's size.
 
 Edge cases: a null or empty text has no n-grams and gets the score of the bias alone; rows without
@@ -19,17 +20,18 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from harborline.llm.common import byte_grams, crc_of_id, let_go, table
+from harborline.llm.common import byte_grams, crc_of_id, kept, let_go, table
 from harborline.llm.textblocks import pieces
 
 
 @dataclass(frozen=True)
 class Settings:
     sample: int = 6000  # labelled rows to fit on, at most
+    sample_bytes: int = 1 << 28  # of their n-gram sets together, at most
     sizes: tuple[int, ...] = (2, 4)  # bytes in an n-gram
     bits: int = 18  # buckets of a size: 2**bits
     alpha: float = 1.0  # added to the counts of each class
@@ -121,11 +123,13 @@ def fit(docs: DataFrame, labels: DataFrame, s: Settings = Settings(), target: st
     size = len(s.sizes) << s.bits
     chosen = (
         labels.where(F.col(target).isin(0, 1) & F.col("doc_id").isNotNull())
-        .groupBy("doc_id").agg(F.max(target).cast("int").alias("label"))
+        .groupBy("doc_id").agg(F.max(target).cast("int").alias("label"), F.min(target).cast("int").alias("other")).where("label = other").drop("other")
         .withColumn("order", F.xxhash64("doc_id")).orderBy("order", "doc_id").limit(s.sample)
     )
     texts = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select("label", "order", "text")
-    got = texts.mapInArrow(_features(s), "label int, order long, buckets binary").toArrow().sort_by([("order", "ascending"), ("label", "ascending")])
+    found = kept(texts.mapInArrow(_features(s), "label int, order long, buckets binary").groupBy("order", "label").agg(F.min("buckets").alias("buckets")))
+    upto = F.sum(F.octet_length("buckets")).over(Window.orderBy("order", "label"))  # over `sample` rows at most
+    got = found.withColumn("upto", upto).where(F.col("upto") <= s.sample_bytes).drop("upto").toArrow().sort_by([("order", "ascending"), ("label", "ascending")])
     y = np.where(got.column("label").to_numpy() == 1, 1, -1) if got.num_rows else np.zeros(0, int)
     if not (y > 0).any() or not (y < 0).any():
         return Model(np.zeros(size, np.float32), 0.0, 1.0, 0.0)

@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from harborline.llm.common import byte_grams, let_go, small_or_not, table
-from harborline.llm.textblocks import doc_of, pieces, windows, words
+from harborline.llm.textblocks import doc_of, means_by, pieces, windows, words
 
 #: Fixed values of the base rules.
 SYMBOLS = "#*$%&|<>"
@@ -133,9 +133,7 @@ def judge(df: DataFrame, ratios: np.ndarray, s: Settings = Settings()) -> DataFr
                 col["n_words"][row:upto] = np.diff(w.first)
                 col["n_repeat_words"][row:upto] = repeated_words(w.hashes, w.first)
                 h, first = byte_grams(o, body, s.size, s.bits)
-                total = np.zeros(len(h) + 1)
-                np.cumsum(log_ratio[h], out=total[1:])
-                ratio[row:upto] = np.round(np.diff(total[first]) / np.maximum(1, np.diff(first)), 9)
+                ratio[row:upto] = means_by(first, log_ratio[h])
             for i, t in enumerate(texts.to_pylist()):
                 if t and "\n" in t:
                     lines = [x for x in t.split("\n") if x.strip(_SPACES)]
@@ -159,9 +157,7 @@ def filter_texts(df: DataFrame, ratios: np.ndarray, s: Settings = Settings()) ->
                 w = words(o, body)
                 n = np.diff(w.first)
                 h, first = byte_grams(o, body, s.size, s.bits)
-                total = np.zeros(len(h) + 1)
-                np.cumsum(shared.value[h], out=total[1:])
-                ratio = np.round(np.diff(total[first]) / np.maximum(1, np.diff(first)), 9)
+                ratio = means_by(first, shared.value[h])
                 good[row : row + len(o) - 1] = (n >= LEAST_WORDS) & (100 * repeated_words(w.hashes, w.first) <= MOST_REPEATED * n) & (ratio >= s.threshold)
             yield b.filter(pa.array(good))
 

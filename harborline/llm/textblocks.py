@@ -170,3 +170,13 @@ def sums_by(first: np.ndarray, values: np.ndarray) -> np.ndarray:
     total = np.zeros(len(values) + 1, values.dtype)
     np.cumsum(values, out=total[1:])
     return total[first[1:]] - total[first[:-1]]
+
+
+def means_by(first: np.ndarray, values: np.ndarray) -> np.ndarray:
+    """The mean of values over [first[i], first[i + 1]), 0 of none; each from its own values alone."""
+    n = np.diff(first)
+    out = np.zeros(len(n))
+    some = np.flatnonzero(n)
+    if len(some):
+        out[some] = np.add.reduceat(values, first[some]) / n[some]
+    return out

@@ -31,10 +31,10 @@ LABELLED = [
     (0, "https://school.example.org/de/311"), (0, "https://city.example.net/en/42"), (0, "http://garden.example.com/fr/18"),
     (0, "https://recipes.example.org/en/77"), (0, "https://travel.example.net/fr/640"), (0, "https://forum.example.org/de/205.html"),
     (0, "https://example.com/"), (0, "https://example.org/en/1"), (0, "https://example.net/fr/2"),
-    (1, "https://spam-farm.example.org/en/728"), (1, "http://spam-farm.example.net/fr/12"), (1, "https://spam-farm.example.com/de/3"),
+    (1, "https://spam-ring.example.org/en/729"), (1, "http://mail-spam.example.net/fr/13"), (1, "https://farm-links.example.com/de/31"),
     (1, "https://spam-links.example.org/es/99"), (1, "http://cheap-pills.example.net/en/buy-now"), (1, "https://casino-bonus.example.com/fr/win"),
     (1, "http://free-casino.example.org/en/spin?bonus=1"), (1, "https://link-farm.example.net/en/500"), (1, "http://pills-shop.example.com/de/order"),
-    (1, "https://spam-farm.example.org/fr/681.html"), (1, "https://buy-followers.example.net/fr/7"), (1, "http://adult-cams.example.org/en/live"),
+    (1, "https://content-farm.example.org/fr/683.html"), (1, "https://buy-followers.example.net/fr/7"), (1, "http://adult-cams.example.org/en/live"),
     (1, "https://seo-spam.example.com/fr/backlinks"), (1, "http://casino-farm.example.net/fr/88#top"), (1, "https://spam.example.org/fr/4/"),
     (1, "https://warez-crack.example.com/fr/keygen"), (1, "http://loan-spam.example.net/fr/fast-cash"), (1, "https://farm-of-links.example.org/de/6"),
     # generic families, the two classes with the same paths
