@@ -3,7 +3,7 @@
 1. Every text becomes its set of 5-word shingles (64-bit hashes).  Texts with equal sets form one node;
    one text of each node goes on.
 2. Shingles are dealt by hash range.  Each range counts in how many texts a shingle occurs and sends
-   back only the shared ones; the global order is (class of frequency, hash), rarest first.  A block of texts
+   back only the shared ones; the global order is (frequency, hash), rarest first.  A block of texts
    names a shingle that several of its texts have once, with a count, and keeps its own list of these texts, so
    that a range sees at most `often` entries of one shingle for each block.
 3. A node whose rarest `n - ceil(0.8 n) + 1` shingles are all unshared can't link (prefix filter).
@@ -15,8 +15,8 @@
    round then verifies every candidate pair that still lies in two components, so no link between
    components is lost.
 
-Sets are named by 64-bit hashes without comparison; shingles by 64 bits while they are counted and by 57 bits and
-their class of frequency afterwards.
+Sets are named by 64-bit hashes without comparison; shingles by 64 bits while they are counted and by their
+frequency and 48 bits afterwards.
 
 Edge cases: null and wordless texts have an empty set and link with nothing (component_id is their own
 id); texts of 1 to 4 words are one shingle; equal texts share a component; a null id is reported
@@ -155,8 +155,8 @@ def _deal(s: Settings, bits: int):
 
 
 def order_key(toks: np.ndarray, df: np.ndarray) -> np.ndarray:
-    """Places in the global order: half-octaves of the frequency, then 57 bits of the hash."""
-    return (np.minimum((2 * np.log2(df)).astype(np.int64), 63) << 57) | (toks >> np.uint64(7)).astype(np.int64)
+    """Places in the global order: the frequency, then 48 bits of the hash."""
+    return (np.minimum(df, 32767) << 48) | (toks >> np.uint64(16)).astype(np.int64)
 
 
 def _shared(t: pa.Table) -> pa.Table:
