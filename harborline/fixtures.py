@@ -10,6 +10,8 @@ import re
 
 from pyspark.sql import DataFrame, SparkSession
 
+from harborline.sources.sinks import kept
+
 BASE = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events")
 ENVELOPE = ("N02", "N07", "N12", "N17", "N22")
 SINGLE_PARTNER = "N02"
@@ -46,6 +48,20 @@ SQL: dict[str, str] = {
                concat(CAST(l.l_orderkey AS STRING), '-', CAST(l.l_linenumber AS STRING), '-', CAST(l.l_partkey AS STRING), '-', CAST(l.l_suppkey AS STRING)) AS raw_id
           FROM {lineitem} l JOIN {orders} o ON l.l_orderkey = o.o_orderkey JOIN {customer} c ON o.o_custkey = c.c_custkey
           JOIN {supplier} s ON l.l_suppkey = s.s_suppkey JOIN {part} p ON l.l_partkey = p.p_partkey""",
+    # the same with the all-goods rows of the sources that publish them: detail plus what only the total holds
+    "facts_full": """
+        SELECT period, month_idx, reporter, partner, product_nc, flow, stat_procedure, value_eur, quantity_kg, suppression_index, raw_id FROM {facts}
+        UNION ALL
+        SELECT period, month_idx, reporter, partner, '000TOTAL', flow, '1', CAST(SUM(value_eur) + 10 * COUNT(*) AS DECIMAL(18,2)), CAST(SUM(quantity_kg) AS DECIMAL(20,3)), 0,
+               concat('total-', reporter, '-', partner, '-', CAST(month_idx AS STRING), '-', CAST(flow AS STRING))
+          FROM {facts} WHERE reporter <> 'N24' GROUP BY period, month_idx, reporter, partner, flow""",
+    # groups that follow from the parts sold: one per type and brand, one per size with a prefix in every heading
+    "part_groups": """
+        SELECT DISTINCT concat(t, '-', b) AS group_name, CASE WHEN b % 7 = 0 THEN 'hidden:parts' WHEN b % 11 = 0 THEN 'draft:parts' ELSE 'parts' END AS created_by, concat(t, lpad(CAST(b AS STRING), 2, '0')) AS prefix
+          FROM (SELECT CASE p_type WHEN 'ECONOMY' THEN '11' WHEN 'LARGE' THEN '12' WHEN 'MEDIUM' THEN '13' WHEN 'PROMO' THEN '14' WHEN 'SMALL' THEN '15' ELSE '16' END AS t, CAST(substr(p_brand, 7) AS INT) AS b FROM {part}) x
+        UNION ALL
+        SELECT DISTINCT concat('size-', CAST(p_size AS STRING)), 'parts', concat(CASE p_type WHEN 'ECONOMY' THEN '11' WHEN 'LARGE' THEN '12' WHEN 'MEDIUM' THEN '13' WHEN 'PROMO' THEN '14' WHEN 'SMALL' THEN '15' ELSE '16' END,
+               lpad(substr(p_brand, 7), 2, '0'), CASE WHEN p_size % 10 = 0 THEN '' ELSE lpad(CAST(p_size AS STRING), 2, '0') END) FROM {part}""",
     "group_patterns": "SELECT * FROM (VALUES " + _values([(i, n, d, by, p) for i, n, d, by, ps in GROUPS for p in ps]) + ") AS t(group_id, group_name, display_name, created_by, prefix)",
     "group_list": "SELECT * FROM (VALUES " + _values([g[:4] for g in GROUPS]) + ") AS t(group_id, group_name, display_name, created_by)",
     # exporter-declared exports to each nation, its bloc and the world, in two editions and up to two versions
@@ -68,6 +84,10 @@ SQL: dict[str, str] = {
           CROSS JOIN (VALUES ('CNY', 'CNY 100 Million', 'monthly'), ('USD', 'USD1 Million', 'monthly')) AS e(currency, unit, period_kind)
           CROSS JOIN (VALUES (1), (2)) AS v(version_seen)
          WHERE version_seen = 1 OR (month_idx + k) % 11 = 0""",
+    # published year-to-date rows of the pinned edition
+    "exports_ytd": """
+        SELECT label, month_idx, flow, currency, unit, 'ytd' AS period_kind, version_seen, SUM(value_amount) OVER (PARTITION BY label, flow, FLOOR(month_idx / 12) ORDER BY month_idx) AS value_amount
+          FROM {exports} WHERE currency = 'CNY' AND version_seen = 1""",
     "fx_rates": """
         SELECT 'CNY' AS currency_from, 'EUR' AS currency_to, month_idx AS rate_idx, 0.125e0 + 0.001e0 * (month_idx % 12) AS rate
           FROM (SELECT DISTINCT month_idx FROM {exports_raw}) x WHERE month_idx % 4 <> 3""",
@@ -91,11 +111,26 @@ def needs(name: str) -> list[str]:
     return list(dict.fromkeys(re.findall(r"\{(\w+)\}", SQL[name])))
 
 
+#: Derived tables of a row per country, month and flow: written once for all that a query derives from them.
+WRITTEN = ("exports_raw",)
+
+
+def frames(spark: SparkSession, sf_dir: str, *names: str) -> dict[str, DataFrame]:
+    """Base or derived tables by name; what several of them need is planned, and where small written, once."""
+    made: dict[str, DataFrame] = {}
+
+    def get(name: str) -> DataFrame:
+        if name not in made:
+            df = spark.read.parquet(f"{sf_dir}/{name}.parquet") if name in BASE else spark.sql(SQL[name], **{n: get(n) for n in needs(name)})
+            made[name] = kept(df) if name in WRITTEN else df
+        return made[name]
+
+    return {n: get(n) for n in names}
+
+
 def frame(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """A base table or a derived one as a DataFrame."""
-    if name in BASE:
-        return spark.read.parquet(f"{sf_dir}/{name}.parquet")
-    return spark.sql(SQL[name], **{n: frame(spark, sf_dir, n) for n in needs(name)})
+    return frames(spark, sf_dir, name)[name]
 
 
 def duck(body: str, *names: str, **ctes: str) -> str:

@@ -11,10 +11,12 @@ from pyspark.sql import functions as F
 TOTAL_CODE = "000TOTAL"
 #: Caveats that every finding of a family carries.
 UNIVERSAL_CAVEATS = {
-    "mirror_gap": ("cif_fob", "transshipment"),
-    "mirror_gap_zscore": ("cif_fob", "transshipment"),
-    "hs_group_yoy": ("classification_drift", "cn8_revision", "eurostat_stat_procedure_mix", "multi_partner_sum"),
-    "hs_group_trajectory": ("classification_drift", "cn8_revision", "multi_partner_sum"),
+    "mirror_gap": ("cif_fob", "currency_timing", "general_vs_special_trade", "transshipment", "eurostat_stat_procedure_mix", "multi_partner_sum"),
+    "mirror_gap_zscore": ("cif_fob", "currency_timing", "general_vs_special_trade", "transshipment", "eurostat_stat_procedure_mix", "multi_partner_sum", "aggregate_composition_drift"),
+    "hs_group_yoy": ("cif_fob", "currency_timing", "classification_drift", "eurostat_stat_procedure_mix", "multi_partner_sum", "cn8_revision"),
+    "hs_group_trajectory": ("cif_fob", "currency_timing", "classification_drift", "eurostat_stat_procedure_mix", "multi_partner_sum", "cn8_revision"),
+    "narrative_hs_group": ("llm_drafted",),
+    "partner_share": ("cif_fob", "currency_timing", "classification_drift", "eurostat_stat_procedure_mix", "multi_partner_sum", "cn8_revision", "extra_eu_definitional_drift"),
 }
 SCOPES = {"_uk": "uk", "_combined": "eu_27_plus_uk"}
 

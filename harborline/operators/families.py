@@ -29,12 +29,29 @@ class Limits:
     mover_anchor_yoy: float = 0.10
     mover_leave_out: float = 0.15
     top_floor: float = 1_000_000.0
-    trend: float = 0.02
-    flat: float = 0.05
+    flat_mean: float = 0.02
+    flat_std: float = 0.05
     slope: float = 0.005
+    seasonal: float = 0.5
     least_windows: int = 6
 
 
+def published_by_both(facts: DataFrame, uk: str, *keys: str) -> DataFrame:
+    """keys, month_idx that both sources published, whatever the group: one row per month and key at most."""
+    is_uk = (F.col("reporter") == uk).cast("int")
+    both = facts.groupBy(*keys, "month_idx").agg(F.max(is_uk).alias("by_uk"), F.min(is_uk).alias("by_eu"))
+    return both.where("by_uk = 1 and by_eu = 0").select(*keys, "month_idx")
+
+
+def all_goods(facts: DataFrame, uk: str) -> DataFrame:
+    """Rows that sum to all goods: the total rows of sources that have them, the detail rows of the one that has none.
+
+    Detail and total rows side by side would count every value twice.
+    """
+    is_total = F.col("product_nc") == X.TOTAL_CODE
+    return facts.where(F.when(F.col("reporter") == uk, ~is_total & (F.col("suppression_index") == 0)).otherwise(is_total))
+
+
 def scoped(facts: DataFrame, envelope: tuple[str, ...], uk: str) -> DataFrame:
     """Envelope detail rows with `scope`: each source's own and the combined one, without suppressed rows.
 
@@ -42,11 +59,10 @@ def scoped(facts: DataFrame, envelope: tuple[str, ...], uk: str) -> DataFrame:
     """
     is_uk = F.col("reporter") == uk
     rows = facts.where(X.in_envelope("partner", envelope) & (F.col("product_nc") != X.TOTAL_CODE) & (~is_uk | (F.col("suppression_index") == 0)))
-    rows = rows.withColumn("scope", F.explode(F.when(is_uk, F.array(F.lit("uk"), F.lit("eu_27_plus_uk"))).otherwise(F.array(F.lit("eu_27"), F.lit("eu_27_plus_uk")))))
-    published = facts.groupBy("flow", "month_idx").agg(F.max(is_uk.cast("int")).alias("by_uk"), F.max((~is_uk).cast("int")).alias("by_eu"))
-    aligned = published.where("by_uk = 1 and by_eu = 1").select("flow", "month_idx", F.lit("eu_27_plus_uk").alias("scope"))
-    single = rows.where(F.col("scope") != "eu_27_plus_uk")
-    return single.unionByName(rows.where(F.col("scope") == "eu_27_plus_uk").join(R.lookup(aligned), ["flow", "month_idx", "scope"], "left_semi").select(single.columns))
+    # a row per flow and calendar month: its size does not depend on the facts
+    both = F.broadcast(published_by_both(facts, uk, "flow").withColumn("_both", F.lit(True)))
+    scopes = F.array_compact(F.array(F.when(is_uk, "uk").otherwise("eu_27"), F.when(F.col("_both"), "eu_27_plus_uk")))
+    return rows.join(both, ["flow", "month_idx"], "left").withColumn("scope", F.explode(scopes)).drop("_both")
 
 
 def group_series(facts: DataFrame, patterns: DataFrame, envelope: tuple[str, ...], uk: str) -> DataFrame:
@@ -87,14 +103,22 @@ def yoy_caveats(s: DataFrame, limits: Limits = Limits()) -> Column:
 def windowed_parts(facts: DataFrame, patterns: DataFrame, anchors: DataFrame, part: str, envelope: tuple[str, ...], uk: str) -> DataFrame:
     """Two-window sums of each `part` (reporter, product) of a group at every anchor (KEYS, month_idx).
 
-    A part without a row in the anchor month still has its windows: sums are joined to anchors by month offset.
+    A part without a row in the anchor month still has its windows: a spine of months from its first to 23 after its last
+    row stands beside its sums, and one sort serves both range frames.
     """
-    rows = scoped(facts, envelope, uk).groupBy("product_nc", "reporter", "scope", "flow", "month_idx").agg(F.sum("value_eur").alias("value_eur"), F.sum("quantity_kg").alias("quantity_kg"))
+    rows = scoped(facts, envelope, uk).groupBy("product_nc", *({part} - {"product_nc"}), "scope", "flow", "month_idx").agg(F.sum("value_eur").alias("value_eur"), F.sum("quantity_kg").alias("quantity_kg"))
     months = R.assign_groups(rows, patterns).groupBy(*KEYS, part, "month_idx").agg(F.sum("value_eur").alias("v"), F.coalesce(F.sum("quantity_kg"), F.lit(0)).alias("k"))
-    spread = months.withColumn("back", F.explode(F.sequence(F.lit(0), F.lit(23)))).withColumn("anchor", F.col("month_idx") + F.col("back")).drop("month_idx")
-    half = lambda c, now: F.coalesce(F.sum(F.when((F.col("back") < 12) == F.lit(now), F.col(c))), F.lit(0)).cast("double")
-    sums = spread.groupBy(*KEYS, part, "anchor").agg(half("v", True).alias("part_current"), half("v", False).alias("part_prior"), half("k", True).alias("kg_part_current"), half("k", False).alias("kg_part_prior"))
-    return anchors.join(sums.withColumnRenamed("anchor", "month_idx"), [*KEYS, "month_idx"])
+    by = Window.partitionBy(*KEYS, part).orderBy("month_idx")
+    # each row stands for its own month and for the months up to the next row, at most 23 on
+    until = F.least(F.coalesce(F.lead("month_idx").over(by) - 1, F.col("month_idx") + 23), F.col("month_idx") + 23)
+    spine = months.withColumn("_until", until).withColumn("_at", F.explode(F.sequence("month_idx", "_until")))
+    own = F.col("_at") == F.col("month_idx")
+    spine = spine.select(*KEYS, part, F.when(own, F.col("v")).alias("v"), F.when(own, F.col("k")).alias("k"), F.col("_at").alias("month_idx"))
+    half = lambda c, first, last: F.coalesce(F.sum(c).over(by.rangeBetween(first, last)), F.lit(0)).cast("double")
+    sums = spine.select(
+        *KEYS, part, "month_idx", half("v", -11, 0).alias("part_current"), half("v", -23, -12).alias("part_prior"), half("k", -11, 0).alias("kg_part_current"), half("k", -23, -12).alias("kg_part_prior")
+    )
+    return anchors.join(sums, [*KEYS, "month_idx"])
 
 
 def reporter_breakdown(yoy_rows: DataFrame, facts: DataFrame, patterns: DataFrame, envelope: tuple[str, ...], uk: str, k: int = 10, limits: Limits = Limits()) -> DataFrame:
@@ -144,34 +168,51 @@ def product_mover(codes: DataFrame, limits: Limits = Limits(), key: str = "produ
     return t.withColumn("verdict", verdict)
 
 
-SHAPES = ("rising_accelerating", "rising", "rising_decelerating", "falling_accelerating", "falling", "falling_decelerating", "u_recovery", "inverse_u_peak", "dip_recovery", "failed_recovery", "volatile", "flat")
+#: Shapes and their labels.
+SHAPES = {
+    "flat": "flat", "rising": "sustained rising", "rising_accelerating": "rising, accelerating", "rising_decelerating": "rising, decelerating",
+    "falling": "sustained falling", "falling_accelerating": "falling, accelerating", "falling_decelerating": "falling, decelerating",
+    "u_recovery": "U-shape recovery (was falling, now rising)", "inverse_u_peak": "peak-and-fall (was rising, now falling)",
+    "dip_recovery": "dip-and-recovery (was rising, dipped, now rising again)", "failed_recovery": "failed recovery (was falling, briefly rose, now falling again)",
+    "volatile": "volatile (multiple direction changes)", "insufficient_data": "insufficient data to classify",
+}
 
 
 def trajectory(yoy_rows: DataFrame, keys: list[str] = KEYS, value: str = "value_yoy", limits: Limits = Limits(), smooth: int = 3) -> DataFrame:
-    """The shape of each key's longest run of YoY windows, with features."""
+    """The shape of each key's longest run of YoY windows, with features.
+
+    A run has a few hundred windows at most, so each is one array: slopes, turns and autocorrelation are array functions of it.
+    """
     run = S.smooth_centred(S.longest_run(yoy_rows, keys), keys, value, smooth)
-    w = Window.partitionBy(*keys).orderBy("month_idx")
-    run = run.withColumn("_at", F.row_number().over(w)).withColumn("_n", F.count("*").over(Window.partitionBy(*keys)))
-    half = F.col("_n") / 2
-    features = run.groupBy(*keys).agg(
-        F.count("*").alias("n_windows"), F.min_by(value, "month_idx").alias("first_yoy"), F.max_by(value, "month_idx").alias("last_yoy"), F.max(value).alias("max_yoy"), F.min(value).alias("min_yoy"),
-        F.avg(value).alias("mean_yoy"), F.stddev_pop(value).alias("std_yoy"), F.max(F.abs("smooth")).alias("most_smooth"), F.max_by("smooth", "month_idx").alias("last_smooth"),
-        F.max_by("month_idx", F.struct("smooth", -F.col("month_idx"))).alias("peak_idx"), F.min_by("month_idx", F.struct("smooth", "month_idx")).alias("trough_idx"),
-        (2 * F.sum(F.col("low_base").cast("int")) >= F.count("*")).alias("low_base_majority"), F.min("month_idx").alias("first_idx"), F.max("month_idx").alias("last_idx"),
+    point = F.struct("month_idx", F.col(value).alias("v"), F.col("smooth").alias("s"))
+    t = run.groupBy(*keys).agg(
+        F.array_sort(F.collect_list(point)).alias("p"), F.count("*").alias("n_windows"), F.max(value).alias("max_yoy"), F.min(value).alias("min_yoy"), F.avg(value).alias("mean_yoy"),
+        F.stddev_pop(value).alias("std_yoy"), F.avg(F.abs(value)).alias("mean_abs_yoy"), F.max_by("month_idx", F.struct(value, -F.col("month_idx"))).alias("peak_idx"),
+        F.min_by("month_idx", F.struct(value, "month_idx")).alias("trough_idx"), (2 * F.sum(F.col("low_base").cast("int")) >= F.count("*")).alias("low_base_majority"),
+        F.min("month_idx").alias("first_idx"), F.max("month_idx").alias("last_idx"),
+    ).withColumn("v", F.col("p.v")).withColumn("s", F.col("p.s"))
+    half, n = F.floor(F.size("s") / 2).cast("int"), F.size("s")
+    signs = F.transform("s", lambda x: F.signum(x).cast("int"))
+    t = t.withColumn("signs", signs).withColumn("turning", F.filter("signs", lambda x: x != 0))
+    turns = lambda a: F.size(F.filter(F.sequence(F.lit(1), F.greatest(F.size(a), F.lit(1))), lambda i: F.get(a, i) != F.get(a, i - 1)))
+    crossing = F.filter(F.sequence(F.lit(1), F.greatest(n - 1, F.lit(1))), lambda i: (F.get("signs", i) * F.get("signs", i - 1)) == -1)
+    t = (
+        t.withColumn("first_yoy", F.get("v", F.lit(0))).withColumn("last_yoy", F.element_at("v", -1)).withColumn("last_smooth", F.element_at("s", -1))
+        .withColumn("sign_changes", turns("turning")).withColumn("cross_zero_idx", F.when(F.col("sign_changes") == 1, F.get(crossing, F.lit(0))))
+        .withColumn("slope", S.median_slope(F.col("s"))).withColumn("early_slope", S.median_slope(F.slice("s", F.lit(1), half))).withColumn("late_slope", S.median_slope(F.slice("s", half + 1, n)))
+        .withColumn("seasonal_strength", S.autocorrelation(F.col("v"))).withColumn("seasonal", F.coalesce(F.col("seasonal_strength") >= limits.seasonal, F.lit(False)))
     )
-    late = S.theil_sen(run.where(F.col("_at") > half), keys, "smooth").withColumnRenamed("slope", "late_slope")
-    early = S.theil_sen(run.where(F.col("_at") <= half), keys, "smooth").withColumnRenamed("slope", "early_slope")
-    t = features.join(S.sign_runs(run, keys, "smooth", limits.trend), keys, "left").join(S.theil_sen(run, keys, "smooth"), keys, "left").join(early, keys, "left").join(late, keys, "left")
-    up, down = F.col("last_sign") > 0, F.col("last_sign") < 0
-    pace = lambda name, faster: F.when(faster(F.col("slope")), f"{name}_accelerating").when(faster(-F.col("slope")), f"{name}_decelerating").otherwise(name)
-    changes = F.coalesce("sign_changes", F.lit(0))
+    up, turned, slope = F.col("last_smooth") > 0, F.col("sign_changes"), F.col("slope")
     shape = (
-        F.when(F.col("n_windows") < limits.least_windows, "too_short").when(F.col("most_smooth") < limits.flat, "flat")
-        .when(changes >= 3, "volatile").when((changes == 2) & up, "dip_recovery").when((changes == 2) & down, "failed_recovery")
-        .when((changes == 1) & up, "u_recovery").when(changes == 1, "inverse_u_peak")
-        .when(up, pace("rising", lambda s: s > limits.slope)).when(down, pace("falling", lambda s: s < -limits.slope)).otherwise("flat")
+        F.when(F.col("n_windows") < limits.least_windows, "insufficient_data")
+        .when((F.col("mean_abs_yoy") < limits.flat_mean) & (F.col("std_yoy") < limits.flat_std), "flat")
+        .when(turned == 2, F.when(F.element_at("turning", -1) > 0, "dip_recovery").otherwise("failed_recovery")).when(turned >= 3, "volatile")
+        .when(turned == 1, F.when(up, "u_recovery").otherwise("inverse_u_peak"))
+        .when(up, F.when(slope > limits.slope, "rising_accelerating").when(slope < -limits.slope, "rising_decelerating").otherwise("rising"))
+        .otherwise(F.when(slope < -limits.slope, "falling_accelerating").when(slope > limits.slope, "falling_decelerating").otherwise("falling"))
     )
-    return t.withColumn("shape", shape)
+    label = F.create_map(*(F.lit(x) for kv in SHAPES.items() for x in kv))
+    return t.withColumn("shape", shape).withColumn("shape_label", label[F.col("shape")]).drop("p", "v", "s", "signs", "turning")
 
 
 def canonical_exports(exports: DataFrame) -> DataFrame:
@@ -187,20 +228,20 @@ def to_eur(df: DataFrame, rates: DataFrame, value: str = "value_amount") -> Data
     return rated.withColumn("eur", F.col(value) * F.col("_scale.multiplier") * F.when(F.col("_currency") == "EUR", 1.0).otherwise(F.col("rate"))).drop("_scale", "_currency")
 
 
-def importer_totals(facts: DataFrame, envelope: tuple[str, ...]) -> DataFrame:
-    """reporter, month_idx -> declared imports from the envelope."""
-    rows = facts.where((F.col("flow") == 1) & X.in_envelope("partner", envelope))
+def importer_totals(facts: DataFrame, envelope: tuple[str, ...], uk: str) -> DataFrame:
+    """reporter, month_idx -> declared imports of all goods from the envelope."""
+    rows = all_goods(facts, uk).where((F.col("flow") == 1) & X.in_envelope("partner", envelope))
     return rows.groupBy("reporter", "month_idx").agg(F.sum("value_eur").cast("double").alias("imports"))
 
 
-def mirror_gap(exports: DataFrame, facts: DataFrame, rates: DataFrame, aliases: DataFrame, members: DataFrame, baselines: DataFrame, hubs: DataFrame, envelope: tuple[str, ...]) -> DataFrame:
+def mirror_gap(exports: DataFrame, facts: DataFrame, rates: DataFrame, aliases: DataFrame, members: DataFrame, baselines: DataFrame, hubs: DataFrame, envelope: tuple[str, ...], uk: str) -> DataFrame:
     """Exporter-declared against importer-declared values of every partner and month; `skip` names what is missing.
 
     Single countries compare directly; the one comparable bloc compares with the sum of its members.
     """
     e = R.resolve_country(to_eur(canonical_exports(exports), rates), aliases).where("aggregate_kind is null or aggregate_kind = 'eu_bloc'")
     e = e.withColumn("partner", F.coalesce("iso", F.concat(F.lit("BLOC:"), F.col("aggregate_kind"))))
-    imports = importer_totals(facts, envelope)
+    imports = importer_totals(facts, envelope, uk)
     single = e.where("aggregate_kind is null").withColumn("member", F.col("iso"))
     bloc = R.members_at(e.where("aggregate_kind is not null"), members)
     both = single.unionByName(bloc).join(imports.withColumnRenamed("reporter", "member"), ["member", "month_idx"], "left")
@@ -220,20 +261,36 @@ def mirror_zscore(gaps: DataFrame, n: int = 6, threshold: float = 1.5) -> DataFr
     return z.where(F.abs("z") >= threshold).withColumn("low_baseline_n", F.col("base_n") < n)
 
 
-def partner_yoy(monthly: DataFrame, chunks: DataFrame, keys: list[str], least: int = 8) -> DataFrame:
-    """Bloc or bilateral YoY: combined January-February chunks, at least `least` of 12 months in either half."""
-    s = S.add_jan_feb(monthly, chunks, keys).where((F.col("n_current") >= least) & (F.col("n_prior") >= least) & (F.col("value_prior") != 0))
-    return s.withColumn("value_yoy", X.yoy("value_current", "value_prior")).withColumn("partial_window", (F.col("n_current") < 12) | (F.col("n_prior") < 12)).withColumn("jan_feb_combined", F.col("chunks_current") + F.col("chunks_prior") > 0)
+def partner_yoy(monthly: DataFrame, chunks: DataFrame, keys: list[str], ytd: DataFrame | None = None, least: int = 8) -> DataFrame:
+    """Bloc or bilateral YoY in three registers: rolling 12 months, the single month, and the published year to date.
+
+    Combined January-February chunks count in the windows; at least `least` of 12 months in either half.  ytd: keys, month_idx, ytd.
+    """
+    s = S.single_month(S.add_jan_feb(monthly, chunks, keys), keys).where((F.col("n_current") >= least) & (F.col("n_prior") >= least) & (F.col("value_prior") != 0))
+    s = s.withColumn("value_yoy", X.yoy("value_current", "value_prior")).withColumn("partial_window", (F.col("n_current") < 12) | (F.col("n_prior") < 12)).withColumn("jan_feb_combined", F.col("chunks_current") + F.col("chunks_prior") > 0)
+    marks = F.array(F.when(F.col("jan_feb_combined"), F.lit("jan_feb_combined")), F.when(F.col("partial_window"), F.lit("partial_window")))
+    s = s.withColumn("caveats", F.array_compact(marks))
+    return s if ytd is None else s.join(S.ytd_published(ytd, keys, "ytd").select(*keys, "month_idx", "ytd", "ytd_prior", "ytd_yoy"), [*keys, "month_idx"], "left")
 
 
 def balance_series(facts: DataFrame, envelope: tuple[str, ...], single: str, uk: str) -> DataFrame:
-    """reporter_scope, partner_scope, month_idx -> imports, exports, balance on months with both flows."""
+    """reporter_scope, partner_scope, month_idx -> imports, exports, balance of all goods on months with both flows.
+
+    The combined scope has the months for which both sources have both flows.
+    """
     is_uk = F.col("reporter") == uk
-    rows = facts.where(X.in_envelope("partner", envelope) & (~is_uk | (F.col("suppression_index") == 0)))
+    rows = all_goods(facts, uk).where(X.in_envelope("partner", envelope))
     rows = rows.withColumn("reporter_scope", F.explode(F.array(F.when(is_uk, "uk").otherwise("eu_27"), F.lit("eu_27_plus_uk"))))
     rows = rows.withColumn("partner_scope", F.explode(F.when(F.col("partner") == single, F.array(F.lit("envelope"), F.lit("single"))).otherwise(F.array(F.lit("envelope")))))
-    by = lambda f: F.sum(F.when(F.col("flow") == f, F.col("value_eur"))).cast("double")
-    s = rows.groupBy("reporter_scope", "partner_scope", "month_idx").agg(by(1).alias("imports"), by(2).alias("exports")).where("imports is not null and exports is not null")
+    by = lambda f, c: F.sum(F.when((F.col("flow") == f) & c, F.col("value_eur")))
+    sides = [by(f, c).alias(n) for f, n_ in ((1, "imports"), (2, "exports")) for c, n in ((is_uk, f"uk_{n_}"), (~is_uk, f"eu_{n_}"))]
+    s = rows.groupBy("reporter_scope", "partner_scope", "month_idx").agg(*sides)
+    zero = lambda c: F.coalesce(c, F.lit(0))
+    for n in ("imports", "exports"):
+        eu, own = F.col(f"eu_{n}"), F.col(f"uk_{n}")
+        whole = F.when(F.col("reporter_scope") == "eu_27_plus_uk", eu.isNotNull() & own.isNotNull()).otherwise(eu.isNotNull() | own.isNotNull())
+        s = s.withColumn(n, F.when(whole, zero(eu) + zero(own)).cast("double"))
+    s = s.where("imports is not null and exports is not null").select("reporter_scope", "partner_scope", "month_idx", "imports", "exports")
     return s.withColumn("balance", F.col("imports") - F.col("exports"))
 
 
@@ -246,19 +303,55 @@ def trade_balance(series: DataFrame, months: int = 12) -> DataFrame:
 
 
 def external_totals(facts: DataFrame, members: list[str], keys: list[str]) -> DataFrame:
-    """Totals from partners outside the bloc, with the number of partners."""
+    """Totals from partners outside the bloc, with the number of partners.
+
+    Keys without product_nc are sums over goods, so the caller chooses detail or total rows (`all_goods`).
+    """
     rows = facts.where(~F.col("partner").isin(*members))
     return rows.groupBy(*keys).agg(F.sum("value_eur").cast("double").alias("value"), F.coalesce(F.sum("quantity_kg"), F.lit(0)).cast("double").alias("kg"), F.count_distinct("partner").alias("n_partners"), F.count("*").alias("n_rows"))
 
 
+def allgoods_from_total_row(facts: DataFrame, uk: str, keys: list[str]) -> DataFrame:
+    """All goods of the sources with total rows: keys, month_idx -> value, lineage ids."""
+    rows = facts.where((F.col("reporter") != uk) & (F.col("product_nc") == X.TOTAL_CODE))
+    return rows.groupBy(*keys, "month_idx").agg(F.sum("value_eur").cast("double").alias("value"), F.array_sort(F.collect_list("raw_id")).alias("ids"))
+
+
+def allgoods_from_detail(facts: DataFrame, uk: str, keys: list[str]) -> DataFrame:
+    """All goods of the source without total rows: its detail rows, suppressed ones left out."""
+    rows = facts.where((F.col("reporter") == uk) & (F.col("product_nc") != X.TOTAL_CODE) & (F.col("suppression_index") == 0))
+    return rows.groupBy(*keys, "month_idx").agg(F.sum("value_eur").cast("double").alias("value"), F.array_sort(F.collect_list("raw_id")).alias("ids"))
+
+
 def share_of(num: DataFrame, den: DataFrame, keys: list[str], den_keys: list[str], first_idx: int | None = None) -> DataFrame:
-    """Rolling shares by value and weight; whole windows only; score = |pp| + 100 x share."""
-    s = S.rolling_share(num, den, keys, den_keys, ["value", "kg"]).where(F.col("n_months") == 12)
+    """Rolling shares by value and weight; whole windows of positive denominators only; score = |pp| + 100 x share.
+
+    difference_pp is the share by weight less the share by value.
+    """
+    s = S.rolling_share(num, den, keys, den_keys, ["value", "kg"]).where((F.col("n_months") == 12) & F.col("value_share").isNotNull() & F.col("kg_share").isNotNull())
     s = s if first_idx is None else s.where(F.col("month_idx") >= first_idx)
-    s = s.withColumn("difference_pp", (F.col("value_share") - F.col("kg_share")) * 100)
+    s = s.withColumn("difference_pp", (F.col("kg_share") - F.col("value_share")) * 100)
     return s.withColumn("score", F.abs("difference_pp") + 100 * F.col("value_share"))
 
 
+def allgoods_share(facts: DataFrame, members: list[str], envelope: tuple[str, ...], single: str, uk: str, first_idx: int) -> DataFrame:
+    """flow, month_idx -> rolling share of the envelope in extra-bloc trade of the sources with total rows, and of one partner.
+
+    Months from first_idx on; 12 of 12 months on both sides; the single partner's share is null where it lacks months;
+    `points` is the series as of each month.
+    """
+    rows = facts.where((F.col("reporter") != uk) & (F.col("product_nc") == X.TOTAL_CODE))
+    sums = rows.groupBy("flow", "month_idx").agg(
+        *(F.sum(F.when(c, F.col("value_eur"))).cast("double").alias(n) for n, c in (("env", X.in_envelope("partner", envelope)), ("one", F.col("partner") == single), ("den", ~F.col("partner").isin(*members))))
+    )
+    w = S.over_months(["flow"], -11, 0)
+    whole = lambda c: F.count(c).over(w) == 12
+    total = lambda c: F.sum(c).over(w)
+    s = sums.withColumn("_env", F.when(whole("env") & whole("den") & (total("den") > 0), total("env") / total("den"))).withColumn("_one", F.when(whole("one"), total("one") / total("den")))
+    s = s.where((F.col("month_idx") >= first_idx) & F.col("_env").isNotNull() & F.col("env").isNotNull()).select("flow", "month_idx", F.col("_env").alias("value_share"), F.col("_one").alias("single_share"))
+    return s.withColumn("points", F.array_sort(F.collect_list(F.struct("month_idx", "value_share")).over(Window.partitionBy("flow").orderBy("month_idx").rowsBetween(Window.unboundedPreceding, 0))))
+
+
 def partner_balance(bilateral: DataFrame, current: str = "value_current", prior: str = "value_prior") -> DataFrame:
     """Exports less imports of each partner and anchor; YoY null on a low base, a sign flip or |yoy| >= 5."""
     side = lambda f, c: F.max(F.when(F.col("flow") == f, F.col(c)))
@@ -273,7 +366,7 @@ def trade_map(codes: DataFrame, divisions: DataFrame, grouped: DataFrame) -> Dat
 
     codes: product_nc, value; divisions: product_nc, division; grouped: product_nc of any group.
     """
-    c = codes.where(X.is_detail_code("product_nc")).join(R.lookup(divisions), "product_nc", "left").join(R.lookup(grouped.distinct().withColumn("_in", F.lit(True))), "product_nc", "left")
+    c = codes.where(X.is_detail_code("product_nc")).join(divisions, "product_nc", "left").join(grouped.distinct().withColumn("_in", F.lit(True)), "product_nc", "left")
     d = c.groupBy(F.coalesce("division", F.lit("unclassified")).alias("division")).agg(F.sum("value").alias("value"), F.coalesce(F.sum(F.when(F.col("_in"), F.col("value"))), F.lit(0.0)).alias("covered"), F.count_distinct("product_nc").alias("n_codes"))
     total = d.agg(F.sum("value").alias("_t"))
     return d.join(F.broadcast(total)).select("division", "value", (F.col("value") / F.col("_t")).alias("share"), (F.col("covered") / F.col("value")).alias("covered_share"), "n_codes")
@@ -287,7 +380,7 @@ def group_facets(patterns: DataFrame, codes: DataFrame) -> DataFrame:
 def theme_rollup(codes: DataFrame, themes: DataFrame) -> DataFrame:
     """Value per theme; themes overlap and are never totalled.  themes: theme, prefix; codes: product_nc, value."""
     pairs = R.group_codes(codes, themes.select(F.col("theme").alias("group_name"), "prefix"))
-    return codes.join(R.lookup(pairs.select("product_nc", "group_name").distinct()), "product_nc").groupBy(F.col("group_name").alias("theme")).agg(F.sum("value").alias("value"))
+    return codes.join(pairs.select("product_nc", "group_name").distinct(), "product_nc").groupBy(F.col("group_name").alias("theme")).agg(F.sum("value").alias("value"))
 
 
 def chart_series(series: DataFrame, keys: list[str], anchors: DataFrame, months: int = 24) -> DataFrame:
@@ -296,11 +389,13 @@ def chart_series(series: DataFrame, keys: list[str], anchors: DataFrame, months:
     return spine.join(series, [*keys, "month_idx"], "left").withColumn("half", F.when(F.col("anchor") - F.col("month_idx") < months // 2, "current").otherwise("prior"))
 
 
-def cross_check(own: DataFrame, other: DataFrame, keys: list[str]) -> DataFrame:
-    """Both sides' window sums per month present, and the gap in percent of the own side."""
-    o = other.select(*keys, F.col("value_current").alias("other_current"), F.col("n_current").alias("other_n"))
-    j = own.join(o, keys).withColumn("own_month", F.col("value_current") / F.col("n_current")).withColumn("other_month", F.col("other_current") / F.col("other_n"))
-    return j.withColumn("gap_pct", F.when(F.col("own_month") != 0, (F.col("other_month") - F.col("own_month")) / F.col("own_month")))
+def cross_check(own: DataFrame, other: DataFrame, keys: list[str], months: int = 12) -> DataFrame:
+    """A finding's window per month present against the other declarer's (keys, month_idx, imports) over the same window, and the gap in
+    percent of the own side.  Windows of a key are short, so its months are joined by their offset."""
+    at = other.select(*keys, F.col("imports"), F.explode(F.sequence("month_idx", F.col("month_idx") + (months - 1))).alias("month_idx"))
+    o = at.groupBy(*keys, "month_idx").agg(F.sum("imports").alias("other_current"), F.count("*").alias("other_n"))
+    j = own.join(o, [*keys, "month_idx"]).withColumn("own_month", F.col("value_current") / F.col("n_current")).withColumn("other_month", F.col("other_current") / F.col("other_n"))
+    return j.where("own_month <> 0").withColumn("gap_pct", (F.col("other_month") - F.col("own_month")) / F.col("own_month"))
 
 
 def skip_reasons(df: DataFrame, reason: str = "skip") -> DataFrame:

@@ -96,7 +96,7 @@ def held_groups(groups: DataFrame) -> DataFrame:
 
 
 def without_held(df: DataFrame, groups: DataFrame) -> DataFrame:
-    return df.join(F.broadcast(held_groups(groups).select("group_name")), "group_name", "left_anti")
+    return df.join(held_groups(groups).select("group_name"), "group_name", "left_anti")
 
 
 def withdraw_interval(ledger: DataFrame, from_ts: Column, to_ts: Column, subkinds: list[str]) -> DataFrame:

@@ -22,7 +22,7 @@ def duplicate_keys(df: DataFrame, keys: list[str]) -> DataFrame:
 
 
 def unexpected(df: DataFrame, known: DataFrame, key: str) -> DataFrame:
-    return df.select(key).distinct().join(R.lookup(known.select(key).distinct()), key, "left_anti")
+    return df.select(key).distinct().join(known.select(key).distinct(), key, "left_anti")
 
 
 def reconcile(facts: DataFrame, key: str, tolerance: float = 0.15) -> DataFrame:
@@ -52,7 +52,7 @@ def not_present(incoming: DataFrame, existing: DataFrame, keys: list[str]) -> Da
 
 def publication_expectation(periods: DataFrame, calendar: DataFrame, as_of: Column, lag_days: int = 45, grace_days: int = 5) -> DataFrame:
     """due date (exact from the calendar, else close of the month plus lag) and none_expected / due / overdue."""
-    c = R.lookup(calendar.select("source", "month_idx", "exact_date"))
+    c = calendar.select("source", "month_idx", "exact_date")
     due = F.coalesce("exact_date", F.date_add(F.last_day(X.month_start("month_idx")), lag_days))
     p = periods.join(c, ["source", "month_idx"], "left").withColumn("due", due)
     state = F.when(as_of < F.col("due"), "none_expected").when(as_of <= F.date_add("due", grace_days), "due").otherwise("overdue")

@@ -42,7 +42,7 @@ def top_movers(yoy_rows: DataFrame, badges: DataFrame, held: DataFrame, floor: f
     """The k highest scores at the latest anchor of a scope: large, moved, not low base, not red, not held."""
     rows = R.at_latest_anchor(yoy_rows.where(F.col("scope") == scope), [])
     rows = rows.where(~F.col("low_base") & (F.col("value_current") >= floor) & (F.abs("value_yoy") >= least))
-    rows = rows.join(R.lookup(badges.where("badge = 'red'")), "group_name", "left_anti").join(R.lookup(held), "group_name", "left_anti")
+    rows = rows.join(badges.where("badge = 'red'"), "group_name", "left_anti").join(held, "group_name", "left_anti")
     return rows.withColumn("score", mover_score("value_yoy", "value_current")).orderBy(F.desc("score"), "group_name", "flow").limit(k)
 
 
@@ -76,9 +76,9 @@ def movers_section(yoy_rows: DataFrame, k: int = 10) -> DataFrame:
 
 
 def section_order(rows: DataFrame, section: str, value: str, last: str = "9") -> DataFrame:
-    """Sections by their total value, one fixed section last."""
+    """Sections with their total value, the largest first and one fixed section last."""
     totals = rows.groupBy(section).agg(F.sum(value).alias("section_value"))
-    return R.top_k(totals.withColumn("_all", F.lit(1)), ["_all"], 1 << 30, F.asc((F.col(section) == last).cast("int")), F.desc("section_value"), F.asc(section)).drop("_all")
+    return totals.orderBy(F.asc((F.col(section) == last).cast("int")), F.desc("section_value"), F.asc(section))
 
 
 def interest_shortlist(branches: dict[str, tuple[DataFrame, Column, int]], headline: DataFrame, cap: int = 8) -> DataFrame:
@@ -91,7 +91,7 @@ def interest_shortlist(branches: dict[str, tuple[DataFrame, Column, int]], headl
     for p in parts[1:]:
         every = every.unionByName(p)
     s = every.groupBy("subject").agg(F.count_distinct("kind").alias("n_kinds"), F.max("strength").alias("strength"), F.array_join(F.array_sort(F.collect_set("kind")), ",").alias("kinds"))
-    return s.join(R.lookup(headline), "subject", "left_anti").orderBy(F.desc("n_kinds"), F.desc("strength"), "subject").limit(cap)
+    return s.join(headline, "subject", "left_anti").orderBy(F.desc("n_kinds"), F.desc("strength"), "subject").limit(cap)
 
 
 FLIPS = ("inverse_u_peak", "failed_recovery")
@@ -132,7 +132,7 @@ def cited_releases(findings: DataFrame, releases: DataFrame) -> DataFrame:
 def caveat_reference(universal: DataFrame, definitions: DataFrame) -> DataFrame:
     """Universal caveats with their definitions; missing ones are marked."""
     u = universal.select("family", F.explode("codes").alias("code"))
-    return u.join(R.lookup(definitions), "code", "left").withColumn("defined", F.col("definition").isNotNull())
+    return u.join(definitions, "code", "left").withColumn("defined", F.col("definition").isNotNull())
 
 
 def own_caveats(codes: Column | str, subkind: Column | str) -> Column:

@@ -5,25 +5,44 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Lookup tables are broadcast only when a count shows at most this many rows.
-LOOKUP_ROWS = 500_000
 
 
-def lookup(df: DataFrame, rows: int = LOOKUP_ROWS) -> DataFrame:
-    """df with a broadcast hint where its counted size allows, else as it is."""
-    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
+def group_patterns_alone(patterns: DataFrame) -> DataFrame:
+    """The prefixes of each group less those that a shorter prefix of the group covers: a code matches a group once at most."""
+    p = patterns.distinct()
+    shorter = p.select(F.col("group_name").alias("_g"), F.col("prefix").alias("_p"))
+    covered = (F.col("group_name") == F.col("_g")) & (F.length("_p") < F.length("prefix")) & F.col("prefix").startswith(F.col("_p"))
+    return p.join(shorter, covered, "left_anti")
+
+
+def assign_groups(facts: DataFrame, patterns: DataFrame, code: str = "product_nc") -> DataFrame:
+    """One row per fact and matching group; groups overlap, so never sum across groups.
+
+    An equi-join on the prefixes of each 8-digit code with the dimension of patterns, which Spark broadcasts by its own size
+    check; callers sum facts to codes first.
+    """
+    heads = facts.where(F.col(code).rlike("^[0-9]{8}$")).withColumn("prefix", F.explode(F.array(*(F.substring(code, 1, n) for n in range(1, 9)))))
+    return heads.join(group_patterns_alone(patterns), "prefix").drop("prefix")
 
 
 def group_codes(codes: DataFrame, patterns: DataFrame, code: str = "product_nc") -> DataFrame:
-    """(code, group columns) for every group with a prefix of the code: an equi-join per prefix length."""
-    lengths = [r[0] for r in patterns.select(F.length("prefix")).distinct().collect()]  # a code has 8 characters
-    heads = codes.select(code).distinct().where(F.col(code).rlike("^[0-9]{8}$")).select(code, F.explode(F.array(*(F.substring(code, 1, n) for n in sorted(lengths)))).alias("prefix"))
-    return heads.join(lookup(patterns), "prefix").drop("prefix").distinct()
+    """(code, group columns) for every group with a prefix of the code."""
+    return assign_groups(codes.select(code).distinct(), patterns, code)
 
 
-def assign_groups(facts: DataFrame, patterns: DataFrame, code: str = "product_nc") -> DataFrame:
-    """One row per fact and matching group; groups overlap, so never sum across groups."""
-    return facts.join(lookup(group_codes(facts, patterns, code)), code)
+def select_groups(groups: DataFrame, names: list[str] | None = None) -> DataFrame:
+    """The groups of these names (None: all), by id."""
+    return (groups if names is None else groups.where(F.col("group_name").isin(*names))).orderBy("group_id")
+
+
+def with_release(observations: DataFrame, releases: DataFrame, key: str = "release_id") -> DataFrame:
+    """Observations with their release; those of unknown releases go."""
+    return observations.join(releases, key)
+
+
+def of_group(findings: DataFrame, group_id: Column | int, ids: str = "hs_group_ids") -> DataFrame:
+    """Findings whose array of groups has the group."""
+    return findings.where(F.array_contains(ids, group_id))
 
 
 def latest_by(df: DataFrame, keys: list[str], *order: Column) -> DataFrame:
@@ -47,27 +66,27 @@ def at_latest_anchor(df: DataFrame, keys: list[str], anchor: str = "month_idx")
 def resolve_country(df: DataFrame, aliases: DataFrame, label: str = "label") -> DataFrame:
     """iso and aggregate_kind of a label: codes stand for themselves, others are looked up exactly; null: unresolved."""
     known = aliases.select(F.col("label").alias(label), F.col("iso").alias("_iso"), "aggregate_kind")
-    own = F.when(F.col(label).rlike("^[A-Z][A-Z0-9]{1,2}$"), F.col(label))
-    return df.join(lookup(known), label, "left").withColumn("iso", F.coalesce("_iso", own)).drop("_iso")
+    own = F.when(F.col(label).rlike("^[A-Z]{2}$"), F.col(label))
+    return df.join(known, label, "left").withColumn("iso", F.coalesce("_iso", own)).drop("_iso")
 
 
 def members_at(df: DataFrame, members: DataFrame, anchor: str = "month_idx", kind: str = "aggregate_kind") -> DataFrame:
     """A row per member of each row's bloc that is valid at its anchor (open bounds)."""
     m = members.select(F.col("aggregate_kind").alias("_kind"), F.col("iso").alias("member"), "valid_from", "valid_to")
     inside = (F.col(anchor) >= F.coalesce("valid_from", F.lit(-(1 << 31)))) & (F.col(anchor) <= F.coalesce("valid_to", F.lit((1 << 31) - 1)))
-    return df.join(lookup(m), (F.col(kind) == F.col("_kind")) & inside).drop("_kind", "valid_from", "valid_to")
+    return df.join(m, (F.col(kind) == F.col("_kind")) & inside).drop("_kind", "valid_from", "valid_to")
 
 
 def asof_rate(df: DataFrame, rates: DataFrame, currency: str, anchor: str = "month_idx") -> DataFrame:
     """rate and rate_idx: the latest rate on or before the anchor; null without one.
 
-    Anchors and rates are merged per currency and month (few rows) and the last rate is carried forward.
+    Anchors and rates are merged per currency and month (one row each) and the last rate is carried forward.
     """
     r = rates.select(F.col("currency_from").alias(currency), F.col("rate_idx").alias(anchor), "rate", "rate_idx")
     wanted = df.select(currency, anchor).distinct().join(r, [currency, anchor], "full")
     w = Window.partitionBy(currency).orderBy(anchor)
     carried = wanted.select(currency, anchor, F.last("rate", True).over(w).alias("rate"), F.last("rate_idx", True).over(w).alias("rate_idx"))
-    return df.join(lookup(carried), [currency, anchor], "left")
+    return df.join(carried, [currency, anchor], "left")
 
 
 def baseline_for(df: DataFrame, baselines: DataFrame, partner: str, fallback: float = 0.075) -> DataFrame:
@@ -75,12 +94,12 @@ def baseline_for(df: DataFrame, baselines: DataFrame, partner: str, fallback: fl
     own = baselines.where("partner is not null").select(F.col("partner").alias(partner), F.col("baseline").alias("_own"))
     wide = baselines.where("partner is null").agg(F.max("baseline").alias("_wide"))
     scope = F.when(F.col("_own").isNotNull(), "per_partner").when(F.col("_wide").isNotNull(), "global").otherwise("fallback")
-    return df.join(lookup(own), partner, "left").join(F.broadcast(wide)).withColumn("baseline", F.coalesce("_own", "_wide", F.lit(fallback))).withColumn("baseline_scope", scope).drop("_own", "_wide")
+    return df.join(own, partner, "left").join(F.broadcast(wide)).withColumn("baseline", F.coalesce("_own", "_wide", F.lit(fallback))).withColumn("baseline_scope", scope).drop("_own", "_wide")
 
 
 def hub_flag(df: DataFrame, hubs: DataFrame, partner: str) -> DataFrame:
     h = hubs.select(F.col("iso").alias(partner), F.lit(True).alias("_hub"))
-    return df.join(lookup(h), partner, "left").withColumn("is_hub", F.coalesce("_hub", F.lit(False))).drop("_hub")
+    return df.join(h, partner, "left").withColumn("is_hub", F.coalesce("_hub", F.lit(False))).drop("_hub")
 
 
 def aligned_months(eu: DataFrame, uk: DataFrame) -> DataFrame:

@@ -10,12 +10,13 @@ from harborline.operators import families as A
 from harborline.operators import ranking as K
 from harborline.operators import relational as R
 from harborline.operators import series as S
+from harborline.sources.sinks import kept
 
 KEYS = ["group_name", "scope", "flow"]
 #: Fixed order of shapes in the trajectory section: stories first, then directions, then the rest.
 SHAPE_ORDER = (
     "dip_recovery", "failed_recovery", "u_recovery", "inverse_u_peak", "rising_accelerating", "falling_accelerating", "rising", "falling",
-    "rising_decelerating", "falling_decelerating", "volatile", "flat", "too_short",
+    "rising_decelerating", "falling_decelerating", "volatile", "flat", "insufficient_data",
 )
 
 
@@ -130,7 +131,7 @@ def new_releases_since(releases: DataFrame, mark: Column) -> DataFrame:
 
 def report(facts: DataFrame, patterns: DataFrame, envelope: tuple[str, ...], uk: str, limits: A.Limits = A.Limits()) -> dict[str, DataFrame]:
     """The main sheets by name, ready for `sinks.write_report`; the YoY table is computed once."""
-    yoy = A.group_yoy(A.group_series(facts, patterns, envelope, uk), limits).cache()
+    yoy = kept(A.group_yoy(A.group_series(facts, patterns, envelope, uk), limits))
     badges = K.stability_badge(K.stability_pairs(yoy))
     return {
         "hs_yoy": K.latest_sheet(yoy, KEYS, ["value_yoy", "kg_yoy", "low_base", "fragile"]), "trajectories": A.trajectory(yoy, limits=limits), "stability_index": stability_index(badges),

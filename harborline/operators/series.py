@@ -103,11 +103,11 @@ def series_gaps(series: DataFrame, keys: list[str], skip_january: bool = False)
 
 def longest_run(series: DataFrame, keys: list[str]) -> DataFrame:
     """The rows of the longest run of consecutive months of each key; the earliest of equals."""
-    by = Window.partitionBy(*keys).orderBy("month_idx")
-    islands = series.withColumn("_island", F.col("month_idx") - F.row_number().over(by))
-    size = islands.groupBy(*keys, "_island").agg(F.count("*").alias("_n"), F.min("month_idx").alias("_first"))
-    best = size.groupBy(*keys).agg(F.max_by("_island", F.struct("_n", -F.col("_first"))).alias("_island"))
-    return islands.join(best, [*keys, "_island"], "left_semi").drop("_island")
+    by = Window.partitionBy(*keys)
+    islands = series.withColumn("_island", F.col("month_idx") - F.row_number().over(by.orderBy("month_idx")))
+    run = Window.partitionBy(*keys, "_island")
+    sized = islands.withColumn("_run", F.struct(F.count("*").over(run).alias("n"), (-F.min("month_idx").over(run)).alias("first")))
+    return sized.withColumn("_best", F.max("_run").over(by)).where("_run = _best").drop("_island", "_run", "_best")
 
 
 def smooth_centred(series: DataFrame, keys: list[str], value: str, window: int = 3) -> DataFrame:
@@ -126,25 +126,52 @@ def sign_runs(series: DataFrame, keys: list[str], value: str, flat: float = 0.0)
     )
 
 
+def middle(sorted_values: Column) -> Column:
+    """The median of a sorted array, null of an empty one."""
+    at = lambda i: F.get(sorted_values, F.floor(i).cast("int"))
+    return (at((F.size(sorted_values) - 1) / 2) + at(F.size(sorted_values) / 2)) / 2
+
+
+def median_slope(values: Column) -> Column:
+    """Theil-Sen: the median slope of all pairs of an array (positions count, not months); 0 under two values."""
+    slopes = F.flatten(F.transform(values, lambda a, i: F.transform(F.slice(values, i + 2, F.size(values)), lambda b, j: (b - a) / (j + 1))))
+    return F.when(F.size(values) > 1, F.get(F.transform(F.array(F.array_sort(slopes)), middle), F.lit(0))).otherwise(F.lit(0.0))
+
+
+def autocorrelation(values: Column, lag: int = 12) -> Column:
+    """Correlation of an array with itself `lag` places on, less its Theil-Sen line; null under lag + 2 values or without variance."""
+    bind = lambda x, f: F.get(F.transform(F.array(x), f), F.lit(0))
+    total = lambda a: F.aggregate(a, F.lit(0.0), lambda t, x: t + x)
+    mean = lambda a: total(a) / F.size(a)
+
+    def correlation(r: Column) -> Column:
+        a, b = F.slice(r, F.lit(1), F.size(r) - lag), F.slice(r, F.lit(lag + 1), F.size(r))
+        less = lambda x: bind(mean(x), lambda m: F.transform(x, lambda v: v - m))
+        return bind(F.struct(less(a).alias("a"), less(b).alias("b")), lambda p: ratio(p["a"], p["b"]))
+
+    def ratio(a: Column, b: Column) -> Column:
+        square = total(F.transform(a, lambda x: x * x)) * total(F.transform(b, lambda x: x * x))
+        return F.when(square > 1e-24, total(F.zip_with(a, b, lambda x, y: x * y)) / F.sqrt(square))
+
+    line = lambda m: F.transform(values, lambda v, i: v - m * i)
+    rest = bind(median_slope(values), line)
+    level = bind(rest, lambda r: F.transform(r, lambda v: v - middle(F.array_sort(r))))
+    return F.when(F.size(values) >= lag + 2, bind(level, correlation))
+
+
+def _arrays(series: DataFrame, keys: list[str], value: str) -> DataFrame:
+    points = series.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("month_idx", F.col(value).alias("v")))).alias("p"))
+    return points.select(*keys, F.col("p.v").alias("v"))
+
+
 def theil_sen(series: DataFrame, keys: list[str], value: str) -> DataFrame:
     """keys -> slope: the median of all pairwise slopes (positions count, not months)."""
-    points = series.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("month_idx", F.col(value).alias("v")))).alias("p"))
-    slopes = F.flatten(F.transform("p", lambda a, i: F.transform(F.slice(F.col("p"), i + 2, F.size("p")), lambda b, j: (b["v"] - a["v"]) / (j + 1))))
-    middle = lambda s: (F.get(s, F.floor((F.size(s) - 1) / 2).cast("int")) + F.get(s, F.floor(F.size(s) / 2).cast("int"))) / 2
-    return points.where(F.size("p") > 1).select(*keys, F.array_sort(slopes).alias("s")).select(*keys, middle(F.col("s")).alias("slope"))
+    return _arrays(series, keys, value).where(F.size("v") > 1).select(*keys, median_slope(F.col("v")).alias("slope"))
 
 
 def seasonal_autocorr(series: DataFrame, keys: list[str], value: str, lag: int = 12) -> DataFrame:
     """keys -> autocorr of the detrended series at the lag; null under lag + 2 points or without variance."""
-    at = F.row_number().over(Window.partitionBy(*keys).orderBy("month_idx")) - 1
-    fit = theil_sen(series, keys, value)
-    rest = series.join(fit, keys).withColumn("_at", at).withColumn("_r", F.col(value) - F.col("slope") * F.col("_at"))
-    level = rest.groupBy(*keys).agg(F.median("_r").alias("_level"), F.count("*").alias("_n"))
-    rest = rest.join(level, keys).withColumn("_r", F.col("_r") - F.col("_level"))
-    w = Window.partitionBy(*keys)
-    rest = rest.withColumn("_r", F.col("_r") - F.avg("_r").over(w)).withColumn("_lag", F.lag("_r", lag).over(w.orderBy("month_idx")))
-    out = rest.groupBy(*keys).agg((F.sum(F.col("_r") * F.col("_lag")) / F.sum(F.col("_r") * F.col("_r"))).alias("c"), F.first("_n").alias("n"), F.sum(F.col("_r") * F.col("_r")).alias("var"))
-    return out.select(*keys, F.when((F.col("n") >= lag + 2) & (F.col("var") > 1e-12), F.col("c")).alias("autocorr"))
+    return _arrays(series, keys, value).select(*keys, autocorrelation(F.col("v"), lag).alias("autocorr"))
 
 
 def rolling_share(num: DataFrame, den: DataFrame, keys: list[str], den_keys: list[str], values: list[str], months: int = 12) -> DataFrame:

@@ -13,27 +13,38 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: What is blanked before numbers are read, and words that turn a percentage negative.
-BLANKED = [r"\b(?:19|20)\d{2}\b", r"\b\d+\s*(?:-|–)?\s*(?:months?|years?|quarters?|weeks?|days?)\b", r"\b(?:codes?|headings?|HS|CN8?)\s*\d{4,8}\b", r"\b\d{8}\b", r"\bEU-?\d{2}\b", r"\bchapters?\s+\d+\b"]
-DECREASES = r"\b(?:fell|fall|falls|down|drop|dropped|declin\w*|decreas\w*|lower|shrank|contract\w*)\b"
-NUMBER = re.compile(r"(?P<sign>[-+−])?(?P<cur>[€£$])?(?P<num>\d[\d,]*(?:\.\d+)?)\s*(?P<scale>bn|billion|B|mn|million|M|k|thousand)?\s*(?P<pct>%|per ?cent|pp)?")
-SCALES = {"bn": 1e9, "billion": 1e9, "B": 1e9, "mn": 1e6, "million": 1e6, "M": 1e6, "k": 1e3, "thousand": 1e3}
-_BLANK = re.compile("|".join(BLANKED), re.IGNORECASE)
-_DOWN = re.compile(DECREASES, re.IGNORECASE)
+#: What is no fact (with the word that stands for it), words that turn a percentage negative, scales.
+NO_FACTS = (
+    ("YEAR", r"\b(?:19|20)\d{2}\b", 0),
+    ("PERIOD", r"\b\d+[-\s]+(?:month|year|day|week|quarter|period|window)s?\b", re.IGNORECASE),
+    ("HSCODE", r"\b(?:HS|CN8|codes?)\s*\d{4,8}\b", re.IGNORECASE),
+    ("GEOLABEL", r"\b(?:EU|G)-?\d{1,3}\b", 0),
+    ("CHAPTER", r"\b(?:chapters?\s+|HS[-\s]?)\d{1,2}(?:[-/\u2013]\d{1,2})?\b", re.IGNORECASE),
+)
+DECREASES = ("decreas\\w*", "declin\\w*", "fell", "fall\\w*", "dropp?\\w*", "reduc\\w*", "cut\\w*", "down", "lost", "loss\\w*")
+SCALES = {"billion": 1e9, "bn": 1e9, "b": 1e9, "million": 1e6, "m": 1e6, "thousand": 1e3, "k": 1e3}
+_NO_FACTS = [(word, re.compile(p, flags)) for word, p, flags in NO_FACTS]
+_DOWN = re.compile(rf"\b(?:{'|'.join(DECREASES)})\b", re.IGNORECASE)
+_UNIT = "|".join(sorted((*SCALES, "kg"), key=lambda u: -len(u)))
+#: A number begins neither inside a word nor inside another number; a unit of letters ends where its word ends.
+NUMBER = re.compile(rf"(?<![A-Za-z0-9])(?:€\s*)?(?P<sign>[-+]?)(?P<num>(?:\d{{1,3}}(?:,\d{{3}})+|\d+)(?:\.\d+)?)\s*(?P<unit>%|(?:{_UNIT})\b)?", re.IGNORECASE)
 
 
 def numbers_in(text: str, near: int = 40) -> list[tuple[str, float, str]]:
-    """(raw, value, kind) of each number; a percentage without sign near a decrease word is negative."""
-    text = _BLANK.sub(lambda m: " " * len(m[0]), text)
+    """(raw, value, kind) of each number: pct (as a fraction), currency (with a scale) or count.
+
+    A percentage without a sign is negative where a word of decrease stands within `near` characters.
+    """
+    for word, p in _NO_FACTS:
+        text = p.sub(word, text)
     out = []
     for m in NUMBER.finditer(text):
-        value = float(m["num"].replace(",", "")) * SCALES.get(m["scale"] or "", 1.0)
-        kind = "pct" if m["pct"] else "currency" if m["cur"] else "count"
-        if m["sign"] in ("-", "−"):
-            value = -value
-        elif kind == "pct" and not m["sign"] and _DOWN.search(text[max(0, m.start() - near) : m.end() + near]):
+        unit = (m["unit"] or "").lower()
+        value = float(m["num"].replace(",", ""))
+        if m["sign"] == "-" or (unit == "%" and not m["sign"] and _DOWN.search(text[max(0, m.start() - near) : m.end() + near])):
             value = -value
-        out.append((m[0].strip(), value / 100 if kind == "pct" else value, kind))
+        kind = "pct" if unit == "%" else "currency" if unit in SCALES else "count"
+        out.append((m[0].strip(), value / 100 if kind == "pct" else value * SCALES.get(unit, 1.0), kind))
     return out
 
 
@@ -71,7 +82,7 @@ def verify_numbers(numbers: DataFrame, facts: DataFrame, pct: float = 0.005, cur
 def validate_drafts(drafts: DataFrame, catalogue: DataFrame, verified: DataFrame) -> DataFrame:
     """The first reason against each draft (draft_id, text, hypothesis_ids), or `ok`."""
     ids = drafts.select("draft_id", F.explode_outer("hypothesis_ids").alias("hypothesis_id"))
-    unknown = ids.where("hypothesis_id is not null").join(F.broadcast(catalogue.select("hypothesis_id")), "hypothesis_id", "left_anti").groupBy("draft_id").agg(F.count("*").alias("n_unknown"))
+    unknown = ids.where("hypothesis_id is not null").join(catalogue.select("hypothesis_id"), "hypothesis_id", "left_anti").groupBy("draft_id").agg(F.count("*").alias("n_unknown"))
     failed = verified.where(~F.col("verified")).groupBy("draft_id").agg(F.count("*").alias("n_failed"))
     j = drafts.join(unknown, "draft_id", "left").join(failed, "draft_id", "left")
     reason = (
@@ -83,7 +94,7 @@ def validate_drafts(drafts: DataFrame, catalogue: DataFrame, verified: DataFrame
 
 def corroboration_steps(drafts: DataFrame, catalogue: DataFrame) -> DataFrame:
     """The steps of a draft's hypotheses in catalogue order, each once.  catalogue: hypothesis_id, ord, steps."""
-    j = drafts.select("draft_id", F.explode("hypothesis_ids").alias("hypothesis_id")).join(F.broadcast(catalogue), "hypothesis_id")
+    j = drafts.select("draft_id", F.explode("hypothesis_ids").alias("hypothesis_id")).join(catalogue, "hypothesis_id")
     listed = j.groupBy("draft_id").agg(F.array_sort(F.collect_set(F.struct("ord", "steps"))).alias("all"))
     return listed.select("draft_id", F.array_distinct(F.flatten(F.col("all.steps"))).alias("steps"))
 
@@ -92,4 +103,4 @@ def rejection_rates(log: DataFrame) -> DataFrame:
     """Counts and shares by stage, reason and model."""
     n = log.groupBy("stage", "reason", "model").agg(F.count("*").alias("n"))
     total = log.groupBy("stage").agg(F.count("*").alias("_t"))
-    return n.join(F.broadcast(total), "stage").withColumn("share", F.col("n") / F.col("_t")).drop("_t")
+    return n.join(total, "stage").withColumn("share", F.col("n") / F.col("_t")).drop("_t")

@@ -4,17 +4,18 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from harborline.fixtures import ENVELOPE, SINGLE_PARTNER, UK, duck, frame
+from harborline.fixtures import ENVELOPE, UK, duck, frame, frames
 from harborline.functions import expr as X
 from harborline.operators import families as A
 from harborline.operators import ranking as K
 from harborline.operators import relational as R
 from harborline.operators import sections as C
 from harborline.plans import report_queries as Q
-from harborline.plans.series_queries import CODE_GROUPS, KEYS, LIMITS, r6, with_series, yoy_of
+from harborline.plans.series_queries import ALL_GOODS, CODE_GROUPS, IN_ENV, KEYS, LIMITS, MOVER_CTES, RUN, allgoods_of, balance_of, movers_of, r6, shapes, shared_yoy, with_series, yoy_of
 from harborline.registry import ORACLES, query
+from harborline.sources.sinks import kept
 
-BLOC_TABLES = ("exports", "fx_rates", "aliases")
+BLOC_TABLES = ("exports", "exports_ytd", "fx_rates", "aliases")
 SINGLE = "SELECT b.* FROM bloc b JOIN aliases a USING (label) WHERE a.aggregate_kind IS NULL OR a.aggregate_kind = 'eu_bloc'"
 BILATERAL = "aggregate_kind is null or aggregate_kind = 'eu_bloc'"
 
@@ -30,17 +31,17 @@ def r0c(spark, sf):
 
 @query("r2_trade_balance_sheet", "SELECT reporter_scope, partner_scope, month_idx, balance_current, balance_yoy FROM (SELECT *, row_number() OVER (PARTITION BY reporter_scope, partner_scope ORDER BY month_idx DESC) AS rk FROM (" + ORACLES["b7_trade_balance"] + ") b) c WHERE rk = 1")
 def r2(spark, sf):
-    b = A.trade_balance(A.balance_series(frame(spark, sf, "facts"), ENVELOPE, SINGLE_PARTNER, UK))
+    b = balance_of(spark, sf)
     return R.latest_by(b, ["reporter_scope", "partner_scope"], F.desc("month_idx")).select("reporter_scope", "partner_scope", "month_idx", r6("balance_current"), r6("balance_yoy"))
 
 
 @query("r5_reporter_movers", "SELECT group_name, scope, flow, rank, reporter, delta, CASE WHEN low_base THEN 'low base' END AS mark FROM (SELECT *, MAX(month_idx) OVER (PARTITION BY group_name, scope, flow) AS t FROM (" + ORACLES["b3r_reporter_breakdown"] + ") b) c WHERE month_idx = t")
 def r5(spark, sf):
-    b = A.reporter_breakdown(yoy_of(spark, sf), frame(spark, sf, "facts"), frame(spark, sf, "group_patterns"), ENVELOPE, UK, limits=LIMITS)
+    b = kept(A.reporter_breakdown(yoy_of(spark, sf), frame(spark, sf, "facts"), frame(spark, sf, "group_patterns"), ENVELOPE, UK, limits=LIMITS))
     return C.reporter_movers_sheet(b).select(*KEYS, "rank", "reporter", r6("delta"), "mark")
 
 
-@query("r6_r27_trajectory_section")
+@query("r6_r27_trajectory_section", shapes("SELECT group_name, scope, flow, shape, CAST(list_position([" + ", ".join(map(repr, C.SHAPE_ORDER)) + "], shape) AS INT) AS shape_rank FROM shaped"))
 def r27(spark, sf):
     return C.trajectory_section(A.trajectory(yoy_of(spark, sf), limits=LIMITS)).select(*KEYS, "shape", F.col("shape_rank").cast("int").alias("shape_rank"))
 
@@ -56,32 +57,63 @@ def r11(spark, sf):
     return C.stability_index(K.stability_badge(K.stability_pairs(yoy_of(spark, sf)))).select("group_name", "badge", F.col("ord").cast("int").alias("ord"))
 
 
-@query("r12_biggest_product_mover")
+@query("r12_biggest_product_mover", duck("""SELECT product_nc, round(y0, 6) AS yoy, surfaced, round(score, 6) AS score FROM (
+    SELECT m.product_nc, y0, bool_or(g.group_name = 'alpha') AS surfaced, abs(y0) * log10(greatest(c0, 1)) AS score FROM movers m JOIN code_groups g USING (product_nc) WHERE verdict = 'mover'
+    GROUP BY m.product_nc, y0, c0 HAVING bool_or(g.group_name NOT IN ('beta', 'epsilon'))) a ORDER BY surfaced, score DESC, product_nc LIMIT 1""", "facts", "group_patterns", **MOVER_CTES))
 def r12(spark, sf):
-    imports = frame(spark, sf, "facts").where("flow = 1")
-    movers = A.product_mover(imports.groupBy("product_nc", "month_idx").agg(F.sum("value_eur").cast("double").alias("value")), LIMITS)
+    movers = kept(movers_of(spark, sf))
     parents = R.group_codes(movers, frame(spark, sf, "group_patterns"))
     return C.biggest_product_mover(movers, parents, ["beta", "epsilon"], ["alpha"]).select("product_nc", r6("yoy0", "yoy"), "surfaced", r6("score"))
 
 
 @query("r13_level_cards", "SELECT reporter_scope, partner_scope, month_idx, balance_current AS level, CAST(n AS BIGINT) AS n_points FROM (SELECT *, row_number() OVER (PARTITION BY reporter_scope, partner_scope ORDER BY month_idx DESC) AS rk, COUNT(*) OVER (PARTITION BY reporter_scope, partner_scope ORDER BY month_idx RANGE BETWEEN 35 PRECEDING AND CURRENT ROW) AS n FROM (" + ORACLES["b7_trade_balance"] + ") b) c WHERE rk = 1")
 def r13(spark, sf):
-    b = A.trade_balance(A.balance_series(frame(spark, sf, "facts"), ENVELOPE, SINGLE_PARTNER, UK))
+    b = balance_of(spark, sf)
     c = C.level_card(b, ["reporter_scope", "partner_scope"], "balance_current")
     return c.select("reporter_scope", "partner_scope", "month_idx", r6("level"), F.size("points").cast("long").alias("n_points"))
 
 
+@query("r13_import_share_cards", "SELECT 'imports ' || reporter_scope || ' ' || partner_scope AS card, month_idx, imports_current AS level, CAST(n AS BIGINT) AS n_points FROM (SELECT *, row_number() OVER (PARTITION BY reporter_scope, partner_scope ORDER BY month_idx DESC) AS rk, COUNT(*) OVER (PARTITION BY reporter_scope, partner_scope ORDER BY month_idx RANGE BETWEEN 35 PRECEDING AND CURRENT ROW) AS n FROM ("
+    + ORACLES["b7_trade_balance"] + ") b) c WHERE rk = 1 UNION ALL SELECT 'share ' || flow, month_idx, value_share, CAST(n AS BIGINT) FROM (SELECT *, row_number() OVER (PARTITION BY flow ORDER BY month_idx DESC) AS rk, COUNT(*) OVER (PARTITION BY flow ORDER BY month_idx RANGE BETWEEN 35 PRECEDING AND CURRENT ROW) AS n FROM (" + ORACLES["b8_allgoods_share"] + ") b) c WHERE rk = 1")
+def r13b(spark, sf):
+    imports = C.level_card(balance_of(spark, sf), ["reporter_scope", "partner_scope"], "imports_current").withColumn("card", F.concat_ws(" ", F.lit("imports"), "reporter_scope", "partner_scope"))
+    shares = C.level_card(allgoods_of(spark, sf).drop("points"), ["flow"], "value_share").withColumn("card", F.concat_ws(" ", F.lit("share"), F.col("flow").cast("string")))
+    cols = ["card", "month_idx", r6("level"), F.size("points").cast("long").alias("n_points")]
+    return imports.select(*cols).unionByName(shares.select(*cols))
+
+
 @query("r28_deficit_by_scope", "SELECT reporter_scope, month_idx, balance_current, single_balance FROM (SELECT e.*, s.balance_current AS single_balance, row_number() OVER (PARTITION BY e.reporter_scope ORDER BY e.month_idx DESC) AS rk FROM (" + ORACLES["b7_trade_balance"] + ") e LEFT JOIN (" + ORACLES["b7_trade_balance"] + ") s ON s.partner_scope = 'single' AND s.reporter_scope = e.reporter_scope AND s.month_idx = e.month_idx WHERE e.partner_scope = 'envelope') a WHERE rk = 1")
 def r28(spark, sf):
-    b = A.trade_balance(A.balance_series(frame(spark, sf, "facts"), ENVELOPE, SINGLE_PARTNER, UK))
+    b = balance_of(spark, sf)
     return C.deficit_by_scope(b).select("reporter_scope", "month_idx", r6("balance_current"), r6("single_balance"))
 
 
-@query("r14_sector_detail")
+CELLS = "SELECT group_name, scope, flow, {k}, month_idx, SUM(value_eur) AS v FROM scoped JOIN code_groups USING (product_nc) GROUP BY ALL"
+PARTS = """SELECT *, row_number() OVER (PARTITION BY group_name, scope, flow, month_idx ORDER BY abs(c - p) DESC, reporter) AS by_size FROM (
+    SELECT y.group_name, y.scope, y.flow, y.month_idx, m.reporter, y.value_current - y.value_prior AS gd, CAST(COALESCE(SUM(CASE WHEN y.month_idx - m.month_idx < 12 THEN m.v END), 0) AS DOUBLE) AS c, CAST(COALESCE(SUM(CASE WHEN y.month_idx - m.month_idx >= 12 THEN m.v END), 0) AS DOUBLE) AS p
+      FROM last y JOIN by_reporter m ON m.group_name = y.group_name AND m.scope = y.scope AND m.flow = y.flow AND m.month_idx BETWEEN y.month_idx - 23 AND y.month_idx GROUP BY ALL) a"""
+GOODS = """SELECT *, row_number() OVER (PARTITION BY group_name, scope, flow, month_idx ORDER BY c DESC, product_nc) AS rk FROM (SELECT y.group_name, y.scope, y.flow, y.month_idx, m.product_nc, CAST(SUM(m.v) AS DOUBLE) AS c
+      FROM last y JOIN by_code m ON m.group_name = y.group_name AND m.scope = y.scope AND m.flow = y.flow AND m.month_idx BETWEEN y.month_idx - 11 AND y.month_idx GROUP BY ALL) a WHERE c > 0"""
+
+
+@query("r14_sector_detail", with_series("""SELECT l.group_name, l.scope, l.flow, l.month_idx, p.products, r.reporters, f.facets FROM last l
+    LEFT JOIN (SELECT group_name, scope, flow, string_agg(product_nc, ',' ORDER BY rk) AS products FROM goods WHERE rk <= 3 GROUP BY 1, 2, 3) p USING (group_name, scope, flow)
+    LEFT JOIN (SELECT group_name, scope, flow, string_agg(reporter, ',' ORDER BY rk) AS reporters FROM (SELECT *, row_number() OVER (PARTITION BY group_name, scope, flow ORDER BY CASE WHEN gd <> 0 THEN (c - p) / gd END DESC NULLS LAST, reporter) AS rk FROM parts WHERE by_size <= 10) a WHERE rk <= 3 GROUP BY 1, 2, 3) r USING (group_name, scope, flow)
+    LEFT JOIN (SELECT group_name, string_agg(DISTINCT substr(product_nc, 1, 3), ',' ORDER BY substr(product_nc, 1, 3)) AS facets FROM code_groups GROUP BY 1) f USING (group_name)""",
+    last="SELECT * EXCLUDE (t) FROM (SELECT *, MAX(month_idx) OVER (PARTITION BY scope) AS t FROM yoy) a WHERE month_idx = t", by_reporter=CELLS.format(k="reporter"), by_code=CELLS.format(k="product_nc"), parts=PARTS, goods=GOODS))
 def r14(spark, sf):
-    y, facts, patterns = yoy_of(spark, sf), frame(spark, sf, "facts"), frame(spark, sf, "group_patterns")
-    d = C.sector_detail(y, A.top_products(y, facts, patterns, ENVELOPE, UK), A.reporter_breakdown(y, facts, patterns, ENVELOPE, UK, limits=LIMITS))
-    return d.select(*KEYS, "month_idx", F.array_join("product_ncs", ",").alias("products"), F.array_join("reporters", ",").alias("reporters"))
+    y, facts, patterns = shared_yoy(spark, sf), frame(spark, sf, "facts"), frame(spark, sf, "group_patterns")
+    last = kept(R.at_latest_anchor(y, ["scope"]))  # only these findings need their products and reporters
+    d = C.sector_detail(last, A.top_products(last, facts, patterns, ENVELOPE, UK), A.reporter_breakdown(last, facts, patterns, ENVELOPE, UK, limits=LIMITS))
+    codes = facts.select("product_nc").distinct().withColumn("division", F.substring("product_nc", 1, 3))
+    d = d.join(A.group_facets(patterns, codes), "group_name", "left")
+    return d.select(*KEYS, "month_idx", F.array_join("product_ncs", ",").alias("products"), F.array_join("reporters", ",").alias("reporters"), F.array_join("facets", ",").alias("facets"))
+
+
+@query("r14_section_order", duck("SELECT substr(product_nc, 2, 1) AS section, round(CAST(SUM(value_eur) AS DOUBLE), 6) AS section_value FROM facts GROUP BY 1", "facts"))
+def r14b(spark, sf):
+    rows = frame(spark, sf, "facts").withColumn("section", F.substring("product_nc", 2, 1))
+    return K.section_order(rows, "section", "value_eur").select("section", r6("section_value"))
 
 
 @query("r15_state_of_play", blocs("SELECT label, flow, month_idx, value_yoy FROM (SELECT *, row_number() OVER (PARTITION BY label, flow ORDER BY month_idx DESC) AS rk FROM bloc) a WHERE rk = 1"))
@@ -119,11 +151,46 @@ def r30(spark, sf):
     return C.finding_counts(Q.bloc_yoy(spark, sf, BILATERAL), "flow")
 
 
-@query("r31_caveat_reference", "SELECT 'mirror_gap' AS family, code, code = 'cif_fob' AS defined FROM (VALUES ('cif_fob'), ('transshipment')) AS t(code)")
+#: A definition for all caveats but one, which is reported as missing.
+DEFINED = ("cif_fob", "classification_drift", "multi_partner_sum", "currency_timing", "general_vs_special_trade", "eurostat_stat_procedure_mix", "cn8_revision")
+
+
+def subkinds(spark, sf):
+    """The subkind of every finding that the group changes and the mirror gaps make, with its number of findings."""
+    scope = F.when(F.col("scope") == "uk", "_uk").when(F.col("scope") == "eu_27_plus_uk", "_combined").otherwise("")
+    y = yoy_of(spark, sf).select(F.concat(F.lit("hs_group_yoy"), scope, F.when(F.col("flow") == 2, "_export").otherwise("")).alias("subkind"))
+    return y.unionByName(Q.gaps_of(spark, sf).where("skip is null").select(F.lit("mirror_gap").alias("subkind"))).groupBy("subkind").agg(F.count("*").alias("n"))
+
+
+KINDS = {**Q.MIRROR, "kinds": """SELECT subkind, COUNT(*) AS n FROM (SELECT 'hs_group_yoy' || CASE scope WHEN 'uk' THEN '_uk' WHEN 'eu_27_plus_uk' THEN '_combined' ELSE '' END || CASE flow WHEN 2 THEN '_export' ELSE '' END AS subkind FROM yoy
+    UNION ALL SELECT 'mirror_gap' FROM gaps WHERE skip IS NULL) a GROUP BY 1"""}
+
+
+def kinds(body: str) -> str:
+    from harborline.plans.series_queries import CTES
+
+    return duck(body, "facts_full", "group_patterns", "exports", "fx_rates", "aliases", "members", **CTES, **KINDS)
+
+
+def _universal(family: str) -> list[str]:
+    return list(X.UNIVERSAL_CAVEATS.get(family, ()))
+
+
+FAMILY_CODES = " UNION ALL ".join(f"SELECT '{f}' AS family, '{c}' AS code" for f in ("hs_group_yoy", "mirror_gap") for c in _universal(f))
+
+
+@query("b10_b11_subkinds", kinds(f"""SELECT subkind, CASE WHEN subkind = 'mirror_gap' THEN 'mirror_gap' ELSE 'hs_group_yoy' END AS family, CASE WHEN contains(subkind, '_uk') THEN 'uk' WHEN contains(subkind, '_combined') THEN 'eu_27_plus_uk' ELSE 'eu_27' END AS scope,
+    CASE WHEN suffix(subkind, '_export') THEN 2 ELSE 1 END AS flow, CASE WHEN subkind = 'mirror_gap' THEN {len(_universal('mirror_gap'))} ELSE {len(_universal('hs_group_yoy'))} END AS n_caveats, CAST(n AS BIGINT) AS n FROM kinds"""))
+def b10(spark, sf):
+    d = subkinds(spark, sf).select("subkind", X.decode_subkind("subkind").alias("d"), F.size(X.universal_caveats("subkind")).alias("n_caveats"), "n")
+    return d.select("subkind", "d.family", "d.scope", "d.flow", "n_caveats", "n")
+
+
+@query("r31_caveat_reference", kinds(f"SELECT DISTINCT c.family, c.code, c.code IN ({', '.join(map(repr, DEFINED))}) AS defined FROM ({FAMILY_CODES}) c JOIN kinds k ON starts_with(k.subkind, c.family)"))
 def r31(spark, sf):
-    kinds = frame(spark, sf, "region").limit(1).select(F.lit("mirror_gap").alias("family"), X.universal_caveats(F.lit("mirror_gap")).alias("codes"))
-    known = spark.createDataFrame([("cif_fob", "imports include freight")], "code string, definition string")
-    return K.caveat_reference(kinds, known).select("family", "code", "defined")
+    u = subkinds(spark, sf).select(X.decode_subkind("subkind")["family"].alias("family"), X.universal_caveats("subkind").alias("codes")).distinct()
+    known = spark.createDataFrame([(c, f"what {c} means") for c in DEFINED], "code string, definition string")
+    return K.caveat_reference(u, known).select("family", "code", "defined")
 
 
 @query("r32_cited_releases", duck("SELECT source, month_idx, MAX(checked_at) AS last_fetched FROM (SELECT source, 24289 - event_id % 40 AS month_idx, checked_at FROM check_log) r WHERE month_idx BETWEEN 24270 AND 24280 GROUP BY 1, 2", "check_log"))
@@ -134,17 +201,20 @@ def r32(spark, sf):
 
 @query("r33_finding_months", blocs("SELECT s.label, s.flow, s.month_idx AS anchor, CAST(COUNT(m.month_idx) AS BIGINT) AS n_months FROM single s JOIN (SELECT * FROM monthly WHERE value IS NOT NULL) m ON m.label = s.label AND m.flow = s.flow AND m.month_idx BETWEEN s.month_idx - 23 AND s.month_idx GROUP BY 1, 2, 3"))
 def r33(spark, sf):
-    e = R.latest_by(frame(spark, sf, "exports").where("currency = 'CNY'"), ["label", "flow", "month_idx"], F.desc("version_seen"))
-    rates = frame(spark, sf, "fx_rates")
-    monthly = A.to_eur(e, rates).where("eur is not null").select("label", "flow", "month_idx", F.col("eur").alias("value"))
-    m = C.finding_months(Q.bloc_yoy(spark, sf, BILATERAL), ["label", "flow"], monthly, rates)
+    t = frames(spark, sf, "exports", "fx_rates")
+    m = C.finding_months(Q.bloc_yoy(spark, sf, BILATERAL), ["label", "flow"], Q.monthly_eur(t), t["fx_rates"])
     return m.groupBy("label", "flow", "anchor").agg(F.count("*").alias("n_months"))
 
 
-@query("b13_cross_check", with_series("SELECT u.group_name, u.flow, u.month_idx, round((e.value_current / e.n_current - u.value_current / u.n_current) / (u.value_current / u.n_current), 6) AS gap_pct FROM yoy u JOIN yoy e ON e.group_name = u.group_name AND e.flow = u.flow AND e.month_idx = u.month_idx AND e.scope = 'eu_27_plus_uk' WHERE u.scope = 'eu_27' AND u.value_current <> 0"))
+@query("b13_cross_check", duck("SELECT partner, month_idx, n_own, n_other, round((o / n_other - w / n_own) / (w / n_own), 6) AS gap_pct FROM pairs WHERE w / n_own <> 0", "exports", "exports_ytd", "fx_rates", "aliases", "facts_full", **Q.BLOCS,
+    pairs=f"""SELECT a.iso AS partner, b.month_idx, CAST(b.nc AS BIGINT) AS n_own, b.c AS w, CAST(COUNT(DISTINCT f.month_idx) AS BIGINT) AS n_other, CAST(SUM(f.value_eur) AS DOUBLE) AS o FROM windows b JOIN aliases a USING (label)
+      JOIN (SELECT * FROM facts_full WHERE flow = 1 AND {IN_ENV} AND {ALL_GOODS}) f ON f.reporter = a.iso AND f.month_idx BETWEEN b.month_idx - 11 AND b.month_idx WHERE a.aggregate_kind IS NULL AND b.flow = 'export' GROUP BY 1, 2, 3, 4"""))
 def b13(spark, sf):
-    y = yoy_of(spark, sf)
-    return A.cross_check(y.where("scope = 'eu_27'"), y.where("scope = 'eu_27_plus_uk'"), ["group_name", "flow", "month_idx"]).select("group_name", "flow", "month_idx", r6("gap_pct"))
+    """Exports as one side declares them against the other side's imports from the envelope, per month present in the same window."""
+    t = frames(spark, sf, "aliases", "facts_full")
+    own = R.resolve_country(Q.bloc_yoy(spark, sf, "aggregate_kind is null and flow = 'export'"), t["aliases"]).withColumnRenamed("iso", "partner")
+    other = A.importer_totals(t["facts_full"], ENVELOPE, UK).withColumnRenamed("reporter", "partner")
+    return A.cross_check(own, other, ["partner"]).select("partner", "month_idx", F.col("n_current").alias("n_own"), F.col("other_n").alias("n_other"), r6("gap_pct"))
 
 
 @query("b15_group_facets", duck("SELECT group_name, string_agg(DISTINCT substr(product_nc, 1, 3), ',' ORDER BY substr(product_nc, 1, 3)) AS facets FROM code_groups GROUP BY 1", "facts", "group_patterns", code_groups=CODE_GROUPS))

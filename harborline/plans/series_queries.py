@@ -10,6 +10,7 @@ from harborline.operators import families as A
 from harborline.operators import relational as R
 from harborline.operators import series as S
 from harborline.registry import query
+from harborline.sources.sinks import kept
 
 LIMITS = A.Limits()
 KEYS = A.KEYS
@@ -54,6 +55,11 @@ def yoy_of(spark, sf):
     return A.group_yoy(series_of(spark, sf), LIMITS)
 
 
+def shared_yoy(spark, sf):
+    """The group changes written once, for queries that read them in several branches."""
+    return kept(yoy_of(spark, sf))
+
+
 @query("a1_monthly_totals", with_series("SELECT group_name, scope, flow, month_idx, round(value, 6) AS value, round(kg, 6) AS kg, round(value_with_kg, 6) AS value_with_kg, n_rows FROM series"))
 def a1(spark, sf):
     return series_of(spark, sf).select(*KEYS, "month_idx", r6("value"), r6("kg"), r6("value_with_kg"), "n_rows")
@@ -129,7 +135,19 @@ def w20(spark, sf):
     return S.theil_sen(yoy_of(spark, sf), KEYS, "value_yoy").select(*KEYS, r6("slope"))
 
 
-@query("w21_seasonal_autocorr")
+#: The points of each longest run with their place, the run's length and the centred mean of three; slopes of any column of them.
+PTS = """SELECT group_name, scope, flow, month_idx, value_yoy AS v, low_base, row_number() OVER (PARTITION BY group_name, scope, flow ORDER BY month_idx) AS i, COUNT(*) OVER (PARTITION BY group_name, scope, flow) AS n,
+    AVG(value_yoy) OVER (PARTITION BY group_name, scope, flow ORDER BY month_idx ROWS BETWEEN 1 PRECEDING AND 1 FOLLOWING) AS s FROM {source}"""
+SLOPE = "SELECT a.group_name, a.scope, a.flow, median((b.{c} - a.{c}) / (b.i - a.i)) AS slope FROM {pts} a JOIN {pts} b ON a.group_name = b.group_name AND a.scope = b.scope AND a.flow = b.flow AND b.i > a.i {where} GROUP BY 1, 2, 3"
+AUTO = {
+    "lines": SLOPE.format(c="v", pts="pts", where=""),
+    "rest": "SELECT p.*, p.v - COALESCE(l.slope, 0) * (p.i - 1) AS r FROM pts p LEFT JOIN lines l USING (group_name, scope, flow)",
+    "auto": """SELECT a.group_name, a.scope, a.flow, CASE WHEN var_pop(a.r) > 1e-14 AND var_pop(b.r) > 1e-14 THEN corr(a.r, b.r) END AS autocorr FROM rest a JOIN rest b
+      ON a.group_name = b.group_name AND a.scope = b.scope AND a.flow = b.flow AND b.i = a.i + 12 WHERE a.n >= 14 GROUP BY 1, 2, 3""",
+}
+
+
+@query("w21_seasonal_autocorr", with_series("SELECT k.group_name, k.scope, k.flow, round(a.autocorr, 6) AS autocorr FROM (SELECT DISTINCT group_name, scope, flow FROM pts) k LEFT JOIN auto a USING (group_name, scope, flow)", pts=PTS.format(source="yoy"), **AUTO))
 def w21(spark, sf):
     return S.seasonal_autocorr(yoy_of(spark, sf), KEYS, "value_yoy").select(*KEYS, r6("autocorr"))
 
@@ -173,9 +191,34 @@ def b5(spark, sf):
     return t.select(*KEYS, "n_windows", *(r6(c) for c in ("first_yoy", "last_yoy", "max_yoy", "min_yoy", "mean_yoy", "std_yoy")), "low_base_majority")
 
 
-@query("b5_shapes")
+SHAPED = {
+    "pts": PTS.format(source="run"), **AUTO, "slope_all": SLOPE.format(c="s", pts="pts", where=""), "slope_early": SLOPE.format(c="s", pts="pts", where="AND b.i <= a.n // 2"),
+    "slope_late": SLOPE.format(c="s", pts="pts", where="AND a.i > a.n // 2"),
+    "turns": """SELECT group_name, scope, flow, CAST(SUM(CASE WHEN g <> b THEN 1 ELSE 0 END) AS INT) AS sign_changes, arg_max(g, i) AS last_sign FROM (
+      SELECT *, lag(g) OVER (PARTITION BY group_name, scope, flow ORDER BY i) AS b FROM (SELECT *, sign(s) AS g FROM pts WHERE s <> 0) a) b GROUP BY 1, 2, 3""",
+    "crossed": "SELECT group_name, scope, flow, MIN(i) - 1 AS at FROM (SELECT *, sign(s) * lag(sign(s)) OVER (PARTITION BY group_name, scope, flow ORDER BY i) AS g FROM pts) a WHERE g = -1 GROUP BY 1, 2, 3",
+    "shaped": """SELECT f.group_name, f.scope, f.flow, f.n, COALESCE(t.sign_changes, 0) AS sign_changes, COALESCE(a.slope, 0) AS slope, COALESCE(e.slope, 0) AS early_slope, COALESCE(l.slope, 0) AS late_slope, f.peak_idx, f.trough_idx,
+        CASE WHEN COALESCE(t.sign_changes, 0) = 1 THEN c.at END AS cross_zero_idx, u.autocorr, COALESCE(u.autocorr >= 0.5, FALSE) AS seasonal,
+        CASE WHEN f.n < 6 THEN 'insufficient_data' WHEN f.mean_abs < 0.02 AND f.std < 0.05 THEN 'flat'
+          WHEN t.sign_changes = 2 THEN CASE WHEN t.last_sign > 0 THEN 'dip_recovery' ELSE 'failed_recovery' END WHEN t.sign_changes >= 3 THEN 'volatile'
+          WHEN t.sign_changes = 1 THEN CASE WHEN f.last_s > 0 THEN 'u_recovery' ELSE 'inverse_u_peak' END
+          WHEN f.last_s > 0 THEN CASE WHEN COALESCE(a.slope, 0) > 0.005 THEN 'rising_accelerating' WHEN COALESCE(a.slope, 0) < -0.005 THEN 'rising_decelerating' ELSE 'rising' END
+          WHEN COALESCE(a.slope, 0) < -0.005 THEN 'falling_accelerating' WHEN COALESCE(a.slope, 0) > 0.005 THEN 'falling_decelerating' ELSE 'falling' END AS shape
+      FROM (SELECT group_name, scope, flow, COUNT(*) AS n, AVG(abs(v)) AS mean_abs, stddev_pop(v) AS std, arg_max(s, i) AS last_s, arg_max(month_idx, (v, -month_idx)) AS peak_idx, arg_min(month_idx, (v, month_idx)) AS trough_idx FROM pts GROUP BY 1, 2, 3) f
+      LEFT JOIN turns t USING (group_name, scope, flow) LEFT JOIN slope_all a USING (group_name, scope, flow) LEFT JOIN slope_early e USING (group_name, scope, flow)
+      LEFT JOIN slope_late l USING (group_name, scope, flow) LEFT JOIN crossed c USING (group_name, scope, flow) LEFT JOIN auto u USING (group_name, scope, flow)""",
+}
+
+
+def shapes(body: str, **more: str) -> str:
+    return with_series(body, run=RUN, **SHAPED, **more)
+
+
+@query("b5_shapes", shapes("""SELECT group_name, scope, flow, shape, sign_changes, round(slope, 6) AS slope, round(early_slope, 6) AS early_slope, round(late_slope, 6) AS late_slope, peak_idx, trough_idx,
+    CAST(cross_zero_idx AS INT) AS cross_zero_idx, round(autocorr, 6) AS seasonal_strength, seasonal FROM shaped"""))
 def b5_shapes(spark, sf):
-    return A.trajectory(yoy_of(spark, sf), limits=LIMITS).select(*KEYS, "shape", "sign_changes", r6("slope"), r6("early_slope"), r6("late_slope"), "peak_idx", "trough_idx")
+    t = A.trajectory(yoy_of(spark, sf), limits=LIMITS)
+    return t.select(*KEYS, "shape", "sign_changes", r6("slope"), r6("early_slope"), r6("late_slope"), "peak_idx", "trough_idx", "cross_zero_idx", r6("seasonal_strength"), "seasonal")
 
 
 @query("u2_aligned_months", duck("SELECT flow, month_idx FROM aligned", "facts", aligned=ALIGNED))
@@ -207,68 +250,117 @@ def w1(spark, sf):
     return m.select("month_idx", X.month_start("month_idx").alias("start"), X.days_in_window("month_idx", "month_idx").alias("days"), X.days_in_window(F.col("month_idx") - 11, "month_idx").alias("days12"))
 
 
-@query("b4_product_mover", duck(f"""SELECT product_nc, round(c0, 6) AS current, round(p0, 6) AS prior, round(y0, 6) AS yoy, verdict FROM (SELECT *, CASE
+MOVERS = f"""SELECT *, CASE
       WHEN p0 <= 0 OR least(c0, p0) < {LIMITS.mover_floor} THEN 'floor' WHEN abs(y0) < 0.25 THEN 'small_change' WHEN nc < 10 OR np < 10 THEN 'few_months'
       WHEN NOT (COALESCE(abs(y0) >= 0.1, FALSE) AND COALESCE(sign(y1) = sign(y0) AND abs(y1) >= 0.1, FALSE) AND COALESCE(sign(y2) = sign(y0) AND abs(y2) >= 0.1, FALSE)) THEN 'unsteady'
       WHEN NOT COALESCE(sign(lo) = sign(y0) AND abs(lo) >= 0.15, FALSE) THEN 'one_month' ELSE 'mover' END AS verdict FROM (SELECT *, CASE WHEN p0 > 0 THEN (c0 - p0) / p0 END AS y0, CASE WHEN p1 > 0 THEN (c1 - p1) / p1 END AS y1, CASE WHEN p2 > 0 THEN (c2 - p2) / p2 END AS y2,
         CASE WHEN p0 > 0 AND (c0 - p0) / p0 > 0 THEN (c0 - pc - p0) / p0 WHEN p0 - pp > 0 THEN (c0 - (p0 - pp)) / (p0 - pp) END AS lo FROM (
         SELECT product_nc, {", ".join(f"COALESCE(SUM(value) FILTER (WHERE back BETWEEN {a} AND {a + 11}), 0) AS c{a}, COALESCE(SUM(value) FILTER (WHERE back BETWEEN {a + 12} AND {a + 23}), 0) AS p{a}" for a in range(3))},
           COUNT(*) FILTER (WHERE back BETWEEN 0 AND 11) AS nc, COUNT(*) FILTER (WHERE back BETWEEN 12 AND 23) AS np, COALESCE(MAX(value) FILTER (WHERE back BETWEEN 0 AND 11), 0) AS pc, COALESCE(MAX(value) FILTER (WHERE back BETWEEN 12 AND 23), 0) AS pp
-        FROM (SELECT *, (SELECT MAX(month_idx) FROM codes) - month_idx AS back FROM codes) a WHERE back < 26 GROUP BY product_nc) b) c) d""", "facts",
-    codes="SELECT substr(product_nc, 1, 4) AS product_nc, month_idx, CAST(SUM(value_eur) AS DOUBLE) AS value FROM facts WHERE flow = 1 AND month_idx < 23986 GROUP BY 1, 2"))
+        FROM (SELECT *, (SELECT MAX(month_idx) FROM codes) - month_idx AS back FROM codes) a WHERE back < 26 GROUP BY product_nc) b) c"""
+CODES = "SELECT product_nc, month_idx, CAST(SUM(value_eur) AS DOUBLE) AS value FROM facts WHERE flow = 1 GROUP BY 1, 2"
+MOVER_CTES = {"code_groups": CODE_GROUPS, "codes": CODES, "movers": MOVERS}
+
+
+@query("b4_product_mover", duck("""SELECT m.product_nc, round(c0, 6) AS current, round(p0, 6) AS prior, round(y0, 6) AS yoy, verdict, COALESCE(g.parents, '') AS parents FROM movers m
+    LEFT JOIN (SELECT product_nc, string_agg(group_name, ',' ORDER BY group_name) AS parents FROM code_groups GROUP BY 1) g USING (product_nc)""", "facts", "group_patterns", **MOVER_CTES))
 def b4(spark, sf):
+    movers = movers_of(spark, sf)
+    parents = R.group_codes(movers, frame(spark, sf, "group_patterns")).groupBy("product_nc").agg(F.array_join(F.array_sort(F.collect_set("group_name")), ",").alias("parents"))
+    named = movers.join(parents, "product_nc", "left")
+    return named.select("product_nc", r6("c0", "current"), r6("p0", "prior"), r6("yoy0", "yoy"), "verdict", F.coalesce("parents", F.lit("")).alias("parents"))
+
+
+def movers_of(spark, sf):
     codes = frame(spark, sf, "facts").where("flow = 1").groupBy("product_nc", "month_idx").agg(F.sum("value_eur").cast("double").alias("value"))
-    return A.product_mover(codes, LIMITS).select("product_nc", r6("c0", "current"), r6("p0", "prior"), r6("yoy0", "yoy"), "verdict")
+    return A.product_mover(codes, LIMITS)
 
 
-@query("b7_trade_balance", duck("""SELECT reporter_scope, partner_scope, month_idx, round(c, 6) AS balance_current, round(CASE WHEN np = 12 AND p <> 0 THEN (c - p) / abs(p) END, 6) AS balance_yoy,
-      round(c / (datediff('day', make_date(CAST((month_idx - 11) // 12 AS INT), CAST((month_idx - 11) % 12 + 1 AS INT), 1), last_day(make_date(CAST(month_idx // 12 AS INT), CAST(month_idx % 12 + 1 AS INT), 1))) + 1), 6) AS per_day FROM (
-    SELECT *, SUM(i - e) OVER w AS c, COUNT(*) OVER w AS nc, SUM(i - e) OVER w2 AS p, COUNT(*) OVER w2 AS np FROM bal
-    WINDOW w AS (PARTITION BY reporter_scope, partner_scope ORDER BY month_idx RANGE BETWEEN 11 PRECEDING AND CURRENT ROW), w2 AS (PARTITION BY reporter_scope, partner_scope ORDER BY month_idx RANGE BETWEEN 23 PRECEDING AND 12 PRECEDING)) a WHERE nc = 12""", "facts",
-    bal=f"""SELECT r.reporter_scope, p.partner_scope, month_idx, CAST(SUM(value_eur) FILTER (WHERE flow = 1) AS DOUBLE) AS i, CAST(SUM(value_eur) FILTER (WHERE flow = 2) AS DOUBLE) AS e
-      FROM facts f JOIN (VALUES ('uk', 1), ('eu_27', 0), ('eu_27_plus_uk', 1), ('eu_27_plus_uk', 0)) AS r(reporter_scope, uk) ON r.uk = CASE WHEN f.reporter = '{UK}' THEN 1 ELSE 0 END
+ALL_GOODS = f"CASE WHEN reporter = '{UK}' THEN product_nc <> '000TOTAL' AND suppression_index = 0 ELSE product_nc = '000TOTAL' END"
+
+
+B_KEYS = "PARTITION BY reporter_scope, partner_scope ORDER BY month_idx RANGE BETWEEN"
+BAL = f"""SELECT r.reporter_scope, p.partner_scope, month_idx, CAST(SUM(value_eur) FILTER (WHERE flow = 1) AS DOUBLE) AS i, CAST(SUM(value_eur) FILTER (WHERE flow = 2) AS DOUBLE) AS e
+      FROM facts_full f JOIN (VALUES ('uk', 1), ('eu_27', 0), ('eu_27_plus_uk', 1), ('eu_27_plus_uk', 0)) AS r(reporter_scope, uk) ON r.uk = CASE WHEN f.reporter = '{UK}' THEN 1 ELSE 0 END
       JOIN (VALUES ('envelope', 0), ('single', 1)) AS p(partner_scope, one) ON p.one = 0 OR f.partner = '{SINGLE_PARTNER}'
-     WHERE {IN_ENV} AND (f.reporter <> '{UK}' OR suppression_index = 0) GROUP BY 1, 2, 3 HAVING COUNT(*) FILTER (WHERE flow = 1) > 0 AND COUNT(*) FILTER (WHERE flow = 2) > 0"""))
+     WHERE {IN_ENV} AND {ALL_GOODS} GROUP BY 1, 2, 3
+    HAVING COUNT(DISTINCT r.uk) FILTER (WHERE flow = 1) >= CASE r.reporter_scope WHEN 'eu_27_plus_uk' THEN 2 ELSE 1 END AND COUNT(DISTINCT r.uk) FILTER (WHERE flow = 2) >= CASE r.reporter_scope WHEN 'eu_27_plus_uk' THEN 2 ELSE 1 END"""
+B7 = """SELECT reporter_scope, partner_scope, month_idx, round(c, 6) AS balance_current, round(CASE WHEN np = 12 AND p <> 0 THEN (c - p) / abs(p) END, 6) AS balance_yoy, round(ci, 6) AS imports_current, round(i - e, 6) AS balance,
+      round(ytd, 6) AS ytd, round(CASE WHEN yp <> 0 THEN (ytd - yp) / abs(yp) END, 6) AS ytd_yoy,
+      round(c / (datediff('day', make_date(CAST((month_idx - 11) // 12 AS INT), CAST((month_idx - 11) % 12 + 1 AS INT), 1), last_day(make_date(CAST(month_idx // 12 AS INT), CAST(month_idx % 12 + 1 AS INT), 1))) + 1), 6) AS per_day FROM (
+    SELECT *, MAX(ytd) OVER (PARTITION BY reporter_scope, partner_scope ORDER BY month_idx RANGE BETWEEN 12 PRECEDING AND 12 PRECEDING) AS yp FROM (
+      SELECT *, SUM(i - e) OVER w AS c, SUM(i) OVER w AS ci, COUNT(*) OVER w AS nc, SUM(i - e) OVER w2 AS p, COUNT(*) OVER w2 AS np, CASE WHEN COUNT(*) OVER wy = month_idx % 12 + 1 THEN SUM(i - e) OVER wy END AS ytd FROM bal
+      WINDOW w AS (PARTITION BY reporter_scope, partner_scope ORDER BY month_idx RANGE BETWEEN 11 PRECEDING AND CURRENT ROW), w2 AS (PARTITION BY reporter_scope, partner_scope ORDER BY month_idx RANGE BETWEEN 23 PRECEDING AND 12 PRECEDING),
+        wy AS (PARTITION BY reporter_scope, partner_scope, month_idx // 12 ORDER BY month_idx)) a) b WHERE nc = 12"""
+
+
+@query("b7_trade_balance", duck(B7, "facts_full", bal=BAL))
 def b7(spark, sf):
-    b = A.trade_balance(A.balance_series(frame(spark, sf, "facts"), ENVELOPE, SINGLE_PARTNER, UK))
-    return b.select("reporter_scope", "partner_scope", "month_idx", r6("balance_current"), r6("balance_yoy"), r6("per_day"))
+    return balance_of(spark, sf).select("reporter_scope", "partner_scope", "month_idx", *(r6(c) for c in ("balance_current", "balance_yoy", "imports_current", "balance", "ytd", "ytd_yoy", "per_day")))
+
+
+def balance_of(spark, sf):
+    return A.trade_balance(A.balance_series(frame(spark, sf, "facts_full"), ENVELOPE, SINGLE_PARTNER, UK))
 
 
 MEMBERS = [f"N{n:02d}" for r in (0, 1) for n in range(r, 25, 5)]
 
 
-def external(spark, sf, keys):
-    facts = frame(spark, sf, "facts").where(F.col("flow") == 1)
-    return A.external_totals(facts, MEMBERS, keys)
+IN_MEMBERS = f"partner IN ({', '.join(repr(m) for m in MEMBERS)})"
 
 
-@query("a4_external_totals", duck(f"SELECT reporter, flow, month_idx, round(CAST(SUM(value_eur) AS DOUBLE), 6) AS value, CAST(COUNT(DISTINCT partner) AS BIGINT) AS n_partners, CAST(COUNT(*) AS BIGINT) AS n_rows FROM facts WHERE flow = 1 AND partner NOT IN ({', '.join(repr(m) for m in MEMBERS)}) GROUP BY reporter, flow, month_idx", "facts"))
+@query("a4_external_totals", duck(f"SELECT reporter, product_nc, flow, month_idx, round(CAST(SUM(value_eur) AS DOUBLE), 6) AS value, CAST(COUNT(DISTINCT partner) AS BIGINT) AS n_partners, CAST(COUNT(*) AS BIGINT) AS n_rows FROM facts_full WHERE NOT {IN_MEMBERS} GROUP BY 1, 2, 3, 4", "facts_full"))
 def a4(spark, sf):
-    return external(spark, sf, ["reporter", "flow", "month_idx"]).select("reporter", "flow", "month_idx", r6("value"), "n_partners", "n_rows")
+    return A.external_totals(frame(spark, sf, "facts_full"), MEMBERS, ["reporter", "product_nc", "flow", "month_idx"]).select("reporter", "product_nc", "flow", "month_idx", r6("value"), "n_partners", "n_rows")
+
 
+@query("a5_a6_allgoods", duck(f"SELECT reporter = '{UK}' AS from_detail, flow, month_idx, round(CAST(SUM(value_eur) AS DOUBLE), 6) AS value, CAST(COUNT(*) AS BIGINT) AS n_ids, MIN(raw_id) AS first_id FROM facts_full WHERE {IN_ENV} AND {ALL_GOODS} GROUP BY 1, 2, 3", "facts_full"))
+def a5(spark, sf):
+    f = frame(spark, sf, "facts_full").where(X.in_envelope("partner", ENVELOPE))
+    both = A.allgoods_from_total_row(f, UK, ["flow"]).withColumn("from_detail", F.lit(False)).unionByName(A.allgoods_from_detail(f, UK, ["flow"]).withColumn("from_detail", F.lit(True)))
+    return both.select("from_detail", "flow", "month_idx", r6("value"), F.size("ids").cast("long").alias("n_ids"), F.get("ids", F.lit(0)).alias("first_id"))
 
-SHARE = """SELECT {k} month_idx, round(v / dv, 6) AS value_share, round(k / dk, 6) AS kg_share, round((v / dv - k / dk) * 100, 6) AS difference_pp, round(abs((v / dv - k / dk) * 100) + 100 * (v / dv), 6) AS score FROM (
-    SELECT {k} n.month_idx, SUM(n.value) OVER w AS v, SUM(d.value) OVER w AS dv, SUM(n.kg) OVER w AS k, SUM(d.kg) OVER w AS dk, COUNT(*) OVER w AS c FROM num n JOIN den d ON n.month_idx = d.month_idx
-    WINDOW w AS ({p} ORDER BY n.month_idx RANGE BETWEEN 11 PRECEDING AND CURRENT ROW)) a WHERE c = 12"""
-DEN = f"SELECT month_idx, CAST(SUM(value_eur) AS DOUBLE) AS value, CAST(COALESCE(SUM(quantity_kg), 0) AS DOUBLE) AS kg FROM facts WHERE flow = 1 AND partner NOT IN ({', '.join(repr(m) for m in MEMBERS)}) GROUP BY month_idx"
 
+@query("a7_allgoods_external", duck(f"SELECT flow, month_idx, round(CAST(SUM(value_eur) AS DOUBLE), 6) AS value FROM facts_full WHERE NOT {IN_MEMBERS} AND reporter <> '{UK}' AND product_nc = '000TOTAL' GROUP BY 1, 2", "facts_full"))
+def a7(spark, sf):
+    rows = A.all_goods(frame(spark, sf, "facts_full").where(F.col("reporter") != UK), UK)
+    return A.external_totals(rows, MEMBERS, ["flow", "month_idx"]).select("flow", "month_idx", r6("value"))
 
-@query("b8_allgoods_share", duck(SHARE.format(k="", p=""), "facts", num=f"SELECT month_idx, CAST(SUM(value_eur) AS DOUBLE) AS value, CAST(COALESCE(SUM(quantity_kg), 0) AS DOUBLE) AS kg FROM facts WHERE flow = 1 AND {IN_ENV} GROUP BY month_idx", den=DEN))
+
+#: The first month of the all-goods shares.
+FIRST_SHARE = 1996 * 12
+
+
+@query("b8_allgoods_share", duck(f"""SELECT flow, month_idx, round(s, 6) AS value_share, round(o, 6) AS single_share, CAST(COUNT(*) OVER (PARTITION BY flow ORDER BY month_idx) AS BIGINT) AS n_points FROM (
+    SELECT flow, month_idx, env, CASE WHEN COUNT(env) OVER w = 12 AND COUNT(den) OVER w = 12 AND SUM(den) OVER w > 0 THEN SUM(env) OVER w / SUM(den) OVER w END AS s, CASE WHEN COUNT(one) OVER w = 12 THEN SUM(one) OVER w / SUM(den) OVER w END AS o FROM sums
+    WINDOW w AS (PARTITION BY flow ORDER BY month_idx RANGE BETWEEN 11 PRECEDING AND CURRENT ROW)) a WHERE s IS NOT NULL AND env IS NOT NULL AND month_idx >= {FIRST_SHARE}""", "facts_full",
+    sums=f"SELECT flow, month_idx, CAST(SUM(value_eur) FILTER (WHERE {IN_ENV}) AS DOUBLE) AS env, CAST(SUM(value_eur) FILTER (WHERE partner = '{SINGLE_PARTNER}') AS DOUBLE) AS one, CAST(SUM(value_eur) FILTER (WHERE NOT {IN_MEMBERS}) AS DOUBLE) AS den FROM facts_full WHERE reporter <> '{UK}' AND product_nc = '000TOTAL' GROUP BY 1, 2"))
 def b8(spark, sf):
-    facts = frame(spark, sf, "facts").where((F.col("flow") == 1) & X.in_envelope("partner", ENVELOPE))
-    num = S.monthly_totals(facts.withColumn("one", F.lit(1)), ["one"])
-    return A.share_of(num, external(spark, sf, ["month_idx"]), ["one"], []).select("month_idx", *(r6(c) for c in ("value_share", "kg_share", "difference_pp", "score")))
+    s = allgoods_of(spark, sf)
+    return s.select("flow", "month_idx", r6("value_share"), r6("single_share"), F.size("points").cast("long").alias("n_points"))
+
+
+def allgoods_of(spark, sf):
+    return A.allgoods_share(frame(spark, sf, "facts_full"), MEMBERS, ENVELOPE, SINGLE_PARTNER, UK, FIRST_SHARE)
 
 
 def shares_of(spark, sf):
-    facts = frame(spark, sf, "facts").where((F.col("flow") == 1) & X.in_envelope("partner", ENVELOPE))
-    codes = facts.groupBy("product_nc", "month_idx").agg(F.sum("value_eur").alias("value_eur"), F.sum("quantity_kg").alias("quantity_kg"))
-    num = S.monthly_totals(R.assign_groups(codes, frame(spark, sf, "group_patterns")), ["group_name"])
-    return A.share_of(num, external(spark, sf, ["month_idx"]), ["group_name"], [])
+    """Each group's imports of the sources with total rows: the envelope's part in those from outside the bloc."""
+    rows = frame(spark, sf, "facts").where((F.col("flow") == 1) & (F.col("reporter") != UK))
+    codes = rows.groupBy("product_nc", "partner", "month_idx").agg(F.sum("value_eur").alias("value_eur"), F.sum("quantity_kg").alias("quantity_kg"))
+    grouped = R.assign_groups(codes, frame(spark, sf, "group_patterns"))
+    num = S.monthly_totals(grouped.where(X.in_envelope("partner", ENVELOPE)), ["group_name"])
+    den = S.monthly_totals(grouped.where(~F.col("partner").isin(*MEMBERS)), ["group_name"])
+    return A.share_of(num, den, ["group_name"], ["group_name"])
+
+
+SHARE = """SELECT group_name, month_idx, round(v / dv, 6) AS value_share, round(k / dk, 6) AS kg_share, round((k / dk - v / dv) * 100, 6) AS difference_pp, round(abs((k / dk - v / dv) * 100) + 100 * (v / dv), 6) AS score FROM (
+    SELECT group_name, n.month_idx, SUM(n.value) OVER w AS v, SUM(d.value) OVER w AS dv, SUM(n.kg) OVER w AS k, SUM(d.kg) OVER w AS dk, COUNT(*) OVER w AS c FROM num n JOIN den d USING (group_name, month_idx)
+    WINDOW w AS (PARTITION BY group_name ORDER BY n.month_idx RANGE BETWEEN 11 PRECEDING AND CURRENT ROW)) a WHERE c = 12 AND dv <> 0 AND dk <> 0"""
+SIDE = "SELECT group_name, month_idx, CAST(SUM(value_eur) AS DOUBLE) AS value, CAST(COALESCE(SUM(quantity_kg), 0) AS DOUBLE) AS kg FROM facts JOIN code_groups USING (product_nc) WHERE flow = 1 AND reporter <> '" + UK + "' AND {} GROUP BY group_name, month_idx"
 
 
-@query("b9_group_share", duck(SHARE.format(k="group_name,", p="PARTITION BY group_name"), "facts", "group_patterns", code_groups=CODE_GROUPS, den=DEN,
-    num=f"SELECT group_name, month_idx, CAST(SUM(value_eur) AS DOUBLE) AS value, CAST(COALESCE(SUM(quantity_kg), 0) AS DOUBLE) AS kg FROM facts JOIN code_groups USING (product_nc) WHERE flow = 1 AND {IN_ENV} GROUP BY group_name, month_idx"))
+@query("b9_group_share", duck(SHARE, "facts", "group_patterns", code_groups=CODE_GROUPS, num=SIDE.format(IN_ENV), den=SIDE.format(f"NOT {IN_MEMBERS}")))
 def b9(spark, sf):
     return shares_of(spark, sf).select("group_name", "month_idx", *(r6(c) for c in ("value_share", "kg_share", "difference_pp", "score")))
 

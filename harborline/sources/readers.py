@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from harborline.functions import expr as X
-from harborline.operators.relational import latest_by, lookup
+from harborline.operators.relational import latest_by
 
 #: The columns of the bulk file in order.
 BULK_COLUMNS = (
@@ -44,15 +44,15 @@ def filter_trade(df: DataFrame, partners: list[str] | None = None, reporters: li
     return df
 
 
-def read_uk_trade(spark: SparkSession, path: str, country_map: DataFrame, rates: DataFrame) -> DataFrame:
+def read_uk_trade(spark: SparkSession, path: str, country_map: DataFrame, rates: DataFrame, one_a_line: bool = False) -> DataFrame:
     """Raw UK rows from JSON pages of {value: [{MonthId, CountryId, FlowTypeId, SuppressionIndex, Value, NetMass, Commodity: {…}}]}.
 
     Unknown countries go; flow types 1 and 3 are imports, 2 and 4 exports, others go; the month's rate converts.
-    country_map: country_id, partner; rates: month_idx, rate.
+    country_map: country_id, partner; rates: month_idx, rate.  A file is a page, or has one page a line.
     """
     commodity = "STRUCT<Hs2Code: STRING, Hs4Code: STRING, Hs6Code: STRING, Cn8Code: STRING>"
     row = f"STRUCT<MonthId: INT, CountryId: INT, FlowTypeId: INT, SuppressionIndex: INT, PortId: INT, Value: DECIMAL(18,2), NetMass: DECIMAL(20,3), SuppUnit: DECIMAL(20,3), Commodity: {commodity}>"
-    pages = spark.read.schema(f"value ARRAY<{row}>").json(path, multiLine=True)
+    pages = spark.read.schema(f"value ARRAY<{row}>").json(path, multiLine=not one_a_line)
     r = pages.select(F.explode("value").alias("r")).select("r.*")
     flow = F.when(F.col("FlowTypeId").isin(1, 3), 1).when(F.col("FlowTypeId").isin(2, 4), 2)
     r = r.select(
@@ -60,7 +60,7 @@ def read_uk_trade(spark: SparkSession, path: str, country_map: DataFrame, rates:
         F.col("Commodity.Hs6Code").alias("product_hs6"), F.col("FlowTypeId").alias("flow_type_id"), flow.alias("flow"), F.coalesce("SuppressionIndex", F.lit(0)).alias("suppression_index"),
         F.col("PortId").alias("port_id"), F.col("Value").alias("value_gbp"), F.col("NetMass").alias("net_mass_kg"),
     ).where("flow is not null")
-    r = r.join(lookup(country_map), "country_id").join(lookup(rates), "month_idx", "left")
+    r = r.join(country_map, "country_id").join(rates, "month_idx", "left")
     return r.withColumn("value_eur", F.col("value_gbp") * F.col("rate")).drop("rate", "country_id")
 
 
@@ -81,7 +81,7 @@ def read_pages(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_lookup(spark: SparkSession, path: str, name: str) -> DataFrame:
-    return lookup(spark.read.parquet(f"{path}/{name}.parquet"))
+    return spark.read.parquet(f"{path}/{name}.parquet")
 
 
 def unprocessed(inputs: DataFrame, run_log: DataFrame, key: str = "url") -> DataFrame:
@@ -90,86 +90,128 @@ def unprocessed(inputs: DataFrame, run_log: DataFrame, key: str = "url") -> Data
     return inputs.join(done.select(key), key, "left_anti")
 
 
-class _Cells(HTMLParser):
-    """The title and the rows of cells of a page."""
+class _Page(HTMLParser):
+    """Title, publication date, unit and the rows of cells of a release page."""
 
     def __init__(self) -> None:
         super().__init__()
-        self.title, self.rows, self._row, self._cell, self._in_title = "", [], None, None, False
+        self.texts = {"title": "", "atcl-ttl": "", "atcl-date": ""}
+        self.unit, self.rows, self._row, self._wide = None, [], None, False
+        self._open: list[list] = []  # [tag, name of the text it feeds, its text]
 
     def handle_starttag(self, tag: str, attrs: list) -> None:
-        if tag == "title":
-            self._in_title = True
-        elif tag == "tr":
-            self._row = []
-        elif tag in ("td", "th") and self._row is not None:
-            self._cell = ""
+        a = dict(attrs)
+        named = next((n for n in (a.get("class") or "").split() if n in self.texts), None)
+        if tag == "tr":
+            self._row, self._wide = [], False
+        elif tag in ("td", "th", "span", "title") or named:
+            self._open.append([tag, "title" if tag == "title" else named, ""])
+            self._wide |= tag == "td" and bool(a.get("colspan"))
 
     def handle_endtag(self, tag: str) -> None:
-        if tag == "title":
-            self._in_title = False
-        elif tag in ("td", "th") and self._cell is not None:
-            self._row.append(self._cell)
-            self._cell = None
-        elif tag == "tr" and self._row is not None:
-            self.rows.append(self._row)
+        if tag == "tr" and self._row is not None:
+            self.rows.append((self._row, self._wide))
             self._row = None
+        elif self._open and self._open[-1][0] == tag:
+            _, name, text = self._open.pop()
+            if name and not self.texts[name]:
+                self.texts[name] = text.strip()
+            if self.unit is None and text.strip().startswith("Unit:"):
+                self.unit = text.strip()[5:].strip()
+            if tag in ("td", "th") and self._row is not None:
+                self._row.append(text)
 
     def handle_data(self, data: str) -> None:
-        if self._in_title:
-            self.title += data
-        elif self._cell is not None:
-            self._cell += data
+        for x in self._open:
+            x[2] += data
 
 
 def page_cells(pages: DataFrame) -> DataFrame:
-    """url, title, row, cells, error: one row per table row; an unreadable page is one row with an error."""
+    """url, title, published, unit, row, cells, wide (a cell spans columns), error: a row per table row; an unreadable page or one
+    without rows is one row with an error."""
+    names = ["url", "title", "published", "unit", "row", "cells", "wide", "error"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             out = []
             for url, html in zip(b.column("url").to_pylist(), b.column("html").to_pylist(), strict=True):
                 try:
-                    p = _Cells()
+                    p = _Page()
                     p.feed(html.decode("utf-8") if isinstance(html, bytes) else html)
-                    out += [(url, p.title, i, r, None) for i, r in enumerate(p.rows)] or [(url, p.title, None, None, "no rows")]
+                    head = (url, p.texts["atcl-ttl"] or p.texts["title"], p.texts["atcl-date"], p.unit)
+                    out += [(*head, i, r, wide, None) for i, (r, wide) in enumerate(p.rows)] or [(*head, None, None, None, "no rows")]
                 except (ValueError, AttributeError, TypeError) as e:
-                    out.append((url, None, None, None, str(e)))
-            cols = list(zip(*out, strict=True)) or [()] * 5
-            types = [pa.string(), pa.string(), pa.int32(), pa.list_(pa.string()), pa.string()]
-            yield pa.record_batch([pa.array(c, t) for c, t in zip(cols, types, strict=True)], names=["url", "title", "row", "cells", "error"])
+                    out.append((url, None, None, None, None, None, None, str(e)))
+            cols = list(zip(*out, strict=True)) or [()] * len(names)
+            types = [pa.string(), pa.string(), pa.string(), pa.string(), pa.int32(), pa.list_(pa.string()), pa.bool_(), pa.string()]
+            yield pa.record_batch([pa.array(c, t) for c, t in zip(cols, types, strict=True)], names=names)
 
-    return pages.select("url", "html").mapInArrow(run, "url string, title string, row int, cells array<string>, error string")
+    return pages.select("url", "html").mapInArrow(run, "url string, title string, published string, unit string, row int, cells array<string>, wide boolean, error string")
 
 
-#: Fixed value: title shape of a release page.
-TITLE = r"\((\d+)\).*?(?:Jan-Feb|([A-Z][a-z]{2})[a-z.]*),? ?(\d{4}).*\((CNY|USD)\)"
-MONTHS = ("Jan", "Feb", "Mar", "Apr", "May", "Jun", "Jul", "Aug", "Sep", "Oct", "Nov", "Dec")
+#: Months, shapes of release titles (dated, with January and February as one; or without a date), the unit of each currency.
+MONTH_NAMES = ("January", "February", "March", "April", "May", "June", "July", "August", "September", "October", "November", "December")
+MONTHS = tuple(m[:3] for m in MONTH_NAMES)
+_MONTH = "|".join(m[:3] + (f"(?:{m[3:]})?" if m[3:] else "") for m in MONTH_NAMES)
+_HEAD = r"^\s*(?:\((\d+)\)\s*)?(.+?)"
+_TAIL = r"\((?:Only[^,()]*,\s*)?(?:in\s*)?(CNY|USD|RMB)\)\s*"
+DATED = rf"{_HEAD},\s*({_MONTH})\.?\s*(?:[-\u2013\u2014]\s*(Feb(?:ruary)?)\.?\s*)?,?\s*(\d{{4}})\s*(?:{_TAIL})?$"
+UNDATED = rf"{_HEAD}\s*{_TAIL}$"
+UNITS = {"CNY": "CNY 100 Million", "USD": "USD1 Million"}
+
+
+def title_parts(title: Column, expected_currency: Column, expected_idx: Column) -> Column:
+    """struct(section, description, month_idx, combined, currency, reason) of a release title.
+
+    The expected currency and month stand in where the title has none; the description overrules a wrong section number.
+    """
+    dated = title.rlike(DATED)
+    part = lambda i, j: F.when(dated, F.regexp_extract(title, DATED, i)).when(title.rlike(UNDATED), F.regexp_extract(title, UNDATED, j) if j else F.lit(""))
+    section, description, currency = part(1, 1), part(2, 2), part(6, 3)
+    month = F.array_position(F.array(*map(F.lit, MONTHS)), F.substring(part(3, 0), 1, 3))
+    combined = F.coalesce(part(4, 0) != "", F.lit(False))
+    said = F.lower(description)
+    told = F.when(said.rlike("by (?:major )?country|by region"), 4).when(said.contains("by trade mode"), 2)
+    currency = F.when(F.coalesce(currency, F.lit("")) == "", expected_currency).otherwise(currency)
+    idx = F.when(dated, (part(5, 0).cast("int") * 12 + F.when(combined, 1).otherwise(month - 1)).cast("int")).otherwise(expected_idx)
+    reason = (
+        F.when(description.isNull() | (combined & (month != 1)), "title not recognised").when(idx.isNull(), "no period").when(currency.isNull(), "no currency")
+    )
+    return F.struct(
+        F.coalesce(told, F.when(section != "", section.cast("int")), F.lit(1)).alias("section"), F.trim(description).alias("description"), idx.cast("int").alias("month_idx"),
+        combined.alias("combined"), F.when(currency == "RMB", "CNY").otherwise(currency).alias("currency"), reason.alias("reason"),
+    )
 
 
 def parse_release_pages(pages: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(observations, errors) of release pages.
+    """(observations, errors) of release pages (url, html; and, where known, expected_currency and expected_idx).
 
-    Rows of 10 cells: label, then monthly and cumulative values of total, export and import (changes ignored);
-    rows of 7 cells: January-February sums.  A page without any observation goes to errors.
+    Rows of 10 cells: label, then monthly and cumulative values of total, export and import (changes ignored); on a page of January
+    and February as one, rows of 7 cells: label and the sums of the three.  A page whose unit contradicts its
+    currency, and one without any observation, goes to errors with the reason.
     """
-    cells = page_cells(pages)
-    part = lambda i: F.regexp_extract("title", TITLE, i)
-    month = F.array_position(F.array(*map(F.lit, MONTHS)), part(2))
-    both = F.col("title").contains("Jan-Feb")
-    idx = (part(3).cast("int") * 12 + F.when(both, 1).otherwise(month - 1)).cast("int")
-    c = cells.where("error is null").withColumn("section", part(1)).withColumn("currency", part(4)).withColumn("month_idx", F.when(F.col("title").rlike(TITLE), idx))
-    unit = c.select("url", F.explode("cells").alias("u")).where(F.lower("u").contains("unit:")).groupBy("url").agg(F.min(F.trim(F.regexp_replace("u", "(?i).*unit:", ""))).alias("unit"))
-    n = F.size("cells")
-    monthly = F.array(*(F.struct(F.lit(k).alias("period_kind"), F.lit(f).alias("flow"), F.get("cells", F.lit(i)).alias("text")) for i, (f, k) in enumerate(((f, k) for f in ("total", "export", "import") for k in ("monthly", "ytd")), 1)))
-    chunk = F.array(*(F.struct(F.lit("cumulative_jan_feb").alias("period_kind"), F.lit(f).alias("flow"), F.get("cells", F.lit(i)).alias("text")) for i, f in enumerate(("total", "export", "import"), 1)))
-    rows = c.where(n.isin(7, 10) & F.col("month_idx").isNotNull()).join(lookup(unit), "url", "left")
-    rows = rows.select("url", "section", "currency", "month_idx", "unit", X.partner_label(F.get("cells", F.lit(0))).alias("p"), F.explode(F.when(n == 10, monthly).otherwise(chunk)).alias("v"))
-    obs = rows.where(~X.number_rejected("v.text")).select(
-        "url", "section", "currency", "month_idx", "unit", F.col("p.label").alias("label"), F.col("p.indent").alias("indent"), F.col("p.is_subset").alias("is_subset"),
+    has = lambda c, t: F.col(c) if c in pages.columns else F.lit(None).cast(t)
+    known = pages.select("url", has("expected_currency", "string").alias("expected_currency"), has("expected_idx", "int").alias("expected_idx"))
+    c = page_cells(pages).join(known, "url").withColumn("t", title_parts(F.col("title"), F.col("expected_currency"), F.col("expected_idx")))
+    units = F.create_map(*(F.lit(x) for kv in UNITS.items() for x in kv))
+    canonical = units[F.col("t.currency")]
+    c = c.withColumn("reason", F.coalesce("error", "t.reason", F.when(F.col("unit") != canonical, "unit contradicts currency"))).withColumn("unit", F.coalesce(canonical, "unit"))
+    published = F.coalesce(F.to_date(F.expr("try_to_timestamp(published, 'yyyy/MM/dd')")), F.to_date(F.expr("try_to_timestamp(published, 'dd/MM/yyyy')")))
+    flows = ("total", "export", "import")
+    cell = lambda k, f, i: F.struct(F.lit(k).alias("period_kind"), F.lit(f).alias("flow"), F.get("cells", F.lit(i)).alias("text"))
+    monthly = F.array(*(cell(k, f, 1 + 2 * i + j) for i, f in enumerate(flows) for j, k in enumerate(("monthly", "ytd"))))
+    chunk = F.array(*(cell("cumulative_jan_feb", f, 1 + i) for i, f in enumerate(flows)))
+    rows = c.where(F.col("reason").isNull() & ~F.col("wide") & (F.size("cells") == F.when(F.col("t.combined"), 7).otherwise(10)))
+    rows = rows.select("url", "t.section", "t.currency", "t.month_idx", "unit", published.alias("published"), X.partner_label(F.get("cells", F.lit(0))).alias("p"), F.when(F.col("t.combined"), chunk).otherwise(monthly).alias("v"))
+    # a row with any cell that is no number is a heading
+    rows = rows.where((F.col("p.label") != "") & ~F.exists("v", lambda v: X.number_rejected(v["text"]))).withColumn("v", F.explode("v"))
+    obs = rows.select(
+        "url", "section", "currency", "month_idx", "unit", "published", F.col("p.label").alias("label"), F.col("p.indent").alias("indent"), F.col("p.is_subset").alias("is_subset"),
         F.col("v.period_kind").alias("period_kind"), F.col("v.flow").alias("flow"), X.parse_number("v.text").alias("value_amount"),
-    )
-    return obs, split_empty(pages, obs)
+    ).where("value_amount is not null")
+    reasons = c.groupBy("url").agg(F.min("reason").alias("reason"))
+    errors = split_empty(pages, obs).drop("error").join(reasons, "url", "left").select("url", F.coalesce("reason", F.lit("no observations")).alias("error"))
+    return obs, errors
 
 
 def split_empty(pages: DataFrame, parsed: DataFrame) -> DataFrame:

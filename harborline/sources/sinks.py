@@ -2,10 +2,29 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+def shared_dir(spark: SparkSession) -> str:
+    """The folder that driver and executors share; a local one only in local mode where none is set, as in tests."""
+    sc = spark.sparkContext
+    if sc.getCheckpointDir() is None:
+        given = sc.getConf().get("spark.checkpoint.dir")
+        if not given and not sc.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
+        sc.setCheckpointDir(given or f"/tmp/checkpoints/{uuid.uuid4().hex}")
+    return sc.getCheckpointDir()
+
+
+def kept(df: DataFrame) -> DataFrame:
+    """df written once to the shared folder: for a small result that several branches of a plan read."""
+    shared_dir(df.sparkSession)
+    return df.checkpoint()
+
+
 def append_raw(df: DataFrame, path: str) -> None:
     df.write.mode("append").partitionBy("period").parquet(path)
 

@@ -71,23 +71,46 @@ def test_gap_list(spark):
 
 SHAPES = {
     "flat": [0.01] * 12,
+    "flat_around_zero": [0.01, -0.01] * 6,
     "rising": [0.2] * 12,
+    "rising_slowly": [0.03] * 12,  # a steady +3 % is no flat series
     "rising_accelerating": [0.1 + 0.03 * i for i in range(12)],
+    "rising_decelerating": [0.5 - 0.03 * i for i in range(12)],
     "falling": [-0.2] * 12,
+    "falling_accelerating": [-0.1 - 0.03 * i for i in range(12)],
+    "falling_decelerating": [-0.5 + 0.03 * i for i in range(12)],
     "u_recovery": [-0.3] * 6 + [0.3] * 6,
+    "u_recovery_small": [-0.3] * 6 + [0.015] * 6,  # only zeros are ignored, not small values
     "inverse_u_peak": [0.3] * 6 + [-0.3] * 6,
     "dip_recovery": [0.3] * 5 + [-0.3] * 5 + [0.3] * 5,
     "failed_recovery": [-0.3] * 5 + [0.3] * 5 + [-0.3] * 5,
     "volatile": ([0.4] * 4 + [-0.4] * 4) * 3,
-    "too_short": [0.2] * 4,
+    "insufficient_data": [0.2] * 4,
 }
 
 
 def test_trajectory_shapes(spark):
     data = [(k, 24000 + i, v, False) for k, vs in SHAPES.items() for i, v in enumerate(vs)]
     df = spark.createDataFrame(data, "key string, month_idx int, value_yoy double, low_base boolean")
-    got = {r["key"]: r["shape"] for r in A.trajectory(df, ["key"]).collect()}
-    assert got == {k: k for k in SHAPES}
+    rows = {r["key"]: r for r in A.trajectory(df, ["key"]).collect()}
+    want = {k: {"flat_around_zero": "flat", "rising_slowly": "rising", "u_recovery_small": "u_recovery"}.get(k, k) for k in SHAPES}
+    assert {k: r["shape"] for k, r in rows.items()} == want
+    assert all(r["shape_label"] == A.SHAPES[r["shape"]] for r in rows.values())
+    assert rows["u_recovery"]["cross_zero_idx"] == 6 and rows["rising"]["cross_zero_idx"] is None
+    assert rows["rising_accelerating"]["peak_idx"] == 24011 and abs(rows["rising_accelerating"]["slope"] - 0.03) < 1e-9
+
+
+def test_seasonality_is_the_correlation_of_both_slices(spark):
+    """Each slice has its own mean, as in a Pearson correlation."""
+    wave = [(i % 12) * 0.1 + (0.3 if i > 20 else 0.0) for i in range(30)]
+    slopes = sorted((wave[j] - wave[i]) / (j - i) for i in range(30) for j in range(i + 1, 30))
+    slope = (slopes[len(slopes) // 2] + slopes[(len(slopes) - 1) // 2]) / 2
+    rest = [v - slope * i for i, v in enumerate(wave)]
+    a, b = rest[:-12], rest[12:]
+    ma, mb = sum(a) / len(a), sum(b) / len(b)
+    want = sum((x - ma) * (y - mb) for x, y in zip(a, b, strict=True)) / (sum((x - ma) ** 2 for x in a) * sum((y - mb) ** 2 for y in b)) ** 0.5
+    got = S.seasonal_autocorr(series(spark, wave), ["key"], "value").first()["autocorr"]
+    assert abs(got - want) < 1e-9
 
 
 MOVERS = {
@@ -108,11 +131,44 @@ def test_product_mover_gates(spark):
     assert got["one_month"] in ("one_month", "unsteady")
 
 
-def test_total_rows_are_never_added_to_detail(spark):
-    facts = spark.createDataFrame(
-        [("R", "P", c, 1, 24000, float(v), 1.0, 0) for c, v in (("11000001", 7), ("11000002", 4), ("000TOTAL", 11))],
-        "reporter string, partner string, product_nc string, flow int, month_idx int, value_eur double, quantity_kg double, suppression_index int",
+def goods(spark, rows):
+    """reporter, partner, code, flow, month, value -> facts; UK is the source without total rows."""
+    return spark.createDataFrame(
+        [(r, p, c, f, m, float(v), 1.0, int(c == "13000001"), f"{r}{p}{c}{f}{m}") for r, p, c, f, m, v in rows],
+        "reporter string, partner string, product_nc string, flow int, month_idx int, value_eur double, quantity_kg double, suppression_index int, raw_id string",
     )
-    patterns = spark.createDataFrame([(1, "g", "11")], "group_id int, group_name string, prefix string")
+
+
+#: Detail 7 and 4 beside their total 11, and a source of detail alone with one suppressed row.
+BOTH = [("R", "P", c, 1, 24000, v) for c, v in (("11000001", 7), ("11000002", 4), ("000TOTAL", 11))] + [("UK", "P", c, 1, 24000, v) for c, v in (("11000001", 5), ("13000001", 100))]
+
+
+def test_total_rows_are_never_added_to_detail(spark):
+    facts = goods(spark, BOTH)
+    patterns = spark.createDataFrame([(1, "g", "11"), (1, "g", "1100")], "group_id int, group_name string, prefix string")
     s = A.group_series(facts, patterns, ("P",), "UK").where(F.col("scope") == "eu_27").collect()
     assert [r["value"] for r in s] == [11.0]
+    assert {r.reporter: r.imports for r in A.importer_totals(facts, ("P",), "UK").collect()} == {"R": 11.0, "UK": 5.0}
+    total, detail = A.allgoods_from_total_row(facts, "UK", ["flow"]).first(), A.allgoods_from_detail(facts, "UK", ["flow"]).first()
+    assert (total.value, total.ids, detail.value, len(detail.ids)) == (11.0, ["RP000TOTAL124000"], 5.0, 1)
+    assert A.external_totals(A.all_goods(facts, "UK"), ["X"], ["month_idx"]).first().value == 16.0
+
+
+def test_balance_takes_total_rows_and_months_of_both_sources(spark):
+    flows = [(*r[:3], f, m, r[5]) for r in BOTH for f in (1, 2) for m in range(24000, 24024)]
+    flows = [r for r in flows if not (r[0] == "UK" and r[3] == 2 and r[4] == 24005)] + [("R", "P", "000TOTAL", 1, m, 1) for m in range(24000, 24024)]
+    s = A.balance_series(goods(spark, flows), ("P",), "P", "UK")
+    got = {(r.reporter_scope, r.month_idx): (r.imports, r.exports) for r in s.where("partner_scope = 'envelope'").collect()}
+    assert got["eu_27", 24000] == (12.0, 11.0) and got["uk", 24000] == (5.0, 5.0) and got["eu_27_plus_uk", 24000] == (17.0, 16.0)
+    assert ("uk", 24005) not in got and ("eu_27_plus_uk", 24005) not in got and ("eu_27", 24005) in got
+    alone = A.balance_series(goods(spark, [r for r in flows if r[0] == "R"]), ("P",), "P", "UK")
+    assert {r.reporter_scope for r in alone.select("reporter_scope").distinct().collect()} == {"eu_27"}
+    b = A.trade_balance(s).where("reporter_scope = 'eu_27' and partner_scope = 'envelope'").orderBy("month_idx").collect()
+    assert len(b) == 13 and b[-1].balance_current == 12.0 and b[-1].ytd == 12.0
+
+
+def test_allgoods_share_reads_total_rows_of_one_source(spark):
+    rows = [("R", p, c, 1, m, v) for m in range(24000, 24014) for p, v in (("P", 3), ("Q", 1), ("Z", 6)) for c in ("11000001", "000TOTAL")]
+    rows += [("UK", "P", "11000001", 1, m, 100) for m in range(24000, 24014)]
+    got = A.allgoods_share(goods(spark, rows), ["Z"], ("P",), "P", "UK", 24000).orderBy("month_idx").collect()
+    assert [(r.month_idx, r.value_share, r.single_share, len(r.points)) for r in got] == [(24011, 0.75, 0.75, 1), (24012, 0.75, 0.75, 2), (24013, 0.75, 0.75, 3)]

@@ -43,6 +43,48 @@ def test_pages_without_rows_are_errors(spark):
     assert {r.url for r in errors.collect()} == {"b", "c"}
 
 
+TITLES = [
+    ("(4) Total Values by Country/Region, Mar 2026 (in CNY)", (4, 24314, False, "CNY", None)),
+    ("(4) Total Values by Country/Region, March 2025 (in CNY)", (4, 24302, False, "CNY", None)),
+    ("(4) Total Values by Country/Region, May 2025 (in USD)", (4, 24304, False, "USD", None)),
+    ("Total Values by Major Country (Region), Jan. 2018 (in RMB)", (4, 24216, False, "CNY", None)),
+    ("(1) Total Values, September 2024 (Only Sept., in CNY)", (1, 24296, False, "CNY", None)),
+    ("(4) Total Values by Country/Region, January-February 2025 (in CNY)", (4, 24301, True, "CNY", None)),
+    ("(3) Total Values by Country/Region, Jan\u2013Feb 2020 (in CNY)", (4, 24241, True, "CNY", None)),
+    ("(4) Total Values by Country/Region, January \u2014 February 2025 (in USD)", (4, 24301, True, "USD", None)),
+    ("Total Values by Country/Region (in CNY)", (4, 7, False, "CNY", None)),
+    ("(2) Total Values by Trade Mode, Jul 2018", (2, 24222, False, "USD", None)),
+    ("Something else", (1, 7, False, "USD", "title not recognised")),
+]
+
+
+def test_release_titles(spark):
+    df = spark.createDataFrame([(t,) for t, _ in TITLES], "title string").withColumn("t", readers.title_parts(F.col("title"), F.lit("USD"), F.lit(7)))
+    got = {r.title: (r.t.section, r.t.month_idx, r.t.combined, r.t.currency, r.t.reason) for r in df.collect()}
+    assert got == dict(TITLES)
+    none = spark.createDataFrame([("Total (in CNY)",), ("Total, May 2025",)], "title string").withColumn("t", readers.title_parts(F.col("title"), F.lit(None).cast("string"), F.lit(None).cast("int")))
+    assert [r.t.reason for r in none.collect()] == ["no period", "no currency"]
+
+
+def page(title, rows, unit="<span><b>Unit: CNY 100 Million</b></span>"):
+    body = "".join("<tr>" + "".join(f"<td>{c}</td>" for c in r) + "</tr>" for r in rows)
+    return f'<html><div class="atcl-ttl">{title}</div><div class="atcl-date">08/04/2026</div><div class="atcl-cnt"><table><tr><td>{unit}</td></tr><tr><td colspan="3">Export</td></tr>{body}</table></div></html>'.encode()
+
+
+def test_release_pages(spark):
+    ten = ["\n\u00a0\u00a0of which: Region  A", "1,000", "2,000", "600", "1,200", "400", "-", "1", "2", "3"]
+    head = ["Country", "Month", "1 to 3", "Month", "1 to 3", "Month", "1 to 3", "a", "b", "c"]
+    pages = [
+        ("a", page("(4) Values by Country/Region, Mar 2026 (in CNY)", [head, ten])), ("b", page("(4) Values by Country/Region, January-February 2025 (in RMB)", [ten[:7], ten])),
+        ("c", page("(4) Values by Country/Region, Mar 2026 (in CNY)", [ten], "Unit: USD1 Million")), ("d", page("nothing", [ten])), ("e", page("(4) Values by Country/Region, Mar 2026 (in CNY)", [head])),
+    ]
+    obs, errors = readers.parse_release_pages(spark.createDataFrame(pages, "url string, html binary"))
+    got = {(r.url, r.period_kind, r.flow): (r.label, r.indent, r.is_subset, r.month_idx, r.value_amount, r.unit, str(r.published)) for r in obs.collect()}
+    assert got["a", "ytd", "export"] == ("Region A", 2, True, 24314, 1200.0, "CNY 100 Million", "2026-04-08") and ("a", "ytd", "import") not in got and len([k for k in got if k[0] == "a"]) == 5
+    assert got["b", "cumulative_jan_feb", "import"][3:5] == (24301, 600.0) and len([k for k in got if k[0] == "b"]) == 3
+    assert {r.url: r.error for r in errors.collect()} == {"c": "unit contradicts currency", "d": "title not recognised", "e": "no observations"}
+
+
 def test_sinks(spark, tmp_path):
     path = str(tmp_path / "raw")
     df = spark.createDataFrame([(1, "a"), (2, "b")], "period int, v string")
@@ -69,6 +111,11 @@ def test_numbers_in_text():
     assert ("12.5%", -0.125, "pct") in got and ("€1.2bn", 1.2e9, "currency") in got and ("40", 40.0, "count") in got
     assert not any(v in (2025.0, 12.0, 27.0, 85076000.0) for _, v, _ in got)
     assert T.numbers_in("") == []
+    for text, want in (("5 kg", [("5 kg", 5.0, "count")]), ("3 Brussels", [("3", 3.0, "count")]), ("2 Member", [("2", 2.0, "count")]), ("39 months", []), ("24-month", []), ("G7, G-20 and EU-27", []), ("HS-84", [])):
+        assert T.numbers_in(text) == want
+    for text, want in (("chapters 84-85 (broad)", []), ("HS 84/85", []), ("CN8 85051110", []), ("cut 4.2%", [("4.2%", -0.042, "pct")]), ("losses of 36.8%", [("36.8%", -0.368, "pct")]), ("+3% while falling", [("+3%", 0.03, "pct")])):
+        assert T.numbers_in(text) == want
+    assert T.numbers_in("fell to €441M") == [("€441M", 441e6, "currency")] and T.numbers_in("1,234.5 thousand") == [("1,234.5 thousand", 1234500.0, "currency")]
 
 
 def test_verification(spark):
