@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from harborline.functions import expr as X
@@ -50,21 +50,35 @@ def not_present(incoming: DataFrame, existing: DataFrame, keys: list[str]) -> Da
     return incoming.join(existing.select(*keys).distinct(), keys, "left_anti")
 
 
-def publication_expectation(periods: DataFrame, calendar: DataFrame, as_of: Column, lag_days: int = 45, grace_days: int = 5) -> DataFrame:
-    """due date (exact from the calendar, else close of the month plus lag) and none_expected / due / overdue."""
-    c = calendar.select("source", "month_idx", "exact_date")
-    due = F.coalesce("exact_date", F.date_add(F.last_day(X.month_start("month_idx")), lag_days))
-    p = periods.join(c, ["source", "month_idx"], "left").withColumn("due", due)
-    state = F.when(as_of < F.col("due"), "none_expected").when(as_of <= F.date_add("due", grace_days), "due").otherwise("overdue")
-    return p.withColumn("state", state)
+#: Days from the close of a month to its publication and of grace, and whether January comes with February.
+SCHEDULES = (("eurostat", 46, 5, False), ("hmrc", 44, 7, False), ("gacc", 8, 4, True))
 
 
-def next_release_forecast(releases: DataFrame, calendar: DataFrame, as_of: Column, january_to_february: tuple[str, ...] = ()) -> DataFrame:
-    """The next month of each source and when it is due, soonest first."""
-    nxt = releases.groupBy("source").agg((F.max("month_idx") + 1).alias("month_idx"))
-    skip = F.col("source").isin(*january_to_february) & (F.col("month_idx") % 12 == 0) if january_to_february else F.lit(False)
-    nxt = nxt.withColumn("month_idx", F.when(skip, F.col("month_idx") + 1).otherwise(F.col("month_idx")))
-    return publication_expectation(nxt, calendar, as_of).orderBy("due", "source")
+def schedules(spark: SparkSession) -> DataFrame:
+    return spark.createDataFrame(SCHEDULES, "source string, lag_days int, grace_days int, january_with_february boolean")
+
+
+def publication_expectation(periods: DataFrame, calendar: DataFrame, as_of: Column, schedule: DataFrame) -> DataFrame:
+    """due date (exact from the calendar, else close of the month plus the source's lag) and none_expected / due / overdue.
+
+    calendar: source, month_idx, exact_date; schedule: as SCHEDULES.  A source without a schedule has no due date and no state.
+    """
+    c = calendar.select("source", F.col("month_idx").alias("_for"), "exact_date")
+    p = periods.join(schedule, "source", "left")
+    moved = F.coalesce("january_with_february", F.lit(False)) & (F.col("month_idx") % 12 == 0)
+    p = p.withColumn("_for", F.col("month_idx") + moved.cast("int")).join(c, ["source", "_for"], "left")
+    due = F.when(F.col("lag_days").isNotNull(), F.coalesce("exact_date", F.date_add(F.last_day(X.month_start("_for")), F.col("lag_days"))))
+    p = p.withColumn("due", due)
+    state = F.when(as_of < F.col("due"), "none_expected").when(as_of <= F.date_add("due", F.col("grace_days")), "due").when(F.col("due").isNotNull(), "overdue")
+    return p.withColumn("state", state).drop("_for")
+
+
+def next_release_forecast(releases: DataFrame, calendar: DataFrame, as_of: Column, schedule: DataFrame) -> DataFrame:
+    """The next month of each source and when it is due, soonest first; January goes to February where they come as one."""
+    nxt = releases.groupBy("source").agg((F.max("month_idx") + 1).alias("month_idx")).join(schedule.select("source", "january_with_february"), "source", "left")
+    skip = F.coalesce("january_with_february", F.lit(False)) & (F.col("month_idx") % 12 == 0)
+    nxt = nxt.withColumn("month_idx", F.col("month_idx") + skip.cast("int")).drop("january_with_february")
+    return publication_expectation(nxt, calendar, as_of, schedule).orderBy("due", "source")
 
 
 def source_status(log: DataFrame) -> DataFrame:

@@ -199,9 +199,14 @@ def l3(spark, sf):
     return L.emit_counts(_ledger(spark, sf)[1])
 
 
-@query("l6_duplicate_active", "SELECT '' AS nk, CAST(0 AS BIGINT) AS n WHERE FALSE")
+YOY_KEY = "substr(sha256(concat_ws(chr(31), 'hs_group_yoy', group_name, scope, CAST(flow AS VARCHAR), CAST(month_idx AS VARCHAR))), 1, 32)"
+
+
+@query("l6_duplicate_active", with_series(f"SELECT nk, CAST(2 AS BIGINT) AS n FROM (SELECT {YOY_KEY} AS nk FROM yoy) a WHERE nk < '2'"))
 def l6(spark, sf):
-    return L.duplicate_active(_ledger(spark, sf)[1])
+    """A ledger in which some keys were written twice: these alone break the rule."""
+    ledger = _ledger(spark, sf)[1]
+    return L.duplicate_active(ledger.unionByName(ledger.where("nk < '2' and superseded_at is null")))
 
 
 @query("l7_revision_chain", with_series("SELECT CAST(n AS INT) AS revisions, CAST(COUNT(*) AS BIGINT) AS keys FROM (SELECT CASE WHEN month_idx < 24000 AND month_idx % 5 = 0 AND round(value_yoy, 6) <> round(value_yoy * 1.1e0, 6) THEN 2 ELSE 1 END AS n FROM yoy) a GROUP BY n"))
@@ -293,11 +298,12 @@ def r18(spark, sf):
     return K.movers_section(yoy_of(spark, sf), 3).select(*KEYS, "month_idx", r6("value_yoy"), "rank")
 
 
-@query("r22_r35_texts", with_series("""SELECT group_name, scope, flow, month_idx, concat(CASE WHEN flow = 1 THEN 'Imports' ELSE 'Exports' END, ' of ', group_name, CASE WHEN value_yoy >= 0 THEN ' rose ' ELSE ' fell ' END) AS head,
+@query("r22_r35_texts", with_series("""SELECT group_name, scope, flow, month_idx, concat(CASE WHEN flow = 1 THEN 'Imports' ELSE 'Exports' END, ' of ', group_name, CASE WHEN value_yoy >= 0 THEN ' rose ' ELSE ' fell ' END, printf('%.1f%%', abs(value_yoy) * 100), ' to €',
+      CASE WHEN abs(value_current) >= 1e9 THEN printf('%.2fB', value_current / 1e9) WHEN abs(value_current) >= 1e6 THEN printf('%.1fM', value_current / 1e6) WHEN abs(value_current) >= 1e3 THEN printf('%.1fk', value_current / 1e3) ELSE printf('%.0f', value_current) END) AS sentence,
     concat_ws('; ', CASE WHEN abs((value - single_prior) / abs(single_prior)) >= 3 THEN 'extreme' END, CASE WHEN missing > 0 THEN CASE WHEN n_current < 12 THEN 'current window incomplete' ELSE 'prior window incomplete' END END) AS warning FROM yoy"""))
 def r22(spark, sf):
     y = K.mover_sentence(K.warnings(yoy_of(spark, sf)))
-    return y.select(*KEYS, "month_idx", F.regexp_extract("sentence", "^(.* of .* (?:rose|fell) )", 1).alias("head"), F.regexp_replace("warning", r"single month [+-][0-9,]+%", "extreme").alias("warning"))
+    return y.select(*KEYS, "month_idx", "sentence", F.regexp_replace("warning", r"single month [+-][0-9,]+%", "extreme").alias("warning"))
 
 
 @query("r20_coverage_manifest", duck("SELECT flow AS source, MIN(month_idx) AS first_idx, MAX(month_idx) AS last_idx, CAST(COUNT(*) AS BIGINT) AS n_releases FROM (SELECT DISTINCT flow, month_idx FROM exports) r GROUP BY flow", "exports"))
@@ -328,11 +334,16 @@ def r23(spark, sf):
     return out.select("subject", "n_kinds", r6("strength"), "kinds")
 
 
-@query("r24_fact_sheet", with_series("""SELECT group_name, CAST(SUM(n) AS BIGINT) AS n_facts FROM (SELECT group_name, 3 + CASE WHEN kg_yoy IS NULL THEN 0 ELSE 1 END + CASE WHEN kg_cov >= 0.8 AND kg_current > 0 AND kg_prior > 0 AND wk_prior > 0 THEN 1 ELSE 0 END AS n
-    FROM (SELECT *, MAX(month_idx) OVER (PARTITION BY group_name, scope, flow) AS t FROM yoy) a WHERE month_idx = t AND (scope = 'eu_27' OR NOT low_base)) b GROUP BY 1"""))
+PRICE = "CASE WHEN kg_cov >= 0.8 AND kg_{0} > 0 THEN wk_{0} / kg_{0} END"
+FACTS = {"value_current": "value_current", "value_prior": "value_prior", "value_yoy": "value_yoy", "kg_yoy": "kg_yoy", "price_yoy": "CASE WHEN pp <> 0 THEN (pc - pp) / abs(pp) END"}
+
+
+@query("r24_fact_sheet", shapes("SELECT f.group_name, path, round(value, 6) AS value, s.shape FROM (" + " UNION ALL ".join(f"SELECT group_name, scope || CASE flow WHEN 1 THEN '.import.' ELSE '.export.' END || '{n}' AS path, {e} AS value FROM last" for n, e in FACTS.items())
+    + ") f LEFT JOIN (SELECT group_name, shape FROM shaped WHERE scope = 'eu_27' AND flow = 1) s USING (group_name) WHERE value IS NOT NULL",
+    last=f"SELECT *, {PRICE.format('current')} AS pc, {PRICE.format('prior')} AS pp FROM (SELECT *, MAX(month_idx) OVER (PARTITION BY group_name, scope, flow) AS t FROM yoy) a WHERE month_idx = t AND (scope = 'eu_27' OR NOT low_base)"))
 def r24(spark, sf):
     y = shared_yoy(spark, sf)
-    return K.fact_sheet(y, A.trajectory(y, limits=LIMITS)).select("group_name", F.size(F.map_keys("facts")).cast("long").alias("n_facts"))
+    return K.fact_sheet(y, A.trajectory(y, limits=LIMITS)).select("group_name", F.explode("facts").alias("path", "value"), "shape").select("group_name", "path", r6("value"), "shape")
 
 
 @query("r21_source_trail", with_series("""SELECT y.group_name, y.scope, y.flow, y.month_idx, CAST(COUNT(DISTINCT r.month_idx) AS BIGINT) AS n_releases FROM yoy y JOIN (SELECT DISTINCT month_idx FROM facts) r ON r.month_idx BETWEEN y.month_idx - 23 AND y.month_idx GROUP BY 1, 2, 3, 4"""))
@@ -411,18 +422,33 @@ def q7(spark, sf):
     return p.select("group_name", Q.valid_patterns("patterns").alias("valid"), F.size("patterns").cast("long").alias("n"))
 
 
-@query("q9_publication", duck("SELECT source, month_idx, due, CASE WHEN DATE '2001-10-20' < due THEN 'none_expected' WHEN DATE '2001-10-20' <= due + 5 THEN 'due' ELSE 'overdue' END AS state FROM (SELECT flow AS source, month_idx, last_day(make_date(CAST(month_idx // 12 AS INT), CAST(month_idx % 12 + 1 AS INT), 1)) + 45 AS due FROM (SELECT DISTINCT flow, month_idx FROM exports) e) a", "exports"))
+#: Which source the rows of a table stand for: exporter-declared flows and the facts of either reporter.
+PERIODS = f"""SELECT CASE flow WHEN 'export' THEN 'gacc' ELSE 'unscheduled' END AS source, month_idx FROM exports UNION SELECT CASE reporter WHEN '{UK}' THEN 'hmrc' ELSE 'eurostat' END, month_idx FROM facts"""
+DUE = """SELECT p.source, p.month_idx, CASE WHEN s.lag IS NOT NULL THEN COALESCE(CASE WHEN p.source = 'eurostat' AND of_idx % 5 = 0 THEN make_date(CAST(of_idx // 12 AS INT), CAST(of_idx % 12 + 1 AS INT), 1) + 70 END,
+      last_day(make_date(CAST(of_idx // 12 AS INT), CAST(of_idx % 12 + 1 AS INT), 1)) + CAST(s.lag AS INT)) END AS due, s.grace FROM (SELECT *, month_idx + CASE WHEN source = 'gacc' AND month_idx % 12 = 0 THEN 1 ELSE 0 END AS of_idx FROM {0}) p
+    LEFT JOIN (VALUES ('eurostat', 46, 5), ('hmrc', 44, 7), ('gacc', 8, 4)) AS s(source, lag, grace) ON s.source = p.source"""
+STATE = "CASE WHEN DATE '2001-10-20' < due THEN 'none_expected' WHEN DATE '2001-10-20' <= due + CAST(grace AS INT) THEN 'due' WHEN due IS NOT NULL THEN 'overdue' END AS state"
+
+
+def periods_of(spark, sf):
+    """(periods of every source, exact publication dates of some of them)."""
+    t = frames(spark, sf, "exports", "facts")
+    e = t["exports"].select(F.when(F.col("flow") == "export", "gacc").otherwise("unscheduled").alias("source"), "month_idx")
+    p = e.unionByName(t["facts"].select(F.when(F.col("reporter") == UK, "hmrc").otherwise("eurostat").alias("source"), "month_idx")).distinct()
+    exact = p.where("source = 'eurostat' and month_idx % 5 = 0").withColumn("exact_date", F.date_add(X.month_start("month_idx"), 70))
+    return p, exact
+
+
+@query("q9_publication", duck(f"SELECT source, month_idx, due, {STATE} FROM due", "exports", "facts", periods=PERIODS, due=DUE.format("periods")))
 def q9(spark, sf):
-    p = frame(spark, sf, "exports").select(F.col("flow").alias("source"), "month_idx").distinct()
-    none = p.where("false").withColumn("exact_date", F.lit(None).cast("date"))
-    return Q.publication_expectation(p, none, F.lit("2001-10-20").cast("date")).select("source", "month_idx", "due", "state")
+    p, exact = periods_of(spark, sf)
+    return Q.publication_expectation(p, exact, F.lit("2001-10-20").cast("date"), Q.schedules(spark)).select("source", "month_idx", "due", "state")
 
 
-@query("q10_next_release", duck("SELECT source, m AS month_idx, last_day(make_date(CAST(m // 12 AS INT), CAST(m % 12 + 1 AS INT), 1)) + 45 AS due FROM (SELECT flow AS source, MAX(month_idx) + 1 AS m FROM exports GROUP BY 1) a", "exports"))
+@query("q10_next_release", duck(f"SELECT source, month_idx, due, {STATE} FROM due", "exports", "facts", periods=PERIODS, due=DUE.format("(SELECT source, m + CASE WHEN source = 'gacc' AND m % 12 = 0 THEN 1 ELSE 0 END AS month_idx FROM (SELECT source, MAX(month_idx) + 1 AS m FROM periods GROUP BY 1) n) q")))
 def q10(spark, sf):
-    r = frame(spark, sf, "exports").select(F.col("flow").alias("source"), "month_idx")
-    none = r.where("false").withColumn("exact_date", F.lit(None).cast("date"))
-    return Q.next_release_forecast(r, none, F.lit("2001-10-20").cast("date")).select("source", "month_idx", "due")
+    p, exact = periods_of(spark, sf)
+    return Q.next_release_forecast(p, exact, F.lit("2001-10-20").cast("date"), Q.schedules(spark)).select("source", "month_idx", "due", "state")
 
 
 @query("q11_source_status", duck("SELECT source, MAX(checked_at) AS last_checked, arg_max(result, (checked_at, event_id)) AS last_result, MAX(checked_at) FILTER (WHERE result = 'new_data') AS last_new_data, CAST(COUNT(*) AS BIGINT) AS n_checks, CAST(COUNT(*) FILTER (WHERE result = 'error') AS BIGINT) AS n_errors FROM check_log GROUP BY 1", "check_log"))
@@ -451,9 +477,12 @@ def q15(spark, sf):
     return Q.threshold_sweep(m, "m", [1e6, 2e7], 5e6).select("threshold", "n_under", r6("share"), "change")
 
 
-@query("q17_replay", with_series("SELECT group_name, scope, flow, CAST(COUNT(*) AS BIGINT) AS n, TRUE AS all_match FROM yoy GROUP BY 1, 2, 3"))
+@query("q17_replay", with_series("SELECT group_name, scope, flow, CAST(COUNT(*) AS BIGINT) AS n, CAST(COUNT(*) FILTER (WHERE month_idx % 10 <> 0) AS BIGINT) AS n_match FROM yoy GROUP BY 1, 2, 3"))
 def q17(spark, sf):
-    return Q.replay(shared_yoy(spark, sf), series_of(spark, sf), KEYS).groupBy(*KEYS).agg(F.count("*").alias("n"), F.bool_and("matches").alias("all_match"))
+    """Findings, some of them falsified, against their windows summed again from raw rows."""
+    told = yoy_of(spark, sf).withColumn("value_current", F.when(F.col("month_idx") % 10 == 0, F.col("value_current") * 1.01).otherwise(F.col("value_current")))
+    raw = R.assign_groups(A.scoped(frame(spark, sf, "facts"), ENVELOPE, UK), frame(spark, sf, "group_patterns")).select(*KEYS, "month_idx", F.col("value_eur").alias("value"))
+    return Q.replay(told, raw, KEYS).groupBy(*KEYS).agg(F.count("*").alias("n"), F.count_if("matches").alias("n_match"))
 
 
 @query("q19_publish_due", duck("SELECT MAX(month_idx) AS data_idx, MAX(month_idx) - 2 AS published_idx, TRUE AS due FROM facts", "facts"))

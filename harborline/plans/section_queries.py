@@ -7,11 +7,12 @@ from pyspark.sql import functions as F
 from harborline.fixtures import ENVELOPE, UK, duck, frame, frames
 from harborline.functions import expr as X
 from harborline.operators import families as A
+from harborline.operators import ledger as L
 from harborline.operators import ranking as K
 from harborline.operators import relational as R
 from harborline.operators import sections as C
 from harborline.plans import report_queries as Q
-from harborline.plans.series_queries import ALL_GOODS, CODE_GROUPS, IN_ENV, KEYS, LIMITS, MOVER_CTES, RUN, allgoods_of, balance_of, movers_of, r6, shapes, shared_yoy, with_series, yoy_of
+from harborline.plans.series_queries import ALL_GOODS, CODE_GROUPS, CTES as SERIES_CTES, IN_ENV, KEYS, LIMITS, MOVER_CTES, RUN, allgoods_of, b9, balance_of, movers_of, r6, shapes, shared_yoy, shares_of, with_series, yoy_of
 from harborline.registry import ORACLES, query
 from harborline.sources.sinks import kept
 
@@ -130,8 +131,6 @@ def r16(spark, sf):
 
 @query("r17_share_section", "SELECT group_name, month_idx, value_share FROM (SELECT *, row_number() OVER (PARTITION BY group_name ORDER BY month_idx DESC) AS rk FROM (" + ORACLES["b9_group_share"] + ") s) a WHERE rk = 1")
 def r17(spark, sf):
-    from harborline.plans.series_queries import b9
-
     return C.share_section(b9(spark, sf)).select("group_name", "month_idx", "value_share")
 
 
@@ -167,9 +166,7 @@ KINDS = {**Q.MIRROR, "kinds": """SELECT subkind, COUNT(*) AS n FROM (SELECT 'hs_
 
 
 def kinds(body: str) -> str:
-    from harborline.plans.series_queries import CTES
-
-    return duck(body, "facts_full", "group_patterns", "exports", "fx_rates", "aliases", "members", **CTES, **KINDS)
+    return duck(body, "facts_full", "group_patterns", "exports", "fx_rates", "aliases", "members", **SERIES_CTES, **KINDS)
 
 
 def _universal(family: str) -> list[str]:
@@ -227,3 +224,38 @@ def b15(spark, sf):
 def b18(spark, sf):
     a = C.annual_by_region(Q.annual(spark, sf))
     return a.select("label", "year", *(F.round(c, 2).alias(c) for c in ("exports", "imports", "balance")))
+
+
+def keyed_families(spark, sf):
+    """The natural keys of the rows of all ten families."""
+    y = shared_yoy(spark, sf)
+    gaps = kept(Q.gaps_of(spark, sf).where("skip is null"))
+    blocs_ = kept(Q.bloc_yoy(spark, sf, "true").join(frame(spark, sf, "aliases").select("label", "aggregate_kind"), "label"))
+    one = F.lit(1).alias("flow")
+    last = frame(spark, sf, "facts").where("flow = 1").agg(F.max("month_idx").alias("month_idx"))
+    rows = {
+        "mirror_gap": gaps, "mirror_gap_zscore": A.mirror_zscore(gaps), "hs_group_yoy": y, "hs_group_trajectory": y.select(*KEYS).distinct(),
+        "product_mover": movers_of(spark, sf).select("product_nc", one).join(F.broadcast(last)), "bloc_yoy": blocs_.where("aggregate_kind in ('region', 'world')"),
+        "bilateral_yoy": blocs_.where("aggregate_kind is null or aggregate_kind = 'eu_bloc'").withColumnRenamed("label", "partner"), "trade_balance": balance_of(spark, sf),
+        "allgoods_share": allgoods_of(spark, sf).where("flow = 1"), "group_share": shares_of(spark, sf).select("group_name", one, "month_idx"),
+    }
+    return {f: L.keyed(df, f, F.lit(f), [], "v1").select(F.col("subkind").alias("family"), "nk") for f, df in rows.items()}
+
+
+FAMILY_ROWS = {
+    "mirror_gap": "SELECT partner, month_idx FROM gaps WHERE skip IS NULL", "mirror_gap_zscore": "SELECT partner, month_idx FROM z WHERE abs(z) >= 1.5", "hs_group_yoy": "SELECT group_name, scope, flow, month_idx FROM yoy",
+    "hs_group_trajectory": "SELECT DISTINCT group_name, scope, flow FROM yoy", "product_mover": "SELECT product_nc, 1, (SELECT MAX(month_idx) FROM codes) FROM movers",
+    "bloc_yoy": "SELECT label, flow, month_idx FROM windows JOIN aliases USING (label) WHERE aggregate_kind IN ('region', 'world')", "bilateral_yoy": "SELECT label, flow, month_idx FROM windows JOIN aliases USING (label) WHERE aggregate_kind IS NULL OR aggregate_kind = 'eu_bloc'",
+    "trade_balance": "SELECT reporter_scope, partner_scope, month_idx FROM balances", "allgoods_share": "SELECT month_idx FROM world_shares WHERE flow = 1", "group_share": "SELECT group_name, 1, month_idx FROM group_shares",
+}
+NATURAL = " UNION ALL ".join(f"SELECT '{f}' AS family, substr(sha256('{f}' || chr(31) || {' || chr(31) || '.join(f'CAST(c{i} AS VARCHAR)' for i in range(len(L.KEYS[f])))}), 1, 32) AS nk FROM ({rows}) t({', '.join(f'c{i}' for i in range(len(L.KEYS[f])))})" for f, rows in FAMILY_ROWS.items())
+
+
+@query("l4_natural_keys", duck(f"SELECT family, CAST(COUNT(*) AS BIGINT) AS n, CAST(COUNT(DISTINCT nk) AS BIGINT) AS n_keys, MIN(nk) AS first_nk, MAX(nk) AS last_nk FROM ({NATURAL}) k GROUP BY 1", "facts", "facts_full", "group_patterns", "exports", "exports_ytd", "fx_rates", "aliases", "members",
+    **SERIES_CTES, **{k: v for k, v in MOVER_CTES.items() if k != "code_groups"}, **Q.MIRROR, z=Q.Z, **Q.BLOCS, balances=ORACLES["b7_trade_balance"], world_shares=ORACLES["b8_allgoods_share"], group_shares=ORACLES["b9_group_share"]))
+def l4(spark, sf):
+    parts = list(keyed_families(spark, sf).values())
+    every = parts[0]
+    for p in parts[1:]:
+        every = every.unionByName(p)
+    return every.groupBy("family").agg(F.count("*").alias("n"), F.count_distinct("nk").alias("n_keys"), F.min("nk").alias("first_nk"), F.max("nk").alias("last_nk"))
