@@ -42,7 +42,7 @@ class Settings:
     row: int = 64  # samples of a row
     page_rows: int = 4096
     strip_rows: int = 256
-    tile_rows: int = 16
+    tile_rows: int = 64
 
 
 @dataclass
@@ -91,74 +91,83 @@ def unpackbits(data: bytes) -> bytes:
     return b"".join(out)
 
 
+CLEAR, END, FIRST, TOP = 256, 257, 258, 4094
+_START = [bytes([i]) for i in range(256)] + [b"", b""]
+
+
+def code_widths(n: int) -> np.ndarray:
+    """Bits of the first n codes after a clear code: both sides' tables grow by one entry a code, and widths change one code early."""
+    return np.clip(np.frexp(np.arange(FIRST, FIRST + n))[1], 9, 12)
+
+
 def lzw(data: bytes) -> bytes:
     """Codes of 9 to 12 bits, high bit first, one code early, a clear code first and an end code last."""
-    acc, held, out = 0, 0, bytearray()
-    width, table_, w = 9, {bytes([i]): i for i in range(256)}, b""
-
-    def put(code: int) -> None:
-        nonlocal acc, held
-        acc = acc << width | code
-        held += width
-        while held >= 8:
-            held -= 8
-            out.append(acc >> held & 255)
-        acc &= (1 << held) - 1
-
-    put(256)
-    for b in data:
-        x = w + bytes([b])
-        if x in table_:
-            w = x
+    segments, codes, known, size = [], [CLEAR], {}, FIRST
+    w = data[0] if data else None
+    for b in data[1:]:
+        x = w << 8 | b
+        longer = known.get(x)
+        if longer is not None:
+            w = longer
             continue
-        put(table_[w])
-        table_[x] = len(table_) + 2
-        if len(table_) + 2 == 4094:
-            put(256)
-            table_, width = {bytes([i]): i for i in range(256)}, 9
-        elif len(table_) + 2 >= 1 << width and width < 12:
-            width += 1
-        w = bytes([b])
-    if w:
-        put(table_[w])
-        table_[w + b"\0\0"] = 0
-        if len(table_) + 2 >= 1 << width and width < 12:
-            width += 1
-    put(257)
-    if held:
-        out.append(acc << (8 - held) & 255)
-    return bytes(out)
+        codes.append(w)
+        known[x] = size
+        size += 1
+        if size == TOP:
+            segments.append(codes)
+            codes, known, size = [CLEAR], {}, FIRST
+        w = b
+    segments.append(codes if w is None else [*codes, w])
+    segments[-1].append(END)
+    flat = np.array([c for x in segments for c in x])
+    # a clear code has the width that follows the codes before it; the first one has 9 bits
+    widths = np.concatenate([np.append(9 if not i else 12, code_widths(len(x) - 1)) for i, x in enumerate(segments)])
+    places = np.arange(11, -1, -1)
+    bits = (flat[:, None] >> places & 1).astype(np.uint8)
+    return np.packbits(bits[places < widths[:, None]]).tobytes()
+
+
+def _codes(data: np.ndarray, at: int) -> np.ndarray:
+    """The codes from bit `at` up to the next clear or end code (that included), or as many as one table takes."""
+    n = min((len(data) * 8 - at) // 9, 1 << 12)
+    widths = code_widths(max(n, 0))
+    begin = at + np.cumsum(widths) - widths
+    fits = begin + widths <= len(data) * 8
+    begin, widths = begin[fits], widths[fits]
+    padded = np.append(data, np.zeros(4, np.uint8)).astype(np.int64)
+    byte = begin >> 3
+    value = padded[byte] << 16 | padded[byte + 1] << 8 | padded[byte + 2]
+    codes = value >> (24 - (begin & 7) - widths) & ((1 << widths) - 1)
+    stop = np.flatnonzero((codes == CLEAR) | (codes == END))
+    return codes[: stop[0] + 1] if len(stop) else codes
 
 
 def unlzw(data: bytes) -> bytes:
     out: list[bytes] = []
-    start = [bytes([i]) for i in range(256)] + [b"", b""]
-    known, width, old = list(start), 9, b""
-    acc = held = 0
-    for b in data:
-        acc, held = acc << 8 | b, held + 8
-        if held < width:
-            continue
-        held -= width
-        code = acc >> held
-        acc &= (1 << held) - 1
-        if code == 257:
-            break
-        if code == 256:
-            known, width, old = list(start), 9, b""
-            continue
-        if not old:
-            entry = known[code]
-        else:
-            if code > len(known) or len(known) >= 4096:
+    body, at, old = np.frombuffer(data, np.uint8), 0, b""
+    known = list(_START)
+    while True:
+        codes = _codes(body, at)
+        at += int(code_widths(len(codes)).sum())
+        for code in codes.tolist():
+            if code == CLEAR or code == END:
+                break
+            if code < len(known):
+                entry = known[code]
+            elif code == len(known) and old:
+                entry = old + old[:1]
+            else:
                 raise ValueError("LZW code beyond the table")
-            entry = known[code] if code < len(known) else old + old[:1]
-            known.append(old + entry[:1])
-            if len(known) >= (1 << width) - 1 and width < 12:
-                width += 1
-        out.append(entry)
-        old = entry
-    return b"".join(out)
+            if old and len(known) < 1 << 12:
+                known.append(old + entry[:1])
+            out.append(entry)
+            old = entry
+        if not len(codes) or codes[-1] == END:
+            return b"".join(out)
+        if codes[-1] == CLEAR:
+            known, old = list(_START), b""
+        else:  # a table that stays full: its codes go on in 12 bits
+            raise ValueError("LZW data without a clear code")
 
 
 _PACK = {NONE: lambda x: x, LZW: lzw, DEFLATE: lambda x: zlib.compress(x, 1), PACKBITS: packbits}
