@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from harborline.functions import expr as X
@@ -56,11 +56,14 @@ def level_card(series: DataFrame, keys: list[str], value: str, tail: int = 36) -
     return R.latest_by(s, keys, F.desc("month_idx")).select(*keys, "month_idx", F.col(value).alias("level"), "points")
 
 
-def deficit_by_scope(balance: DataFrame) -> DataFrame:
-    """The latest envelope balance of each reporter scope beside the single-partner one of the same month."""
-    last = R.latest_by(balance.where("partner_scope = 'envelope'"), ["reporter_scope"], F.desc("month_idx"))
+def deficit_by_scope(balance: DataFrame, shares: DataFrame) -> DataFrame:
+    """The latest envelope balance of each reporter scope, its monthly series, the single-partner balance and the share of the same month."""
+    w = Window.partitionBy("reporter_scope").orderBy("month_idx")
+    envelope = balance.where("partner_scope = 'envelope'").withColumn("points", F.collect_list(F.struct("month_idx", "balance_current")).over(w))
+    last = R.latest_by(envelope, ["reporter_scope"], F.desc("month_idx"))
     one = balance.where("partner_scope = 'single'").select("reporter_scope", "month_idx", F.col("balance_current").alias("single_balance"))
-    return last.select("reporter_scope", "month_idx", "balance_current").join(one, ["reporter_scope", "month_idx"], "left")
+    share = shares.select("month_idx", F.col("value_share").alias("share"))
+    return last.select("reporter_scope", "month_idx", "balance_current", "points").join(one, ["reporter_scope", "month_idx"], "left").join(share, "month_idx", "left")
 
 
 def sector_detail(yoy_rows: DataFrame, products: DataFrame, breakdown: DataFrame, k: int = 3) -> DataFrame:
@@ -100,11 +103,13 @@ def trajectory_section(shapes: DataFrame) -> DataFrame:
 
 
 def bilateral_section(bilateral: DataFrame) -> DataFrame:
-    """Both flows of each partner's latest anchor with the balance and a note of missing or combined months."""
+    """Both flows of each partner's latest anchor in three registers, the balance, and a note of missing or combined months; the largest first."""
     last = R.at_latest_anchor(bilateral, ["label"])
     side = lambda f, c: F.max(F.when(F.col("flow") == f, F.col(c)))
     note = F.when(F.max(F.col("jan_feb_combined").cast("int")) == 1, "January and February combined").when(F.max(F.col("partial_window").cast("int")) == 1, "months missing")
-    return last.groupBy("label", "month_idx").agg(side("export", "value_current").alias("exports"), side("import", "value_current").alias("imports"), note.alias("note")).withColumn("balance", F.col("exports") - F.col("imports"))
+    registers = [side(f, c).alias(f"{n}{f}s") for c, n in (("value_current", ""), ("ytd", "ytd_"), ("value", "month_")) for f in ("export", "import")]
+    s = last.groupBy("label", "month_idx").agg(*registers, note.alias("note")).withColumn("balance", F.col("exports") - F.col("imports"))
+    return s.orderBy(F.desc(F.coalesce("exports", F.lit(0.0)) + F.coalesce("imports", F.lit(0.0))), "label")
 
 
 def finding_counts(findings: DataFrame, by: Column | str = "subkind") -> DataFrame:

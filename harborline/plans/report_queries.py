@@ -311,6 +311,11 @@ def r20(spark, sf):
     return K.coverage_manifest(frame(spark, sf, "exports").select(F.col("flow").alias("source"), "month_idx").distinct())[0]
 
 
+@query("r20_last_releases", duck("SELECT flow AS source, month_idx, CAST(rank AS INT) AS rank FROM (SELECT *, row_number() OVER (PARTITION BY flow ORDER BY month_idx DESC) AS rank FROM (SELECT DISTINCT flow, month_idx FROM exports) r) a WHERE rank <= 12", "exports"))
+def r20b(spark, sf):
+    return K.coverage_manifest(frame(spark, sf, "exports").select(F.col("flow").alias("source"), "month_idx").distinct())[1].select("source", "month_idx", "rank")
+
+
 LIST = """SELECT subject, n_kinds, round(strength, 6) AS strength, kinds FROM (
     SELECT subject, CAST(COUNT(DISTINCT kind) AS BIGINT) AS n_kinds, MAX(strength) AS strength, string_agg(DISTINCT kind, ',' ORDER BY kind) AS kinds FROM picked WHERE subject <> 'alpha' GROUP BY 1) a ORDER BY n_kinds DESC, strength DESC, subject LIMIT 8"""
 PICKS = {

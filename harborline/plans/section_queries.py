@@ -83,10 +83,14 @@ def r13b(spark, sf):
     return imports.select(*cols).unionByName(shares.select(*cols))
 
 
-@query("r28_deficit_by_scope", "SELECT reporter_scope, month_idx, balance_current, single_balance FROM (SELECT e.*, s.balance_current AS single_balance, row_number() OVER (PARTITION BY e.reporter_scope ORDER BY e.month_idx DESC) AS rk FROM (" + ORACLES["b7_trade_balance"] + ") e LEFT JOIN (" + ORACLES["b7_trade_balance"] + ") s ON s.partner_scope = 'single' AND s.reporter_scope = e.reporter_scope AND s.month_idx = e.month_idx WHERE e.partner_scope = 'envelope') a WHERE rk = 1")
+SIBLING = """SELECT e.reporter_scope, e.month_idx, e.balance_current, s.balance_current AS single_balance, e.n_months, w.value_share AS share FROM (SELECT *, COUNT(*) OVER (PARTITION BY reporter_scope ORDER BY month_idx) AS n_months, row_number() OVER (PARTITION BY reporter_scope ORDER BY month_idx DESC) AS rk FROM ({0}) b WHERE partner_scope = 'envelope') e
+    LEFT JOIN ({0}) s ON s.partner_scope = 'single' AND s.reporter_scope = e.reporter_scope AND s.month_idx = e.month_idx LEFT JOIN ({1}) w ON w.flow = 1 AND w.month_idx = e.month_idx WHERE e.rk = 1"""
+
+
+@query("r28_deficit_by_scope", "SELECT reporter_scope, month_idx, balance_current, single_balance, CAST(n_months AS BIGINT) AS n_months, share FROM (" + SIBLING.format(ORACLES["b7_trade_balance"], ORACLES["b8_allgoods_share"]) + ") a")
 def r28(spark, sf):
-    b = balance_of(spark, sf)
-    return C.deficit_by_scope(b).select("reporter_scope", "month_idx", r6("balance_current"), r6("single_balance"))
+    d = C.deficit_by_scope(kept(balance_of(spark, sf)), allgoods_of(spark, sf).where("flow = 1"))
+    return d.select("reporter_scope", "month_idx", r6("balance_current"), r6("single_balance"), F.size("points").cast("long").alias("n_months"), r6("share"))
 
 
 CELLS = "SELECT group_name, scope, flow, {k}, month_idx, SUM(value_eur) AS v FROM scoped JOIN code_groups USING (product_nc) GROUP BY ALL"
@@ -139,10 +143,14 @@ def r19(spark, sf):
     return C.bloc_macro(Q.bloc_yoy(spark, sf, "aggregate_kind in ('region', 'world')"), "Total").select("label", "flow", "month_idx", r6("value_yoy"), "ord")
 
 
-@query("r29_bilateral_section", blocs("SELECT label, month_idx, CASE WHEN bool_or(jan_feb_combined) THEN 'January and February combined' WHEN bool_or(partial_window) THEN 'months missing' END AS note, CAST(COUNT(*) AS BIGINT) AS n_flows FROM (SELECT *, MAX(month_idx) OVER (PARTITION BY label) AS t FROM single) a WHERE month_idx = t GROUP BY 1, 2"))
+@query("r29_bilateral_section", blocs("""SELECT label, month_idx, CASE WHEN bool_or(combined) THEN 'January and February combined' WHEN bool_or(partial) THEN 'months missing' END AS note, CAST(COUNT(*) AS BIGINT) AS n_flows,
+      round(MAX(c) FILTER (WHERE flow = 'export'), 2) AS exports, round(MAX(c) FILTER (WHERE flow = 'import'), 2) AS imports, round(MAX(c) FILTER (WHERE flow = 'export') - MAX(c) FILTER (WHERE flow = 'import'), 2) AS balance,
+      round(MAX(y) FILTER (WHERE flow = 'export'), 2) AS ytd_exports, round(MAX(y) FILTER (WHERE flow = 'import'), 2) AS ytd_imports, round(MAX(v) FILTER (WHERE flow = 'export'), 2) AS month_exports, round(MAX(v) FILTER (WHERE flow = 'import'), 2) AS month_imports
+    FROM (SELECT w.*, kc + kp > 0 AS combined, nc < 12 OR np < 12 AS partial, MAX(month_idx) OVER (PARTITION BY label) AS t FROM windows w JOIN aliases a USING (label) WHERE a.aggregate_kind IS NULL OR a.aggregate_kind = 'eu_bloc') a WHERE month_idx = t GROUP BY 1, 2"""))
 def r29(spark, sf):
     s = C.bilateral_section(Q.bloc_yoy(spark, sf, BILATERAL))
-    return s.select("label", "month_idx", "note", (F.col("exports").isNotNull().cast("long") + F.col("imports").isNotNull().cast("long")).alias("n_flows"))
+    sums = ("exports", "imports", "balance", "ytd_exports", "ytd_imports", "month_exports", "month_imports")
+    return s.select("label", "month_idx", "note", (F.col("exports").isNotNull().cast("long") + F.col("imports").isNotNull().cast("long")).alias("n_flows"), *(F.round(c, 2).alias(c) for c in sums))
 
 
 @query("r30_finding_counts", blocs("SELECT flow AS subkind, CAST(COUNT(*) AS BIGINT) AS n, MIN(month_idx) AS first_idx, MAX(month_idx) AS last_idx FROM single GROUP BY 1"))
