@@ -11,11 +11,13 @@ from harborline.llm.ngram_join import op3_ngram_jaccard_join
 from harborline.llm.packing import op5_best_fit_packing
 from harborline.llm.quality_classifier import op7_quality_classifier
 from harborline.llm.quality_rules import op1_quality_rules
+from harborline.llm.substring_dedup import op11_substring_dedup
 from harborline.llm.url_filters import op9_url_filters
 
 OPERATORS = (
     op1_quality_rules, op2_lm_scoring, op3_ngram_jaccard_join, op4_media_tiff, op5_best_fit_packing,
     op6_chat_format, op7_quality_classifier, op8_hilbert_sharding, op9_url_filters, op10_bpe,
+    op11_substring_dedup,
 )
 
 

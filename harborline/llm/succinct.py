@@ -135,6 +135,18 @@ def write_arrays(uri: str, arrays: dict[str, np.ndarray]) -> None:
     store.move(part, path)
 
 
+def arrays_of(uri: str) -> dict[str, np.ndarray] | None:
+    """The arrays of a file, read as a whole; None if there is no such file."""
+    store, path = _place(uri)
+    if not store.get_file_info(path).is_file:
+        return None
+    with store.open_input_stream(path) as f:
+        data = np.frombuffer(f.read(), np.uint8)
+    n = int.from_bytes(data[:8].tobytes(), "little")
+    head = json.loads(data[8 : 8 + n].tobytes())
+    return {k: data[8 + n + a : 8 + n + a + np.dtype(t).itemsize * size].view(t) for k, (t, a, size) in head.items()}
+
+
 _mapped: dict[str, dict[str, np.ndarray]] = {}
 
 
