@@ -8,7 +8,8 @@ blocks in the shared folder:
 1. Blocks list their distinct anchors; an anchor that occurs once in all documents is no anchor of a repeated
    window.  Lists are dealt by hash ranges and each block gets back those of its anchors that repeat.
 2. Blocks send each different segment of these anchors once, with the smallest id that holds it, to
-   ranges of the anchor's hash.  A range is a collection of short strings: its Burrows-Wheeler transform and the
+   ranges of the anchor's hash.  A range is a collection of short strings, in which the anchor is a short code
+   (`coded`): its Burrows-Wheeler transform and the
    array of common prefixes grow by one symbol of every string a round (`columns`), from the last symbol to the
    first, in files that are read and rewritten in sequence.  Rows with common prefixes of `length` or more
    are one window, and the smallest id of such a run is its first document.  Blocks get back, for each
@@ -34,7 +35,7 @@ import hashlib
 import tempfile
 import uuid
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 import numpy as np
 import pyarrow as pa
@@ -48,7 +49,8 @@ from harborline.llm.textblocks import hashes_of, mix, pieces
 
 U64 = np.uint64
 LAST = (1 << 63) - 1  # stands for a null id
-END = 255  # precedes the first symbol of a string; no byte of UTF-8
+END = 255  # precedes the first symbol of a string; this and the next are no bytes of UTF-8
+MARK = 254  # begins the code of an anchor
 ANCHOR_BITS = 48
 RESULT = "n_bytes long, n_removed long, n_spans long, kept_sha256 string"
 
@@ -89,8 +91,8 @@ def sliding_least(x: np.ndarray, size: int) -> np.ndarray:
     return np.minimum(x[: len(x) - size + width], x[size - width :]) if width < size else x
 
 
-def segments(offsets: np.ndarray, body: np.ndarray, s: Settings) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(anchor, start, windows, text) of the segments of texts, in order of their places; segments keep to chunks of a long text."""
+def segments(offsets: np.ndarray, body: np.ndarray, s: Settings) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(anchor, its place, start, windows, text) of the segments of texts, in order of their places; segments keep to chunks of a long text."""
     found = []
     for a in range(0, max(1, len(body) - s.length + 1), s.chunk):
         part = body[a : a + s.chunk + s.length - 1]
@@ -108,9 +110,9 @@ def segments(offsets: np.ndarray, body: np.ndarray, s: Settings) -> tuple[np.nda
         starts, at, of = starts[whole], at[whole], np.repeat(spans, size)[whole]
         if len(at):
             new = np.flatnonzero(np.append(True, at[1:] != at[:-1]))
-            found.append((h[at[new]] >> U64(64 - ANCHOR_BITS), starts[new], np.diff(np.append(new, len(at))), of[new]))
+            found.append((h[at[new]] >> U64(64 - ANCHOR_BITS), a + at[new], starts[new], np.diff(np.append(new, len(at))), of[new]))
     if not found:
-        return np.zeros(0, U64), np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64)
+        return np.zeros(0, U64), *(np.zeros(0, np.int64),) * 4
     return tuple(np.concatenate(x) for x in zip(*found, strict=True))
 
 
@@ -166,36 +168,38 @@ def _places(old: Rows, new_at: np.ndarray, counts: np.ndarray, k: int, cap: int,
     while a < old.n:
         symbol, prefix = old.read(min(rows, old.n - a))
         lo, hi = np.searchsorted(new_at, [a, a + len(symbol)])
-        fresh = np.zeros(len(symbol), bool)
-        fresh[new_at[lo:hi] - a] = True
-        order = np.argsort(symbol, kind="stable")
+        width = int(len(symbol)).bit_length() + 1
+        # symbol, row and whether the row is new, in one number, so that sorting puts the rows of each symbol in order
+        key = symbol.astype(np.uint32) << np.uint32(width)
+        key |= np.arange(0, 2 * len(symbol), 2, dtype=np.uint32)
+        key[new_at[lo:hi] - a] |= np.uint32(1)
+        key.sort()
         here = np.bincount(symbol, minlength=END + 1)
-        order = order[: len(order) - here[END]]
+        key = key[: len(key) - here[END]]
         heads = np.cumsum(here) - here
-        flag = fresh[order]
-        touched = flag.copy()
-        touched[1:] |= flag[:-1]
-        own = np.flatnonzero(here[:END])  # the first row of a symbol follows the symbol's last row of the blocks before
-        touched[heads[own]] = flag[heads[own]] | seen_new[own]
-        q = np.flatnonzero(touched)
-        r, c = order[q], symbol[order[q]]
+        own = np.flatnonzero(here[:END])
+        fresh = (key & np.uint32(1)).astype(bool)  # new rows, and those that follow one among the rows of their symbol
+        touched = fresh.copy()
+        touched[1:] |= fresh[:-1]
+        touched[heads[own]] = fresh[heads[own]] | seen_new[own]  # the first row of a symbol follows its last row of the blocks before
+        q = np.flatnonzero(touched)[::-1]
+        c, r, flag = (key[q] >> np.uint32(width)).astype(np.int64), ((key[q] & np.uint32((1 << width) - 1)) >> np.uint32(1)).astype(np.int64), fresh[q]
         first = q == heads[c]
-        above = np.where(first, -1, order[np.maximum(q - 1, 0)])
-        line = np.argsort(-r, kind="stable")
-        ends = np.stack([above[line] + 1, r[line] + 1], 1).reshape(-1)
-        least = np.empty(len(q), np.int64)
-        least[line] = np.minimum.reduceat(np.append(prefix, np.uint8(255)), ends)[::2] if len(ends) else 0
+        above = np.where(first, -1, ((key[np.maximum(q - 1, 0)] & np.uint32((1 << width) - 1)) >> np.uint32(1)).astype(np.int64))
+        ends = np.stack([above + 1, r + 1], 1).reshape(-1)  # falling, so that what lies between two stretches isn't gone through
+        least = np.minimum.reduceat(np.append(prefix, np.uint8(255)), ends)[::2].astype(np.int64) if len(ends) else np.zeros(0, np.int64)
         least[first] = np.minimum(least[first], seen_least[c[first]])
         shared = np.minimum(least + 1, cap)
         shared[first & (before[c] == 0)] = 0
-        out.append((base[c] + before[c] + q - heads[c], shared, np.where(flag[q], np.searchsorted(new_at, r + a), -1)))
+        out.append(((base[c] + before[c] + q - heads[c])[::-1], shared[::-1], np.where(flag, np.searchsorted(new_at, r + a), -1)[::-1]))
         before += here
         a += len(symbol)
         if a < old.n:
             seen_least = np.minimum(seen_least, int(prefix.min()))
-            lasts = order[heads[own] + here[own] - 1]
+            lasts = key[heads[own] + here[own] - 1]
             down = np.append(np.minimum.accumulate(prefix[::-1])[::-1], np.uint8(255))
-            seen_least[own], seen_new[own] = down[lasts + 1], flag[heads[own] + here[own] - 1]
+            seen_least[own] = down[((lasts & np.uint32((1 << width) - 1)) >> np.uint32(1)).astype(np.int64) + 1]
+            seen_new[own] = (lasts & np.uint32(1)) > 0
     row, shared, i = (np.concatenate(x) for x in zip(*out, strict=True))
     if len(out) > 1:
         order = np.argsort(row)
@@ -245,7 +249,7 @@ def columns(size: np.ndarray, body: np.ndarray, s: Settings) -> Rows:
     return now
 
 
-def first_documents(size: np.ndarray, body: np.ndarray, doc: np.ndarray, s: Settings) -> np.ndarray:
+def first_documents(size: np.ndarray, body: np.ndarray, s: Settings, doc: np.ndarray) -> np.ndarray:
     """The smallest id of the strings that hold each window of each string (size - length + 1 windows each, in order)."""
     rows = columns(size, body, s)
     rows.rewind()
@@ -322,7 +326,7 @@ def _gathered(batches: Iterator[pa.RecordBatch], find, done, at_most: int, chunk
 
 def _list_anchors(s: Settings, bits: int):
     def find(block, offsets, body, rank):
-        anchor, start, windows, text = segments(offsets, body, s)
+        anchor, _, start, windows, text = segments(offsets, body, s)
         return anchor, hashes_of(body, start, start + windows + s.length - 1), rank[text]
 
     def done(block, arrays):
@@ -416,37 +420,32 @@ def _lookup(keys: np.ndarray, asked: np.ndarray) -> tuple[np.ndarray, np.ndarray
     return found, at[found]
 
 
-def _dealt_segments(known: dict[str, np.ndarray] | None, offsets: np.ndarray, body: np.ndarray, s: Settings):
-    """(key to deal by, hash, start, windows, text) of segments with repeated anchors; those of hot anchors as single windows."""
+def _dealt_segments(known: dict[str, np.ndarray] | None, offsets: np.ndarray, body: np.ndarray, s: Settings) -> tuple[np.ndarray, ...]:
+    """(key to deal by, hash, start, windows, text, place of the anchor in it) of segments with repeated anchors; those of hot anchors as single windows."""
     none = np.zeros(0, np.int64)
     if known is None or not len(known["key"]):
-        return none.astype(U64), none.astype(U64), none, none, none
-    anchor, start, windows, text = segments(offsets, body, s)
-    if not len(anchor):
-        return anchor, anchor, start, windows, text
+        return none.astype(U64), none.astype(U64), none, none, none, none
+    anchor, place, start, windows, text = segments(offsets, body, s)
     found, at = _lookup(known["key"], anchor)
     hot = known["hot"][at] > 0
-    anchor, start, windows, text = anchor[found], start[found], windows[found], text[found]
-    single = spread(start[hot], windows[hot])
-    text = np.concatenate([text[~hot], np.repeat(text[hot], windows[hot])])
-    start, windows = np.concatenate([start[~hot], single]), np.concatenate([windows[~hot], np.ones(len(single), np.int64)])
-    if len(single):
-        order = np.argsort(start, kind="stable")
-        key = np.append(anchor[~hot], np.zeros(len(single), U64))[order]
-        start, windows, text, alone = start[order], windows[order], text[order], np.append(np.zeros((~hot).sum(), bool), np.ones(len(single), bool))[order]
-        h = hashes_of(body, start, start + windows + s.length - 1)
-        return np.where(alone, mix(h) >> U64(64 - ANCHOR_BITS), key), h, start, windows, text
-    return anchor, hashes_of(body, start, start + windows + s.length - 1), start, windows, text
+    anchor, place, start, windows, text = (x[found] for x in (anchor, place, start, windows, text))
+    if not hot.any():
+        return anchor, hashes_of(body, start, start + windows + s.length - 1), start, windows, text, place - start
+    n = np.where(hot, windows, 1)  # pieces of each segment
+    begin, anchor, place, text, alone = spread(start, n), np.repeat(anchor, n), np.repeat(place, n), np.repeat(text, n), np.repeat(hot, n)
+    windows = np.where(alone, 1, np.repeat(windows, n))
+    h = hashes_of(body, begin, begin + windows + s.length - 1)
+    return np.where(alone, mix(h) >> U64(64 - ANCHOR_BITS), anchor), h, begin, windows, text, place - begin
 
 
-SENT = "part int, block long, hash binary, doc binary, size binary, data binary"
+SENT = "part int, block long, hash binary, doc binary, size binary, place binary, data binary"
 
 
 def _send_segments(base: str, s: Settings, parts: int):
     known = Known(base, "anchors")
 
     def find(block, offsets, body, rank):
-        key, h, start, windows, text = _dealt_segments(known.of(block), offsets, body, s)
+        key, h, start, windows, text, place = _dealt_segments(known.of(block), offsets, body, s)
         if not len(h):
             return ()
         order = np.lexsort((rank[text], h))
@@ -454,25 +453,49 @@ def _send_segments(base: str, s: Settings, parts: int):
         size = (windows[order] + s.length - 1).astype(np.uint8)
         data = np.zeros((len(order), 2 * s.length - s.gram), np.uint8)
         data[np.arange(data.shape[1]) < size[:, None]] = body[spread(start[order], size.astype(np.int64))]
-        return (key[order] % U64(parts)).astype(np.int32), h[order], rank[text[order]], size, data
+        return (key[order] % U64(parts)).astype(np.int32), h[order], rank[text[order]], size, place[order].astype(np.uint8), data
 
     def done(block, arrays):
-        part, h, doc, size, data = arrays
+        part, h, doc, size, place, data = arrays
         order = np.lexsort((doc, h))
         order = order[starts_of_runs(h[order])]
         order = order[np.argsort(part[order], kind="stable")]
-        part, h, doc, size, data = part[order], h[order], doc[order], size[order], data[order]
+        part, h, doc, size, place, data = part[order], h[order], doc[order], size[order], place[order], data[order]
         edges = np.append(starts_of_runs(part), len(part))
         for a, z in zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True):
             flat = data[a:z][np.arange(data.shape[1]) < size[a:z, None]]
             yield pa.record_batch(
-                [pa.array([int(part[a])], pa.int32()), pa.array([block]), *(pa.array([x.tobytes()]) for x in (h[a:z], doc[a:z], size[a:z], flat))],
-                names=["part", "block", "hash", "doc", "size", "data"],
+                [pa.array([int(part[a])], pa.int32()), pa.array([block]), *(pa.array([x.tobytes()]) for x in (h[a:z], doc[a:z], size[a:z], place[a:z])), pa.array([flat.tobytes()])],
+                names=["part", "block", "hash", "doc", "size", "place", "data"],
             )
 
     return lambda batches: _gathered(batches, find, done, s.gathered // 4, s.chunk)
 
 
+def coded(size: np.ndarray, body: np.ndarray, place: np.ndarray, s: Settings) -> tuple[np.ndarray, np.ndarray, Settings]:
+    """The strings with their anchors as a mark and the digits of the anchor's number, and settings with the length that windows have then.
+
+    Every window of a string holds its whole anchor, so the same windows are equal, and a window of the new length holds a whole code.
+    """
+    begin = np.cumsum(size) - size
+    anchors = body[(begin + place)[:, None] + np.arange(s.gram)]
+    names, number = np.unique(np.ascontiguousarray(anchors).view(f"V{s.gram}").ravel(), return_inverse=True)
+    digits = 1
+    while MARK**digits < len(names):
+        digits += 1
+    code = np.empty((len(size), 1 + digits), np.uint8)
+    code[:, 0] = MARK
+    for d in range(digits):
+        code[:, 1 + d] = number // MARK**d % MARK
+    new = size - s.gram + 1 + digits
+    at, out = np.cumsum(new) - new, np.empty(int(new.sum()), np.uint8)
+    out[(at + place)[:, None] + np.arange(1 + digits)] = code
+    rest = size - place - s.gram
+    out[spread(at, place)] = body[spread(begin, place)]
+    out[spread(at + place + 1 + digits, rest)] = body[spread(begin + place + s.gram, rest)]
+    return new, out, replace(s, length=s.length - s.gram + 1 + digits)
+
+
 ANSWER = "block long, hash binary, runs binary, times binary, first binary"
 
 
@@ -480,10 +503,11 @@ def _answers(s: Settings):
     """The first documents of each block's windows, as runs of equal ones."""
 
     def run(t: pa.Table) -> pa.Table:
-        h, doc, size, body = (_joined(t.column(c), d) for c, d in (("hash", U64), ("doc", np.int64), ("size", np.uint8), ("data", np.uint8)))
-        if len(body) and int(body.max()) == END:
+        h, doc, size, place = (_joined(t.column(c), d) for c, d in (("hash", U64), ("doc", np.int64), ("size", np.uint8), ("place", np.uint8)))
+        size, place = size.astype(np.int64), place.astype(np.int64)
+        body = _joined(t.column("data"), np.uint8)
+        if int(body.max()) >= MARK:
             raise ValueError("a text is not UTF-8")
-        size = size.astype(np.int64)
         begin = np.cumsum(size) - size
         order = np.lexsort((doc, h))
         # neighbours of one hash are one string if their bytes are the same
@@ -495,7 +519,7 @@ def _answers(s: Settings):
         string = np.empty(len(h), np.int64)
         string[order] = np.cumsum(~same) - 1
         one = order[~same]
-        first = first_documents(size[one], body[spread(begin[one], size[one])], doc[one], s)
+        first = first_documents(*coded(size[one], body[spread(begin[one], size[one])], place[one], s), doc[one])
         windows = size[one] - s.length + 1
         at = np.cumsum(windows) - windows
         new = np.append(True, first[1:] != first[:-1])
@@ -534,7 +558,7 @@ def removed_windows(anchors: dict | None, answers: dict | None, offsets: np.ndar
     """Starts of the windows that a smaller id holds, ascending."""
     if answers is None:
         return np.zeros(0, np.int64)
-    _, h, start, _, text = _dealt_segments(anchors, offsets, body, s)
+    _, h, start, _, text, _ = _dealt_segments(anchors, offsets, body, s)
     if not len(h):
         return np.zeros(0, np.int64)
     found, at = _lookup(answers["hash"], h)
