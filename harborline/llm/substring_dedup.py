@@ -465,7 +465,7 @@ def _send_segments(base: str, s: Settings, parts: int):
         for a, z in zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True):
             flat = data[a:z][np.arange(data.shape[1]) < size[a:z, None]]
             yield pa.record_batch(
-                [pa.array([int(part[a])], pa.int32()), pa.array([block]), *(pa.array([x.tobytes()]) for x in (h[a:z], doc[a:z], size[a:z], place[a:z])), pa.array([flat.tobytes()])],
+                [pa.array([int(part[a])], pa.int32()), pa.array([block]), *(pa.array([x.tobytes()]) for x in (h[a:z], doc[a:z], size[a:z], place[a:z])), pa.array([pa.compress(flat.tobytes(), "zstd", asbytes=True)])],
                 names=["part", "block", "hash", "doc", "size", "place", "data"],
             )
 
@@ -505,7 +505,8 @@ def _answers(s: Settings):
     def run(t: pa.Table) -> pa.Table:
         h, doc, size, place = (_joined(t.column(c), d) for c, d in (("hash", U64), ("doc", np.int64), ("size", np.uint8), ("place", np.uint8)))
         size, place = size.astype(np.int64), place.astype(np.int64)
-        body = _joined(t.column("data"), np.uint8)
+        each = [int(np.frombuffer(x, np.uint8).sum(dtype=np.int64)) for x in t.column("size").to_pylist()]
+        body = np.frombuffer(b"".join(pa.decompress(x, n, "zstd", asbytes=True) for x, n in zip(t.column("data").to_pylist(), each, strict=True)), np.uint8)
         if int(body.max()) >= MARK:
             raise ValueError("a text is not UTF-8")
         begin = np.cumsum(size) - size
@@ -620,7 +621,7 @@ def deduplicated(docs: DataFrame, s: Settings | None = None, texts: bool = False
     text = F.coalesce("text", F.lit(""))
     rows = docs.select("doc_id", F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST)).alias("rank"), text.alias("text"), F.octet_length(text).cast("long").alias("size"))
     as_given = f"doc_id {kind}, rank long, text string"
-    rows.mapInArrow(_blocks(s.block_bytes), f"{as_given}, size long, block long").write.parquet(f"{base}/blocks")
+    rows.mapInArrow(_blocks(s.block_bytes), f"{as_given}, size long, block long").write.option("compression", "zstd").parquet(f"{base}/blocks")
     blocks = spark.read.schema(f"{as_given}, size long, block long").parquet(f"{base}/blocks")
     total = blocks.agg(F.coalesce(F.sum("size"), F.lit(0))).first()[0]
     used = blocks.select("rank", "text", "block")
