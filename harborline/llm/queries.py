@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from harborline.llm.bpe import op10_bpe
 from harborline.llm.chat_format import op6_chat_format
+from harborline.llm.collocations import PHRASE_SQL, op13_collocations
 from harborline.llm.hilbert_sharding import op8_hilbert_sharding
 from harborline.llm.lm_scoring import op2_lm_scoring
 from harborline.llm.media_tiff import op4_media_tiff
@@ -11,13 +12,14 @@ from harborline.llm.ngram_join import op3_ngram_jaccard_join
 from harborline.llm.packing import op5_best_fit_packing
 from harborline.llm.quality_classifier import op7_quality_classifier
 from harborline.llm.quality_rules import op1_quality_rules
+from harborline.llm.ranked_search import SEARCH_SQL, op12_ranked_search
 from harborline.llm.substring_dedup import op11_substring_dedup
 from harborline.llm.url_filters import op9_url_filters
 
 OPERATORS = (
     op1_quality_rules, op2_lm_scoring, op3_ngram_jaccard_join, op4_media_tiff, op5_best_fit_packing,
     op6_chat_format, op7_quality_classifier, op8_hilbert_sharding, op9_url_filters, op10_bpe,
-    op11_substring_dedup,
+    op11_substring_dedup, op12_ranked_search, op13_collocations,
 )
 
 
@@ -44,5 +46,5 @@ SELECT s.doc_id, CAST(len(s.s) AS BIGINT) AS n_shingles, MIN(r.b) AS component_i
 
 
 def oracle_sql() -> dict[str, str]:
-    """Only the join: the others fit models, tokenise or hash in ways that SQL lacks."""
-    return {"op3_ngram_jaccard_join": JOIN_SQL}
+    """The join, the search and the phrases: the others fit models, tokenise or hash in ways that SQL lacks, or look at every 50 bytes."""
+    return {"op3_ngram_jaccard_join": JOIN_SQL, "op12_ranked_search": SEARCH_SQL, "op13_collocations": PHRASE_SQL}
