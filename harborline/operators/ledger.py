@@ -40,31 +40,39 @@ def duplicate_active(ledger: DataFrame) -> DataFrame:
     return active(ledger).groupBy("nk").agg(F.count("*").alias("n")).where("n > 1")
 
 
+def one_of_each(batch: DataFrame) -> DataFrame:
+    """nk, new_sig, new_subkind: of several findings of one key that of the smallest signature (then subkind), whatever the order of rows."""
+    least = F.min(F.struct(F.col("sig").alias("new_sig"), F.col("subkind").alias("new_subkind"))).alias("x")
+    return batch.groupBy("nk").agg(least).select("nk", "x.new_sig", "x.new_subkind")
+
+
 def merge_findings(ledger: DataFrame, batch: DataFrame, run_ts: Column) -> DataFrame:
     """The next snapshot, with `action` on the rows of this run.
 
     ledger: id, nk, sig, subkind, created_at, last_confirmed_at, superseded_at, superseded_by_id; batch: nk, sig, subkind.
     A key of the batch that is new is inserted; with the same signature confirmed; else superseded by a new row.
+    One join on nk, in which past rows match nothing, and no union: a ledger that is bucketed by nk (`write_bucketed`)
+    is read, joined and written again without an exchange.  The same batch at the same time once more changes nothing.
     """
-    incoming = batch.dropDuplicates(["nk"]).select("nk", F.col("sig").alias("new_sig"), F.col("subkind").alias("new_subkind"))
-    new_id = F.substring(F.sha2(F.concat_ws("\x1f", "nk", "new_sig", run_ts.cast("string")), 256), 1, 32)
-    old = active(ledger)
-    j = old.join(incoming, "nk", "full")
-    same = F.col("sig") == F.col("new_sig")
-    changed = F.col("id").isNotNull() & F.col("new_sig").isNotNull() & ~same
-    kept = j.where(F.col("id").isNotNull()).select(
+    incoming = one_of_each(batch).withColumnRenamed("nk", "new_nk")
+    j = ledger.join(incoming, (F.col("nk") == F.col("new_nk")) & F.col("superseded_at").isNull(), "full")
+    new_id = F.substring(F.sha2(F.concat_ws("\x1f", "new_nk", "new_sig", run_ts.cast("string")), 256), 1, 32)
+    there, asked = F.col("id").isNotNull(), F.col("new_nk").isNotNull()
+    same = F.coalesce(F.col("sig") == F.col("new_sig"), F.lit(False))
+    changed = there & asked & ~same
+    kept = F.struct(
         "id", "nk", "sig", "subkind", "created_at",
         F.when(same, run_ts).otherwise(F.col("last_confirmed_at")).alias("last_confirmed_at"),
-        F.when(changed, run_ts).alias("superseded_at"), F.when(changed, new_id).alias("superseded_by_id"),
+        F.when(changed, run_ts).otherwise(F.col("superseded_at")).alias("superseded_at"), F.when(changed, new_id).otherwise(F.col("superseded_by_id")).alias("superseded_by_id"),
         F.when(same, "confirmed_existing").alias("action"),
     )
-    fresh = j.where(F.col("id").isNull() | changed).select(
-        new_id.alias("id"), "nk", F.col("new_sig").alias("sig"), F.col("new_subkind").alias("subkind"), run_ts.alias("created_at"), run_ts.alias("last_confirmed_at"),
+    fresh = F.struct(
+        new_id.alias("id"), F.col("new_nk").alias("nk"), F.col("new_sig").alias("sig"), F.col("new_subkind").alias("subkind"), run_ts.alias("created_at"), run_ts.alias("last_confirmed_at"),
         F.lit(None).cast("timestamp").alias("superseded_at"), F.lit(None).cast("string").alias("superseded_by_id"),
-        F.when(F.col("id").isNull(), "inserted_new").otherwise("superseded").alias("action"),
+        F.when(there, "superseded").otherwise("inserted_new").alias("action"),
     )
-    past = ledger.where(F.col("superseded_at").isNotNull()).withColumn("action", F.lit(None).cast("string")).select(kept.columns)
-    return past.unionByName(kept).unionByName(fresh)
+    rows = F.filter(F.array(F.when(there, kept), F.when(asked & ~same, fresh)), lambda r: r.isNotNull())
+    return j.select(F.inline(rows))
 
 
 def emit_counts(snapshot: DataFrame) -> DataFrame:

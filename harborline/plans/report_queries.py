@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
@@ -18,8 +20,9 @@ from harborline.plans.series_queries import (
     ALL_GOODS, CTES, IN_ENV, IN_MEMBERS, KEYS, LIMITS, RUN, SHAPED, SHARE, SIDE, r6, series_of, shapes, shared_yoy, shares_of, with_series, yoy_of,
 )
 from harborline.registry import query
-from harborline.sources import readers, sinks
+from harborline.sources import readers, sinks, tables
 from harborline.sources.sinks import kept
+from harborline.streaming import jobs
 
 # ---- mirror gap -----------------------------------------------------------------------------
 
@@ -182,13 +185,23 @@ def _findings(every, factor: float):
     return L.keyed(y, "hs_group_yoy", F.lit("hs_group_yoy"), ["value_yoy"], "v1").select("nk", "sig", "subkind", "month_idx", "value_yoy")
 
 
+#: Buckets of the ledger's tables by natural key.
+LEDGER_BUCKETS = 16
+
+
 def _ledger(spark, sf):
-    """Two runs: the first without the newest months, the second with some values revised."""
-    empty = spark.createDataFrame([], "id string, nk string, sig string, subkind string, created_at timestamp, last_confirmed_at timestamp, superseded_at timestamp, superseded_by_id string")
+    """Two runs: the first without the newest months, the second with some values revised; built once, in tables bucketed by key."""
     ts = lambda d: F.lit(f"2026-0{d}-01 00:00:00").cast("timestamp")
-    every = shared_yoy(spark, sf)
-    one = kept(L.merge_findings(empty, _findings(every, 1.0).where("month_idx < 24000"), ts(1)).drop("action"))
-    return one, kept(L.merge_findings(one, _findings(every, 1.1), ts(2))), ts, every
+    every = sinks.once(spark, f"yoy {sf}", lambda: yoy_of(spark, sf))
+
+    def bucketed(df):
+        return spark.table(tables.write_bucketed(df, "nk", LEDGER_BUCKETS, f"{sinks.shared_dir(spark)}/ledger-{uuid.uuid4().hex}"))
+
+    def two():
+        first = bucketed(L.merge_findings(spark.createDataFrame([], jobs.LEDGER), _findings(every, 1.0).where("month_idx < 24000"), ts(1)).drop("action"))
+        return L.merge_findings(first, _findings(every, 1.1), ts(2))
+
+    return sinks.once(spark, f"ledger {sf}", two), ts, every
 
 
 LEDGER_COUNTS = """SELECT CASE WHEN month_idx >= 24000 THEN 'inserted_new' WHEN month_idx % 5 = 0 AND round(value_yoy, 6) <> round(value_yoy * 1.1e0, 6) THEN 'superseded' ELSE 'confirmed_existing' END AS action, 'hs_group_yoy' AS subkind, CAST(COUNT(*) AS BIGINT) AS n FROM yoy GROUP BY 1"""
@@ -196,7 +209,7 @@ LEDGER_COUNTS = """SELECT CASE WHEN month_idx >= 24000 THEN 'inserted_new' WHEN
 
 @query("l3_merge_findings", with_series(LEDGER_COUNTS))
 def l3(spark, sf):
-    return L.emit_counts(_ledger(spark, sf)[1])
+    return L.emit_counts(_ledger(spark, sf)[0])
 
 
 YOY_KEY = "substr(sha256(concat_ws(chr(31), 'hs_group_yoy', group_name, scope, CAST(flow AS VARCHAR), CAST(month_idx AS VARCHAR))), 1, 32)"
@@ -205,19 +218,19 @@ YOY_KEY = "substr(sha256(concat_ws(chr(31), 'hs_group_yoy', group_name, scope, C
 @query("l6_duplicate_active", with_series(f"SELECT nk, CAST(2 AS BIGINT) AS n FROM (SELECT {YOY_KEY} AS nk FROM yoy) a WHERE nk < '2'"))
 def l6(spark, sf):
     """A ledger in which some keys were written twice: these alone break the rule."""
-    ledger = _ledger(spark, sf)[1]
+    ledger = _ledger(spark, sf)[0]
     return L.duplicate_active(ledger.unionByName(ledger.where("nk < '2' and superseded_at is null")))
 
 
 @query("l7_revision_chain", with_series("SELECT CAST(n AS INT) AS revisions, CAST(COUNT(*) AS BIGINT) AS keys FROM (SELECT CASE WHEN month_idx < 24000 AND month_idx % 5 = 0 AND round(value_yoy, 6) <> round(value_yoy * 1.1e0, 6) THEN 2 ELSE 1 END AS n FROM yoy) a GROUP BY n"))
 def l7(spark, sf):
-    chain = L.revision_chain(_ledger(spark, sf)[1]).groupBy("nk").agg(F.max("revision").alias("revisions"))
+    chain = L.revision_chain(_ledger(spark, sf)[0]).groupBy("nk").agg(F.max("revision").alias("revisions"))
     return chain.groupBy("revisions").agg(F.count("*").alias("keys"))
 
 
 @query("l10_l11_withdraw_retire", with_series("SELECT CAST(COUNT(*) FILTER (WHERE month_idx < 24000) AS BIGINT) AS n_left, CAST(COUNT(*) FILTER (WHERE month_idx < 24000 AND NOT (month_idx % 5 = 0 AND round(value_yoy, 6) <> round(value_yoy * 1.1e0, 6))) AS BIGINT) AS n_retired FROM yoy"))
 def l10(spark, sf):
-    _, two, ts, _ = _ledger(spark, sf)
+    two, ts, _ = _ledger(spark, sf)
     left = L.withdraw_interval(two.drop("action"), ts(2), ts(3), ["hs_group_yoy"])
     ended = L.retire(left, left.select("nk"), ts(4))
     return ended.agg(F.count("*").alias("n_left"), F.count_if(F.col("superseded_at") == ts(4)).alias("n_retired"))
@@ -227,7 +240,7 @@ def l10(spark, sf):
     CAST(COUNT(*) FILTER (WHERE old AND abs(value_yoy * 1.1e0 - value_yoy) > 0.05) AS BIGINT) AS n_material, CAST(COUNT(*) FILTER (WHERE old AND abs(value_yoy * 1.1e0 - value_yoy) < 1e-4) AS BIGINT) AS n_same, CAST(COUNT(*) FILTER (WHERE month_idx >= 24000) AS BIGINT) AS n_new
     FROM (SELECT *, month_idx < 24000 AND month_idx % 5 = 0 AND round(value_yoy, 6) <> round(value_yoy * 1.1e0, 6) AS old FROM yoy) a) b"""))
 def r0e(spark, sf):
-    _, two, ts, every = _ledger(spark, sf)
+    two, ts, every = _ledger(spark, sf)
     values = _findings(every, 1.0).select("nk", "sig", "value_yoy").unionByName(_findings(every, 1.1).select("nk", "sig", "value_yoy")).dropDuplicates(["nk", "sig"])
     valued = two.join(values, ["nk", "sig"])
     return L.revision_regime(L.revision_pairs(valued, "value_yoy"), L.new_since(two, ts(2)))

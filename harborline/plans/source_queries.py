@@ -19,7 +19,7 @@ from harborline.operators import textcheck as T
 from harborline.plans import report_queries as P
 from harborline.plans.series_queries import IN_ENV, KEYS, LIMITS, r6, shapes, shared_yoy, with_series, yoy_of
 from harborline.registry import query
-from harborline.sources import readers, sinks
+from harborline.sources import readers, sinks, tables
 from harborline.sources.sinks import kept
 from harborline.streaming import jobs
 
@@ -116,8 +116,9 @@ def s14(spark, sf):
     path = folder(spark, "report")
     sheets = C.report(frame(spark, sf, "facts"), frame(spark, sf, "group_patterns"), ENVELOPE, UK, LIMITS)
     names = ("hs_yoy", "stability_index", "low_base_review")
-    sinks.write_report({n: sheets[n] for n in names}, path)
-    rows = [spark.read.parquet(f"{path}/{n}").agg(F.count("*").alias("n")).select(F.lit(n).alias("sheet"), "n") for n in names]
+    tables.publish_report(spark, {n: sheets[n] for n in names}, path)
+    published = tables.read_report(spark, path)
+    rows = [published[n].agg(F.count("*").alias("n")).select(F.lit(n).alias("sheet"), "n") for n in names]
     return rows[0].unionByName(rows[1]).unionByName(rows[2])
 
 
@@ -169,7 +170,7 @@ def p1(spark, sf):
     for flow in (1, 2):
         f.where(F.col("flow") == flow).drop("flow").write.mode("append").parquet(src)
         jobs.stream_monthly_totals(spark, src, f.drop("flow").schema, out, state, ["reporter"]).awaitTermination()
-    return sinks.read_snapshot(spark, out).select("reporter", "month_idx", r6("value"), "n_rows")
+    return tables.read_keyed(spark, out).select("reporter", "month_idx", r6("value"), "n_rows")
 
 
 @query("p2_stream_ledger_merge", with_series("SELECT CAST(COUNT(*) AS BIGINT) AS n, CAST(COUNT(*) FILTER (WHERE NOT changed) AS BIGINT) AS n_active_first, CAST(COUNT(*) FILTER (WHERE changed) AS BIGINT) AS n_superseded FROM (SELECT month_idx % 5 = 0 AND round(value_yoy, 6) <> round(value_yoy * 1.1e0, 6) AS changed FROM yoy) a"))
@@ -183,7 +184,7 @@ def p2(spark, sf):
         batch.write.mode("append").parquet(src)
         schema = batch.schema
         jobs.stream_ledger_merge(spark.readStream.schema(schema).parquet(src), out, state).awaitTermination()
-    ledger = sinks.read_snapshot(spark, out)
+    ledger = tables.read_keyed(spark, out)
     first = F.lit("2026-01-01 00:00:00").cast("timestamp")
     return ledger.agg(F.count_distinct("nk").alias("n"), F.count_if((F.col("created_at") == first) & F.col("superseded_at").isNull()).alias("n_active_first"), F.count("superseded_at").alias("n_superseded"))
 

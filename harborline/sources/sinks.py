@@ -1,4 +1,4 @@
-"""Writing layers: append, atomic period replacement, upserts, snapshots, report tables."""
+"""Writing layers: append, period replacement, upserts, results kept in the shared folder.  `tables` has those that change in part."""
 
 from __future__ import annotations
 
@@ -53,29 +53,18 @@ def upsert_coalesce(existing: DataFrame, incoming: DataFrame, keys: list[str], c
     return j.select(*(F.coalesce(f"_{c}", c).alias(c) if c in cols else F.col(c) for c in existing.columns))
 
 
-def write_snapshot(df: DataFrame, path: str, name: str) -> None:
-    """A snapshot folder of its own; earlier ones are never touched, so what is read is never overwritten."""
-    df.write.mode("overwrite").parquet(f"{path}/snapshot={name}")
+_made: dict[tuple[str, str], str] = {}
 
 
-def snapshots(spark: SparkSession, path: str) -> list[str]:
-    """Names of complete snapshots, through Spark's own file systems."""
-    jvm = spark._jvm
-    p = jvm.org.apache.hadoop.fs.Path(path)
-    fs = p.getFileSystem(spark._jsc.hadoopConfiguration())
-    if not fs.exists(p):
-        return []
-    found = [s.getPath() for s in fs.listStatus(p) if s.getPath().getName().startswith("snapshot=")]
-    return sorted(q.getName()[9:] for q in found if fs.exists(jvm.org.apache.hadoop.fs.Path(q, "_SUCCESS")))
-
-
-def read_snapshot(spark: SparkSession, path: str, before: str | None = None) -> DataFrame | None:
-    """The newest snapshot (of those before a name)."""
-    names = [n for n in snapshots(spark, path) if before is None or n < before]
-    return spark.read.parquet(f"{path}/snapshot={names[-1]}") if names else None
-
-
-def write_report(sheets: dict[str, DataFrame], path: str, form: str = "parquet") -> None:
-    """One dataset per sheet."""
-    for name, df in sheets.items():
-        getattr(df.write.mode("overwrite"), form)(f"{path}/{name}")
+def once(spark: SparkSession, name: str, make) -> DataFrame:
+    """make() written to the shared folder the first time that this application asks for the name; later askers read it."""
+    key = (spark.sparkContext.applicationId, name)
+    if key in _made:
+        p = spark._jvm.org.apache.hadoop.fs.Path(f"{_made[key]}/_SUCCESS")
+        if not p.getFileSystem(spark._jsc.hadoopConfiguration()).exists(p):
+            del _made[key]
+    if key not in _made:
+        path = f"{shared_dir(spark)}/once-{uuid.uuid4().hex}"
+        make().write.parquet(path)
+        _made[key] = path
+    return spark.read.parquet(_made[key])

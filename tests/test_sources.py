@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from harborline.operators import textcheck as T
-from harborline.sources import readers, sinks
+from harborline.sources import readers, sinks, tables
 from harborline.streaming import jobs
 
 
@@ -96,8 +96,8 @@ def test_sinks(spark, tmp_path):
     old = spark.createDataFrame([(1, "x", "y")], "k int, a string, b string")
     new = spark.createDataFrame([(1, None, "z"), (2, "n", None)], "k int, a string, b string")
     assert sorted(map(tuple, sinks.upsert_coalesce(old, new, ["k"], ["a", "b"]).collect())) == [(1, "x", "z"), (2, "n", None)]
-    sinks.write_report({"s": df}, str(tmp_path / "report"))
-    assert spark.read.parquet(str(tmp_path / "report/s")).count() == 2
+    tables.publish_report(spark, {"s": df}, str(tmp_path / "report"))
+    assert tables.read_report(spark, str(tmp_path / "report"))["s"].count() == 2
 
 
 def test_failed_inputs_come_again(spark):
@@ -133,10 +133,10 @@ def test_streams_can_be_run_twice(spark, tmp_path):
         else:
             df.coalesce(1).write.mode("append").parquet(src)
         jobs.stream_monthly_totals(spark, src, df.schema, out, str(tmp_path / "ck"), ["key"]).awaitTermination(120)
-        assert [r.value for r in sinks.read_snapshot(spark, out).collect()] == [want]
+        assert [r.value for r in tables.read_keyed(spark, out).collect()] == [want]
     findings = str(tmp_path / "findings")
     f = spark.createDataFrame([("a", "1", "x")], "nk string, sig string, subkind string").withColumn("run_ts", F.lit("2026-01-01").cast("timestamp"))
     f.write.parquet(findings)
     for _ in range(2):
         jobs.stream_ledger_merge(spark.readStream.schema(f.schema).parquet(findings), str(tmp_path / "ledger"), str(tmp_path / "ck2")).awaitTermination(120)
-        assert sinks.read_snapshot(spark, str(tmp_path / "ledger")).count() == 1
+        assert tables.read_keyed(spark, str(tmp_path / "ledger")).count() == 1
