@@ -65,17 +65,26 @@ def scoped(facts: DataFrame, envelope: tuple[str, ...], uk: str) -> DataFrame:
     return rows.join(both, ["flow", "month_idx"], "left").withColumn("scope", F.explode(scopes)).drop("_both")
 
 
-def group_series(facts: DataFrame, patterns: DataFrame, envelope: tuple[str, ...], uk: str) -> DataFrame:
-    """Monthly totals of each group, scope and flow.  Codes are summed first, so the group join sees few rows."""
-    codes = scoped(facts, envelope, uk).groupBy("product_nc", "scope", "flow", "month_idx").agg(
+def code_totals(facts: DataFrame, envelope: tuple[str, ...], uk: str) -> DataFrame:
+    """Exact monthly sums of each code, scope and flow; those of a month follow from that month's facts alone."""
+    return scoped(facts, envelope, uk).groupBy("product_nc", "scope", "flow", "month_idx").agg(
         F.sum("value_eur").alias("value_eur"), F.sum("quantity_kg").alias("quantity_kg"), F.sum(F.when(F.col("quantity_kg") > 0, F.col("value_eur"))).alias("with_kg"), F.count("*").alias("rows")
     )
+
+
+def series_of_codes(codes: DataFrame, patterns: DataFrame) -> DataFrame:
+    """Monthly totals of each group, scope and flow from those of codes."""
     double = lambda c: F.coalesce(F.sum(c), F.lit(0)).cast("double")
     return R.assign_groups(codes, patterns).groupBy(*KEYS, "month_idx").agg(
         double("value_eur").alias("value"), double("quantity_kg").alias("kg"), double("with_kg").alias("value_with_kg"), F.sum("rows").alias("n_rows")
     )
 
 
+def group_series(facts: DataFrame, patterns: DataFrame, envelope: tuple[str, ...], uk: str) -> DataFrame:
+    """Monthly totals of each group, scope and flow.  Codes are summed first, so the group join sees few rows."""
+    return series_of_codes(code_totals(facts, envelope, uk), patterns)
+
+
 def group_yoy(series: DataFrame, limits: Limits = Limits(), most_missing: int = 1) -> DataFrame:
     """Rolling 12-month changes of value, weight and unit price; single and two-month registers; flags."""
     s = S.rolling_pair(series, KEYS, ["value", "kg", "value_with_kg"])
