@@ -8,14 +8,17 @@ extensions to one side with their counts and both their intervals: to the left t
 the right through that of the reverse (`extended`).
 
 Rounds: words, then pairs (left extensions of words), triples (right extensions of pairs) and quadruples (left extensions of triples).
-A round's counts are dealt by ranges of the phrase, summed over shards, and those of `least` or more go back to the shards that sent
-them; only what survived is extended in the next round, and only to phrases whose other part survived too.  A phrase's
+A round sums the shards' counts in two passes.  The first deals out the first bits of each phrase's hash with its count, a few
+bytes a phrase: a phrase whose short hash has under `least` in all shards is no candidate.  The second sums whole hashes of the rest.  Answers are a bit
+a phrase, as a shard names its phrases in one order whenever it is asked.  Only what survived is extended in the next round, and only to phrases
+whose other part survived too.  One shard of those that have a survivor tells its words.  A phrase's
 longer candidates by one word are its extensions, so these sums also tell which phrases to drop: one that lies in a
 longer candidate with most of its count lies in an extension with at least that count.
 
-Scale: shards hold `shard_words` words; shards and indexes are tables in the shared folder, and a shard's answers are one file there.  A frequent
-word or phrase is one row a shard in a round.  A range has about `range_rows` of these rows.  Scores are exact decimals.
-Words are told apart by 64-bit hashes of language and word, phrases by the hashes of their words.
+Scale: shards hold `shard_words` words; shards and indexes are tables in the shared folder, and a shard's answers are files there.  A frequent
+word or phrase is one entry a shard in a round.  A range has about `range_rows` of these rows.  Scores are exact decimals.
+Words are told apart by 64-bit hashes of language and word, phrases by 64-bit hashes of these: two of the n that pass a round's first pass are one
+with a chance of n**2 / 2**65.
 
 Edge cases: null texts are empty, a null lang is `und`, also for rows that say so; repeated rows count again; a
 language without candidates gives no rows; an empty table none; other columns are ignored.
@@ -217,92 +220,164 @@ def walked(index: Index, survived: list[np.ndarray]) -> Phrases:
 
 # ---- rounds ----
 
-DEALT = "part int, shard long, lang string, keys binary, n binary"
-SUMMED = "shard long, lang string, keys binary, n binary"
+GUESS = "part int, shard long, step binary, n binary"
+SURE = "part int, shard long, hash binary, n binary"
+ANSWER = "shard long, part int, bits binary, mine binary, n binary"
 
 
-def _dealt(shard: int, lang: str, keys: np.ndarray, n: np.ndarray, parts: int) -> Iterator[pa.RecordBatch]:
-    """Rows of keys and counts, one message for each range."""
+def each_row(b: pa.RecordBatch) -> Iterator[dict]:
+    """Rows one by one: a shard's arrays are large."""
+    for i in range(b.num_rows):
+        yield b.slice(i, 1).to_pylist()[0]
+
+
+def phrase_hash(keys: np.ndarray) -> np.ndarray:
+    """64-bit names of phrases from their words' (a row each)."""
     h = keys[:, 0]
     for k in range(1, keys.shape[1]):
         h = mix(h) + keys[:, k]
-    part = (mix(h) % U64(parts)).astype(np.int32)
-    order = np.lexsort((*keys.T[::-1], part))
-    part, keys, n = part[order], keys[order], n[order]
+    return mix(h)
+
+
+def in_order(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(order, sorted hashes): the order in which a shard names its phrases, the same whenever it is made."""
+    h = phrase_hash(keys)
+    order = np.argsort(h, kind="stable")
+    return order, h[order]
+
+
+def by_part(h: np.ndarray, bits: int) -> Iterator[tuple[int, int, int]]:
+    """(part, first, last) of sorted hashes by their first bits."""
+    part = (h >> U64(64 - bits)).astype(np.int32) if bits else np.zeros(len(h), np.int32)
     edges = np.append(starts_of_runs(part), len(part))
     for a, z in zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True):
-        yield pa.record_batch([pa.array([int(part[a])], pa.int32()), pa.array([shard]), pa.array([lang]), pa.array([keys[a:z].T.tobytes()]), pa.array([n[a:z].tobytes()])], names=["part", "shard", "lang", "keys", "n"])
+        yield int(part[a]), a, z
 
 
-def _deal_words(parts: int):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            for r in b.to_pylist():
-                yield from _dealt(r["shard"], r["lang"], np.frombuffer(r["keys"], U64)[:, None], np.frombuffer(r["counts"], np.int64), parts)
+def _guesses(shard: int, keys: np.ndarray, n: np.ndarray, bits: int, wide: int, least: int) -> Iterator[pa.RecordBatch]:
+    """The first `wide` bits of each phrase's hash, as steps from one to the next, and its count (no more than `least`)."""
+    order, h = in_order(keys)
+    n = np.minimum(n[order], least).astype(np.uint16)
+    short = h >> U64(64 - wide)
+    for part, a, z in by_part(h, bits):
+        step = np.diff(short[a:z], prepend=U64(part) << U64(wide - bits))
+        step = step.astype(next(d for d in (np.uint16, np.uint32, np.uint64) if int(step.max()) <= np.iinfo(d).max))
+        yield pa.record_batch([pa.array([part], pa.int32()), pa.array([shard]), pa.array([step.tobytes()]), pa.array([n[a:z].tobytes()])], names=["part", "shard", "step", "n"])
+
+
+def _guessed(bits: int, wide: int, least: int):
+    """For each message, which of its phrases may have `least` occurrences: those whose short hash has."""
+
+    def run(t: pa.Table) -> pa.Table:
+        first = U64(t.column("part")[0].as_py()) << U64(wide - bits)
+        n = [np.frombuffer(x, np.uint16) for x in t.column("n").to_pylist()]
+        steps = t.column("step").to_pylist()
+        h = np.concatenate([np.cumsum(np.frombuffer(x, {2: np.uint16, 4: np.uint32, 8: np.uint64}[len(x) // len(k)]), dtype=U64) + first for x, k in zip(steps, n, strict=True)])
+        size, n = [len(k) for k in n], np.concatenate(n).astype(np.int64)
+        order = np.argsort(h)
+        at = starts_of_runs(h[order])
+        good = np.empty(len(h), bool)
+        good[order] = np.repeat(np.add.reduceat(n[order], at) >= least, np.diff(np.append(at, len(h))))
+        ends = np.cumsum(size)
+        bits_of = [np.packbits(good[z - k : z]).tobytes() for k, z in zip(size, ends.tolist(), strict=True)]
+        none = pa.array([b""] * len(size), pa.binary())
+        return pa.table({"shard": t.column("shard"), "part": t.column("part"), "bits": pa.array(bits_of, pa.binary()), "mine": none, "n": none})
 
     return run
 
 
-def _summed(words: int, least: int):
-    """Sums over shards: the frequent phrases of each language (shard -1), and for each shard those of its own."""
+def _sure(shard: int, keys: np.ndarray, n: np.ndarray, bits: int) -> Iterator[pa.RecordBatch]:
+    """Whole hashes and counts."""
+    order, h = in_order(keys)
+    n = n[order].astype(np.int64)
+    for part, a, z in by_part(h, bits):
+        yield pa.record_batch([pa.array([part], pa.int32()), pa.array([shard]), pa.array([h[a:z].tobytes()]), pa.array([n[a:z].tobytes()])], names=["part", "shard", "hash", "n"])
+
+
+def _summed(least: int):
+    """For each message, which of its phrases have `least` occurrences in all shards, which of these it is to tell, and their counts."""
 
     def run(t: pa.Table) -> pa.Table:
-        n = [np.frombuffer(x, np.int64) for x in t.column("n").to_pylist()]
-        size = [len(x) for x in n]
-        keys = np.concatenate([np.frombuffer(x, U64).reshape(words, -1) for x in t.column("keys").to_pylist()], 1)
-        n = np.concatenate(n)
-        order = np.lexsort(keys[::-1])
-        new = np.append(True, (keys[:, order[1:]] != keys[:, order[:-1]]).any(0))
-        at = np.flatnonzero(new)
-        total = np.add.reduceat(n[order], at)
-        sums = np.empty(len(n), np.int64)
-        sums[order] = np.repeat(total, np.diff(np.append(at, len(n))))
-        one = np.zeros(len(n), bool)
+        h = [np.frombuffer(x, U64) for x in t.column("hash").to_pylist()]
+        size, h = [len(x) for x in h], np.concatenate(h)
+        n = np.concatenate([np.frombuffer(x, np.int64) for x in t.column("n").to_pylist()])
+        order = np.argsort(h, kind="stable")
+        at = starts_of_runs(h[order])
+        sums, one = np.empty(len(h), np.int64), np.zeros(len(h), bool)
+        sums[order] = np.repeat(np.add.reduceat(n[order], at), np.diff(np.append(at, len(h))))
         one[order[at]] = True
-        good = sums >= least
-        out, a = [], 0
-        for shard, lang, k in zip(t.column("shard").to_pylist(), t.column("lang").to_pylist(), size, strict=True):
-            own = np.flatnonzero(good[a : a + k]) + a
-            if len(own):
-                out.append((shard, lang, keys[:, own].T.tobytes(), b""))
-                mine = own[one[own]]
-                if len(mine):
-                    out.append((-1, lang, keys[:, mine].T.tobytes(), sums[mine].tobytes()))
+        good, out, a = sums >= least, [], 0
+        for k in size:
+            g = good[a : a + k]
+            mine = one[a : a + k][g]
+            out.append((np.packbits(g).tobytes(), np.packbits(mine).tobytes(), sums[a : a + k][g][mine].tobytes()))
             a += k
-        return pa.table({c: pa.array([r[i] for r in out], d) for i, (c, d) in enumerate(zip(("shard", "lang", "keys", "n"), (pa.int64(), pa.string(), pa.binary(), pa.binary()), strict=True))})
+        return pa.table({"shard": t.column("shard"), "part": t.column("part"), **{c: pa.array([r[i] for r in out], pa.binary()) for i, c in enumerate(("bits", "mine", "n"))}})
 
     return run
 
 
-def _write_survivors(base: str, words: int):
+def _write_answers(base: str, kind: str):
+    """A shard's answers, one file; parts follow each other as its phrases do."""
+
     def run(t: pa.Table) -> pa.Table:
         shard = t.column("shard")[0].as_py()
-        keys = np.frombuffer(b"".join(t.column("keys").to_pylist()), U64)
-        write_arrays(f"{base}/survivors-{words}-{shard}", {"keys": keys})
-        return pa.table({"n": pa.array([len(keys) // words], pa.int64())})
+        rows = sorted(t.to_pylist(), key=lambda r: r["part"])
+        packed = {c: [np.frombuffer(r[c], np.uint8) for r in rows] for c in ("bits", "mine")}
+        arrays = {"part": np.array([r["part"] for r in rows], np.int32), "n": np.frombuffer(b"".join(r["n"] for r in rows), np.int64)}
+        for c, x in packed.items():
+            arrays |= {c: np.concatenate(x), f"{c}_size": np.array([len(k) for k in x], np.int64)}
+        write_arrays(f"{base}/{kind}-{shard}", arrays)
+        return pa.table({"n": pa.array([len(rows)], pa.int64())})
 
     return run
 
 
-def _survivors(base: str, words: int, shard: int) -> np.ndarray:
-    got = arrays_of(f"{base}/survivors-{words}-{shard}")
-    return (got["keys"] if got is not None else np.zeros(0, U64)).reshape(-1, words)
+def _picked(answer: dict[str, np.ndarray] | None, h: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
+    """(which of the sorted hashes were picked, which of the picked are mine)."""
+    good, mine = np.zeros(len(h), bool), []
+    if answer is None:
+        return good, np.zeros(0, bool)
+    at = {c: np.append(0, np.cumsum(answer[f"{c}_size"])) for c in ("bits", "mine")}
+    place = {p: i for i, p in enumerate(answer["part"].tolist())}
+    for part, a, z in by_part(h, bits):
+        i = place[part]
+        g = np.unpackbits(answer["bits"][at["bits"][i] : at["bits"][i + 1]], count=z - a).astype(bool)
+        good[a:z] = g
+        if at["mine"][-1]:
+            mine.append(np.unpackbits(answer["mine"][at["mine"][i] : at["mine"][i + 1]], count=int(g.sum())).astype(bool))
+    return good, np.concatenate(mine) if mine else np.zeros(0, bool)
+
+
+def _narrowed(base: str, words: int, shard: int, keys: np.ndarray, bits: int) -> np.ndarray:
+    """Places of the phrases that passed the first pass of a round, in the order of hashes."""
+    order, h = in_order(keys)
+    return order[_picked(arrays_of(f"{base}/guessed-{words}-{shard}"), h, bits)[0]]
+
+
+def _survivors(base: str, words: int, shard: int, keys: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Places of the phrases of a round that survived, which of them this shard is to tell, and the counts of these."""
+    maybe = _narrowed(base, words, shard, keys, bits)
+    answer = arrays_of(f"{base}/summed-{words}-{shard}")
+    order, h = in_order(keys[maybe])
+    good, mine = _picked(answer, h, bits)
+    return maybe[order[good]], mine, answer["n"] if answer is not None else np.zeros(0, np.int64)
 
 
 INDEX = "shard long, lang string, keys binary, forward binary, reverse binary"
 
 
-def _indexed(base: str):
+def _indexed(base: str, bits: int):
     """Each shard's index over its frequent words; a word's id is its place among their hashes, from 1."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for r in b.to_pylist():
-                keys, frequent = np.frombuffer(r["keys"], U64), np.sort(_survivors(base, 1, r["shard"])[:, 0])
+            for r in each_row(b):
+                keys = np.frombuffer(r["keys"], U64)
+                at, _, _ = _survivors(base, 1, r["shard"], keys[:, None], bits)
+                frequent = np.sort(keys[at])
                 ids = np.zeros(len(keys) + 1, np.int32)
-                if len(frequent):
-                    at = np.minimum(np.searchsorted(frequent, keys), len(frequent) - 1)
-                    ids[1:] = np.where(frequent[at] == keys, at + 1, 0)
+                ids[1 + at] = np.searchsorted(frequent, keys[at]) + 1
                 text = ids[np.frombuffer(r["tokens"], np.int32)]
                 text = np.append(text[(text > 0) | np.append(True, text[:-1] > 0)], np.int32(0))
                 forward, reverse = Index.of(text, len(frequent) + 1)
@@ -312,73 +387,104 @@ def _indexed(base: str):
     return run
 
 
-def _phrases(base: str, words: int, parts: int):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            for r in b.to_pylist():
-                keys = np.frombuffer(r["keys"], U64)
-                if not len(keys):
-                    continue
-                index = Index(np.frombuffer(r["forward"], np.int32), np.frombuffer(r["reverse"], np.int32), len(keys) + 1)
-                survived = [np.searchsorted(keys, _survivors(base, k, r["shard"])) + 1 for k in range(2, words)]
-                p = walked(index, survived)
-                if len(p.n):
-                    yield from _dealt(r["shard"], r["lang"], keys[p.ids - 1], p.n.astype(np.int64), parts)
-
-    return run
+def _phrases(base: str, words: int, row: dict, bits: dict[int, int]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(ids, keys, counts) of a shard's phrases of so many words whose parts survived.
+
+    What survived the rounds before is told once, by the first pass that needs it, and kept in a file.
+    """
+    keys = np.frombuffer(row["keys"], U64)
+    if not len(keys):
+        return np.zeros((0, words), np.int64), np.zeros((0, words), U64), np.zeros(0, np.int64)
+    index = Index(np.frombuffer(row["forward"], np.int32), np.frombuffer(row["reverse"], np.int32), len(keys) + 1)
+    survived = []
+    for k in range(2, words):
+        uri = f"{base}/survived-{k}-{row['shard']}"
+        held = arrays_of(uri)
+        if held is None:
+            p = walked(index, survived)
+            at, _, _ = _survivors(base, k, row["shard"], keys[p.ids - 1], bits[k])
+            write_arrays(uri, {"ids": p.ids[at].astype(np.int32).ravel()})
+            survived.append(p.ids[at])
+        else:
+            survived.append(held["ids"].reshape(-1, k).astype(np.int64))
+    p = walked(index, survived)
+    return p.ids, keys[p.ids - 1], p.n.astype(np.int64)
+
+
+def _told(base: str, words: int, bits: dict[int, int]):
+    """(lang, phrase, f) of the survivors that the shard is to tell."""
 
-
-def _as_rows(words: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for r in b.to_pylist():
-                keys = np.frombuffer(r["keys"], U64).view(np.int64)
-                n = np.frombuffer(r["n"], np.int64)
-                at = pa.array(np.arange(0, len(keys) + 1, words, dtype=np.int32))
-                yield pa.record_batch([pa.array([r["lang"]] * len(n)), pa.ListArray.from_arrays(at, pa.array(keys)), pa.array(n)], names=["lang", "phrase", "f"])
+            for r in each_row(b):
+                keys = np.frombuffer(r["keys"], U64)[:, None] if words == 1 else _phrases(base, words, r, bits)[1]
+                at, mine, n = _survivors(base, words, r["shard"], keys, bits[words])
+                if mine.any():
+                    phrase = pa.ListArray.from_arrays(pa.array(np.arange(0, len(n) * words + 1, words, dtype=np.int32)), pa.array(keys[at[mine]].view(np.int64).ravel()))
+                    yield pa.record_batch([pa.array([r["lang"]] * len(n)), phrase, pa.array(n)], names=["lang", "phrase", "f"])
 
     return run
 
 
-def _spelled(base: str):
-    """key, word of a shard's words that are in a frequent pair."""
+def _spelled(base: str, bits: int):
+    """key, word of the frequent words that the shard is to tell."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for r in b.to_pylist():
+            for r in each_row(b):
                 keys, sizes, spelled = np.frombuffer(r["keys"], U64), np.frombuffer(r["sizes"], np.int32).astype(np.int64), r["spelled"]
-                good = np.flatnonzero(np.isin(keys, _survivors(base, 2, r["shard"])))
-                ends = np.cumsum(sizes)
-                word = [spelled[a:z].decode() for a, z in zip((ends - sizes)[good].tolist(), ends[good].tolist(), strict=True)]
-                yield pa.record_batch([pa.array(keys[good].view(np.int64)), pa.array(word, pa.string())], names=["key", "word"])
+                at, mine, _ = _survivors(base, 1, r["shard"], keys[:, None], bits)
+                at, ends = at[mine] if len(mine) else at[:0], np.cumsum(sizes)
+                word = [spelled[a:z].decode() for a, z in zip((ends - sizes)[at].tolist(), ends[at].tolist(), strict=True)]
+                yield pa.record_batch([pa.array(keys[at].view(np.int64)), pa.array(word, pa.string())], names=["key", "word"])
 
     return run
 
 
 def counted(docs: DataFrame, base: str, s: Settings) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """(lang, n of all words), (lang, phrase, f) of all phrases of 1 to DEPTH words with f >= least, (key, word) of the words in them."""
+    """(lang, n of all words), (lang, phrase, f) of all phrases of 1 to DEPTH words with f >= least, (key, word) of frequent words."""
     spark = docs.sparkSession
     used = docs.select(F.coalesce("lang", F.lit("und")).alias("lang"), F.coalesce("text", F.lit("")).alias("text"))
     used.mapInArrow(_shards(s), SHARD).write.option("compression", "zstd").parquet(f"{base}/shards")
     shards = spark.read.schema(SHARD).parquet(f"{base}/shards")
-
-    def round_of(words: int, messages, rows: int) -> DataFrame:
-        dealt = messages(max(8, -(-rows // s.range_rows)))
-        dealt.groupBy("part").applyInArrow(_summed(words, s.least), SUMMED).write.parquet(f"{base}/sums-{words}")
-        sums = spark.read.schema(SUMMED).parquet(f"{base}/sums-{words}")
-        if words < DEPTH:
-            sums.where("shard >= 0").select("shard", "keys").groupBy("shard").applyInArrow(_write_survivors(base, words), "n long").agg(F.sum("n")).first()
-        return sums.where("shard < 0").select("lang", "keys", "n").mapInArrow(_as_rows(words), "lang string, phrase array<long>, f long")
-
     n = shards.agg(F.coalesce(F.sum("n_words"), F.lit(0))).first()[0]
-    found = [round_of(1, lambda parts: shards.select("shard", "lang", "keys", "counts").mapInArrow(_deal_words(parts), DEALT), n // 8)]
-    shards.select("shard", "lang", "keys", "tokens").mapInArrow(_indexed(base), INDEX).write.option("compression", "zstd").parquet(f"{base}/index")
+    # ranges and the width of short hashes by the number of rows that a round may have
+    bits = {k: max(3, int(np.ceil(np.log2(max(1, n / (8, 2, 16, 32)[k - 1] / s.range_rows))))) for k in range(1, DEPTH + 1)}
+    wide = min(64, max(16, int(np.ceil(np.log2(max(2, n)))) + 6))
+
+    def answered(answers: DataFrame, kind: str) -> None:
+        answers.groupBy("shard").applyInArrow(_write_answers(base, kind), "n long").agg(F.sum("n")).first()
+
+    def round_of(words: int, rows: DataFrame, phrases) -> None:
+        def guesses(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for b in batches:
+                for r in each_row(b):
+                    keys, counts = phrases(r)
+                    if len(counts):
+                        yield from _guesses(r["shard"], keys, counts, bits[words], wide, s.least)
+
+        def exact(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for b in batches:
+                for r in each_row(b):
+                    keys, counts = phrases(r)
+                    at = _narrowed(base, words, r["shard"], keys, bits[words])
+                    if len(at):
+                        yield from _sure(r["shard"], keys[at], counts[at], bits[words])
+
+        answered(rows.mapInArrow(guesses, GUESS).groupBy("part").applyInArrow(_guessed(bits[words], wide, s.least), ANSWER), f"guessed-{words}")
+        answered(rows.mapInArrow(exact, SURE).groupBy("part").applyInArrow(_summed(s.least), ANSWER), f"summed-{words}")
+
+    round_of(1, shards.select("shard", "keys", "counts"), lambda r: (np.frombuffer(r["keys"], U64)[:, None], np.frombuffer(r["counts"], np.int64)))
+    shards.select("shard", "lang", "keys", "tokens").mapInArrow(_indexed(base, bits[1]), INDEX).write.option("compression", "zstd").parquet(f"{base}/index")
     index = spark.read.schema(INDEX).parquet(f"{base}/index")
+    found = [shards.select("shard", "lang", "keys").mapInArrow(_told(base, 1, bits), "lang string, phrase array<long>, f long")]
     for words in range(2, DEPTH + 1):
-        found.append(round_of(words, lambda parts, w=words: index.mapInArrow(_phrases(base, w, parts), DEALT), n // 2 if words == 2 else n // 20))
-    spelled = shards.select("shard", "keys", "sizes", "spelled").mapInArrow(_spelled(base), "key long, word string").dropDuplicates(["key"])
+        round_of(words, index, lambda r, w=words: _phrases(base, w, r, bits)[1:])
+        found.append(index.mapInArrow(_told(base, words, bits), "lang string, phrase array<long>, f long"))
+    reduce(DataFrame.unionByName, found).write.parquet(f"{base}/found")
+    spelled = shards.select("shard", "keys", "sizes", "spelled").mapInArrow(_spelled(base, bits[1]), "key long, word string")
     totals = shards.groupBy("lang").agg(F.sum("n_words").alias("n"))
-    return totals, reduce(DataFrame.unionByName, found), spelled
+    return totals, spark.read.schema("lang string, phrase array<long>, f long").parquet(f"{base}/found"), spelled
 
 
 def ranked(totals: DataFrame, found: DataFrame, spelled: DataFrame, s: Settings) -> DataFrame:
