@@ -410,6 +410,10 @@ class Known:
     def of(self, block: int) -> dict[str, np.ndarray] | None:
         if block != self.block:
             self.block, self.arrays = block, arrays_of(f"{self.base}/{self.kind}-{block}")
+            if self.kind == "answers" and self.arrays is not None:
+                n = 8 * len(self.arrays["times"])
+                first = np.frombuffer(pa.decompress(self.arrays["first"].tobytes(), n, "zstd", asbytes=True), np.int64)
+                self.arrays |= {"first": first, "run": np.append(0, np.cumsum(self.arrays["runs"], dtype=np.int64))}
         return self.arrays
 
 
@@ -549,7 +553,8 @@ def _write_answers(base: str):
         n = runs.astype(np.int64)
         at = np.cumsum(n) - n
         own = spread(at[one], n[one])
-        write_arrays(f"{base}/answers-{block}", {"hash": key, "run": np.append(0, np.cumsum(n[one])), "times": times[own], "first": first[own]})
+        packed = np.frombuffer(pa.compress(first[own].tobytes(), "zstd", asbytes=True), np.uint8)
+        write_arrays(f"{base}/answers-{block}", {"hash": key, "runs": runs[one], "times": times[own], "first": packed})
         return pa.table({"n": pa.array([len(key)], pa.int64())})
 
     return run
