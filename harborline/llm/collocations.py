@@ -56,7 +56,7 @@ class Settings:
     least: int = 30  # occurrences of a candidate
     top: int = 2000  # rows of a language
     inside: int = 80  # per cent of a phrase's occurrences that a longer candidate has to hold to drop it
-    shard_words: int = 2_000_000
+    shard_words: int = 1_000_000
     range_rows: int = 1_000_000
 
 
@@ -145,7 +145,7 @@ class Index:
         self.size, self.bits = size, max(1, int(len(forward)).bit_length())
         self.sides = forward, reverse
         self.before = np.append(0, np.cumsum(np.bincount(forward, minlength=size)))  # rows of smaller symbols
-        self.sorted = [np.sort(x.astype(np.int64) << self.bits | np.arange(len(x))) for x in self.sides]
+        self.sorted: list[np.ndarray | None] = [None, None]
 
     @staticmethod
     def of(text: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
@@ -160,29 +160,35 @@ class Index:
 
     def occurrences(self, side: int, symbol: np.ndarray, row: np.ndarray) -> np.ndarray:
         """How often the symbol comes before the row."""
+        if self.sorted[side] is None:
+            self.sorted[side] = self.sides[side].astype(np.int64) << self.bits | np.arange(len(self.sides[side]))
+            self.sorted[side].sort()
         return np.searchsorted(self.sorted[side], symbol << self.bits | row) - self.before[symbol]
 
-    def extended(self, p: Phrases, side: int) -> Phrases:
-        """All extensions by one word to the left (side 0) or right (side 1), with counts and both intervals."""
-        own = np.repeat(np.arange(len(p.n)), p.n)
-        symbols = self.sides[side][spread(p.low[side], p.n)].astype(np.int64)
-        pair = np.sort(own * self.size + symbols)
+    def extended(self, p: Phrases, side: int, last: bool = False) -> Phrases:
+        """All extensions by one word to the left (side 0) or right (side 1), with counts and both intervals (last: without)."""
+        pair = np.repeat(np.arange(len(p.n)) * self.size, p.n)
+        pair += self.sides[side][spread(p.low[side], p.n)]
+        pair.sort()
         at = starts_of_runs(pair)
         n = np.diff(np.append(at, len(pair)))
         own, symbol = np.divmod(pair[at], self.size)
         smaller = at - (np.cumsum(p.n) - p.n)[own]
         good = symbol > 0
         own, symbol, n, smaller = own[good], symbol[good], n[good], smaller[good]
+        ids = [symbol[:, None], p.ids[own]]
+        ids = np.concatenate(ids if side == 0 else ids[::-1], 1)
+        if last:
+            return Phrases(ids, n, [n, n])
         low = [None, None]
         low[side] = self.before[symbol] + self.occurrences(side, symbol, p.low[side][own])
         low[1 - side] = p.low[1 - side][own] + smaller
-        ids = [symbol[:, None], p.ids[own]]
-        return Phrases(np.concatenate(ids if side == 0 else ids[::-1], 1), n, low)
+        return Phrases(ids, n, low)
 
 
 @dataclass
 class Phrases:
-    """ids (a row of word ids each), counts, and the first rows of their intervals on both sides."""
+    """ids (a row of word ids each), counts, and the first rows of their intervals on both sides (of no meaning after the last extension)."""
 
     ids: np.ndarray
     n: np.ndarray
@@ -210,7 +216,7 @@ def walked(index: Index, survived: list[np.ndarray]) -> Phrases:
     """The phrases of len(survived) + 2 words of a shard that may be candidates; survived: those of 2, 3, ... words."""
     p = index.words()
     for size in range(2, len(survived) + 3):
-        p = index.extended(p, 1 if size == 3 else 0)
+        p = index.extended(p, 1 if size == 3 else 0, size == len(survived) + 2)
         if size > 2:  # the part that was not extended: the last words of a triple, the first of a quadruple
             p = p.where(among(p.ids[:, 1:] if size == 3 else p.ids[:, :-1], survived[size - 3]))
         if size - 2 < len(survived):
