@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from harborline.functions import expr as X
+from harborline.operators import idsets as I
 from harborline.operators import relational as R
 from harborline.operators import series as S
 
@@ -209,7 +210,7 @@ def trajectory(yoy_rows: DataFrame, keys: list[str] = KEYS, value: str = "value_
         t.withColumn("first_yoy", F.get("v", F.lit(0))).withColumn("last_yoy", F.element_at("v", -1)).withColumn("last_smooth", F.element_at("s", -1))
         .withColumn("sign_changes", turns("turning")).withColumn("cross_zero_idx", F.when(F.col("sign_changes") == 1, F.get(crossing, F.lit(0))))
         .withColumn("slope", S.median_slope(F.col("s"))).withColumn("early_slope", S.median_slope(F.slice("s", F.lit(1), half))).withColumn("late_slope", S.median_slope(F.slice("s", half + 1, n)))
-        .withColumn("seasonal_strength", S.autocorrelation(F.col("v"))).withColumn("seasonal", F.coalesce(F.col("seasonal_strength") >= limits.seasonal, F.lit(False)))
+        .withColumn("_line", S.median_slope(F.col("v"))).withColumn("seasonal_strength", S.autocorrelation(F.col("v"), F.col("_line"))).withColumn("seasonal", F.coalesce(F.col("seasonal_strength") >= limits.seasonal, F.lit(False)))
     )
     up, turned, slope = F.col("last_smooth") > 0, F.col("sign_changes"), F.col("slope")
     shape = (
@@ -221,7 +222,7 @@ def trajectory(yoy_rows: DataFrame, keys: list[str] = KEYS, value: str = "value_
         .otherwise(F.when(slope < -limits.slope, "falling_accelerating").when(slope > limits.slope, "falling_decelerating").otherwise("falling"))
     )
     label = F.create_map(*(F.lit(x) for kv in SHAPES.items() for x in kv))
-    return t.withColumn("shape", shape).withColumn("shape_label", label[F.col("shape")]).drop("p", "v", "s", "signs", "turning")
+    return t.withColumn("shape", shape).withColumn("shape_label", label[F.col("shape")]).drop("p", "v", "s", "signs", "turning", "_line")
 
 
 def canonical_exports(exports: DataFrame) -> DataFrame:
@@ -320,16 +321,30 @@ def external_totals(facts: DataFrame, members: list[str], keys: list[str]) -> Da
     return rows.groupBy(*keys).agg(F.sum("value_eur").cast("double").alias("value"), F.coalesce(F.sum("quantity_kg"), F.lit(0)).cast("double").alias("kg"), F.count_distinct("partner").alias("n_partners"), F.count("*").alias("n_rows"))
 
 
+def from_total_rows(facts: DataFrame, uk: str) -> DataFrame:
+    """The total rows of the sources that have them."""
+    return facts.where((F.col("reporter") != uk) & (F.col("product_nc") == X.TOTAL_CODE))
+
+
+def from_detail_rows(facts: DataFrame, uk: str) -> DataFrame:
+    """The detail rows of the source without total rows, suppressed ones left out."""
+    return facts.where((F.col("reporter") == uk) & (F.col("product_nc") != X.TOTAL_CODE) & (F.col("suppression_index") == 0))
+
+
 def allgoods_from_total_row(facts: DataFrame, uk: str, keys: list[str]) -> DataFrame:
-    """All goods of the sources with total rows: keys, month_idx -> value, lineage ids."""
-    rows = facts.where((F.col("reporter") != uk) & (F.col("product_nc") == X.TOTAL_CODE))
-    return rows.groupBy(*keys, "month_idx").agg(F.sum("value_eur").cast("double").alias("value"), F.array_sort(F.collect_list("raw_id")).alias("ids"))
+    """All goods of the sources with total rows: keys, month_idx -> value; `allgoods_lineage` has the raw rows behind."""
+    return from_total_rows(facts, uk).groupBy(*keys, "month_idx").agg(F.sum("value_eur").cast("double").alias("value"))
 
 
 def allgoods_from_detail(facts: DataFrame, uk: str, keys: list[str]) -> DataFrame:
-    """All goods of the source without total rows: its detail rows, suppressed ones left out."""
-    rows = facts.where((F.col("reporter") == uk) & (F.col("product_nc") != X.TOTAL_CODE) & (F.col("suppression_index") == 0))
-    return rows.groupBy(*keys, "month_idx").agg(F.sum("value_eur").cast("double").alias("value"), F.array_sort(F.collect_list("raw_id")).alias("ids"))
+    """All goods of the source without total rows."""
+    return from_detail_rows(facts, uk).groupBy(*keys, "month_idx").agg(F.sum("value_eur").cast("double").alias("value"))
+
+
+def allgoods_lineage(facts: DataFrame, uk: str, keys: list[str], per_chunk: int = 1024) -> DataFrame:
+    """from_detail, keys, month_idx -> sets of raw ids in chunks of bounded size (`idsets`)."""
+    rows = from_total_rows(facts, uk).withColumn("from_detail", F.lit(False)).unionByName(from_detail_rows(facts, uk).withColumn("from_detail", F.lit(True)))
+    return I.id_sets(rows, ["from_detail", *keys, "month_idx"], "raw_id", per_chunk)
 
 
 def share_of(num: DataFrame, den: DataFrame, keys: list[str], den_keys: list[str], first_idx: int | None = None) -> DataFrame:

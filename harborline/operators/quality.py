@@ -16,9 +16,21 @@ def coverage_gaps(facts: DataFrame, keys: list[str]) -> DataFrame:
     return there.join(F.broadcast(months)).select(*keys, F.explode(F.array_except("all", "there")).alias("month_idx"))
 
 
+#: The columns that tell raw rows apart.
+RAW_KEY = [
+    "period", "reporter", "partner", "trade_type", "product_nc", "product_sitc", "product_cpa21", "product_cpa22", "product_bec", "product_bec5", "product_section", "flow", "stat_procedure", "suppl_unit",
+]
+
+
 def duplicate_keys(df: DataFrame, keys: list[str]) -> DataFrame:
-    """Natural keys (null as '') that occur more than once."""
-    return df.groupBy(*(F.coalesce(F.col(k).cast("string"), F.lit("")).alias(k) for k in keys)).agg(F.count("*").alias("n")).where("n > 1")
+    """Natural keys (null as '') that occur more than once, in two rounds.
+
+    The first counts 64-bit hashes of the key; the second compares whole keys, but only of rows whose hash repeats, so that a wide key is shuffled
+    in proportion to the duplicates.
+    """
+    text = df.select(*(F.coalesce(F.col(k).cast("string"), F.lit("")).alias(k) for k in keys)).withColumn("_hash", F.xxhash64(*keys))
+    repeated = text.groupBy("_hash").agg(F.count("*").alias("_n")).where("_n > 1").select("_hash")
+    return text.join(repeated, "_hash", "left_semi").groupBy(*keys).agg(F.count("*").alias("n")).where("n > 1")
 
 
 def unexpected(df: DataFrame, known: DataFrame, key: str) -> DataFrame:
@@ -109,13 +121,53 @@ def run_history(log: DataFrame, k: int = 20) -> DataFrame:
     return log.orderBy(F.desc("checked_at"), F.desc("event_id")).limit(k)
 
 
+def place_among(value: Column, edges: list[float]) -> Column:
+    """How many of the ascending edges are at most the value, by a tree of comparisons."""
+    if not edges:
+        return F.lit(0)
+
+    def tree(lo: int, hi: int) -> Column:
+        mid = (lo + hi) // 2
+        return F.lit(lo) if lo == hi else F.when(value >= edges[mid], tree(mid + 1, hi)).otherwise(tree(lo, mid))
+
+    return tree(0, len(edges))
+
+
+def threshold_sweeps(rows: DataFrame, measures: dict[str, tuple[str, list[float], float, bool]]) -> DataFrame:
+    """measure, threshold, n, share, change (against the default) for any number of thresholds of several measures, in one pass.
+
+    measures: name -> (column, thresholds, default, under); n counts rows under the threshold, or those at it and above.  Each row is one count in the
+    histogram over the sorted thresholds of each measure that it has; running totals over these few counts give every threshold.
+    """
+    edges = {m: sorted({*t, default}) for m, (_, t, default, _) in measures.items()}
+    places = F.array(*(F.when(F.col(c).isNotNull(), F.struct(F.lit(m).alias("measure"), place_among(F.col(c), edges[m]).alias("place"))) for m, (c, _, _, _) in measures.items()))
+    counts = rows.select(F.explode(F.array_compact(places)).alias("p")).groupBy("p.measure", "p.place").agg(F.count("*").alias("c"))
+    table = [(m, i, x, x == default, under) for m, (_, _, default, under) in measures.items() for i, x in enumerate(edges[m])]
+    t = rows.sparkSession.createDataFrame(table, "measure string, place int, threshold double, is_default boolean, under boolean")
+    total = Window.partitionBy("measure")
+    upto = total.orderBy("place").rowsBetween(Window.unboundedPreceding, 0)
+    both = t.join(counts, ["measure", "place"], "full")  # the place after the last threshold has no threshold
+    n = both.withColumn("_total", F.coalesce(F.sum("c").over(total), F.lit(0))).withColumn("_below", F.coalesce(F.sum("c").over(upto), F.lit(0))).where("threshold is not null")
+    n = n.withColumn("n", F.when(F.col("under"), F.col("_below")).otherwise(F.col("_total") - F.col("_below")))
+    n = n.withColumn("change", F.col("n") - F.max(F.when(F.col("is_default"), F.col("n"))).over(total))
+    return n.select("measure", "threshold", "n", F.when(F.col("_total") > 0, F.col("n") / F.col("_total")).alias("share"), "change")
+
+
 def threshold_sweep(rows: DataFrame, value: str, thresholds: list[float], default: float) -> DataFrame:
-    """Rows under each threshold, their share, and the change against the default; one pass."""
-    t = sorted({*thresholds, default})
-    one = rows.agg(F.count(value).alias("_n"), *(F.count_if(F.col(value) < x).alias(f"t{i}") for i, x in enumerate(t)))
-    base = F.col(f"t{t.index(default)}")
-    table = one.select(F.explode(F.array(*(F.struct(F.lit(x).alias("threshold"), F.col(f"t{i}").alias("n_under"), (F.col(f"t{i}") / F.col("_n")).alias("share"), (F.col(f"t{i}") - base).alias("change")) for i, x in enumerate(t)))).alias("r"))
-    return table.select("r.*")
+    """Rows under each threshold of one measure, their share, and the change against the default."""
+    return threshold_sweeps(rows, {value: (value, thresholds, default, True)}).select("threshold", F.col("n").alias("n_under"), "share", "change")
+
+
+def flip_zone(rows: DataFrame, keys: list[str], value: str, first: float, last: float, order: Column | None = None, k: int = 20) -> DataFrame:
+    """The k keys whose verdict depends on the threshold within [first, last): each by its latest such row, the smallest `order` (the value) first.
+
+    n_rows and n_keys are the size of the whole zone.
+    """
+    zone = rows.where((F.col(value) >= first) & (F.col(value) < last))
+    latest = zone.groupBy(*keys).agg(F.max_by(F.struct("month_idx", F.col(value).alias("value")), "month_idx").alias("x"), F.count("*").alias("_rows"))
+    size = latest.agg(F.coalesce(F.sum("_rows"), F.lit(0)).alias("n_rows"), F.count("*").alias("n_keys"))
+    top = latest.select(*keys, "x.month_idx", "x.value").orderBy(F.col("value") if order is None else order, *keys).limit(k)
+    return top.join(F.broadcast(size))
 
 
 def replay(findings: DataFrame, raw: DataFrame, keys: list[str], tolerance: float = 1e-6) -> DataFrame:

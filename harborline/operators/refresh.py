@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 
 from harborline.operators import families as A
 from harborline.operators import relational as R
-from harborline.sources.sinks import kept
+from harborline.sources.sinks import written
 from harborline.sources.tables import bucket_of, pointed, read_keyed, update_keyed
 
 CELL = ["product_nc", "scope", "flow", "month_idx"]
@@ -32,8 +32,8 @@ BUCKETS = 32
 def build(spark: SparkSession, path: str, facts: DataFrame, patterns: DataFrame, envelope: tuple[str, ...], uk: str, name: str = "0", limits: A.Limits = A.Limits(), buckets: int = BUCKETS) -> None:
     """The first state, from all facts."""
     first = lambda _, new: new
-    codes = kept(A.code_totals(facts, envelope, uk))
-    series = kept(A.series_of_codes(codes, patterns))
+    codes = written(A.code_totals(facts, envelope, uk))
+    series = written(A.series_of_codes(codes, patterns))
     update_keyed(spark, f"{path}/yoy", A.group_yoy(series, limits), A.KEYS, name, first, buckets)
     update_keyed(spark, f"{path}/series", series, A.KEYS, name, first, buckets)
     update_keyed(spark, f"{path}/codes", codes, ["month_idx"], name, first, buckets)
@@ -58,23 +58,23 @@ def refresh(spark: SparkSession, path: str, facts: DataFrame, months: list[int],
     Returns the number of changed group cells, of anchors computed again and of buckets written.
     """
     of_months = F.col("month_idx").isin(*months)
-    new = kept(A.code_totals(facts.where(of_months), envelope, uk))
+    new = written(A.code_totals(facts.where(of_months), envelope, uk))
     wanted = spark.createDataFrame([(m,) for m in months], "month_idx int")
     only = [r[0] for r in wanted.select(bucket_of(["month_idx"], pointed(spark, f"{path}/codes")["buckets"])).distinct().collect()]  # a row a month at most
     stored = read_keyed(spark, f"{path}/codes", only)
     old = new.where("false") if stored is None else stored.where(of_months)
-    cells = kept(R.assign_groups(changed_codes(old, new), patterns).select(*AT).distinct())
-    fresh = kept(A.series_of_codes(new, patterns).join(cells, AT, "left_semi"))
-    anchors = kept(touched_anchors(cells))
+    cells = written(R.assign_groups(changed_codes(old, new), patterns).select(*AT).distinct())
+    fresh = written(A.series_of_codes(new, patterns).join(cells, AT, "left_semi"))
+    anchors = written(touched_anchors(cells))
 
     groups = [r[0] for r in cells.select(bucket_of(A.KEYS, pointed(spark, f"{path}/series")["buckets"])).distinct().collect()]  # `buckets` rows at most
     rows = read_keyed(spark, f"{path}/series", groups)
     near = F.col("month_idx").between(min(months) - 23, max(months) + 23)
     around = fresh if rows is None else rows.where(near).join(cells.select(*A.KEYS).distinct(), A.KEYS, "left_semi").join(cells, AT, "left_anti").select(fresh.columns).unionByName(fresh)
-    again = A.group_yoy(around, limits).join(anchors, AT, "left_semi")
+    again = written(A.group_yoy(around, limits).join(anchors, AT, "left_semi"))
 
     replaced = lambda with_: lambda had, gone: with_ if had is None else had.join(gone, AT, "left_anti").select(with_.columns).unionByName(with_)
-    written = update_keyed(spark, f"{path}/yoy", anchors, A.KEYS, name, replaced(again))
+    taken = update_keyed(spark, f"{path}/yoy", anchors, A.KEYS, name, replaced(again))
     update_keyed(spark, f"{path}/series", cells, A.KEYS, name, replaced(fresh))
     update_keyed(spark, f"{path}/codes", wanted, ["month_idx"], name, lambda had, gone: new if had is None else had.where(~of_months).unionByName(new))
-    return {"cells": cells.count(), "anchors": anchors.count(), "buckets": len(written)}
+    return {"cells": cells.count(), "anchors": anchors.count(), "buckets": len(taken)}

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from harborline.fixtures import ENVELOPE, SINGLE_PARTNER, UK, duck, frame
 from harborline.functions import expr as X
 from harborline.operators import families as A
+from harborline.operators import idsets as I
 from harborline.operators import relational as R
 from harborline.operators import series as S
 from harborline.registry import query
@@ -318,7 +319,9 @@ def a4(spark, sf):
 def a5(spark, sf):
     f = frame(spark, sf, "facts_full").where(X.in_envelope("partner", ENVELOPE))
     both = A.allgoods_from_total_row(f, UK, ["flow"]).withColumn("from_detail", F.lit(False)).unionByName(A.allgoods_from_detail(f, UK, ["flow"]).withColumn("from_detail", F.lit(True)))
-    return both.select("from_detail", "flow", "month_idx", r6("value"), F.size("ids").cast("long").alias("n_ids"), F.get("ids", F.lit(0)).alias("first_id"))
+    at = ["from_detail", "flow", "month_idx"]
+    behind = I.set_sizes(A.allgoods_lineage(f, UK, ["flow"]), at)
+    return both.join(behind, at).select(*at, r6("value"), "n_ids", "first_id")
 
 
 @query("a7_allgoods_external", duck(f"SELECT flow, month_idx, round(CAST(SUM(value_eur) AS DOUBLE), 6) AS value FROM facts_full WHERE NOT {IN_MEMBERS} AND reporter <> '{UK}' AND product_nc = '000TOTAL' GROUP BY 1, 2", "facts_full"))

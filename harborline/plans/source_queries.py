@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from harborline.fixtures import ENVELOPE, UK, duck, frame
 from harborline.functions import expr as X
 from harborline.operators import families as A
+from harborline.operators import idsets as I
 from harborline.operators import quality as Q
 from harborline.operators import ranking as K
 from harborline.operators import relational as R
@@ -273,7 +274,7 @@ def q8(spark, sf):
 def j12(spark, sf):
     """Cells of two reporters, their release (of even months only), and the raw rows behind each."""
     f = frame(spark, sf, "facts")
-    cells = f.where("reporter in ('N01', 'N02')").groupBy("month_idx", "reporter", "partner", "flow").agg(F.array_distinct(F.collect_list("raw_id")).alias("observation_ids"))
+    cells = I.id_sets(f.where("reporter in ('N01', 'N02')"), ["month_idx", "reporter", "partner", "flow"], "raw_id").withColumnRenamed("ids", "observation_ids")
     releases = f.select("month_idx").distinct().where("month_idx % 2 = 0").select(F.col("month_idx").alias("release_id"))
     released = R.with_release(cells.withColumn("release_id", F.col("month_idx")), releases)
     behind = R.lineage(released.select("month_idx", "reporter", "partner", "flow", "observation_ids"), f.select(F.col("raw_id").alias("id"), "value_eur"))

@@ -25,6 +25,13 @@ def kept(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def written(df: DataFrame) -> DataFrame:
+    """df written once to the shared folder and read from there: as `kept`, but a plain table to the optimizer."""
+    path = f"{shared_dir(df.sparkSession)}/written-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def append_raw(df: DataFrame, path: str) -> None:
     df.write.mode("append").partitionBy("period").parquet(path)
 
