@@ -1,33 +1,136 @@
 """Numeric checks of drafted text.
 
-`extract_numbers` needs look-behind and the text around a match, so it is an Arrow function over
-batches; all else is DataFrame operations.
+`extract_numbers` scans the tokens around each number, so it is an Arrow function over batches; all else is DataFrame operations.
 """
 
 from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from typing import NamedTuple
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: What is no fact (with the word that stands for it), words that turn a percentage negative, scales.
-NO_FACTS = (
-    ("YEAR", r"\b(?:19|20)\d{2}\b", 0),
-    ("PERIOD", r"\b\d+[-\s]+(?:month|year|day|week|quarter|period|window)s?\b", re.IGNORECASE),
-    ("HSCODE", r"\b(?:HS|CN8|codes?)\s*\d{4,8}\b", re.IGNORECASE),
-    ("GEOLABEL", r"\b(?:EU|G)-?\d{1,3}\b", 0),
-    ("CHAPTER", r"\b(?:chapters?\s+|HS[-\s]?)\d{1,2}(?:[-/\u2013]\d{1,2})?\b", re.IGNORECASE),
-)
-DECREASES = ("decreas\\w*", "declin\\w*", "fell", "fall\\w*", "dropp?\\w*", "reduc\\w*", "cut\\w*", "down", "lost", "loss\\w*")
-SCALES = {"billion": 1e9, "bn": 1e9, "b": 1e9, "million": 1e6, "m": 1e6, "thousand": 1e3, "k": 1e3}
-_NO_FACTS = [(word, re.compile(p, flags)) for word, p, flags in NO_FACTS]
-_DOWN = re.compile(rf"\b(?:{'|'.join(DECREASES)})\b", re.IGNORECASE)
-_UNIT = "|".join(sorted((*SCALES, "kg"), key=lambda u: -len(u)))
-#: A number begins neither inside a word nor inside another number; a unit of letters ends where its word ends.
-NUMBER = re.compile(rf"(?<![A-Za-z0-9])(?:€\s*)?(?P<sign>[-+]?)(?P<num>(?:\d{{1,3}}(?:,\d{{3}})+|\d+)(?:\.\d+)?)\s*(?P<unit>%|(?:{_UNIT})\b)?", re.IGNORECASE)
+# fixed values: units and their scales, and the words that decide what a number is
+SCALES = {"k": 1e3, "thousand": 1e3, "m": 1e6, "million": 1e6, "b": 1e9, "bn": 1e9, "billion": 1e9}
+WEIGHTS = {"kg"}
+SPANS_OF_TIME = {"day", "week", "month", "quarter", "year", "period", "window"}
+LABELS = {"EU", "G"}
+FALLING = {"down", "fell", "lost"}
+FALLING_STEMS = {"cut", "declin", "decreas", "drop", "fall", "loss", "reduc"}
+
+_TOKEN = re.compile(r"(?P<number>[0-9]+)|(?P<word>[^\W\d_]+)|(?P<space>\s+)|(?P<mark>.)", re.DOTALL)
+
+
+class Token(NamedTuple):
+    kind: str
+    text: str
+    start: int
+    end: int
+
+
+class Scan:
+    """A text as runs of digits, runs of letters, white space and single marks; places are those of the list."""
+
+    def __init__(self, text: str):
+        self.text = text
+        self.tokens = [Token(m.lastgroup, m[0], m.start(), m.end()) for m in _TOKEN.finditer(text)]
+
+    def at(self, i: int) -> Token:
+        return self.tokens[i] if 0 <= i < len(self.tokens) else Token("end", "", len(self.text), len(self.text))
+
+    def joined(self, i: int) -> bool:
+        """Whether token i and the one before make one word."""
+        return all(t.kind in ("number", "word") or t.text == "_" for t in (self.at(i - 1), self.at(i)))
+
+    def skip(self, i: int, marks: str = "", most: int | None = None, step: int = 1) -> int:
+        """The first place from i on that is neither white space nor one of the marks; over `most` tokens at most."""
+        gone = 0
+        while (most is None or gone < most) and (self.at(i).kind == "space" or (self.at(i).kind == "mark" and self.at(i).text in marks)):
+            i, gone = i + step, gone + 1
+        return i
+
+    def number(self, i: int, least: int, most: int) -> bool:
+        """Whether token i is a whole word of so many digits."""
+        t = self.at(i)
+        return t.kind == "number" and least <= len(t.text) <= most and not self.joined(i + 1)
+
+    def year(self, i: int) -> bool:
+        return self.number(i, 4, 4) and self.at(i).text[:2] in ("19", "20")
+
+    def no_facts(self) -> set[int]:
+        """Places of digits that state no fact: years, spans of time, codes, numbered labels, chapters."""
+        out: set[int] = set()
+        for i, t in enumerate(self.tokens):
+            if t.kind == "number" and not self.joined(i):
+                k = self.skip(i + 1, "-")
+                span = self.at(k).kind == "word" and self.at(k).text.lower().removesuffix("s") in SPANS_OF_TIME and not self.joined(k + 1)
+                if self.year(i) or (k > i + 1 and (span or self.year(k))):  # a day before a year is part of a date
+                    out.add(i)
+            elif t.kind == "word" and not self.joined(i):
+                out |= self._named(i, t.text)
+        return out
+
+    def _named(self, i: int, word: str) -> set[int]:
+        """Places of the digits that the word at i names."""
+        low, out = word.lower(), set()
+        dash = i + 1 + (self.at(i + 1).text == "-")
+        if word in LABELS and self.number(dash, 1, 3):
+            out.add(dash)
+        version = low == "cn" and self.at(i + 1).text == "8"
+        if low in ("hs", "code", "codes") or version:
+            k = self.skip(i + 1 + version)
+            if self.number(k, 4, 8):
+                out |= {k, i + 1} if version else {k}
+        k = self.skip(i + 1)
+        first = k if low in ("chapter", "chapters") and k > i + 1 else self._short_gap(i + 1) if low == "hs" else None
+        if first is not None and self.at(first).kind == "number" and len(self.at(first).text) <= 2:
+            if self.at(first + 1).text in ("-", "/", "\u2013") and self.number(first + 2, 1, 2):
+                out |= {first, first + 2}
+            elif self.number(first, 1, 2):
+                out.add(first)
+        return out
+
+    def _short_gap(self, i: int) -> int:
+        """i, or the place after one hyphen or one white space character."""
+        t = self.at(i)
+        return i + 1 if t.text == "-" or (t.kind == "space" and len(t.text) == 1) else i
+
+    def amount(self, i: int, masked: set[int]) -> tuple[int, int, str]:
+        """(place after it, end, digits) of the number that begins at i: groups of three after commas, then a decimal part."""
+        digits, k = self.at(i).text, i + 1
+        while len(self.at(i).text) <= 3 and self.at(k).text == "," and self.at(k + 1).kind == "number" and len(self.at(k + 1).text) >= 3 and k + 1 not in masked:
+            digits, k = digits + self.at(k + 1).text[:3], k + 2
+            if len(self.at(k - 1).text) > 3:  # a longer group ends the number
+                return k, self.at(k - 1).start + 3, digits
+        if self.at(k).text == "." and self.at(k + 1).kind == "number" and k + 1 not in masked:
+            digits, k = f"{digits}.{self.at(k + 1).text}", k + 2
+        return k, self.at(k - 1).end, digits
+
+    def before(self, i: int) -> tuple[int, str]:
+        """(where the number at i begins, its sign): a sign and a euro sign in front belong to it unless a word does too."""
+        free = lambda k: not (self.at(k).kind == "number" or (self.at(k).kind == "word" and self.at(k).text.isascii()))
+        signed = self.at(i - 1).text in ("+", "-")
+        k = i - 1 if signed else i
+        euro = self.skip(k - 1, step=-1)
+        if self.at(euro).text == "€" and free(euro - 1):
+            return self.at(euro).start, self.at(i - 1).text if signed else ""
+        if signed and free(i - 2):
+            return self.at(i - 1).start, self.at(i - 1).text
+        return self.at(i).start, ""
+
+    def falls(self, start: int, end: int) -> bool:
+        """Whether a word of decrease lies between two characters' places."""
+        for i, t in enumerate(self.tokens):
+            low = t.text.lower()
+            if t.kind == "word" and start <= t.start < end and not self.joined(i):
+                if low in FALLING and t.end <= end and not self.joined(i + 1):
+                    return True
+                if any(low.startswith(x) and t.start + len(x) <= end for x in FALLING_STEMS):
+                    return True
+        return False
 
 
 def numbers_in(text: str, near: int = 40) -> list[tuple[str, float, str]]:
@@ -35,16 +138,25 @@ def numbers_in(text: str, near: int = 40) -> list[tuple[str, float, str]]:
 
     A percentage without a sign is negative where a word of decrease stands within `near` characters.
     """
-    for word, p in _NO_FACTS:
-        text = p.sub(word, text)
-    out = []
-    for m in NUMBER.finditer(text):
-        unit = (m["unit"] or "").lower()
-        value = float(m["num"].replace(",", ""))
-        if m["sign"] == "-" or (unit == "%" and not m["sign"] and _DOWN.search(text[max(0, m.start() - near) : m.end() + near])):
+    scan, out, i = Scan(text), [], 0
+    masked = scan.no_facts()
+    while i < len(scan.tokens):
+        t, last = scan.at(i), scan.at(i - 1)
+        inside = last.end == t.start and (last.kind == "number" or (last.kind == "word" and last.text[-1].isascii()))
+        if t.kind != "number" or i in masked or inside:
+            i += 1
+            continue
+        start, sign = scan.before(i)
+        k, end, digits = scan.amount(i, masked)
+        u, value = scan.skip(k), float(digits)
+        unit = scan.at(u).text.lower() if end == scan.at(k - 1).end else ""
+        known = unit == "%" or (unit in SCALES or unit in WEIGHTS) and not scan.joined(u + 1)
+        unit, end = (unit, scan.at(u).end) if known else ("", end)
+        if sign == "-" or (unit == "%" and not sign and scan.falls(max(0, start - near), end + near)):
             value = -value
         kind = "pct" if unit == "%" else "currency" if unit in SCALES else "count"
-        out.append((m[0].strip(), value / 100 if kind == "pct" else value * SCALES.get(unit, 1.0), kind))
+        out.append((text[start:end], value / 100 if kind == "pct" else value * SCALES.get(unit, 1.0), kind))
+        i = u + 1 if known else k
     return out
 
 
