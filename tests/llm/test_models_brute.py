@@ -86,8 +86,8 @@ def test_url_fit_equals_plain_logistic_regression(spark):
 
     def grams(url):
         host, path = (url.split("/", 3)[2], "/" + url.split("/", 3)[3]) if url else ("", "")
-        codes, out = [ord(c) for c in f"^{host}|{path}$"], set()
-        for n in range(s.size, s.longest + 1):
+        texts, out = [*(f"^{x}$" for x in host.split(".")), f"^|{path}$"], set()
+        for codes, n in ((list(map(ord, t)), n) for t in texts for n in range(s.size, s.longest + 1)):
             for i in range(len(codes) - n + 1):
                 h = 7
                 for c in codes[i : i + n]:

@@ -27,3 +27,28 @@ def test_fit_ends_at_the_optimum():
     k, y, s = x @ x.T, (x[:, 0] > 0).astype(float), url_filters.Settings()
     a = url_filters.coefficients(k, y, s)
     assert np.abs(s.decay * a + (1 / (1 + np.exp(-(k @ a))) - y) / 60).max() <= s.tolerance
+
+
+def test_precision_and_recall_on_pages(spark):
+    """Unruled pages: blocked are those of hosts that are named after spam, and hardly others; no such host is in the labelled table."""
+    named = "adult-x|ads-track|casino-win|cheap-pills|free-bets|spam-farm"
+    assert not any(n in u for n in named.split("|") for _, u in url_filters.LABELLED)
+    got = url_filters.op9_url_filters(spark, "/root/testdata/sf0.1").where("rule is null")
+    junk = F.col("host").rlike(rf"(^|\.)({named})\.")
+    r = got.agg(F.count_if(junk & (F.col("verdict") == "block")).alias("hit"), F.count_if(junk).alias("junk"), F.count_if(F.col("verdict") == "block").alias("blocked")).first()
+    assert r.junk > 40 and r.hit >= 0.9 * r.junk and r.hit >= 0.9 * r.blocked
+
+
+def test_clean_names_of_random_syllables(spark, tmp_path):
+    rng = np.random.default_rng(7)
+    parts = ["ka", "lo", "mi", "ru", "the", "on", "er", "ti", "sha", "ven", "dor", "ing", "est", "pla", "qui", "zan"]
+    names = ["".join(rng.choice(parts, rng.integers(2, 5))) for _ in range(300)]
+    spark.createDataFrame([(i, f"https://{n}.example.org/en/{i}") for i, n in enumerate(names)], "page_id long, url string").write.parquet(f"{tmp_path}/pages.parquet")
+    blocked = url_filters.op9_url_filters(spark, str(tmp_path)).where("verdict = 'block'").count()
+    assert blocked <= 30
+
+
+def test_no_gram_crosses_a_dot(spark):
+    s = url_filters.Settings(longest=5, bits=18)
+    x = lambda host: set(spark.range(1).select(url_filters.buckets(F.lit(host), F.lit("/p"), s).alias("x")).first().x)
+    assert x("abc.def") == x("def.abc") == x("abc") | x("def") and x("abcd") - x("abc") - x("d")
