@@ -11,12 +11,13 @@ Rounds: words, then pairs (left extensions of words), triples (right extensions
 A round sums the shards' counts in two passes.  The first deals out the first bits of each phrase's hash with its count, a few
 bytes a phrase: a phrase whose short hash has under `least` in all shards is no candidate.  The second sums whole hashes of the rest.  Answers are a bit
 a phrase, as a shard names its phrases in one order whenever it is asked.  Only what survived is extended in the next round, and only to phrases
-whose other part survived too.  One shard of those that have a survivor tells its words.  A phrase's
+whose other part survived too.  Each shard learns its survivors' counts, so one of them tells a phrase with the counts of its parts, its best cut
+and the phrases that it drops.  A phrase's
 longer candidates by one word are its extensions, so these sums also tell which phrases to drop: one that lies in a
 longer candidate with most of its count lies in an extension with at least that count.
 
 Scale: shards hold `shard_words` words; shards and indexes are tables in the shared folder, and a shard's answers are files there.  A frequent
-word or phrase is one entry a shard in a round.  A range has about `range_rows` of these rows.  Scores are exact decimals.
+word or phrase is one entry a shard in a round.  A range has about `range_rows` of these rows.  Scores are exact.
 Words are told apart by 64-bit hashes of language and word, phrases by 64-bit hashes of these: two of the n that pass a round's first pass are one
 with a chance of n**2 / 2**65.
 
@@ -38,7 +39,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from harborline.llm.common import shared_dir, table
+from harborline.llm.common import shared_dir, small_or_not, table
 from harborline.llm.substring_dedup import spread, starts_of_runs
 from harborline.llm.succinct import arrays_of, write_arrays
 from harborline.llm.textblocks import hashes_of, lowered, mix, pieces
@@ -195,6 +196,7 @@ class Phrases:
     low: list[np.ndarray]
 
     def where(self, good: np.ndarray) -> Phrases:
+        """Those that a mask or places choose."""
         return Phrases(self.ids[good], self.n[good], [x[good] for x in self.low])
 
 
@@ -212,16 +214,11 @@ def among(ids: np.ndarray, some: np.ndarray) -> np.ndarray:
     return known[group[len(some) :]]
 
 
-def walked(index: Index, survived: list[np.ndarray]) -> Phrases:
-    """The phrases of len(survived) + 2 words of a shard that may be candidates; survived: those of 2, 3, ... words."""
-    p = index.words()
-    for size in range(2, len(survived) + 3):
-        p = index.extended(p, 1 if size == 3 else 0, size == len(survived) + 2)
-        if size > 2:  # the part that was not extended: the last words of a triple, the first of a quadruple
-            p = p.where(among(p.ids[:, 1:] if size == 3 else p.ids[:, :-1], survived[size - 3]))
-        if size - 2 < len(survived):
-            p = p.where(among(p.ids, survived[size - 2]))
-    return p
+def grown(index: Index, p: Phrases, survived: np.ndarray, last: bool = False) -> Phrases:
+    """The phrases of one word more whose parts survived: pairs grow to the right, triples to the left.  p are the survivors, `survived` their ids."""
+    right = p.ids.shape[1] == 2
+    q = index.extended(p, 1 if right else 0, last)
+    return q.where(among(q.ids[:, 1:] if right else q.ids[:, :-1], survived))
 
 
 # ---- rounds ----
@@ -301,7 +298,7 @@ def _sure(shard: int, keys: np.ndarray, n: np.ndarray, bits: int) -> Iterator[pa
 
 
 def _summed(least: int):
-    """For each message, which of its phrases have `least` occurrences in all shards, which of these it is to tell, and their counts."""
+    """For each message, which of its phrases have `least` occurrences in all shards, how many, and which of them it is to tell."""
 
     def run(t: pa.Table) -> pa.Table:
         h = [np.frombuffer(x, U64) for x in t.column("hash").to_pylist()]
@@ -316,7 +313,7 @@ def _summed(least: int):
         for k in size:
             g = good[a : a + k]
             mine = one[a : a + k][g]
-            out.append((np.packbits(g).tobytes(), np.packbits(mine).tobytes(), sums[a : a + k][g][mine].tobytes()))
+            out.append((np.packbits(g).tobytes(), np.packbits(mine).tobytes(), sums[a : a + k][g].tobytes()))
             a += k
         return pa.table({"shard": t.column("shard"), "part": t.column("part"), **{c: pa.array([r[i] for r in out], pa.binary()) for i, c in enumerate(("bits", "mine", "n"))}})
 
@@ -362,7 +359,7 @@ def _narrowed(base: str, words: int, shard: int, keys: np.ndarray, bits: int) ->
 
 
 def _survivors(base: str, words: int, shard: int, keys: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Places of the phrases of a round that survived, which of them this shard is to tell, and the counts of these."""
+    """Places of the phrases of a round that survived, which of them this shard is to tell, and their counts in all shards."""
     maybe = _narrowed(base, words, shard, keys, bits)
     answer = arrays_of(f"{base}/summed-{words}-{shard}")
     order, h = in_order(keys[maybe])
@@ -370,64 +367,135 @@ def _survivors(base: str, words: int, shard: int, keys: np.ndarray, bits: int) -
     return maybe[order[good]], mine, answer["n"] if answer is not None else np.zeros(0, np.int64)
 
 
-INDEX = "shard long, lang string, keys binary, forward binary, reverse binary"
+INDEX = "shard long, lang string, keys binary, counts binary, forward binary, reverse binary"
 
 
 def _indexed(base: str, bits: int):
-    """Each shard's index over its frequent words; a word's id is its place among their hashes, from 1."""
+    """Each shard's index over its frequent words, with their counts in all shards; a word's id is its place among their hashes, from 1."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for r in each_row(b):
                 keys = np.frombuffer(r["keys"], U64)
-                at, _, _ = _survivors(base, 1, r["shard"], keys[:, None], bits)
-                frequent = np.sort(keys[at])
+                at, _, n = _survivors(base, 1, r["shard"], keys[:, None], bits)
+                order = np.argsort(keys[at])
+                at, n = at[order], n[order]
                 ids = np.zeros(len(keys) + 1, np.int32)
-                ids[1 + at] = np.searchsorted(frequent, keys[at]) + 1
+                ids[1 + at] = np.arange(1, len(at) + 1)
                 text = ids[np.frombuffer(r["tokens"], np.int32)]
                 text = np.append(text[(text > 0) | np.append(True, text[:-1] > 0)], np.int32(0))
-                forward, reverse = Index.of(text, len(frequent) + 1)
-                cols = [r["shard"], r["lang"], frequent.tobytes(), forward.tobytes(), reverse.tobytes()]
-                yield pa.record_batch([pa.array([c]) for c in cols], names=["shard", "lang", "keys", "forward", "reverse"])
+                forward, reverse = Index.of(text, len(at) + 1)
+                cols = [r["shard"], r["lang"], *(x.tobytes() for x in (keys[at], n, forward, reverse))]
+                yield pa.record_batch([pa.array([c]) for c in cols], names=["shard", "lang", "keys", "counts", "forward", "reverse"])
 
     return run
 
 
-def _phrases(base: str, words: int, row: dict, bits: dict[int, int]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(ids, keys, counts) of a shard's phrases of so many words whose parts survived.
-
-    What survived the rounds before is told once, by the first pass that needs it, and kept in a file.
+class Shard:
+    """A shard's index and what survived in it, round by round; survivors are told once, by the first pass that needs them, and kept in a file."""
+
+    def __init__(self, base: str, row: dict, bits: dict[int, int]):
+        self.base, self.number, self.bits = base, row["shard"], bits
+        self.keys = np.frombuffer(row["keys"], U64)
+        self.index = Index(np.frombuffer(row["forward"], np.int32), np.frombuffer(row["reverse"], np.int32), len(self.keys) + 1)
+        self.kept: dict[int, tuple[Phrases, np.ndarray, np.ndarray]] = {}
+
+    def hashes(self, ids: np.ndarray) -> np.ndarray:
+        return self.keys[ids - 1]
+
+    def phrases(self, words: int, last: bool = True) -> Phrases:
+        """All phrases of so many words whose parts survived."""
+        if words == 2:
+            return self.index.extended(self.index.words(), 0, last)
+        p = self.survivors(words - 1)[0]
+        return grown(self.index, p, p.ids, last)
+
+    def survivors(self, words: int) -> tuple[Phrases, np.ndarray, np.ndarray]:
+        """(phrases, counts in all shards, which of them this shard is to tell)."""
+        if words not in self.kept:
+            uri = f"{self.base}/survived-{words}-{self.number}"
+            held = arrays_of(uri)
+            if held is None:
+                p = self.phrases(words, last=False)
+                at, mine, n = _survivors(self.base, words, self.number, self.hashes(p.ids), self.bits[words])
+                p = p.where(at)
+                flat = np.concatenate([p.ids.ravel(), p.n, *p.low, n, mine]).astype(np.int64)
+                write_arrays(uri, {"size": np.array([len(at)]), "packed": np.frombuffer(pa.compress(flat.tobytes(), "zstd", asbytes=True), np.uint8)})
+            else:
+                size = int(held["size"][0])
+                flat = np.frombuffer(pa.decompress(held["packed"].tobytes(), 8 * size * (words + 5), "zstd", asbytes=True), np.int64)
+                count, low, high, n, mine = flat[size * words :].reshape(5, size)
+                p, mine = Phrases(flat[: size * words].reshape(size, words), count, [low, high]), mine > 0
+            self.kept[words] = p, n, mine
+        return self.kept[words]
+
+
+def scores(a: np.ndarray, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+    """floor(2000000 a / (l + r)), exactly: in whole numbers of any size where products pass 63 bits."""
+    if len(a) and int(a.max()) >= 1 << 42:
+        a, left, right = (x.astype(object) for x in (a, left, right))
+    return (2000000 * a // (left + right)).astype(np.int64)
+
+
+def told(shard: Shard, word_counts: np.ndarray, inside: int) -> Iterator[tuple[np.ndarray, ...]]:
+    """(words' hashes, a, l, r, score) of the candidates that the shard is to tell, and at the end (hashes,) of phrases that its longer ones drop.
+
+    A phrase's parts survived in every shard that holds it, so their counts are at hand.
     """
-    keys = np.frombuffer(row["keys"], U64)
-    if not len(keys):
-        return np.zeros((0, words), np.int64), np.zeros((0, words), U64), np.zeros(0, np.int64)
-    index = Index(np.frombuffer(row["forward"], np.int32), np.frombuffer(row["reverse"], np.int32), len(keys) + 1)
-    survived = []
-    for k in range(2, words):
-        uri = f"{base}/survived-{k}-{row['shard']}"
-        held = arrays_of(uri)
-        if held is None:
-            p = walked(index, survived)
-            at, _, _ = _survivors(base, k, row["shard"], keys[p.ids - 1], bits[k])
-            write_arrays(uri, {"ids": p.ids[at].astype(np.int32).ravel()})
-            survived.append(p.ids[at])
+    f1 = np.append(0, word_counts)
+    p2, n2, mine2 = shard.survivors(2)
+    p3, n3, mine3 = shard.survivors(3)
+    p4, n4, mine4 = shard.survivors(4)
+    size = shard.index.size
+    pair = p2.ids[:, 0] * size + p2.ids[:, 1]
+    order2 = np.argsort(pair)
+    at2 = lambda x, y: order2[np.searchsorted(pair, x * size + y, sorter=order2)]
+    triple = at2(p3.ids[:, 0], p3.ids[:, 1]) * size + p3.ids[:, 2]
+    order3 = np.argsort(triple)
+    at3 = lambda x, y, z: order3[np.searchsorted(triple, at2(x, y) * size + z, sorter=order3)]
+    dropped = []
+    for p, n, mine in ((p2, n2, mine2), (p3, n3, mine3), (p4, n4, mine4)):
+        ids, a = p.ids[mine], n[mine]
+        if not len(a):
+            continue
+        w = list(ids.T)
+        if len(w) == 2:
+            cuts = [(f1[w[0]], f1[w[1]])]
+        elif len(w) == 3:
+            cuts = [(f1[w[0]], n2[at2(w[1], w[2])]), (n2[at2(w[0], w[1])], f1[w[2]])]
+            subs = [(cuts[1][0], ids[:, :2]), (cuts[0][1], ids[:, 1:])]
         else:
-            survived.append(held["ids"].reshape(-1, k).astype(np.int64))
-    p = walked(index, survived)
-    return p.ids, keys[p.ids - 1], p.n.astype(np.int64)
+            cuts = [(f1[w[0]], n3[at3(*w[1:])]), (n2[at2(w[0], w[1])], n2[at2(w[2], w[3])]), (n3[at3(*w[:3])], f1[w[3]])]
+            subs = [(cuts[2][0], ids[:, :3]), (cuts[0][1], ids[:, 1:])]
+        if len(w) > 2:
+            dropped += [phrase_hash(shard.hashes(sub[100 * a >= inside * whole])) for whole, sub in subs]
+        every = np.stack([scores(a, x, y) for x, y in cuts])
+        best, row = every.argmin(0), np.arange(len(a))  # the first of equals
+        left, right = np.stack([x for x, _ in cuts])[best, row], np.stack([y for _, y in cuts])[best, row]
+        yield shard.hashes(ids), a, left, right, every[best, row]
+    yield (np.unique(np.concatenate(dropped)) if dropped else np.zeros(0, U64),)
+
+
+FOUND = "lang string, hash long, phrase array<long>, a long, l long, r long, score long"
 
 
-def _told(base: str, words: int, bits: dict[int, int]):
-    """(lang, phrase, f) of the survivors that the shard is to tell."""
+def _told(base: str, bits: dict[int, int], inside: int):
+    """Rows of candidates, and rows without a phrase for hashes of phrases to drop."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names = [x.split()[0] for x in FOUND.split(", ")]
         for b in batches:
             for r in each_row(b):
-                keys = np.frombuffer(r["keys"], U64)[:, None] if words == 1 else _phrases(base, words, r, bits)[1]
-                at, mine, n = _survivors(base, words, r["shard"], keys, bits[words])
-                if mine.any():
-                    phrase = pa.ListArray.from_arrays(pa.array(np.arange(0, len(n) * words + 1, words, dtype=np.int32)), pa.array(keys[at[mine]].view(np.int64).ravel()))
-                    yield pa.record_batch([pa.array([r["lang"]] * len(n)), phrase, pa.array(n)], names=["lang", "phrase", "f"])
+                if not r["keys"]:
+                    continue
+                for keys, *rest in told(Shard(base, r, bits), np.frombuffer(r["counts"], np.int64), inside):
+                    none = [pa.nulls(len(keys), pa.int64())] * 4
+                    if rest:
+                        at = pa.array(np.arange(0, keys.size + 1, keys.shape[1], dtype=np.int32))
+                        cols = [pa.array([r["lang"]] * len(keys)), pa.array(phrase_hash(keys).view(np.int64)), pa.ListArray.from_arrays(at, pa.array(keys.view(np.int64).ravel())), *map(pa.array, rest)]
+                    else:
+                        cols = [pa.nulls(len(keys), pa.string()), pa.array(keys.view(np.int64)), pa.nulls(len(keys), pa.list_(pa.int64())), *none]
+                    yield pa.record_batch(cols, names=names)
 
     return run
 
@@ -448,7 +516,7 @@ def _spelled(base: str, bits: int):
 
 
 def counted(docs: DataFrame, base: str, s: Settings) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """(lang, n of all words), (lang, phrase, f) of all phrases of 1 to DEPTH words with f >= least, (key, word) of frequent words."""
+    """(lang, n of all words), rows of candidates and phrases to drop (FOUND), (key, word) of frequent words."""
     spark = docs.sparkSession
     used = docs.select(F.coalesce("lang", F.lit("und")).alias("lang"), F.coalesce("text", F.lit("")).alias("text"))
     used.mapInArrow(_shards(s), SHARD).write.option("compression", "zstd").parquet(f"{base}/shards")
@@ -480,38 +548,36 @@ def counted(docs: DataFrame, base: str, s: Settings) -> tuple[DataFrame, DataFra
         answered(rows.mapInArrow(guesses, GUESS).groupBy("part").applyInArrow(_guessed(bits[words], wide, s.least), ANSWER), f"guessed-{words}")
         answered(rows.mapInArrow(exact, SURE).groupBy("part").applyInArrow(_summed(s.least), ANSWER), f"summed-{words}")
 
+    def of_index(words: int):
+        def phrases(r: dict) -> tuple[np.ndarray, np.ndarray]:
+            if not r["keys"]:
+                return np.zeros((0, words), U64), np.zeros(0, np.int64)
+            shard = Shard(base, r, bits)
+            p = shard.phrases(words)
+            return shard.hashes(p.ids), p.n.astype(np.int64)
+
+        return phrases
+
     round_of(1, shards.select("shard", "keys", "counts"), lambda r: (np.frombuffer(r["keys"], U64)[:, None], np.frombuffer(r["counts"], np.int64)))
     shards.select("shard", "lang", "keys", "tokens").mapInArrow(_indexed(base, bits[1]), INDEX).write.option("compression", "zstd").parquet(f"{base}/index")
     index = spark.read.schema(INDEX).parquet(f"{base}/index")
-    found = [shards.select("shard", "lang", "keys").mapInArrow(_told(base, 1, bits), "lang string, phrase array<long>, f long")]
     for words in range(2, DEPTH + 1):
-        round_of(words, index, lambda r, w=words: _phrases(base, w, r, bits)[1:])
-        found.append(index.mapInArrow(_told(base, words, bits), "lang string, phrase array<long>, f long"))
-    reduce(DataFrame.unionByName, found).write.parquet(f"{base}/found")
+        round_of(words, index.select("shard", "keys", "forward", "reverse"), of_index(words))
+    index.mapInArrow(_told(base, bits, s.inside), FOUND).write.parquet(f"{base}/found")
     spelled = shards.select("shard", "keys", "sizes", "spelled").mapInArrow(_spelled(base, bits[1]), "key long, word string")
     totals = shards.groupBy("lang").agg(F.sum("n_words").alias("n"))
-    return totals, spark.read.schema("lang string, phrase array<long>, f long").parquet(f"{base}/found"), spelled
+    return totals, spark.read.schema(FOUND).parquet(f"{base}/found"), spelled
 
 
 def ranked(totals: DataFrame, found: DataFrame, spelled: DataFrame, s: Settings) -> DataFrame:
-    """Cuts, dropped phrases, scores and ranks."""
-    size = F.size("phrase")
-    candidates = found.where(size > 1)
-    cut = candidates.select("lang", "phrase", F.col("f").alias("a"), F.explode(F.sequence(F.lit(1), size - 1)).alias("k"))
-    cut = cut.withColumn("left", F.slice("phrase", F.lit(1), F.col("k"))).withColumn("right", F.slice("phrase", F.col("k") + 1, size - F.col("k")))
-    of = lambda part, n: found.select("lang", F.col("phrase").alias(part), F.col("f").alias(n))
-    both = cut.join(of("left", "l"), ["lang", "left"]).join(of("right", "r"), ["lang", "right"])
-    exact = lambda c: F.col(c).cast("decimal(38,0)")
-    # floor of the quotient in whole numbers: a decimal product less its remainder
-    top, bottom = 2000000 * exact("a"), exact("l") + exact("r")
-    score = ((top - top % bottom) / bottom).cast("long")
-    best = both.withColumn("score", score).groupBy("lang", "phrase", "a").agg(F.min_by(F.struct("score", "l", "r"), F.struct("score", "k")).alias("c"))
-    longer = candidates.where(size > 2).select("lang", F.explode(F.array(F.slice("phrase", F.lit(1), size - 1), F.slice("phrase", F.lit(2), size - 1))).alias("phrase"), "f")
-    longer = longer.groupBy("lang", "phrase").agg(F.max("f").alias("longest"))
-    kept = best.join(longer, ["lang", "phrase"], "left").where(F.coalesce(100 * F.col("longest") < s.inside * F.col("a"), F.lit(True)))
-    word = kept.select("lang", "phrase", F.posexplode("phrase").alias("at", "key")).join(spelled, "key")
-    text = word.groupBy("lang", "phrase").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("at", "word"))), lambda x: x["word"]), " ").alias("spelled"))
-    rows = kept.join(text, ["lang", "phrase"]).select("lang", F.col("spelled").alias("phrase"), "a", "c.l", "c.r", "c.score")
+    """The candidates that stay, first by score and count; words are looked up for those alone that may be among the first."""
+    dropped = small_or_not(found.where("phrase is null").select("hash").distinct())
+    live = found.where("phrase is not null").join(dropped, "hash", "left_anti")
+    first = F.rank().over(Window.partitionBy("lang").orderBy(F.desc("score"), F.desc("a")))
+    near = live.withColumn("_rank", first).where(F.col("_rank") <= s.top).select("lang", "hash", "phrase", "a", "l", "r", "score")
+    word = near.select("lang", "hash", F.posexplode("phrase").alias("at", "key")).join(spelled, "key")
+    text = word.groupBy("lang", "hash").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("at", "word"))), lambda x: x["word"]), " ").alias("spelled"))
+    rows = near.join(text, ["lang", "hash"]).select("lang", F.col("spelled").alias("phrase"), "a", "l", "r", "score")
     place = F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("score"), F.desc("a"), "phrase"))
     rows = rows.withColumn("rank", place.cast("long")).where(F.col("rank") <= s.top)
     return rows.join(totals, "lang").select("lang", "rank", "phrase", "a", "l", "r", "n", "score")

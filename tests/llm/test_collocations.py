@@ -62,7 +62,9 @@ def test_intervals_hold_all_occurrences(seed):
         assert told(index.extended(p, side)) == want(size)
     pairs = np.array([k for k, v in want(2).items() if v > 12]).reshape(-1, 2)
     some = {tuple(x) for x in pairs.tolist()}
-    assert told(C.walked(index, [pairs])) == {k: v for k, v in want(3).items() if k[:2] in some and k[1:] in some}
+    kept = index.extended(index.words(), 0)
+    kept = kept.where(C.among(kept.ids, pairs))
+    assert told(C.grown(index, kept, kept.ids)) == {k: v for k, v in want(3).items() if k[:2] in some and k[1:] in some}
 
 
 @pytest.mark.parametrize("seed", range(3))
@@ -77,13 +79,10 @@ def test_operator_is_brute_force(spark, seed):
         assert got(C.mined(docs, s)) == brute(rows, least, top)
 
 
-def test_scores_are_exact(spark):
+def test_scores_are_exact():
     big = 4_000_000_000_000_000_000
-    rows = [("en", [1], big), ("en", [2], big), ("en", [1, 2], big - 1), ("en", [3], 31), ("en", [2, 3], 31)]
-    found = spark.createDataFrame(rows, "lang string, phrase array<long>, f long")
-    totals, spelled = spark.createDataFrame([("en", big)], "lang string, n long"), spark.createDataFrame([(1, "x"), (2, "y"), (3, "z")], "key long, word string")
-    out = {r.phrase: (r.score, r["rank"]) for r in C.ranked(totals, found, spelled, C.Settings()).collect()}
-    assert out == {"x y": (2000000 * (big - 1) // (2 * big), 1), "y z": (0, 2)}
+    for a, left, right in ((big - 1, big, big), (31, big, 31), (1 << 41, (1 << 41) + 1, 1 << 41), (30, 30, 31)):
+        assert C.scores(*(np.array([x, 30]) for x in (a, left, right))).tolist() == [2000000 * a // (left + right), 1000000]
 
 
 def test_edges(spark, edges, nothing):
