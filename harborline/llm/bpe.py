@@ -5,8 +5,8 @@ the root is the next merge.  A merge changes three leaves, each repaired in loga
 pair can be merged.  A worker keeps the ids of the pre-tokens it has met, up to a bound.
 
 Edge cases: null and empty texts have no ids; special tokens' strings become their id, as in the
-library's defaults; a pre-token of any length costs n log n; equal texts give equal rows; other
-columns and repeated rows pass as they are.
+library's defaults; a pre-token of any length costs n log n; equal texts give equal rows; ids of any type stay as they are; repeated
+rows are coded each for itself; other columns are ignored.  Workers read the vocabulary at the path that the driver resolves.
 """
 
 from __future__ import annotations
@@ -164,7 +164,7 @@ def encoded(docs: DataFrame, s: Settings = Settings()) -> DataFrame:
                 ids = [bpe.encode(t or "") for t in some.column("text").to_pylist()]
                 yield pa.record_batch([some.column("doc_id"), pa.array(ids, pa.binary()), pa.array(map(bpe.decode, ids), pa.string())], names=["doc_id", "ids", "decoded"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, ids binary, decoded string")
+    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, ids binary, decoded string")
 
 
 def digests(docs: DataFrame, s: Settings = Settings()) -> DataFrame:
@@ -182,7 +182,7 @@ def digests(docs: DataFrame, s: Settings = Settings()) -> DataFrame:
                 two.append(hashlib.sha256(bpe.decode(ids).encode()).hexdigest())
             yield pa.record_batch([b.column("doc_id"), pa.array(n, pa.int64()), pa.array(one, pa.string()), pa.array(two, pa.string())], names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
+    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, n_tokens long, ids_sha256 string, decoded_sha256 string")
 
 
 def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -16,7 +16,8 @@
    components is lost.
 
 Sets are named by 64-bit hashes without comparison; shingles by 64 bits while they are counted and by their
-frequency and 48 bits afterwards.
+frequency and 48 bits afterwards.  The order is by the exact frequency below 2**14 texts and by steps of 0.14 % above (`rarity`);
+any order keeps all links, this one keeps prefixes rare.  There are at most 2**30 hash ranges, which then grow with the input.
 
 Edge cases: null and wordless texts have an empty set and link with nothing (component_id is their own
 id); texts of 1 to 4 words are one shingle; equal texts share a component; a null id is reported
@@ -154,9 +155,15 @@ def _deal(s: Settings, bits: int):
     return run
 
 
+def rarity(df: np.ndarray) -> np.ndarray:
+    """15 bits that rise with the frequency: itself under 2**14, above it 512 steps for each doubling, up to 2**46 texts."""
+    steps = np.floor((np.log2(np.maximum(df, 1 << 14)) - 14) * 512).astype(np.int64)
+    return np.where(df < 1 << 14, df, (1 << 14) + np.minimum(steps, (1 << 14) - 1))
+
+
 def order_key(toks: np.ndarray, df: np.ndarray) -> np.ndarray:
     """Places in the global order: the frequency, then 48 bits of the hash."""
-    return (np.minimum(df, 32767) << 48) | (toks >> np.uint64(16)).astype(np.int64)
+    return (rarity(df) << 48) | (toks >> np.uint64(16)).astype(np.int64)
 
 
 def _shared(t: pa.Table) -> pa.Table:
@@ -234,7 +241,7 @@ def prefixed(docs: DataFrame, all_nodes: DataFrame, s: Settings) -> DataFrame:
     """node, n (set size), k (shared shingles in the prefix), toks (its shared shingles in the global order),
     bits (the parity of its shared shingles in each of 64 * MAP_WORDS cells)."""
     total = all_nodes.agg(F.coalesce(F.sum("n_shingles"), F.lit(0))).first()[0]
-    bits = min(24, max(6, int(np.ceil(np.log2(max(1, total / s.range_size))))))
+    bits = min(30, max(6, int(np.ceil(np.log2(max(1, total / s.range_size))))))
     known = all_nodes.where("node is not null and doc_id is not null")
     first = known.groupBy("node").agg(F.min("doc_id").alias("doc_id"))
     # ids that stand first for no text; an id with several texts stays if one of them needs it
