@@ -476,14 +476,18 @@ def _send_segments(base: str, s: Settings, parts: int):
     return lambda batches: _gathered(batches, find, done, s.gathered // 4, s.chunk)
 
 
-def coded(size: np.ndarray, body: np.ndarray, place: np.ndarray, s: Settings) -> tuple[np.ndarray, np.ndarray, Settings]:
+def anchor_numbers(size: np.ndarray, body: np.ndarray, place: np.ndarray, s: Settings) -> np.ndarray:
+    """Numbers of the strings' anchors, equal where their bytes are."""
+    anchors = body[(np.cumsum(size) - size + place)[:, None] + np.arange(s.gram)]
+    return np.unique(np.ascontiguousarray(anchors).view(f"V{s.gram}").ravel(), return_inverse=True)[1]
+
+
+def coded(size: np.ndarray, body: np.ndarray, place: np.ndarray, anchor: np.ndarray, s: Settings) -> tuple[np.ndarray, np.ndarray, Settings]:
     """The strings with their anchors as a mark and the digits of the anchor's number, and settings with the length that windows have then.
 
     Every window of a string holds its whole anchor, so the same windows are equal, and a window of the new length holds a whole code.
     """
-    begin = np.cumsum(size) - size
-    anchors = body[(begin + place)[:, None] + np.arange(s.gram)]
-    names, number = np.unique(np.ascontiguousarray(anchors).view(f"V{s.gram}").ravel(), return_inverse=True)
+    names, number = np.unique(anchor, return_inverse=True)
     digits = 1
     while MARK**digits < len(names):
         digits += 1
@@ -491,7 +495,7 @@ def coded(size: np.ndarray, body: np.ndarray, place: np.ndarray, s: Settings) ->
     code[:, 0] = MARK
     for d in range(digits):
         code[:, 1 + d] = number // MARK**d % MARK
-    new = size - s.gram + 1 + digits
+    begin, new = np.cumsum(size) - size, size - s.gram + 1 + digits
     at, out = np.cumsum(new) - new, np.empty(int(new.sum()), np.uint8)
     out[(at + place)[:, None] + np.arange(1 + digits)] = code
     rest = size - place - s.gram
@@ -500,6 +504,19 @@ def coded(size: np.ndarray, body: np.ndarray, place: np.ndarray, s: Settings) ->
     return new, out, replace(s, length=s.length - s.gram + 1 + digits)
 
 
+def first_of_windows(size: np.ndarray, body: np.ndarray, place: np.ndarray, doc: np.ndarray, s: Settings) -> np.ndarray:
+    """The smallest id of the different strings that hold each window of each; strings whose anchor no other one has share no window, and stay out of the transform."""
+    anchor = anchor_numbers(size, body, place, s)
+    several = np.bincount(anchor)[anchor] > 1
+    windows = size - s.length + 1
+    first = np.repeat(doc, windows)
+    if several.any():
+        begin = (np.cumsum(size) - size)[several]
+        part = coded(size[several], body[spread(begin, size[several])], place[several], anchor[several], s)
+        first[np.repeat(several, windows)] = first_documents(*part, doc[several])
+    return first
+
+
 ANSWER = "block long, hash binary, runs binary, times binary, first binary"
 
 
@@ -524,7 +541,7 @@ def _answers(s: Settings):
         string = np.empty(len(h), np.int64)
         string[order] = np.cumsum(~same) - 1
         one = order[~same]
-        first = first_documents(*coded(size[one], body[spread(begin[one], size[one])], place[one], s), doc[one])
+        first = first_of_windows(size[one], body[spread(begin[one], size[one])], place[one], doc[one], s)
         windows = size[one] - s.length + 1
         at = np.cumsum(windows) - windows
         new = np.append(True, first[1:] != first[:-1])
