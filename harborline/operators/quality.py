@@ -101,6 +101,19 @@ def source_status(log: DataFrame) -> DataFrame:
     )
 
 
+def sources_rollup(log: DataFrame, releases: DataFrame, sources: DataFrame) -> DataFrame:
+    """Every expected source with its checks and what the store has of it: latest month and the months missing up to it.
+
+    sources: source, january_with_february (a missing January is no gap there); one that was never checked has no telemetry, one without releases no months.
+    """
+    own = releases.join(sources, "source", "left_semi")
+    months = own.groupBy("source").agg(F.min("month_idx").alias("_first"), F.max("month_idx").alias("latest_idx"), F.collect_set("month_idx").alias("_there"))
+    j = sources.join(source_status(log), "source", "left").join(months, "source", "left")
+    gaps = F.array_except(F.sequence("_first", "latest_idx"), "_there")
+    gaps = F.filter(gaps, lambda m: ~F.coalesce("january_with_february", F.lit(False)) | (m % 12 != 0))
+    return j.withColumn("gaps", F.coalesce(F.array_sort(gaps), F.array().cast("array<int>"))).drop("_first", "_there", "january_with_february")
+
+
 def newly_overdue(log: DataFrame, bad: str = "not_yet") -> DataFrame:
     """Checks at which a spell of `bad` results began."""
     before = F.lag("result").over(Window.partitionBy("source").orderBy("checked_at", "event_id"))
@@ -121,6 +134,27 @@ def run_history(log: DataFrame, k: int = 20) -> DataFrame:
     return log.orderBy(F.desc("checked_at"), F.desc("event_id")).limit(k)
 
 
+def run_histories(logs: dict[str, DataFrame], k: int = 20) -> DataFrame:
+    """log, rank and the latest k runs of each log, newest first: run_id, at, result, duration_ms, counts and their total.
+
+    Each log has run_id, at, result, duration_ms and counts (a map of numbers, or null).
+    """
+    columns = ["run_id", "at", "result", "duration_ms", "counts"]
+    every = None
+    for name, df in logs.items():
+        one = df.select(F.lit(name).alias("log"), *columns)
+        every = one if every is None else every.unionByName(one)
+    total = F.when(F.col("counts").isNotNull(), F.aggregate(F.map_values("counts"), F.lit(0).cast("long"), lambda t, v: t + v))
+    return R.top_k(every.withColumn("total", total), ["log"], k, F.desc("at"), F.desc("run_id"))
+
+
+def against_published(sums: DataFrame, published: DataFrame, keys: list[str], tolerance: float = 0.05) -> DataFrame:
+    """Our sums (keys, value) beside published figures (keys, figure): the relative difference, and whether it is within the tolerance; a figure without sums is not."""
+    j = published.join(sums.select(*keys, "value"), keys, "left")
+    off = F.when(F.col("figure") != 0, F.abs(F.col("value") - F.col("figure")) / F.abs("figure"))
+    return j.withColumn("difference", off).withColumn("within", F.coalesce(off < tolerance, F.lit(False)))
+
+
 def place_among(value: Column, edges: list[float]) -> Column:
     """How many of the ascending edges are at most the value, by a tree of comparisons."""
     if not edges:
@@ -187,5 +221,11 @@ def lookups_present(lookups: dict[str, DataFrame]) -> list[str]:
     return [n for n, df in lookups.items() if df.isEmpty()]
 
 
+def require_lookups(lookups: dict[str, DataFrame]) -> None:
+    """Fails where a lookup is empty, as joins with it would silently lose every row."""
+    if missing := lookups_present(lookups):
+        raise ValueError(f"empty lookups: {', '.join(sorted(missing))}")
+
+
 def notification_mark(log: DataFrame, kind: str, fallback: Column) -> DataFrame:
     return log.agg(F.coalesce(F.max(F.when(F.col("result") == kind, F.col("checked_at"))), fallback).alias("mark"))

@@ -61,6 +61,13 @@ def summary_sheet(yoy_rows: DataFrame, shapes: DataFrame, badges: DataFrame, gro
     return groups.select("group_name", F.coalesce("display_name", "group_name").alias("name")).join(wide, "group_name", "left").join(shape, "group_name", "left").join(badges.select("group_name", "badge"), "group_name", "left")
 
 
+def with_ranks(sheet: DataFrame, movers: DataFrame, scope: str = "eu_27") -> DataFrame:
+    """A summary sheet with the rank of each group among the movers of a scope, imports and exports apart; null outside them."""
+    rank = lambda flow, name: F.max(F.when((F.col("scope") == scope) & (F.col("flow") == flow), F.col("rank"))).alias(name)
+    ranks = movers.groupBy("group_name").agg(rank(1, "top_movers_rank_imp"), rank(2, "top_movers_rank_exp"))
+    return sheet.join(ranks, "group_name", "left")
+
+
 def latest_sheet(rows: DataFrame, keys: list[str], columns: list[str]) -> DataFrame:
     """The latest finding of each key, flattened to the columns of a sheet."""
     return R.latest_by(rows, keys, F.desc("month_idx")).select(*keys, "month_idx", *columns)
@@ -160,6 +167,36 @@ def mover_sentence(rows: DataFrame) -> DataFrame:
     return rows.withColumn("sentence", text)
 
 
+def significant_shifts(pairs: DataFrame, material: float = 0.05) -> DataFrame:
+    """Revision pairs (old_value, new_value) that moved by more than `material` or turned, with their rank: turned ones first, then the largest moves."""
+    turned = F.signum("old_value") != F.signum("new_value")
+    moved = F.abs(F.col("new_value") - F.col("old_value"))
+    return pairs.withColumn("turned", turned).where(turned | (moved > material)).withColumn("moved", moved)
+
+
+def cycle_digest(regime: DataFrame, shifts: DataFrame, order: list[str], lead: int = 3) -> DataFrame:
+    """One row with the sentence of a cycle's regime (`ledger.revision_regime`); for movement with counts and the `lead` sharpest shifts.
+
+    shifts: `significant_shifts` with group_name, scope and flow; `order` breaks ties.
+    """
+    first = shifts.orderBy(F.desc("turned"), F.desc("moved"), *order).limit(lead)
+    phrase = F.format_string("%s (%s %s) %+.1f%% to %+.1f%%", "group_name", "scope", F.when(F.col("flow") == 1, "imports").otherwise("exports"), F.col("old_value") * 100, F.col("new_value") * 100)
+    # `lead` rows at most
+    place = F.struct((~F.col("turned")).alias("t"), (-F.col("moved")).alias("m"), *order, phrase.alias("phrase"))
+    sharpest = first.agg(F.array_join(F.transform(F.array_sort(F.collect_list(place)), lambda x: x["phrase"]), "; ").alias("sharpest"))
+    size = shifts.agg(F.count("*").alias("n_shifts"), F.count_if("turned").alias("n_turned"))
+    one = regime.join(F.broadcast(size)).join(F.broadcast(sharpest))  # a row each
+    moved = F.concat_ws(
+        " ", F.when(F.col("n_shifts") > 0, F.format_string("%d findings moved by more than five points, %d of them to the other side; sharpest: %s.", "n_shifts", "n_turned", "sharpest")),
+        F.when(F.col("n_new") > 0, F.format_string("%d findings are new.", "n_new")),
+    )
+    text = (
+        F.when(F.col("regime") == "first_export", "First export: all findings are a baseline.").when(F.col("regime") == "no_change", "No new findings and no material shifts.")
+        .when(F.col("regime") == "method_bump", F.format_string("A new method stamped %d findings again without moving them.", "n_pairs")).otherwise(moved)
+    )
+    return one.select("regime", "n_shifts", "n_turned", "n_new", text.alias("digest"))
+
+
 def arithmetic_line(current: str = "value_current", prior: str = "value_prior") -> Column:
     """The workings of a YoY as text."""
     c, p = F.format_number(current, 0), F.format_number(prior, 0)

@@ -86,10 +86,11 @@ def s7(spark, sf):
     return readers.read_fx_json(spark, path, "CNY").select("rate_idx", F.round("rate", 9).alias("rate"))
 
 
-@query("s8_q21_dimensions", "SELECT n_nationkey, n_name, r_name, '' AS missing FROM nation JOIN region ON n_regionkey = r_regionkey")
+@query("s8_q21_dimensions", "SELECT n_nationkey, n_name, r_name, 'no_region' AS missing FROM nation JOIN region ON n_regionkey = r_regionkey")
 def s8(spark, sf):
     nation, region = (readers.read_lookup(spark, sf, n) for n in ("nation", "region"))
-    missing = ",".join(Q.lookups_present({"nation": nation, "region": region}))
+    Q.require_lookups({"nation": nation, "region": region})
+    missing = ",".join(Q.lookups_present({"nation": nation, "region": region, "no_region": region.where("r_regionkey < 0")}))
     return nation.join(region, F.col("n_regionkey") == F.col("r_regionkey")).select("n_nationkey", "n_name", "r_name", F.lit(missing).alias("missing"))
 
 
