@@ -39,7 +39,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from harborline.llm.common import shared_dir, small_or_not, table
+from harborline.llm.common import discard, shared_dir, small_or_not, table
 from harborline.llm.substring_dedup import spread, starts_of_runs
 from harborline.llm.succinct import arrays_of, write_arrays
 from harborline.llm.textblocks import hashes_of, lowered, mix, pieces
@@ -86,6 +86,7 @@ def lang_key(lang: str) -> np.uint64:
 
 
 SHARD = "shard long, lang string, n_words long, keys binary, counts binary, sizes binary, spelled binary, tokens binary"
+KEPT = "shard long, lang string, n_words long, keys binary, sizes binary, spelled binary"
 
 
 def _shards(s: Settings):
@@ -98,7 +99,7 @@ def _shards(s: Settings):
         begin = np.cumsum(sizes) - sizes
         tokens = np.zeros(len(h) + int(new.sum()) + 1, np.int32)
         tokens[np.arange(len(h)) + np.cumsum(new)] = place + 1
-        cols = [number, lang, len(h), *(x.tobytes() for x in (mix(key ^ lang_key(lang)), counts.astype(np.int64), sizes[one].astype(np.int32), spelled[spread(begin[one], sizes[one])], tokens))]
+        cols = [number, lang, len(h), *(x.tobytes() for x in (mix(key ^ lang_key(lang)), counts.astype(np.int64), sizes[one].astype(np.int32), spelled[spread(begin[one], sizes[one])])), packed(tokens)]
         return pa.record_batch([pa.array([c]) for c in cols], names=[x.split()[0] for x in SHARD.split(", ")])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -249,6 +250,19 @@ def in_order(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return order, h[order]
 
 
+def packed(x: np.ndarray) -> bytes:
+    """Whole numbers by planes of bytes of equal weight, so that the planes that are mostly zeros compress away; empty high planes are left out."""
+    planes = np.ascontiguousarray(x.astype(U64)).view(np.uint8).reshape(-1, 8)
+    used = 1 + max((k for k in range(8) if planes[:, k].any()), default=0)
+    return bytes([used]) + planes[:, :used].T.tobytes()
+
+
+def unpacked(x: bytes) -> np.ndarray:
+    out = np.zeros(((len(x) - 1) // x[0], 8), np.uint8)
+    out[:, : x[0]] = np.frombuffer(x, np.uint8, offset=1).reshape(x[0], -1).T
+    return out.view(U64).ravel()
+
+
 def by_part(h: np.ndarray, bits: int) -> Iterator[tuple[int, int, int]]:
     """(part, first, last) of sorted hashes by their first bits."""
     part = (h >> U64(64 - bits)).astype(np.int32) if bits else np.zeros(len(h), np.int32)
@@ -260,12 +274,11 @@ def by_part(h: np.ndarray, bits: int) -> Iterator[tuple[int, int, int]]:
 def _guesses(shard: int, keys: np.ndarray, n: np.ndarray, bits: int, wide: int, least: int) -> Iterator[pa.RecordBatch]:
     """The first `wide` bits of each phrase's hash, as steps from one to the next, and its count (no more than `least`)."""
     order, h = in_order(keys)
-    n = np.minimum(n[order], least).astype(np.uint16)
+    n = np.minimum(n[order], least)
     short = h >> U64(64 - wide)
     for part, a, z in by_part(h, bits):
         step = np.diff(short[a:z], prepend=U64(part) << U64(wide - bits))
-        step = step.astype(next(d for d in (np.uint16, np.uint32, np.uint64) if int(step.max()) <= np.iinfo(d).max))
-        yield pa.record_batch([pa.array([part], pa.int32()), pa.array([shard]), pa.array([step.tobytes()]), pa.array([n[a:z].tobytes()])], names=["part", "shard", "step", "n"])
+        yield pa.record_batch([pa.array([part], pa.int32()), pa.array([shard]), pa.array([packed(step)]), pa.array([packed(n[a:z])])], names=["part", "shard", "step", "n"])
 
 
 def _guessed(bits: int, wide: int, least: int):
@@ -273,10 +286,9 @@ def _guessed(bits: int, wide: int, least: int):
 
     def run(t: pa.Table) -> pa.Table:
         first = U64(t.column("part")[0].as_py()) << U64(wide - bits)
-        n = [np.frombuffer(x, np.uint16) for x in t.column("n").to_pylist()]
-        steps = t.column("step").to_pylist()
-        h = np.concatenate([np.cumsum(np.frombuffer(x, {2: np.uint16, 4: np.uint32, 8: np.uint64}[len(x) // len(k)]), dtype=U64) + first for x, k in zip(steps, n, strict=True)])
-        size, n = [len(k) for k in n], np.concatenate(n).astype(np.int64)
+        n = [unpacked(x).astype(np.int64) for x in t.column("n").to_pylist()]
+        h = np.concatenate([np.cumsum(unpacked(x), dtype=U64) + first for x in t.column("step").to_pylist()])
+        size, n = [len(k) for k in n], np.concatenate(n)
         order = np.argsort(h)
         at = starts_of_runs(h[order])
         good = np.empty(len(h), bool)
@@ -294,16 +306,18 @@ def _sure(shard: int, keys: np.ndarray, n: np.ndarray, bits: int) -> Iterator[pa
     order, h = in_order(keys)
     n = n[order].astype(np.int64)
     for part, a, z in by_part(h, bits):
-        yield pa.record_batch([pa.array([part], pa.int32()), pa.array([shard]), pa.array([h[a:z].tobytes()]), pa.array([n[a:z].tobytes()])], names=["part", "shard", "hash", "n"])
+        step = np.diff(h[a:z], prepend=U64(part) << U64(64 - bits) if bits else U64(0))
+        yield pa.record_batch([pa.array([part], pa.int32()), pa.array([shard]), pa.array([packed(step)]), pa.array([packed(n[a:z])])], names=["part", "shard", "hash", "n"])
 
 
-def _summed(least: int):
+def _summed(bits: int, least: int):
     """For each message, which of its phrases have `least` occurrences in all shards, how many, and which of them it is to tell."""
 
     def run(t: pa.Table) -> pa.Table:
-        h = [np.frombuffer(x, U64) for x in t.column("hash").to_pylist()]
+        first = U64(t.column("part")[0].as_py()) << U64(64 - bits)
+        h = [np.cumsum(unpacked(x), dtype=U64) + first for x in t.column("hash").to_pylist()]
         size, h = [len(x) for x in h], np.concatenate(h)
-        n = np.concatenate([np.frombuffer(x, np.int64) for x in t.column("n").to_pylist()])
+        n = np.concatenate([unpacked(x) for x in t.column("n").to_pylist()]).astype(np.int64)
         order = np.argsort(h, kind="stable")
         at = starts_of_runs(h[order])
         sums, one = np.empty(len(h), np.int64), np.zeros(len(h), bool)
@@ -313,7 +327,7 @@ def _summed(least: int):
         for k in size:
             g = good[a : a + k]
             mine = one[a : a + k][g]
-            out.append((np.packbits(g).tobytes(), np.packbits(mine).tobytes(), sums[a : a + k][g].tobytes()))
+            out.append((np.packbits(g).tobytes(), np.packbits(mine).tobytes(), packed(sums[a : a + k][g])))
             a += k
         return pa.table({"shard": t.column("shard"), "part": t.column("part"), **{c: pa.array([r[i] for r in out], pa.binary()) for i, c in enumerate(("bits", "mine", "n"))}})
 
@@ -327,7 +341,8 @@ def _write_answers(base: str, kind: str):
         shard = t.column("shard")[0].as_py()
         rows = sorted(t.to_pylist(), key=lambda r: r["part"])
         packed = {c: [np.frombuffer(r[c], np.uint8) for r in rows] for c in ("bits", "mine")}
-        arrays = {"part": np.array([r["part"] for r in rows], np.int32), "n": np.frombuffer(b"".join(r["n"] for r in rows), np.int64)}
+        arrays = {"part": np.array([r["part"] for r in rows], np.int32), "n": np.frombuffer(pa.compress(b"".join(unpacked(r["n"]).tobytes() for r in rows if r["n"]), "zstd", asbytes=True), np.uint8)}
+        arrays["n_size"] = np.array([sum(len(unpacked(r["n"])) for r in rows if r["n"])])
         for c, x in packed.items():
             arrays |= {c: np.concatenate(x), f"{c}_size": np.array([len(k) for k in x], np.int64)}
         write_arrays(f"{base}/{kind}-{shard}", arrays)
@@ -364,7 +379,10 @@ def _survivors(base: str, words: int, shard: int, keys: np.ndarray, bits: int) -
     answer = arrays_of(f"{base}/summed-{words}-{shard}")
     order, h = in_order(keys[maybe])
     good, mine = _picked(answer, h, bits)
-    return maybe[order[good]], mine, answer["n"] if answer is not None else np.zeros(0, np.int64)
+    if answer is None:
+        return maybe[order[good]], mine, np.zeros(0, np.int64)
+    n = np.frombuffer(pa.decompress(answer["n"].tobytes(), 8 * int(answer["n_size"][0]), "zstd", asbytes=True), np.int64)
+    return maybe[order[good]], mine, n
 
 
 INDEX = "shard long, lang string, keys binary, counts binary, forward binary, reverse binary"
@@ -382,10 +400,10 @@ def _indexed(base: str, bits: int):
                 at, n = at[order], n[order]
                 ids = np.zeros(len(keys) + 1, np.int32)
                 ids[1 + at] = np.arange(1, len(at) + 1)
-                text = ids[np.frombuffer(r["tokens"], np.int32)]
+                text = ids[unpacked(r["tokens"]).astype(np.int64)]
                 text = np.append(text[(text > 0) | np.append(True, text[:-1] > 0)], np.int32(0))
                 forward, reverse = Index.of(text, len(at) + 1)
-                cols = [r["shard"], r["lang"], *(x.tobytes() for x in (keys[at], n, forward, reverse))]
+                cols = [r["shard"], r["lang"], keys[at].tobytes(), n.tobytes(), packed(forward), packed(reverse)]
                 yield pa.record_batch([pa.array([c]) for c in cols], names=["shard", "lang", "keys", "counts", "forward", "reverse"])
 
     return run
@@ -397,7 +415,7 @@ class Shard:
     def __init__(self, base: str, row: dict, bits: dict[int, int]):
         self.base, self.number, self.bits = base, row["shard"], bits
         self.keys = np.frombuffer(row["keys"], U64)
-        self.index = Index(np.frombuffer(row["forward"], np.int32), np.frombuffer(row["reverse"], np.int32), len(self.keys) + 1)
+        self.index = Index(unpacked(row["forward"]).astype(np.int32), unpacked(row["reverse"]).astype(np.int32), len(self.keys) + 1)
         self.kept: dict[int, tuple[Phrases, np.ndarray, np.ndarray]] = {}
 
     def hashes(self, ids: np.ndarray) -> np.ndarray:
@@ -546,7 +564,7 @@ def counted(docs: DataFrame, base: str, s: Settings) -> tuple[DataFrame, DataFra
                         yield from _sure(r["shard"], keys[at], counts[at], bits[words])
 
         answered(rows.mapInArrow(guesses, GUESS).groupBy("part").applyInArrow(_guessed(bits[words], wide, s.least), ANSWER), f"guessed-{words}")
-        answered(rows.mapInArrow(exact, SURE).groupBy("part").applyInArrow(_summed(s.least), ANSWER), f"summed-{words}")
+        answered(rows.mapInArrow(exact, SURE).groupBy("part").applyInArrow(_summed(bits[words], s.least), ANSWER), f"summed-{words}")
 
     def of_index(words: int):
         def phrases(r: dict) -> tuple[np.ndarray, np.ndarray]:
@@ -561,6 +579,10 @@ def counted(docs: DataFrame, base: str, s: Settings) -> tuple[DataFrame, DataFra
     round_of(1, shards.select("shard", "keys", "counts"), lambda r: (np.frombuffer(r["keys"], U64)[:, None], np.frombuffer(r["counts"], np.int64)))
     shards.select("shard", "lang", "keys", "tokens").mapInArrow(_indexed(base, bits[1]), INDEX).write.option("compression", "zstd").parquet(f"{base}/index")
     index = spark.read.schema(INDEX).parquet(f"{base}/index")
+    # the sequences of words are in the index now; what else is needed of the shards is kept without them
+    shards.select(*(x.split()[0] for x in KEPT.split(", "))).write.option("compression", "zstd").parquet(f"{base}/kept")
+    discard(spark, f"{base}/shards")
+    shards = spark.read.schema(KEPT).parquet(f"{base}/kept")
     for words in range(2, DEPTH + 1):
         round_of(words, index.select("shard", "keys", "forward", "reverse"), of_index(words))
     index.mapInArrow(_told(base, bits, s.inside), FOUND).write.parquet(f"{base}/found")

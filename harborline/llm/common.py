@@ -41,6 +41,12 @@ def kept(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def discard(spark: SparkSession, path: str) -> None:
+    """Deletes a table of our own in the shared folder, once nothing reads it any more."""
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
+
+
 def small_or_not(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
     """df with a broadcast hint if a count proves it small; else as it is, for a shuffled join."""
     return F.broadcast(df) if df.count() <= rows else df
