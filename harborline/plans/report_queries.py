@@ -126,18 +126,32 @@ BLOCS = {"monthly": MONTHLY, "kept": KEPT, "chunks": CHUNKS, "ytd_eur": YTD_EUR,
 
 def bloc_yoy(spark, sf, where: str):
     """Values in EUR of labels of some kind; January and February of every third year come as one chunk."""
-    t = frames(spark, sf, "exports", "exports_ytd", "fx_rates", "aliases")
-    v = R.resolve_country(monthly_eur(t), t["aliases"]).where(where).select("label", "flow", "month_idx", "value")
+    monthly, ytd, aliases = monthly_eur(spark, sf), ytd_eur(spark, sf), frame(spark, sf, "aliases")
+    v = R.resolve_country(monthly, aliases).where(where).select("label", "flow", "month_idx", "value")
     early = (F.floor(F.col("month_idx") / 12) % 3 == 0) & (F.col("month_idx") % 12 < 2)
     chunks = v.where(early).groupBy("label", "flow", (F.col("month_idx") - F.col("month_idx") % 12).alias("jan_idx")).agg(F.sum("value").alias("value"), F.count("*").alias("n")).where("n = 2").drop("n")
-    ytd = A.to_eur(t["exports_ytd"], t["fx_rates"]).where("eur is not null").select("label", "flow", "month_idx", F.col("eur").alias("ytd"))
     return A.partner_yoy(v.where(~early), chunks, ["label", "flow"], ytd)
 
 
-def monthly_eur(t):
-    """label, flow, month_idx, value in EUR of the pinned edition's latest versions."""
-    e = R.latest_by(t["exports"].where("currency = 'CNY'"), ["label", "flow", "month_idx"], F.desc("version_seen"))
-    return A.to_eur(e, t["fx_rates"]).where("eur is not null").select("label", "flow", "month_idx", F.col("eur").alias("value"))
+def monthly_eur(spark, sf):
+    """label, flow, month_idx, value in EUR of the pinned edition's latest versions: ranked and rated once for all queries."""
+
+    def rated():
+        t = frames(spark, sf, "exports", "fx_rates")
+        e = R.latest_by(t["exports"].where("currency = 'CNY'"), ["label", "flow", "month_idx"], F.desc("version_seen"))
+        return A.to_eur(e, t["fx_rates"]).where("eur is not null").select("label", "flow", "month_idx", F.col("eur").alias("value"))
+
+    return sinks.once(spark, f"rated {sf}", rated)
+
+
+def ytd_eur(spark, sf):
+    """label, flow, month_idx, ytd in EUR of the published cumulative rows."""
+
+    def rated():
+        t = frames(spark, sf, "exports_ytd", "fx_rates")
+        return A.to_eur(t["exports_ytd"], t["fx_rates"]).where("eur is not null").select("label", "flow", "month_idx", F.col("eur").alias("ytd"))
+
+    return sinks.once(spark, f"rated ytd {sf}", rated)
 
 
 def bloc_sheet(rows):
@@ -173,7 +187,7 @@ def w24(spark, sf):
 
 def annual(spark, sf):
     """The year's value of each label and flow, read from its cumulative series."""
-    v = monthly_eur(frames(spark, sf, "exports", "fx_rates"))
+    v = monthly_eur(spark, sf)
     w = Window.partitionBy("label", "flow", F.floor(F.col("month_idx") / 12)).orderBy("month_idx")
     return S.annual_from_ytd(v.withColumn("ytd", F.sum("value").over(w)), ["label", "flow"], "ytd")
 

@@ -206,8 +206,7 @@ def r32(spark, sf):
 
 @query("r33_finding_months", blocs("SELECT s.label, s.flow, s.month_idx AS anchor, CAST(COUNT(m.month_idx) AS BIGINT) AS n_months FROM single s JOIN (SELECT * FROM monthly WHERE value IS NOT NULL) m ON m.label = s.label AND m.flow = s.flow AND m.month_idx BETWEEN s.month_idx - 23 AND s.month_idx GROUP BY 1, 2, 3"))
 def r33(spark, sf):
-    t = frames(spark, sf, "exports", "fx_rates")
-    m = C.finding_months(Q.bloc_yoy(spark, sf, BILATERAL), ["label", "flow"], Q.monthly_eur(t), t["fx_rates"])
+    m = C.finding_months(Q.bloc_yoy(spark, sf, BILATERAL), ["label", "flow"], Q.monthly_eur(spark, sf), frame(spark, sf, "fx_rates"))
     return m.groupBy("label", "flow", "anchor").agg(F.count("*").alias("n_months"))
 
 
