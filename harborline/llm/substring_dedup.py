@@ -12,7 +12,8 @@ blocks in the shared folder:
    (`coded`): its Burrows-Wheeler transform and the
    array of common prefixes grow by one symbol of every string a round (`columns`), from the last symbol to the
    first, in files that are read and rewritten in sequence.  Rows with common prefixes of `length` or more
-   are one window, and the smallest id of such a run is its first document.  Blocks get back, for each
+   are one window, and the smallest id of such a run is its first document.  Equal segments are one string with the
+   smallest id before; a string whose anchor no other has shares no window and stays out.  Blocks get back, for each
    segment, the first document of its windows.
 3. Blocks mark windows whose first document has a smaller id, and join their bytes.
 
