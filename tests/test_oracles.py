@@ -11,6 +11,7 @@ SF = "/root/testdata/sf0.001"
 CHOSEN = [
     "a1_monthly_totals", "b3_group_yoy", "w8_ytd_computed", "b7_trade_balance", "b1_mirror_gap", "b6a_bloc_yoy", "b9_group_share", "l5_version_observations", "q1_q2_coverage_gaps", "q11_source_status",
     "a3_to_observations_uk", "b5_shapes", "b8_allgoods_share", "b13_cross_check", "b12_partner_balance", "s4_release_pages", "s17_page_errors", "q9_publication", "r29_bilateral_section", "r28_deficit_by_scope",
+    "s9_clustered_layout", "q3_duplicate_raw_rows", "q11_sources_rollup", "q20_run_histories", "q4_unexpected_codes", "a5_a6_allgoods", "l3_merge_findings", "p1_stream_monthly_totals",
 ]
 
 
