@@ -8,9 +8,8 @@ extensions to one side with their counts and both their intervals: to the left t
 the right through that of the reverse (`extended`).
 
 Rounds: words, then pairs (left extensions of words), triples (right extensions of pairs) and quadruples (left extensions of triples).
-A round sums the shards' counts in two passes.  The first deals out the first bits of each phrase's hash with its count, a few
-bytes a phrase: a phrase whose short hash has under `least` in all shards is no candidate.  The second sums whole hashes of the rest.  Answers are a bit
-a phrase, as a shard names its phrases in one order whenever it is asked.  Only what survived is extended in the next round, and only to phrases
+A round deals out the hashes of a shard's phrases, as steps from one to the next in byte planes, with their counts; ranges sum them.  Answers are
+a bit a phrase, as a shard names its phrases in one order whenever it is asked, and the counts of those that survived.  Only what survived is extended in the next round, and only to phrases
 whose other part survived too.  Each shard learns its survivors' counts, so one of them tells a phrase with the counts of its parts, its best cut
 and the phrases that it drops.  A phrase's
 longer candidates by one word are its extensions, so these sums also tell which phrases to drop: one that lies in a
@@ -18,7 +17,7 @@ longer candidate with most of its count lies in an extension with at least that
 
 Scale: shards hold `shard_words` words; shards and indexes are tables in the shared folder, and a shard's answers are files there.  A frequent
 word or phrase is one entry a shard in a round.  A range has about `range_rows` of these rows.  Scores are exact.
-Words are told apart by 64-bit hashes of language and word, phrases by 64-bit hashes of these: two of the n that pass a round's first pass are one
+Words are told apart by 64-bit hashes of language and word, phrases by 64-bit hashes of these: two of the n of a round are one
 with a chance of n**2 / 2**65.
 
 Edge cases: null texts are empty, a null lang is `und`, also for rows that say so; repeated rows count again; a
@@ -224,8 +223,7 @@ def grown(index: Index, p: Phrases, survived: np.ndarray, last: bool = False) ->
 
 # ---- rounds ----
 
-GUESS = "part int, shard long, step binary, n binary"
-SURE = "part int, shard long, hash binary, n binary"
+DEALT = "part int, shard long, hash binary, n binary"
 ANSWER = "shard long, part int, bits binary, mine binary, n binary"
 
 
@@ -271,37 +269,7 @@ def by_part(h: np.ndarray, bits: int) -> Iterator[tuple[int, int, int]]:
         yield int(part[a]), a, z
 
 
-def _guesses(shard: int, keys: np.ndarray, n: np.ndarray, bits: int, wide: int, least: int) -> Iterator[pa.RecordBatch]:
-    """The first `wide` bits of each phrase's hash, as steps from one to the next, and its count (no more than `least`)."""
-    order, h = in_order(keys)
-    n = np.minimum(n[order], least)
-    short = h >> U64(64 - wide)
-    for part, a, z in by_part(h, bits):
-        step = np.diff(short[a:z], prepend=U64(part) << U64(wide - bits))
-        yield pa.record_batch([pa.array([part], pa.int32()), pa.array([shard]), pa.array([packed(step)]), pa.array([packed(n[a:z])])], names=["part", "shard", "step", "n"])
-
-
-def _guessed(bits: int, wide: int, least: int):
-    """For each message, which of its phrases may have `least` occurrences: those whose short hash has."""
-
-    def run(t: pa.Table) -> pa.Table:
-        first = U64(t.column("part")[0].as_py()) << U64(wide - bits)
-        n = [unpacked(x).astype(np.int64) for x in t.column("n").to_pylist()]
-        h = np.concatenate([np.cumsum(unpacked(x), dtype=U64) + first for x in t.column("step").to_pylist()])
-        size, n = [len(k) for k in n], np.concatenate(n)
-        order = np.argsort(h)
-        at = starts_of_runs(h[order])
-        good = np.empty(len(h), bool)
-        good[order] = np.repeat(np.add.reduceat(n[order], at) >= least, np.diff(np.append(at, len(h))))
-        ends = np.cumsum(size)
-        bits_of = [np.packbits(good[z - k : z]).tobytes() for k, z in zip(size, ends.tolist(), strict=True)]
-        none = pa.array([b""] * len(size), pa.binary())
-        return pa.table({"shard": t.column("shard"), "part": t.column("part"), "bits": pa.array(bits_of, pa.binary()), "mine": none, "n": none})
-
-    return run
-
-
-def _sure(shard: int, keys: np.ndarray, n: np.ndarray, bits: int) -> Iterator[pa.RecordBatch]:
+def _messages(shard: int, keys: np.ndarray, n: np.ndarray, bits: int) -> Iterator[pa.RecordBatch]:
     """Whole hashes and counts."""
     order, h = in_order(keys)
     n = n[order].astype(np.int64)
@@ -367,22 +335,15 @@ def _picked(answer: dict[str, np.ndarray] | None, h: np.ndarray, bits: int) -> t
     return good, np.concatenate(mine) if mine else np.zeros(0, bool)
 
 
-def _narrowed(base: str, words: int, shard: int, keys: np.ndarray, bits: int) -> np.ndarray:
-    """Places of the phrases that passed the first pass of a round, in the order of hashes."""
-    order, h = in_order(keys)
-    return order[_picked(arrays_of(f"{base}/guessed-{words}-{shard}"), h, bits)[0]]
-
-
 def _survivors(base: str, words: int, shard: int, keys: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Places of the phrases of a round that survived, which of them this shard is to tell, and their counts in all shards."""
-    maybe = _narrowed(base, words, shard, keys, bits)
     answer = arrays_of(f"{base}/summed-{words}-{shard}")
-    order, h = in_order(keys[maybe])
+    order, h = in_order(keys)
     good, mine = _picked(answer, h, bits)
     if answer is None:
-        return maybe[order[good]], mine, np.zeros(0, np.int64)
+        return order[good], mine, np.zeros(0, np.int64)
     n = np.frombuffer(pa.decompress(answer["n"].tobytes(), 8 * int(answer["n_size"][0]), "zstd", asbytes=True), np.int64)
-    return maybe[order[good]], mine, n
+    return order[good], mine, n
 
 
 INDEX = "shard long, lang string, keys binary, counts binary, forward binary, reverse binary"
@@ -540,31 +501,19 @@ def counted(docs: DataFrame, base: str, s: Settings) -> tuple[DataFrame, DataFra
     used.mapInArrow(_shards(s), SHARD).write.option("compression", "zstd").parquet(f"{base}/shards")
     shards = spark.read.schema(SHARD).parquet(f"{base}/shards")
     n = shards.agg(F.coalesce(F.sum("n_words"), F.lit(0))).first()[0]
-    # ranges and the width of short hashes by the number of rows that a round may have
+    # ranges by the number of rows that a round may have
     bits = {k: max(3, int(np.ceil(np.log2(max(1, n / (8, 2, 16, 32)[k - 1] / s.range_rows))))) for k in range(1, DEPTH + 1)}
-    wide = min(64, max(16, int(np.ceil(np.log2(max(2, n)))) + 6))
-
-    def answered(answers: DataFrame, kind: str) -> None:
-        answers.groupBy("shard").applyInArrow(_write_answers(base, kind), "n long").agg(F.sum("n")).first()
 
     def round_of(words: int, rows: DataFrame, phrases) -> None:
-        def guesses(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def sent(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for b in batches:
                 for r in each_row(b):
                     keys, counts = phrases(r)
                     if len(counts):
-                        yield from _guesses(r["shard"], keys, counts, bits[words], wide, s.least)
-
-        def exact(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for b in batches:
-                for r in each_row(b):
-                    keys, counts = phrases(r)
-                    at = _narrowed(base, words, r["shard"], keys, bits[words])
-                    if len(at):
-                        yield from _sure(r["shard"], keys[at], counts[at], bits[words])
+                        yield from _messages(r["shard"], keys, counts, bits[words])
 
-        answered(rows.mapInArrow(guesses, GUESS).groupBy("part").applyInArrow(_guessed(bits[words], wide, s.least), ANSWER), f"guessed-{words}")
-        answered(rows.mapInArrow(exact, SURE).groupBy("part").applyInArrow(_summed(bits[words], s.least), ANSWER), f"summed-{words}")
+        answers = rows.mapInArrow(sent, DEALT).groupBy("part").applyInArrow(_summed(bits[words], s.least), ANSWER)
+        answers.groupBy("shard").applyInArrow(_write_answers(base, f"summed-{words}"), "n long").agg(F.sum("n")).first()
 
     def of_index(words: int):
         def phrases(r: dict) -> tuple[np.ndarray, np.ndarray]:
