@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 from harborline.llm.common import table
 
 #: The rules of the query (verdict, host and path).
-RULES = [("block", "com/en/"), ("allow", "example.com/en/7"), ("block", "net/de/"), ("block", "example.net/de/8"), ("block", "org/es/")]
+RULES = [("block", "com/en/"), ("allow", "example.com/en/7"), ("allow", "net/de/"), ("block", "example.net/de/8"), ("block", "org/es/")]
 MOST_LABELLED = 200
 #: The labelled table (1: block).
 LABELLED = [
