@@ -6,11 +6,13 @@ Each entry of SQL runs unchanged in Spark and in DuckDB, so the same text feeds
 
 from __future__ import annotations
 
+import hashlib
 import re
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from harborline.sources.sinks import kept
+from harborline.sources import sinks
 
 BASE = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events")
 ENVELOPE = ("N02", "N07", "N12", "N17", "N22")
@@ -111,18 +113,54 @@ def needs(name: str) -> list[str]:
     return list(dict.fromkeys(re.findall(r"\{(\w+)\}", SQL[name])))
 
 
-#: Derived tables of a row per country, month and flow: written once for all that a query derives from them.
-WRITTEN = ("exports_raw",)
+#: Spark joins the same tables in another order: suppliers first, which may cut lineitem before it is shuffled, and orders with their customers
+#: before either meets lineitem, so that lineitem is shuffled by order and by part only.
+BUYERS = "(SELECT b.o_orderkey, b.o_orderdate, d.c_nationkey FROM {orders} b JOIN {customer} d ON b.o_custkey = d.c_custkey)"
+JOINED = f"FROM {{lineitem}} l JOIN {{supplier}} s ON l.l_suppkey = s.s_suppkey JOIN {BUYERS} {{}} ON l.l_orderkey = {{}}.o_orderkey"
+
+
+def _from(name: str, clause: str) -> str:
+    head, rest = SQL[name].split("FROM {lineitem}", 1)
+    return head + clause + (" WHERE " + rest.split("WHERE ", 1)[1] if "WHERE " in rest else "")
+
+
+#: The text of a raw row's id is made where it is asked for; the written facts have the keys that it names.
+RAW_ID = re.search(r"concat\(CAST\(l\.l_orderkey.*? AS raw_id", SQL["facts"])[0]
+RAW_KEYS = "l.l_orderkey, l.l_linenumber, l.l_partkey, l.l_suppkey"
+
+SPARK_SQL = {
+    "facts": _from("facts", JOINED.replace("{}", "c") + " JOIN {part} p ON l.l_partkey = p.p_partkey").replace(RAW_ID, RAW_KEYS),
+    "exports_raw": _from("exports_raw", JOINED.replace("{}", "o") + " JOIN {nation} n ON o.c_nationkey = n.n_nationkey JOIN {region} r ON n.n_regionkey = r.r_regionkey"),
+}
+
+#: Derived tables that are joined from the base tables: written once per application for all that is derived from them.
+WRITTEN = ("facts", "exports_raw")
+
+
+def stamp(spark: SparkSession, sf_dir: str, names: list[str]) -> str:
+    """Names the state of base tables by the sizes and times of their files, so that a written table is not taken for one of other input."""
+    seen = []
+    for n in names:
+        path = spark._jvm.org.apache.hadoop.fs.Path(f"{sf_dir}/{n}.parquet")
+        seen += sorted((f.getPath().getName(), f.getLen(), f.getModificationTime()) for f in path.getFileSystem(spark._jsc.hadoopConfiguration()).listStatus(path))
+    return hashlib.sha1(repr(seen).encode()).hexdigest()
 
 
 def frames(spark: SparkSession, sf_dir: str, *names: str) -> dict[str, DataFrame]:
-    """Base or derived tables by name; what several of them need is planned, and where small written, once."""
+    """Base or derived tables by name; what several of them need is planned once, and the joins with lineitem are written once."""
     made: dict[str, DataFrame] = {}
 
     def get(name: str) -> DataFrame:
         if name not in made:
-            df = spark.read.parquet(f"{sf_dir}/{name}.parquet") if name in BASE else spark.sql(SQL[name], **{n: get(n) for n in needs(name)})
-            made[name] = kept(df) if name in WRITTEN else df
+            if name in BASE:
+                made[name] = spark.read.parquet(f"{sf_dir}/{name}.parquet")
+            elif name in WRITTEN:
+                key = f"{name} {sf_dir} {stamp(spark, sf_dir, needs(name))}"
+                df = sinks.once(spark, key, lambda: spark.sql(SPARK_SQL[name], **{n: get(n) for n in needs(name)}))
+                own = [c for c in df.columns if not c.startswith("l_")]
+                made[name] = df if len(own) == len(df.columns) else df.selectExpr(*own, RAW_ID.replace("l.", ""))
+            else:
+                made[name] = spark.sql(SQL[name], **{n: get(n) for n in needs(name)})
         return made[name]
 
     return {n: get(n) for n in names}
