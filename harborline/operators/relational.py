@@ -18,11 +18,18 @@ def group_patterns_alone(patterns: DataFrame) -> DataFrame:
 def assign_groups(facts: DataFrame, patterns: DataFrame, code: str = "product_nc") -> DataFrame:
     """One row per fact and matching group; groups overlap, so never sum across groups.
 
-    An equi-join on the prefixes of each 8-digit code with the dimension of patterns, which Spark broadcasts by its own size
-    check; callers sum facts to codes first.
+    An equi-join with the dimension of patterns, which Spark broadcasts by its own size check, on those prefixes of each 8-digit code
+    that are as long as some pattern.
     """
-    heads = facts.where(F.col(code).rlike("^[0-9]{8}$")).withColumn("prefix", F.explode(F.array(*(F.substring(code, 1, n) for n in range(1, 9)))))
-    return heads.join(group_patterns_alone(patterns), "prefix").drop("prefix")
+    alone = group_patterns_alone(patterns)
+    return with_prefixes(facts.where(F.col(code).rlike("^[0-9]{8}$")), alone, code).join(alone, "prefix").drop("prefix")
+
+
+def with_prefixes(rows: DataFrame, prefixes: DataFrame, code: str) -> DataFrame:
+    """rows once for each length that a prefix has, with the prefix of the code of that length; one row of lengths is broadcast."""
+    lengths = prefixes.agg(F.collect_set(F.length("prefix")).alias("_lengths"))
+    heads = F.transform(F.filter("_lengths", lambda n: n.between(1, F.length(code))), lambda n: F.substring(F.col(code), F.lit(1), n))
+    return rows.join(F.broadcast(lengths)).withColumn("prefix", F.explode(heads)).drop("_lengths")
 
 
 def group_codes(codes: DataFrame, patterns: DataFrame, code: str = "product_nc") -> DataFrame:
