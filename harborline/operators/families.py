@@ -15,8 +15,11 @@ from harborline.functions import expr as X
 from harborline.operators import idsets as I
 from harborline.operators import relational as R
 from harborline.operators import series as S
+from harborline.sources.sinks import written
 
 KEYS = ["group_name", "scope", "flow"]
+#: Months of parts that a task puts into windows.
+PART_ROWS = 250_000
 
 
 @dataclass(frozen=True)
@@ -82,8 +85,12 @@ def series_of_codes(codes: DataFrame, patterns: DataFrame) -> DataFrame:
 
 
 def group_series(facts: DataFrame, patterns: DataFrame, envelope: tuple[str, ...], uk: str) -> DataFrame:
-    """Monthly totals of each group, scope and flow.  Codes are summed first, so the group join sees few rows."""
-    return series_of_codes(code_totals(facts, envelope, uk), patterns)
+    """Monthly totals of each group, scope and flow, as `series_of_codes` of `code_totals` gives them; each task sums its own rows to these few
+    totals, so nothing of the facts' size is shuffled."""
+    rows = R.assign_groups(scoped(facts, envelope, uk).select("product_nc", "scope", "flow", "month_idx", "value_eur", "quantity_kg"), patterns)
+    double = lambda c: F.coalesce(F.sum(c), F.lit(0)).cast("double")
+    with_kg = F.when(F.col("quantity_kg") > 0, F.col("value_eur"))
+    return rows.groupBy(*KEYS, "month_idx").agg(double("value_eur").alias("value"), double("quantity_kg").alias("kg"), double(with_kg).alias("value_with_kg"), F.count("*").alias("n_rows"))
 
 
 def group_yoy(series: DataFrame, limits: Limits = Limits(), most_missing: int = 1) -> DataFrame:
@@ -114,15 +121,21 @@ def windowed_parts(facts: DataFrame, patterns: DataFrame, anchors: DataFrame, pa
     """Two-window sums of each `part` (reporter, product) of a group at every anchor (KEYS, month_idx).
 
     A part without a row in the anchor month still has its windows: a spine of months from its first to 23 after its last
-    row stands beside its sums, and one sort serves both range frames.
+    row stands beside its sums, and one sort serves both range frames.  Months that no anchor's windows hold, and spine months that
+    are outside the anchors of the group, are left out; a task gets about PART_ROWS of the rows, as its spine is up to 24 times as large.
     """
-    rows = scoped(facts, envelope, uk).groupBy("product_nc", *({part} - {"product_nc"}), "scope", "flow", "month_idx").agg(F.sum("value_eur").alias("value_eur"), F.sum("quantity_kg").alias("quantity_kg"))
-    months = R.assign_groups(rows, patterns).groupBy(*KEYS, part, "month_idx").agg(F.sum("value_eur").alias("v"), F.coalesce(F.sum("quantity_kg"), F.lit(0)).alias("k"))
+    anchors = written(anchors)  # a row a group and month
+    bounds = anchors.groupBy(*KEYS).agg(F.min("month_idx").alias("_first"), F.max("month_idx").alias("_last"))
+    rows = R.assign_groups(scoped(facts, envelope, uk).select("product_nc", *({part} - {"product_nc"}), "scope", "flow", "month_idx", "value_eur", "quantity_kg"), patterns)
+    rows = rows.join(written(bounds), KEYS).where(F.col("month_idx").between(F.col("_first") - 23, F.col("_last")))
+    months = written(rows.groupBy(*KEYS, part, "month_idx", "_first", "_last").agg(F.sum("value_eur").alias("v"), F.coalesce(F.sum("quantity_kg"), F.lit(0)).alias("k")))
+    months = months.repartition(max(1, -(-months.count() // PART_ROWS)), *KEYS, part)
     by = Window.partitionBy(*KEYS, part).orderBy("month_idx")
     # each row stands for its own month and for the months up to the next row, at most 23 on
     until = F.least(F.coalesce(F.lead("month_idx").over(by) - 1, F.col("month_idx") + 23), F.col("month_idx") + 23)
     spine = months.withColumn("_until", until).withColumn("_at", F.explode(F.sequence("month_idx", "_until")))
     own = F.col("_at") == F.col("month_idx")
+    spine = spine.where(own | F.col("_at").between(F.col("_first"), F.col("_last")))
     spine = spine.select(*KEYS, part, F.when(own, F.col("v")).alias("v"), F.when(own, F.col("k")).alias("k"), F.col("_at").alias("month_idx"))
     half = lambda c, first, last: F.coalesce(F.sum(c).over(by.rangeBetween(first, last)), F.lit(0)).cast("double")
     sums = spine.select(
