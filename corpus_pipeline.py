@@ -7,12 +7,13 @@ columns follow the rules of the operator that they call.
 
 from __future__ import annotations
 
+import gc
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
 from harborline.llm import ngram_join, packing, quality_classifier, quality_rules
-from harborline.llm.common import shared_dir, table
+from harborline.llm.common import let_go, shared_dir, table
 
 
 def classify(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -55,4 +56,6 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     for k, (_, stage) in enumerate(STAGES):
         stage(spark, docs, sf_dir).write.parquet(f"{base}/{k}")
         docs = spark.read.parquet(f"{base}/{k}")
+        gc.collect()
+        let_go()  # what the stage held on the driver
     return docs

@@ -27,7 +27,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from harborline.llm.common import kept, table
+from harborline.llm.common import kept, let_go, table
 from harborline.llm.word_ids import encoder, vocabulary
 
 
@@ -175,6 +175,7 @@ def packed(docs: DataFrame, s: Settings = Settings()) -> DataFrame:
     before = counts.withColumn("before", F.sum("n").over(Window.partitionBy("length").orderBy("part")) - F.col("n")).drop("n")
     hist = {r.length: r.n for r in rows.groupBy("length").agg(F.count("*").alias("n")).collect()}  # a row for each length at most
     places = runs(plan(hist, s), s.length)
+    let_go()  # the patterns, on the driver
     shared = docs.sparkSession.sparkContext.broadcast(places)
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
