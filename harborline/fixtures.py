@@ -1,6 +1,6 @@
 """Trade tables derived from the driver's tables; the only module that knows their names.
 
-Each entry of SQL runs unchanged in Spark and in DuckDB, so the same text feeds queries and oracles.
+Each entry of SQL runs unchanged in Spark and in DuckDB, so the same text feeds queries and oracles; for the two of SPARK_SQL, Spark joins in another order.
 `{name}` stands for a base table or another entry.
 """
 
